@@ -9,7 +9,7 @@ from reviewloom.fixed_values import (DATE_MIN, LENGTH_ABOVE, LENGTH_BELOW, RATIN
 from reviewloom.functions.dates import parse_date, weekday_name
 from reviewloom.functions.text import strip_specials, tokens, trim_space
 
-_EMAIL = r"^[A-Za-z0-9._%+'-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$"
+_EMAIL = r"^[A-Za-z0-9!#$%&'*+/=?^_`{|}~.-]{1,64}@([A-Za-z0-9]([A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}$"
 
 
 def _as_of(as_of: str | None) -> Column:

@@ -72,21 +72,21 @@ class _TopK:
         return pd.DataFrame({"query_id": query, "vec_id": ids, "score": score})
 
 
-def _few_queries(queries: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+def _few_queries(queries: DataFrame, broadcast_bytes: int) -> tuple[np.ndarray, np.ndarray] | None:
     """The query matrix if it surely fits the byte limit, else None."""
     head = queries.select(F.size("embedding").alias("dim")).first()
     if head is None:
         return np.empty(0, "int64"), np.empty((0, 1))
-    limit = QUERY_BYTES // (8 * max(1, head["dim"]))
+    limit = broadcast_bytes // (8 * max(1, head["dim"]))
     rows = queries.select("query_id", "embedding").limit(limit + 1).toPandas()
     if len(rows) > limit:
         return None
     return rows["query_id"].to_numpy("int64"), _matrix(rows["embedding"])
 
 
-def local_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def local_top_k(vectors: DataFrame, queries: DataFrame, k: int, broadcast_bytes: int = QUERY_BYTES) -> DataFrame:
     """Top k per query of each task; the query matrix is broadcast when it is small."""
-    matrix = _few_queries(queries)
+    matrix = _few_queries(queries, broadcast_bytes)
     if matrix is None:
         return _blockwise_top_k(vectors, queries, k)
     shared = vectors.sparkSession.sparkContext.broadcast(matrix)
@@ -126,12 +126,14 @@ def _blockwise_top_k(vectors: DataFrame, queries: DataFrame, k: int,
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(search, _HITS)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = SEARCH_K, skip_self: bool = False) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = SEARCH_K, skip_self: bool = False,
+            broadcast_bytes: int = QUERY_BYTES) -> DataFrame:
     """``query_id, vec_id, score, rank`` of the k best vectors of each query.
 
-    ``skip_self`` leaves out the vector whose id equals the query's.
+    ``skip_self`` leaves out the vector whose id equals the query's. A query
+    matrix above ``broadcast_bytes`` is searched block by block.
     """
-    found = local_top_k(vectors, queries, k + 1 if skip_self else k)
+    found = local_top_k(vectors, queries, k + 1 if skip_self else k, broadcast_bytes)
     if skip_self:
         found = found.filter(F.col("query_id") != F.col("vec_id"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

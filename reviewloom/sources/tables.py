@@ -68,3 +68,13 @@ def append_index(index_path: str, existing: DataFrame, added: DataFrame) -> None
     """Append numbered, normalised vectors after the highest ``vec_id`` there is."""
     start = existing.agg(F.coalesce(F.max("vec_id") + 1, F.lit(0)).alias("start")).first()["start"]
     added.withColumn("vec_id", F.col("vec_id") + F.lit(start)).write.mode("append").parquet(index_path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash rows over all cores when the files give fewer tasks than there are cores.
+
+    Text work per row is heavy, so a table in a few large row groups would keep
+    most cores idle. A table of many files already has enough tasks and stays.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
