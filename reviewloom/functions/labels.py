@@ -41,7 +41,7 @@ def chunk_source(meta: Column) -> Column:
 def hit_entry(content: Column, meta: Column, score: Column) -> Column:
     """One context entry with its source and score."""
     return F.concat(content, F.lit("\n(source: "), hit_source(meta), F.lit(", similarity: "),
-                    F.format_string("%.3f", score), F.lit(")"))
+                    F.format_number(score, 3), F.lit(")"))
 
 
 def chunk_entry(content: Column, meta: Column) -> Column:

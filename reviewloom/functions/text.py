@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
 # Whitespace as Python's str methods see it: Java's Unicode \s lacks U+001C..U+001F.
@@ -35,9 +33,16 @@ def tokens(c: Column, limit: int) -> Column:
 
 
 def contains_any(c: Column, words) -> Column:
-    """True where the lower-cased text holds one of the words as a substring."""
-    low = F.lower(c)
-    return reduce(lambda a, b: a | b, [low.contains(w.lower()) for w in words], F.lit(False))
+    """True where the lower-cased text holds one of the words as a substring.
+
+    One pattern for all words, so the text is lower-cased and read once.
+    """
+    return F.lower(c).rlike("|".join(quoted(w.lower()) for w in words)) if words else F.lit(False)
+
+
+def quoted(word: str) -> str:
+    """A word as a literal pattern."""
+    return "\\Q" + word.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
 def is_blank(c: Column) -> Column:

@@ -109,10 +109,10 @@ def _blockwise_top_k(vectors: DataFrame, queries: DataFrame, k: int,
     n_v = -(-vectors.count() // vector_block) or 1
     left = vectors.select(
         "vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(n_v)).alias("v_block"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).cast("long").alias("q_block"))
+        F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)).cast("array<long>")).alias("q_block"))
     right = queries.select(
         "query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).alias("q_block"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))).cast("long").alias("v_block"))
+        F.explode(F.sequence(F.lit(0), F.lit(n_v - 1)).cast("array<long>")).alias("v_block"))
 
     def search(block: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFrame:
         if not len(block) or not len(batch):

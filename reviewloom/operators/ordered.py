@@ -74,18 +74,20 @@ def running_sum(df: DataFrame, keys: list[str], order: str, value: Column, name:
 def number_rows(df: DataFrame, group: str, order: str, name: str, groups: tuple[str, ...]) -> DataFrame:
     """Consecutive numbers from 0 over all rows, ordered by ``(group, order)``.
 
-    ``groups`` lists the values of ``group`` in their order. Range widths follow
+    ``groups`` lists the values of ``group`` in their order; there are no others.
+    ``df`` is read three times, so pass a stored table rather than a long plan. Range widths follow
     from the data, so each range holds some 100,000 rows where ``order`` is even.
     """
-    span = df.agg(F.count("*").alias("n"), F.min(order).alias("lo"), F.max(order).alias("hi")).first()
-    if not span["n"]:
+    spans = (df.filter(F.col(group).isin(*groups)).groupBy(group)
+             .agg(F.count("*").alias("n"), F.min(order).alias("lo"), F.max(order).alias("hi")).collect())
+    per_group = {r[group]: r["n"] for r in spans}
+    rows = sum(per_group.values())
+    if not rows:
         return df.withColumn(name, F.lit(0).cast("long"))
-    pieces = max(1, span["n"] // 100_000)
-    width = max(1, (span["hi"] - span["lo"] + 1) // pieces)
+    pieces = max(1, rows // 100_000)
+    width = max(1, (max(r["hi"] for r in spans) - min(r["lo"] for r in spans) + 1) // pieces)
 
     numbered = running_sum(df, [group], order, F.lit(1).cast("long"), "__n", width)
-    per_group = {r[group]: r["n"] for r in df.groupBy(group).agg(F.count("*").alias("n"))
-                 .filter(F.col(group).isin(*groups)).collect()}
     starts, total = {}, 0
     for g in groups:
         starts[g], total = total, total + per_group.get(g, 0)

@@ -18,6 +18,7 @@ from reviewloom.operators.cleaning import keep_first
 from reviewloom.operators.embed import embed, hashed_features
 from reviewloom.operators.knn import nearest
 from reviewloom.operators.ordered import number_rows
+from reviewloom.session import stored
 
 
 # --- index ------------------------------------------------------------------
@@ -62,15 +63,15 @@ def select_hits(hits: DataFrame, minimum: float = SCORE_MIN, at_least: int = KEE
             .filter(F.col("rank") <= F.least(F.col("filtered_count"), F.lit(at_most))))
 
 
+def _figures() -> list[Column]:
+    return [F.max("total_found").alias("total_found"), F.max("filtered_count").alias("filtered_count"),
+            F.count("*").alias("used_count"), F.avg("score").alias("avg_similarity"),
+            F.max("score").alias("max_similarity"), F.min("score").alias("min_similarity")]
+
+
 def quality(selected: DataFrame) -> DataFrame:
     """Counts and score figures per query, with the confidence label."""
-    figures = selected.groupBy("query_id").agg(
-        F.max("total_found").alias("total_found"),
-        F.max("filtered_count").alias("filtered_count"),
-        F.count("*").alias("used_count"),
-        F.avg("score").alias("avg_similarity"),
-        F.max("score").alias("max_similarity"),
-        F.min("score").alias("min_similarity"))
+    figures = selected.groupBy("query_id").agg(*_figures())
     return figures.withColumn("confidence", confidence(F.col("avg_similarity")))
 
 
@@ -106,15 +107,19 @@ def hit_lists(rows: DataFrame) -> DataFrame:
 
 
 # --- text -------------------------------------------------------------------
-def _joined(rows: DataFrame, entry: Column, name: str, separator: str = "\n\n") -> DataFrame:
+def _in_rank_order(entry: Column, separator: str = "\n\n") -> Column:
+    """Join the entries of one query's few selected hits."""
     ranked = F.array_sort(F.collect_list(F.struct("rank", entry.alias("entry"))))
-    return rows.groupBy("query_id").agg(
-        F.array_join(F.transform(ranked, lambda x: x["entry"]), separator).alias(name))
+    return F.array_join(F.transform(ranked, lambda x: x["entry"]), separator)
+
+
+def _hit_context() -> Column:
+    return _in_rank_order(hit_entry(F.col("content"), F.col("meta"), F.col("score"))).alias("context")
 
 
 def context_blocks(hits: DataFrame) -> DataFrame:
     """One context text per query from its selected hits."""
-    return _joined(hits, hit_entry(F.col("content"), F.col("meta"), F.col("score")), "context")
+    return hits.groupBy("query_id").agg(_hit_context())
 
 
 def distinct_chunks(hits: DataFrame) -> DataFrame:
@@ -125,16 +130,19 @@ def distinct_chunks(hits: DataFrame) -> DataFrame:
 
 def chunk_blocks(hits: DataFrame) -> DataFrame:
     """Context text in the retriever's form, copies removed."""
-    return _joined(distinct_chunks(hits), chunk_entry(F.col("content"), F.col("meta")), "context")
+    entries = _in_rank_order(chunk_entry(F.col("content"), F.col("meta")))
+    return distinct_chunks(hits).groupBy("query_id").agg(entries.alias("context"))
 
 
 def reference_lists(hits: DataFrame) -> DataFrame:
-    return _joined(hits, reference_line(F.col("content"), F.col("meta")), "references", "\n")
+    entries = _in_rank_order(reference_line(F.col("content"), F.col("meta")), "\n")
+    return hits.groupBy("query_id").agg(entries.alias("references"))
 
 
-def review_prompts(questions: DataFrame, contexts: DataFrame, figures: DataFrame) -> DataFrame:
-    """Prompt per question, or the fixed reply where no prompt is due."""
-    joined = questions.join(contexts, "query_id", "left").join(figures, "query_id", "left")
+def review_prompts(questions: DataFrame, hits: DataFrame) -> DataFrame:
+    """Prompt per question from its selected hits, or the fixed reply where no prompt is due."""
+    material = hits.groupBy("query_id").agg(_hit_context(), *_figures())
+    joined = questions.join(material.withColumn("confidence", confidence(F.col("avg_similarity"))), "query_id", "left")
     blank = is_blank(F.col("question"))
     found = F.col("used_count").isNotNull()
     return joined.select(
@@ -148,10 +156,14 @@ def review_prompts(questions: DataFrame, contexts: DataFrame, figures: DataFrame
 
 def search_reviews(index: DataFrame, questions: DataFrame,
                    make_embedder: Callable = lambda: hashed_features) -> DataFrame:
-    """Questions ``query_id, question`` to prompts: embed, search, select, assemble."""
+    """Questions ``query_id, question`` to prompts: embed, search, select, assemble.
+
+    The selected hits are stored: they are few and narrow, so the join that
+    fetches their texts can broadcast them instead of shuffling all texts.
+    """
     asked = embed(questions.filter(~is_blank(F.col("question"))), "question", make_embedder)
-    selected = select_hits(nearest(index, asked.select("query_id", "embedding")))
-    return review_prompts(questions, context_blocks(with_content(selected, index)), quality(selected))
+    selected = stored(select_hits(nearest(index, asked.select("query_id", "embedding"))), "hits")
+    return review_prompts(questions, with_content(selected, index))
 
 
 # --- answers ----------------------------------------------------------------
@@ -213,7 +225,7 @@ def select_diverse(candidates: DataFrame, queries: DataFrame, k: int = MMR_KEEP,
 def diverse(vectors: DataFrame, queries: DataFrame, k: int = MMR_KEEP, fetch_k: int = MMR_FETCH,
             balance: float = 0.5, skip_self: bool = False) -> DataFrame:
     """Fetch the nearest ``fetch_k`` vectors of each query and select ``k`` diverse ones."""
-    found = nearest(vectors, queries, fetch_k, skip_self).select("query_id", "vec_id")
+    found = stored(nearest(vectors, queries, fetch_k, skip_self).select("query_id", "vec_id"), "candidates")
     return select_diverse(found.join(vectors.select("vec_id", "embedding"), "vec_id"), queries, k, balance)
 
 

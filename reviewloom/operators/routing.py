@@ -25,9 +25,11 @@ def reply_route(reply: Column) -> Column:
 def route(messages: DataFrame, text_col: str = "text", reply_col: str | None = None,
           review_words=REVIEW_WORDS, info_words=INFO_WORDS) -> DataFrame:
     """Add ``routing_decision`` and whether it is one of the known labels."""
-    words = keyword_route(trim_space(F.col(text_col)), review_words, info_words)
+    trimmed = messages.withColumn("__text", trim_space(F.coalesce(text_col, F.lit(""))))
+    words = keyword_route(F.col("__text"), review_words, info_words)
     chosen = F.coalesce(reply_route(F.col(reply_col)), words) if reply_col else words
-    decided = messages.withColumn("routing_decision", F.when(is_blank(F.col(text_col)), "chat").otherwise(chosen))
+    decided = trimmed.withColumn(
+        "routing_decision", F.when(F.col("__text") == "", "chat").otherwise(chosen)).drop("__text")
     return decided.withColumn("known_route", F.col("routing_decision").isin(*ROUTES))
 
 

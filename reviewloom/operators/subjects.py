@@ -1,9 +1,10 @@
 """Subject records: finding them from messages, flattening them, writing them out.
 
-Containment tests ("the message holds this name") are equi-joins: every
-substring of the probed text that has the length of some dictionary word is
-looked up in the dictionary, whose words are unique. That needs no pairwise
-comparison and splits like any other hash join.
+Containment tests ("the message holds this name") against a long dictionary
+are equi-joins: every substring of the probed text that has the length of some
+dictionary word is looked up in the dictionary, whose words are unique. That
+needs no pairwise comparison and splits like any other hash join. A short
+dictionary is tested as a list of literals.
 """
 
 from __future__ import annotations
@@ -12,9 +13,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from reviewloom.fixed_values import (AGE_LABELS, CATEGORY_WORDS, NAME_ENDINGS, NAME_STOPWORDS, NO_CATEGORY,
                                      PROMPT_SUBJECT_FOUND, PROMPT_SUBJECT_MISSING, PROMPT_SUBJECT_SYSTEM)
-from reviewloom.functions.text import contains_any, fill_template, split_words, trim_space
+from reviewloom.functions.text import contains_any, fill_template, quoted, split_words, trim_space
+from reviewloom.session import broadcast_if_small
 
-DICTIONARY_ROWS_BROADCAST = 200_000
+LOOKUP_ROWS = 200_000
+DETAIL_ROWS = 10_000
+LITERAL_WORDS = 500
 TEXT_MAP = "map<string,string>"
 
 
@@ -28,20 +32,29 @@ def _substrings(text: Column, lengths: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(lengths, of_length)))
 
 
-def first_contained(texts: DataFrame, id_col: str, text_col: str, words: DataFrame, name: str) -> DataFrame:
+def first_contained(texts: DataFrame, id_col: str, text_col: str, words: DataFrame, name: str,
+                    literal_words: int = LITERAL_WORDS) -> DataFrame:
     """Lowest ``pos`` among the dictionary words that are substrings of the text.
 
-    ``words`` holds unique ``word`` with its ``pos``. The dictionary is
-    broadcast when it is counted to be small and shuffled otherwise; being
+    ``words`` holds unique ``word`` with its ``pos``. A dictionary of up to
+    ``LITERAL_WORDS`` is tested in place, without any shuffle. A larger one is
+    joined: broadcast when it is counted to be small, shuffled otherwise; being
     unique it never multiplies rows, and a hot substring is split by the
     adaptive skew join.
     """
+    few = words.orderBy("pos", "word").limit(literal_words + 1).collect()
+    if len(few) <= literal_words:
+        if not few:
+            return texts.select(id_col, F.lit(None).cast("long").alias(name)).filter(F.lit(False))
+        tests = F.array(*[F.struct(F.lit(r["word"]).alias("word"), F.lit(r["pos"]).alias("pos")) for r in few])
+        held = F.filter(tests, lambda t: F.col(text_col).contains(t["word"]))
+        return texts.select(id_col, F.get(held, F.lit(0))["pos"].alias(name)).filter(F.col(name).isNotNull())
     facts = words.agg(F.collect_set(F.length("word")).alias("lengths"), F.count("*").alias("n"),
                       F.min(F.when(F.col("word") == "", F.col("pos"))).alias("empty")).first()
     lengths = [n for n in facts["lengths"] if n > 0]
     probes = texts.select(id_col, F.explode(_substrings(
         F.col(text_col), F.array(*[F.lit(n) for n in sorted(lengths)]).cast("array<int>"))).alias("word"))
-    side = F.broadcast(words) if facts["n"] <= DICTIONARY_ROWS_BROADCAST else words
+    side = F.broadcast(words) if facts["n"] <= LOOKUP_ROWS else words
     hits = probes.join(side, "word").groupBy(id_col).agg(F.min("pos").alias(name))
     if facts["empty"] is None:
         return hits
@@ -113,7 +126,8 @@ def in_category(subjects: DataFrame, category: str) -> DataFrame:
 
 # --- names in questions -----------------------------------------------------
 def _before(ending: str) -> str:
-    return rf"([^\n]+?)\Q{ending}\E"
+    # anchored to line starts, so that a text without the ending is read once
+    return rf"(?dm)^([^\n]+?){quoted(ending)}"
 
 
 def extract_name(text: Column, endings=NAME_ENDINGS, stopwords=NAME_STOPWORDS) -> Column:
@@ -125,16 +139,13 @@ def extract_name(text: Column, endings=NAME_ENDINGS, stopwords=NAME_STOPWORDS) -
     words = F.filter(split_words(text), lambda w: ~_holds(w, stopwords))
     found = F.when(F.size(words) > 0, F.array_join(words, " ")).otherwise(text)
     for ending in reversed(endings):
-        pattern = F.lit(_before(ending))
-        found = F.when(F.regexp_like(text, pattern), trim_space(F.regexp_extract(text, _before(ending), 1))).otherwise(found)
+        before = F.regexp_extract(text, _before(ending), 1)
+        found = F.when(text.contains(ending) & (before != ""), trim_space(before)).otherwise(found)
     return found
 
 
 def _holds(word: Column, parts) -> Column:
-    held = F.lit(False)
-    for part in parts:
-        held = held | word.contains(part)
-    return held
+    return word.rlike("|".join(quoted(p) for p in parts))
 
 
 # --- outcome per message ----------------------------------------------------
@@ -144,11 +155,13 @@ def resolve_messages(messages: DataFrame, subjects: DataFrame, id_col: str = "ms
     named = find_mentioned(messages, subjects, id_col, text_col).withColumnRenamed("pos", "named_pos")
     keyed = messages.join(named, id_col, "left").withColumn(
         "__category", detect_category(F.col(text_col), categories))
-    keyed = keyed.join(first_of_category(subjects).withColumnRenamed("category", "__category"), "__category", "left")
+    # one row per keyword category at most
+    first = first_of_category(subjects.filter(F.col("category").isin(*[c for c, _ in categories])))
+    keyed = keyed.join(F.broadcast(first.withColumnRenamed("category", "__category")), "__category", "left")
     chosen = keyed.withColumn("subject_pos", F.coalesce("named_pos", "category_pos"))
     facts = subjects.select(F.col("pos").alias("subject_pos"), F.col("name").alias("found_subject_name"),
                             F.col("category").alias("subject_category"))
-    joined = chosen.join(facts, "subject_pos", "left")
+    joined = chosen.join(broadcast_if_small(facts, LOOKUP_ROWS), "subject_pos", "left")
     found = F.col("found_subject_name").isNotNull()
     return joined.select(
         *[F.col(c) for c in messages.columns],
@@ -163,7 +176,7 @@ def resolve_messages(messages: DataFrame, subjects: DataFrame, id_col: str = "ms
 def subject_prompts(resolved: DataFrame, subjects: DataFrame, text_col: str = "text") -> DataFrame:
     """Prompt per message, with the subject's details where one was found."""
     details = subjects.select(F.col("pos").alias("subject_pos"), markdown().alias("details"))
-    joined = resolved.join(details, "subject_pos", "left")
+    joined = resolved.join(broadcast_if_small(details, DETAIL_ROWS), "subject_pos", "left")
     system, question = F.lit(PROMPT_SUBJECT_SYSTEM), F.col(text_col)
     with_details = fill_template(PROMPT_SUBJECT_FOUND, system=system, name=F.col("found_subject_name"),
                                  details=F.col("details"), question=question)

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from reviewloom.fixed_values import DATE_LABEL, DEFAULT_PLACE, NAME_ENDINGS, SITES
 from reviewloom.functions.labels import or_default
 from reviewloom.operators.cleaning import clean_reviews
+from reviewloom.session import shared_folder
+from reviewloom.sources.reviews import read_clean, write_clean
 from reviewloom.sources.tables import spread, table
 
 AS_OF = "2025-01-01 00:00:00"
@@ -39,6 +41,13 @@ def cleaned(spark: SparkSession, folder: str) -> DataFrame:
     return clean_reviews(reviews(spark, folder), AS_OF)
 
 
+def stored_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """The cleaned table written to the shared folder, as the cleaning job leaves it."""
+    path = shared_folder(spark, "clean")
+    write_clean(cleaned(spark, folder), path)
+    return read_clean(spark, path)
+
+
 # --- retrieval --------------------------------------------------------------
 def vectors(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "embeddings").select("vec_id", "embedding")

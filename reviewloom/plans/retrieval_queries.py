@@ -10,6 +10,7 @@ from reviewloom.functions.vectors import l2_normalise
 from reviewloom.operators import conversations, embed, knn, retrieval
 from reviewloom.plans import derived
 from reviewloom.plans.oracle_parts import CLEAN, CONTENTS, SELECTED, TOP10, TURNS, hashed, selected, trimmed
+from reviewloom.session import stored
 from reviewloom.sources.tables import table
 
 
@@ -58,7 +59,7 @@ def retrieval_quality(spark, folder):
 
 
 def _content_hits(spark, folder):
-    return retrieval.with_content(_selected(spark, folder), derived.index_contents(spark, folder))
+    return retrieval.with_content(stored(_selected(spark, folder), "hits"), derived.index_contents(spark, folder))
 
 
 def context_block(spark, folder):
@@ -102,7 +103,7 @@ def context_dedup(spark, folder):
 
 
 def review_index(spark, folder):
-    index = retrieval.build_index(derived.cleaned(spark, folder))
+    index = retrieval.build_index(derived.stored_clean(spark, folder))
     meta = F.col("meta")
     return index.select("vec_id", "content", meta["platform"].alias("platform"), meta["place"].alias("place"),
                         meta["date"].alias("date"), meta["rating"].alias("rating"))
@@ -123,7 +124,7 @@ def _questions(spark, folder):
 
 def review_prompts(spark, folder):
     """User messages answered from the review index: embed, search, select, assemble."""
-    index = retrieval.build_index(derived.cleaned(spark, folder))
+    index = retrieval.build_index(derived.stored_clean(spark, folder))
     prompts = retrieval.search_reviews(index, _questions(spark, folder))
     return prompts.withColumn("avg_similarity", F.round("avg_similarity", 6))
 
@@ -180,10 +181,10 @@ _MIDDLE, _TAIL = _REST.split("{question}")
 SQL = {
     "knn_top10": _KNN,
     "knn_blockwise": _KNN,
-    "knn_label_profiles": """WITH parts AS (SELECT label, unnest(range(1, len(embedding) + 1)) AS at, unnest(embedding)::DOUBLE AS x FROM embeddings),
-        means AS (SELECT label, at, avg(x) AS x FROM parts GROUP BY ALL),
+    "knn_label_profiles": """WITH parts AS (SELECT label, unnest(range(1, len(embedding) + 1)) AS place, unnest(embedding)::DOUBLE AS x FROM embeddings),
+        means AS (SELECT label, place, avg(x) AS x FROM parts GROUP BY ALL),
         profiles AS (SELECT CAST(label AS BIGINT) AS query_id,
-          list(CAST(CAST(x / n AS FLOAT) AS DOUBLE) ORDER BY at) AS embedding
+          list(CAST(CAST(x / n AS FLOAT) AS DOUBLE) ORDER BY place) AS embedding
           FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY label)) AS n FROM means) GROUP BY label)
         SELECT query_id, vec_id, round(list_dot_product(q.embedding, CAST(v.embedding AS DOUBLE[])), 6) AS score,
           row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank

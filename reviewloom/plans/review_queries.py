@@ -20,14 +20,19 @@ def _day(c: str):
     return F.date_format(c, "yyyy-MM-dd")
 
 
-def clean_reviews(spark: SparkSession, folder: str) -> DataFrame:
-    return derived.cleaned(spark, folder).select(
+def shown(clean: DataFrame) -> DataFrame:
+    """A cleaned table with comparable types."""
+    return clean.select(
         "site", "ingest_seq", "rating", _day("date").alias("day"), "content",
         F.col("review_length").cast("long").alias("review_length"), F.col("text_length").cast("long").alias("text_length"),
         "weekday", F.array_join("tokenized_content", " ").alias("token_text"),
         F.size("tokenized_content").cast("long").alias("n_tokens"))
 
 
+def clean_reviews(spark: SparkSession, folder: str) -> DataFrame:
+    return shown(derived.cleaned(spark, folder))
+
+
 def clean_audit(spark, folder):
     return cleaning.audit(derived.reviews(spark, folder), derived.AS_OF)
 

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def build_session(app_name: str = "reviewloom", master: str | None = None,
@@ -28,7 +28,8 @@ def build_session(app_name: str = "reviewloom", master: str | None = None,
                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     )
     if master:
-        builder = builder.master(master).config("spark.ui.enabled", "false")
+        builder = (builder.master(master).config("spark.ui.enabled", "false")
+                   .config("spark.ui.showConsoleProgress", "false"))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
@@ -46,3 +47,23 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = os.path.join(tempfile.gettempdir(), "reviewloom-local")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a table below the shared folder and read it back.
+
+    Used where a result feeds several later steps: it is computed once, a lost
+    executor does not bring its whole history back, and its size on disk lets
+    later joins choose a broadcast only when it is small.
+    """
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """Mark a lookup table for broadcast after counting that it has at most ``max_rows`` rows.
+
+    A larger one is left to a shuffled join, where adaptive execution splits hot keys.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
