@@ -11,6 +11,8 @@ from reviewloom.functions.text import strip_specials, tokens, trim_space
 
 _EMAIL = r"^[A-Za-z0-9!#$%&'*+/=?^_`{|}~.-]{1,64}@([A-Za-z0-9]([A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}$"
 
+_SLICES = 256
+
 
 def _as_of(as_of: str | None) -> Column:
     return F.lit(as_of).cast("timestamp") if as_of else F.current_timestamp()
@@ -22,6 +24,12 @@ def _dated(df: DataFrame) -> DataFrame:
     return df.withColumn("date", F.col("date").cast("timestamp"))
 
 
+def _within_length(size: Column) -> Column:
+    # one mention of the length: the filter moves below the projection and takes
+    # the pattern replacement with it, once per mention
+    return F.width_bucket(size.cast("double"), F.lit(LENGTH_ABOVE + 1.0), F.lit(float(LENGTH_BELOW)), F.lit(1)) == 1
+
+
 def apply_rules(df: DataFrame, as_of: str | None = None) -> DataFrame:
     """All row rules but de-duplication; stateless, so it also runs on a stream.
 
@@ -34,7 +42,7 @@ def apply_rules(df: DataFrame, as_of: str | None = None) -> DataFrame:
         .filter(F.col("date").between(F.lit(DATE_MIN).cast("timestamp"), _as_of(as_of)))
         .withColumn("content", strip_specials(F.col("content")))
         .withColumn("review_length", F.length("content"))
-        .filter((F.col("review_length") > LENGTH_ABOVE) & (F.col("review_length") < LENGTH_BELOW))
+        .filter(_within_length(F.col("review_length")))
     )
     return valid.withColumn("content", trim_space(F.col("content")))
 
@@ -110,9 +118,16 @@ def distinct_contents(df: DataFrame) -> DataFrame:
 
 
 def cap_per_site(df: DataFrame, limit: int = SOURCE_CAP) -> DataFrame:
-    """The first ``limit`` rows of each site in arrival order."""
-    ranked = Window.partitionBy("site").orderBy("ingest_seq")
-    return df.withColumn("arrival", F.row_number().over(ranked)).filter(F.col("arrival") <= limit)
+    """The first ``limit`` rows of each site in arrival order.
+
+    Each of many slices of a site is cut to ``limit`` first, so the last step
+    sees a bounded number of rows however many tasks read the site.
+    """
+    slices = Window.partitionBy("site", "__slice").orderBy("ingest_seq")
+    near = (df.withColumn("__slice", F.pmod(F.xxhash64("ingest_seq"), F.lit(_SLICES)))
+            .withColumn("arrival", F.row_number().over(slices)).filter(F.col("arrival") <= limit).drop("__slice"))
+    whole = Window.partitionBy("site").orderBy("ingest_seq")
+    return near.withColumn("arrival", F.row_number().over(whole)).filter(F.col("arrival") <= limit)
 
 
 def split_valid_emails(df: DataFrame) -> tuple[DataFrame, DataFrame]:

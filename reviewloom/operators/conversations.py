@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reviewloom.fixed_values import HISTORY_TURNS
-from reviewloom.operators.ordered import RANGE_WIDTH, carry_forward, drop_range, running_sum
+from reviewloom.operators.ordered import RANGE_WIDTH
 
 _ROLES = ("user", "assistant")
 
@@ -20,14 +20,42 @@ def pair_turns(messages: DataFrame, width: int = RANGE_WIDTH) -> DataFrame:
     kept = messages.filter(F.col("role").isin(*_ROLES)).select(
         "conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
     is_user = F.col("role") == "user"
-    seen = carry_forward(kept, ["conv_id"], "turn", {"open_before": is_user | (F.col("text") == "")}, width)
-    opens = is_user | ~F.coalesce("open_before", F.lit(False))
-    numbered = running_sum(seen, ["conv_id"], "turn", opens.cast("long"), "pair_no", width)
-    fragments = drop_range(numbered).select(
+    leaves_open = is_user | (F.col("text") == "")
+    numbered = _number_pairs(kept, is_user, leaves_open, width)
+    return merge_fragments(numbered.select(
         "conv_id", "pair_no",
         F.when(is_user, F.col("text")).otherwise("").alias("user"),
-        F.when(is_user, "").otherwise(F.col("text")).alias("assistant"))
-    return merge_fragments(fragments)
+        F.when(is_user, "").otherwise(F.col("text")).alias("assistant")))
+
+
+def _number_pairs(rows: DataFrame, is_user: Column, leaves_open: Column, width: int) -> DataFrame:
+    """Number of the pair each message belongs to, counted from 1 per conversation.
+
+    A conversation may be longer than one task should hold, so it is cut into
+    ranges of turns. Inside a range only its first message lacks a predecessor;
+    one summary row per range settles that message and the count so far.
+    """
+    cut = rows.withColumn("range", F.floor(F.col("turn") / F.lit(width)))
+    inside = Window.partitionBy("conv_id", "range").orderBy("turn")
+    seen = cut.withColumn("was_open", F.lag(leaves_open).over(inside))
+    # 1 opens a pair, 0 does not, NULL: an assistant message that begins a range
+    seen = seen.withColumn("opens", F.when(is_user, 1).otherwise((~F.col("was_open")).cast("int")))
+
+    ranges = seen.groupBy("conv_id", "range").agg(
+        F.sum("opens").alias("n"), F.max(F.col("opens").isNull()).alias("unsettled"),
+        F.max_by(leaves_open, "turn").alias("ends_open"))
+    earlier = Window.partitionBy("conv_id").orderBy("range")
+    settled = ranges.withColumn(
+        "first_opens",
+        (F.col("unsettled") & ~F.lag("ends_open", 1, False).over(earlier)).cast("int"))
+    before = earlier.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = settled.select(
+        "conv_id", "range", "first_opens",
+        F.coalesce(F.sum(F.coalesce("n", F.lit(0)) + F.col("first_opens")).over(before), F.lit(0)).alias("offset"))
+
+    counted = seen.withColumn("local_no", F.coalesce(F.sum("opens").over(inside), F.lit(0)))
+    return counted.join(offsets, ["conv_id", "range"]).withColumn(
+        "pair_no", F.col("offset") + F.col("first_opens") + F.col("local_no"))
 
 
 def merge_fragments(fragments: DataFrame) -> DataFrame:
