@@ -33,7 +33,7 @@ def _substrings(text: Column, lengths: Column) -> Column:
 
 
 def first_contained(texts: DataFrame, id_col: str, text_col: str, words: DataFrame, name: str,
-                    literal_words: int = LITERAL_WORDS) -> DataFrame:
+                    literal_words: int | None = None) -> DataFrame:
     """Lowest ``pos`` among the dictionary words that are substrings of the text.
 
     ``words`` holds unique ``word`` with its ``pos``. A dictionary of up to
@@ -42,6 +42,7 @@ def first_contained(texts: DataFrame, id_col: str, text_col: str, words: DataFra
     unique it never multiplies rows, and a hot substring is split by the
     adaptive skew join.
     """
+    literal_words = LITERAL_WORDS if literal_words is None else literal_words
     few = words.orderBy("pos", "word").limit(literal_words + 1).collect()
     if len(few) <= literal_words:
         if not few:
