@@ -50,11 +50,12 @@ def apply_rules(df: DataFrame, as_of: str | None = None) -> DataFrame:
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key in ``order``.
 
-    The rank limit runs before the shuffle as well, so each task sends at most
-    one row per key and copies that fill a third of the table cost no more than others.
+    An aggregation, not a window: each task sends at most one row per key, so
+    copies that fill a third of the table cost no more than others.
     """
-    ranked = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__rank", F.row_number().over(ranked)).filter("__rank = 1").drop("__rank")
+    rest = F.struct(*[F.col(c) for c in df.columns if c not in keys])
+    first = df.groupBy(*keys).agg(F.min_by(rest, F.struct(*order)).alias("__first"))
+    return first.select(*keys, "__first.*").select(*df.columns)
 
 
 def add_features(df: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from reviewloom.operators.embed import embed, hashed_features
 from reviewloom.operators.knn import nearest
 from reviewloom.operators.ordered import number_rows
 from reviewloom.session import stored
+from reviewloom.sources.tables import append_index
 
 
 # --- index ------------------------------------------------------------------
@@ -40,6 +41,17 @@ def build_index(clean: DataFrame, sites=SITES,
     return embed(numbered.select("vec_id", "content", "meta"), "content", make_embedder)
 
 
+def add_documents(index_path: str, existing: DataFrame, records: DataFrame, sites=SITES,
+                  make_embedder: Callable = lambda: hashed_features) -> None:
+    """Append records ``site, ingest_seq, content, meta`` to a stored index.
+
+    Their ids follow the highest one there is. Vectors are normalised like those
+    of a new index, so all scores stay cosines.
+    """
+    numbered = number_rows(records, "site", "ingest_seq", "vec_id", tuple(sites))
+    append_index(index_path, existing, embed(numbered.select("vec_id", "content", "meta"), "content", make_embedder))
+
+
 # --- selection --------------------------------------------------------------
 def threshold(hits: DataFrame, minimum: float = 0.6) -> DataFrame:
     return hits.filter(F.col("score") >= minimum)
@@ -168,32 +180,42 @@ def search_reviews(index: DataFrame, questions: DataFrame,
 
 # --- answers ----------------------------------------------------------------
 def answer(prompts: DataFrame, make_model: Callable[[], Callable[[str], str]], fallback: str,
-           prompt_col: str = "prompt") -> DataFrame:
+           prompt_col: str = "prompt", fallback_fields: tuple[str, ...] = ()) -> DataFrame:
     """Add ``result`` and ``error`` by calling a user-supplied model per prompt.
 
     A failing call leaves the job running: its row gets the fallback text, in
-    which ``{error}`` stands for the reason, and the reason.
+    which ``{error}`` stands for the reason and ``{name}`` for a listed column,
+    and the reason.
     """
     schema = T.StructType(prompts.schema.fields + [
         T.StructField("result", T.StringType()), T.StructField("error", T.StringType())])
 
-    def one(model, prompt):
-        if prompt is None:
+    def one(model, row):
+        if row[prompt_col] is None:
             return None, None
         try:
-            return model(prompt).strip(), None
+            return model(row[prompt_col]).strip(), None
         except Exception as failure:  # noqa: BLE001 - any model error becomes a row
-            return fallback.replace("{error}", str(failure)), str(failure)
+            text = fallback
+            for name in fallback_fields:
+                text = text.replace("{" + name + "}", str(row[name]))
+            return text.replace("{error}", str(failure)), str(failure)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make_model()
         for batch in batches:
-            pairs = [one(model, p) for p in batch[prompt_col]]
+            used = batch[[prompt_col, *fallback_fields]].to_dict("records")
+            pairs = [one(model, row) for row in used]
             yield batch.assign(result=[r for r, _ in pairs], error=[e for _, e in pairs])
 
     return prompts.mapInPandas(run, schema)
 
 
+def noted_result(result: Column, note: Column, error: Column) -> Column:
+    """The shown text of a review answer: the confidence note follows a real answer."""
+    return F.when(error.isNull(), F.concat(result, F.coalesce(note, F.lit("")))).otherwise(result)
+
+
 # --- diversity --------------------------------------------------------------
 def select_diverse(candidates: DataFrame, queries: DataFrame, k: int = MMR_KEEP, balance: float = 0.5) -> DataFrame:
     """Maximal marginal relevance over a few candidates per query.

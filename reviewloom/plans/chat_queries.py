@@ -133,18 +133,18 @@ def _any_of(c: str, words) -> str:
     return "(" + " OR ".join(f"contains(lower({c}), '{w.lower()}')" for w in words) + ")"
 
 
-def _keyword_case(c: str, review, info) -> str:
+def keyword_case(c: str, review, info) -> str:
     return (f"CASE WHEN {trimmed(c)} = '' THEN 'chat' WHEN {_any_of(c, review)} THEN 'rag_review' "
             f"WHEN {_any_of(c, info)} THEN 'subject_info' ELSE 'chat' END")
 
 
-def _quoted(text: str) -> str:
+def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
 def _around(template: str, **columns: str) -> str:
     """SQL that fills a template's names with columns."""
-    sql = _quoted(template)
+    sql = quoted(template)
     for name, column in columns.items():
         sql = sql.replace("{" + name + "}", "' || " + column + " || '")
     return sql
@@ -156,7 +156,7 @@ def _category(c: str) -> str:
         WHEN {_any_of(c, ('호텔', '숙박', '리조트'))} THEN '호텔' END"""
 
 
-def _resolve_sql(source: str) -> str:
+def resolve_sql(source: str) -> str:
     return f"""by_category AS (SELECT category, min(pos) AS pos FROM subjects_v GROUP BY category),
 keyed AS (SELECT m.*, n.pos AS named_pos, {_category('m.text')} AS keyword_category FROM {source} m LEFT JOIN mentions n USING (msg_id)),
 chosen AS (SELECT k.*, coalesce(k.named_pos, c.pos) AS subject_pos FROM keyed k LEFT JOIN by_category c ON c.category = k.keyword_category),
@@ -167,10 +167,10 @@ resolved_messages AS (SELECT c.*, s.name AS found_subject_name, {extracted('c.te
   FROM chosen c LEFT JOIN subjects_v s ON s.pos = c.subject_pos)"""
 
 
-_RESOLVED = f"WITH {USER_MESSAGES}, {MENTIONS}, {_resolve_sql('user_messages')}"
+_RESOLVED = f"WITH {USER_MESSAGES}, {MENTIONS}, {resolve_sql('user_messages')}"
 _OUT = "detected_category, extracted_subject, subject_pos, found_subject_name, info_type, data_source"
 
-_MARKDOWN = """concat_ws(chr(10), '## 📍 ' || name, '**카테고리**: ' || category,
+MARKDOWN = """concat_ws(chr(10), '## 📍 ' || name, '**카테고리**: ' || category,
     CASE WHEN p_size % 7 <> 0 THEN '**위치**: ' || p_brand END,
     CASE WHEN p_size % 2 = 1 THEN concat_ws(chr(10), chr(10) || '**교통편**', '🚇 **지하철**: ' || p_brand,
       CASE WHEN p_size % 5 = 0 THEN '🚌 **버스**: ' || p_type END) END,
@@ -187,6 +187,15 @@ _MARKDOWN = """concat_ws(chr(10), '## 📍 ' || name, '**카테고리**: ' || ca
     CASE WHEN p_size % 4 <> 3 THEN concat_ws(chr(10), chr(10) || '**방문 팁**', '  💡 ' || p_type, '  💡 ' || p_brand) END,
     CASE WHEN p_size % 9 <> 0 THEN chr(10) || '**공식 웹사이트**' || chr(10) || 'https://example.com/' || pos END)"""
 
+
+
+def subject_prompt(text: str) -> str:
+    system = quoted(PROMPT_SUBJECT_SYSTEM)
+    found = _around(PROMPT_SUBJECT_FOUND, system=system, name="found_subject_name", details="details", question=text)
+    missing = _around(PROMPT_SUBJECT_MISSING, system=system, name="extracted_subject", question=text)
+    return f"CASE WHEN found_subject_name IS NOT NULL THEN {found} ELSE {missing} END"
+
+
 SQL = {
     "turn_pairs": f"WITH {TURNS} SELECT * FROM turn_pairs",
     "last_n_turns": f"WITH {TURNS} SELECT * FROM turn_pairs QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY pair_no DESC) <= 2",
@@ -198,16 +207,16 @@ SQL = {
         FROM conversations GROUP BY conv_id""",
     "transcript": f"""WITH {TURNS} SELECT conv_id, pair_no, '[chat] 사용자: ' || "user" || chr(10) || '챗봇: ' || assistant || chr(10) AS entry
         FROM turn_pairs""",
-    "route_messages": f"""WITH {USER_MESSAGES} SELECT msg_id, {_keyword_case('text', REVIEW_WORDS, INFO_WORDS)} AS routing_decision,
+    "route_messages": f"""WITH {USER_MESSAGES} SELECT msg_id, {keyword_case('text', REVIEW_WORDS, INFO_WORDS)} AS routing_decision,
         true AS known_route FROM user_messages""",
-    "route_by_language_words": f"""SELECT conv_id, turn, {_keyword_case('text', ('avec', 'Schein', 'stion'), ('und ', 'que'))}
+    "route_by_language_words": f"""SELECT conv_id, turn, {keyword_case('text', ('avec', 'Schein', 'stion'), ('und ', 'que'))}
         AS routing_decision FROM conversations""",
     "intent_json": f"""WITH r AS (SELECT event_id, event_type, (['티켓 얼마', '리뷰 요약', '안녕하세요', '  '])[user_id % 4 + 1] AS text FROM events)
         SELECT event_id, CASE WHEN {trimmed('text')} = '' THEN 'chat' WHEN event_type = 'view' THEN 'subject_info'
           WHEN event_type = 'purchase' THEN 'rag_review' WHEN event_type = 'click' THEN 'chat'
-          ELSE {_keyword_case('text', REVIEW_WORDS, INFO_WORDS)} END AS routing_decision, true AS known_route FROM r""",
+          ELSE {keyword_case('text', REVIEW_WORDS, INFO_WORDS)} END AS routing_decision, true AS known_route FROM r""",
     "intent_prompts": f"""WITH {USER_MESSAGES} SELECT msg_id, {_around(PROMPT_INTENT, user_message=trimmed('text'))} AS prompt FROM user_messages""",
-    "chat_prompts": f"WITH {USER_MESSAGES} SELECT msg_id, {_quoted(PROMPT_CHAT)} AS prompt FROM user_messages",
+    "chat_prompts": f"WITH {USER_MESSAGES} SELECT msg_id, {quoted(PROMPT_CHAT)} AS prompt FROM user_messages",
     "subject_mentions": f"WITH {USER_MESSAGES}, {MENTIONS} SELECT * FROM mentions",
     "subject_lookup": f"""WITH {SUBJECTS}, typed AS (SELECT pos AS query_id, lower(CASE p_size % 3 WHEN 0 THEN name
           WHEN 1 THEN split_part(name, ' ', 2) ELSE name || ' ' || p_brand END) AS probe FROM subjects_v)
@@ -220,13 +229,11 @@ SQL = {
     "resolve_questions": f"""WITH all_messages AS (SELECT conv_id || ':' || turn AS msg_id,
           (['후기', '가격', '호텔', '맛집', NULL])[(conv_id + turn) % 5 + 1] AS short, text FROM conversations WHERE role = 'user'),
         user_messages AS (SELECT msg_id, coalesce(short, split_part(text, ' ', -1)) AS text FROM all_messages),
-        {MENTIONS}, {_resolve_sql('user_messages')} SELECT msg_id, text, {_OUT} FROM resolved_messages""",
-    "subject_prompts": f"""{_RESOLVED}, described AS (SELECT pos, {_MARKDOWN} AS details FROM subjects_v)
-        SELECT msg_id, CASE WHEN found_subject_name IS NOT NULL THEN
-          {_around(PROMPT_SUBJECT_FOUND, system=_quoted(PROMPT_SUBJECT_SYSTEM), name='found_subject_name', details='details', question='text')}
-          ELSE {_around(PROMPT_SUBJECT_MISSING, system=_quoted(PROMPT_SUBJECT_SYSTEM), name='extracted_subject', question='text')} END AS prompt
+        {MENTIONS}, {resolve_sql('user_messages')} SELECT msg_id, text, {_OUT} FROM resolved_messages""",
+    "subject_prompts": f"""{_RESOLVED}, described AS (SELECT pos, {MARKDOWN} AS details FROM subjects_v)
+        SELECT msg_id, {subject_prompt('text')} AS prompt
         FROM resolved_messages LEFT JOIN described ON pos = subject_pos""",
-    "subject_markdown": f"WITH {SUBJECTS} SELECT pos, {_MARKDOWN} AS markdown FROM subjects_v",
+    "subject_markdown": f"WITH {SUBJECTS} SELECT pos, {MARKDOWN} AS markdown FROM subjects_v",
     "ticket_prices": f"""WITH {SUBJECTS}, t AS (
           SELECT pos, name, '1일권' AS ticket, unnest(['adult', 'teen', 'senior']) AS age_group, unnest([won, won, p_brand]) AS price_text
             FROM subjects_v WHERE p_size % 2 = 0

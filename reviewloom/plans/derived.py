@@ -50,7 +50,7 @@ def stored_clean(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- retrieval --------------------------------------------------------------
 def vectors(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return spread(table(spark, folder, "embeddings").select("vec_id", "embedding"), "vec_id")
 
 
 def vector_queries(spark: SparkSession, folder: str) -> DataFrame:
@@ -96,6 +96,10 @@ def user_messages(spark: SparkSession, folder: str) -> DataFrame:
         F.concat_ws(" ", "text", asked).alias("text"))
 
 
+def numbered_messages(spark: SparkSession, folder: str) -> DataFrame:
+    return user_messages(spark, folder).select((F.col("conv_id") * 100000 + F.col("turn")).alias("msg_id"), "text")
+
+
 def model_replies(spark: SparkSession, folder: str) -> DataFrame:
     """Events as classifier replies: JSON with and without an intent, other JSON, no JSON."""
     kind = F.col("event_type")

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reviewloom.fixed_values import NOTE_HIGH, NOTE_LOW, PROMPT_REVIEW
+from reviewloom.fixed_values import INFO_WORDS, NOTE_HIGH, NOTE_LOW, PROMPT_CHAT, PROMPT_REVIEW, REVIEW_WORDS
 from reviewloom.functions.labels import chunk_source, hit_source
 from reviewloom.functions.vectors import l2_normalise
-from reviewloom.operators import conversations, embed, knn, retrieval
-from reviewloom.plans import derived
-from reviewloom.plans.oracle_parts import CLEAN, CONTENTS, SELECTED, TOP10, TURNS, hashed, selected, trimmed
-from reviewloom.session import stored
-from reviewloom.sources.tables import table
+from reviewloom.functions.text import split_words
+from reviewloom.operators import conversations, embed, knn, retrieval, wordpiece
+from reviewloom.plans import answering, derived
+from reviewloom.plans.chat_queries import MARKDOWN, keyword_case, quoted, resolve_sql, subject_prompt
+from reviewloom.plans.oracle_parts import (CLEAN, CONTENTS, MENTIONS, SELECTED, TOP10, TURNS, USER_MESSAGES, hashed,
+                                           selected, trimmed)
+from reviewloom.session import shared_folder, stored
+from reviewloom.sources.tables import load_index, table
 
 
 def _long(df: DataFrame, *columns: str) -> DataFrame:
@@ -122,13 +125,37 @@ def _questions(spark, folder):
     return rows.select((F.col("conv_id") * 100000 + F.col("turn")).alias("query_id"), F.col("text").alias("question"))
 
 
+def _stored_index(spark, folder):
+    return load_index(spark, shared_folder(spark, "index"),
+                      lambda: retrieval.build_index(derived.stored_clean(spark, folder)))
+
+
 def review_prompts(spark, folder):
     """User messages answered from the review index: embed, search, select, assemble."""
-    index = retrieval.build_index(derived.stored_clean(spark, folder))
-    prompts = retrieval.search_reviews(index, _questions(spark, folder))
+    prompts = retrieval.search_reviews(_stored_index(spark, folder), _questions(spark, folder))
     return prompts.withColumn("avg_similarity", F.round("avg_similarity", 6))
 
 
+def chat_states(spark, folder):
+    """User messages through routing and all three handlers."""
+    states = answering.session_states(derived.numbered_messages(spark, folder), _stored_index(spark, folder),
+                                      derived.subjects(spark, folder))
+    return states.select(
+        "msg_id", "routing_decision", "review_query", "rag_context", "total_found", "filtered_count", "used_count",
+        F.round("avg_similarity", 6).alias("avg_similarity"), "confidence", "detected_category", "extracted_subject",
+        "found_subject_name", "info_type", "data_source", "prompt")
+
+
+def wordpiece_reviews(spark, folder):
+    """Word pieces by a vocabulary of the characters in use and the benchmark's words."""
+    clean = derived.cleaned(spark, folder).select("ingest_seq", "content")
+    chars = clean.select(F.explode(F.array_distinct(F.split("content", ""))).alias("c")).distinct()
+    whole = table(spark, folder, "benchmark").select(F.explode(split_words(F.col("text"))).alias("piece"))
+    vocabulary = chars.select(F.explode(F.array("c", F.concat(F.lit("##"), "c"))).alias("piece")).unionByName(whole)
+    return wordpiece.with_pieces(clean, vocabulary).select(
+        "ingest_seq", F.array_join("tokenized_content", " ").alias("pieces"))
+
+
 def _stub():
     def model(prompt: str) -> str:
         if "?" in prompt:
@@ -160,7 +187,7 @@ def mmr_select(spark, folder):
 QUERIES = {f.__name__: f for f in (
     knn_top10, knn_label_profiles, knn_blockwise, hits_above_threshold, knn_threshold_floor, retrieval_quality,
     context_block, chunk_context, reference_lines, document_hits, retriever_hits, hit_lists, source_strings,
-    context_dedup, review_index, hash_embed_reviews, review_prompts, answered_messages, answers_in_history,
+    context_dedup, review_index, hash_embed_reviews, wordpiece_reviews, review_prompts, chat_states, answered_messages, answers_in_history,
     mmr_select)}
 
 _KNN = f"WITH {TOP10} SELECT query_id, vec_id, score, rank FROM top10"
@@ -174,6 +201,17 @@ _QUALITY = """SELECT query_id, max(total_found) AS total_found, max(filtered_cou
     FROM selected GROUP BY query_id"""
 _INDEX = f"""review_index AS (SELECT row_number() OVER (ORDER BY site, ingest_seq) - 1 AS vec_id, ingest_seq, content,
     site AS platform, '롯데월드' AS place, strftime(date, '%Y-%m-%d') AS date, rating FROM clean WHERE length({trimmed('content')}) > 10)"""
+_SEARCH = f"""{hashed('review_index', 'vec_id', 'content', 'doc_vec')}, {hashed('asked', 'query_id', 'question', 'ask_vec')},
+        all_pairs AS (SELECT a.query_id, r.vec_id, 0 AS s FROM asked a CROSS JOIN review_index r),
+        shared AS (SELECT query_id, vec_id, sum(CAST(a.w AS DOUBLE) * CAST(d.w AS DOUBLE)) AS s
+          FROM ask_vec a JOIN doc_vec d USING (slot) GROUP BY ALL),
+        ranked AS (SELECT p.query_id, p.vec_id, round(coalesce(s.s, 0), 6) + 0 AS score,
+          row_number() OVER (PARTITION BY p.query_id ORDER BY score DESC, p.vec_id) AS rank
+          FROM all_pairs p LEFT JOIN shared s USING (query_id, vec_id) QUALIFY rank <= 10),
+        {selected('ranked')}, figures AS ({_QUALITY}),
+        ctx AS (SELECT query_id, string_agg(content || chr(10) || '(source: ' || {_HIT_SOURCE} || ', similarity: ' ||
+          format('{{:.3f}}', score) || ')', chr(10) || chr(10) ORDER BY rank) AS context
+          FROM selected JOIN review_index USING (vec_id) GROUP BY query_id)"""
 _TEMPLATE = PROMPT_REVIEW.replace("'", "''")
 _HEAD, _REST = _TEMPLATE.split("{context}")
 _MIDDLE, _TAIL = _REST.split("{question}")
@@ -214,22 +252,25 @@ SQL = {
         SELECT ingest_seq, slot, round(CAST(w AS DOUBLE), 6) AS w FROM vec""",
     "review_prompts": f"""WITH {CLEAN}, {_INDEX},
         asked AS (SELECT conv_id * 100000 + turn AS query_id, text AS question FROM conversations WHERE role = 'user'),
-        {hashed('review_index', 'vec_id', 'content', 'doc_vec')}, {hashed('asked', 'query_id', 'question', 'ask_vec')},
-        all_pairs AS (SELECT a.query_id, r.vec_id, 0 AS s FROM asked a CROSS JOIN review_index r),
-        shared AS (SELECT query_id, vec_id, sum(CAST(a.w AS DOUBLE) * CAST(d.w AS DOUBLE)) AS s
-          FROM ask_vec a JOIN doc_vec d USING (slot) GROUP BY ALL),
-        ranked AS (SELECT p.query_id, p.vec_id, round(coalesce(s.s, 0), 6) + 0 AS score,
-          row_number() OVER (PARTITION BY p.query_id ORDER BY score DESC, p.vec_id) AS rank
-          FROM all_pairs p LEFT JOIN shared s USING (query_id, vec_id) QUALIFY rank <= 10),
-        {selected('ranked')}, figures AS ({_QUALITY}),
-        ctx AS (SELECT query_id, string_agg(content || chr(10) || '(source: ' || {_HIT_SOURCE} || ', similarity: ' ||
-          format('{{:.3f}}', score) || ')', chr(10) || chr(10) ORDER BY rank) AS context
-          FROM selected JOIN review_index USING (vec_id) GROUP BY query_id)
+        {_SEARCH}
         SELECT query_id, question, context, '{_HEAD}' || context || '{_MIDDLE}' || {trimmed('question')} || '{_TAIL}' AS prompt,
           CAST(NULL AS VARCHAR) AS reply, total_found, filtered_count, used_count, avg_similarity, confidence,
           CASE confidence WHEN 'low' THEN '{NOTE_LOW}' WHEN 'high' THEN '{NOTE_HIGH}'
             ELSE '' END AS note
         FROM asked JOIN ctx USING (query_id) JOIN figures USING (query_id)""",
+    "chat_states": f"""WITH {CLEAN}, {_INDEX}, {USER_MESSAGES}, {MENTIONS},
+        routed AS (SELECT conv_id * 100000 + turn AS query_id, msg_id, text,
+          {keyword_case('text', REVIEW_WORDS, INFO_WORDS)} AS routing_decision FROM user_messages),
+        asked AS (SELECT query_id, text AS question FROM routed WHERE routing_decision = 'rag_review'),
+        {_SEARCH}, subject_messages AS (SELECT * FROM routed WHERE routing_decision = 'subject_info'),
+        {resolve_sql('subject_messages')}, described AS (SELECT pos, {MARKDOWN} AS details FROM subjects_v)
+        SELECT r.query_id AS msg_id, r.routing_decision, {trimmed('question')} AS review_query, context AS rag_context, total_found,
+          filtered_count, used_count, avg_similarity, confidence, detected_category, extracted_subject, found_subject_name,
+          info_type, data_source, CASE r.routing_decision
+            WHEN 'rag_review' THEN '{_HEAD}' || context || '{_MIDDLE}' || {trimmed('question')} || '{_TAIL}'
+            WHEN 'subject_info' THEN {subject_prompt('s.text')} ELSE {quoted(PROMPT_CHAT)} END AS prompt
+        FROM routed r LEFT JOIN asked a USING (query_id) LEFT JOIN ctx USING (query_id) LEFT JOIN figures USING (query_id)
+        LEFT JOIN resolved_messages s ON s.query_id = r.query_id LEFT JOIN described ON pos = s.subject_pos""",
     "answers_in_history": f"""WITH {TURNS}, spoken AS (SELECT conv_id, max_by(text, turn) FILTER (role = 'user' AND text <> '') AS t
           FROM conversations GROUP BY conv_id)
         SELECT * FROM turn_pairs UNION ALL

@@ -8,10 +8,9 @@ from reviewloom.fixed_values import SITES
 from reviewloom.operators import extract, keyed
 from reviewloom.plans import chat_queries, derived, review_queries
 from reviewloom.plans.oracle_parts import HISTORY, USERS, trimmed
-from reviewloom.schemas import MESSAGES
 from reviewloom.session import shared_folder
 from reviewloom.sources.reviews import read_clean
-from reviewloom.sources.tables import table
+from reviewloom.sources.tables import stream_messages, table
 from reviewloom.streaming import clean_stream, turn_stream
 
 
@@ -104,7 +103,7 @@ def stream_clean_incremental(spark, folder):
 
 def stream_turn_state(spark, folder):
     sink, checkpoint = shared_folder(spark, "pair-sink"), shared_folder(spark, "pair-progress")
-    stream = spark.readStream.schema(MESSAGES).parquet(f"{folder}/conversations*.parquet")
+    stream = stream_messages(spark, f"{folder}/conversations*.parquet")
     turn_stream.start_pairing(stream, sink, checkpoint).awaitTermination()
     return turn_stream.read_pairs(spark, sink)
 

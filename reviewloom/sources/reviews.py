@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from reviewloom.fixed_values import DEFAULT_PLACE, SITES
@@ -9,6 +11,9 @@ from reviewloom.functions.dates import parse_date
 from reviewloom.schemas import CLEAN_REVIEW, RAW_REVIEW
 
 _RAW_FILE = r"reviews_([^/.]+)\.csv$"
+_SLASHES = r"(?<=:)/+"
+_ROW_BITS = (1 << 33) - 1
+_FILES_BROADCAST = 200_000
 _CLEAN_FILE = r"preprocessed_reviews_([^/.]+)\.csv$"
 
 
@@ -24,20 +29,23 @@ def read_raw_csv(spark: SparkSession, path: str, site: str | None = None) -> Dat
 
     ``site`` names the site of every row; without it the site is taken from
     file names such as ``reviews_<site>.csv`` and files of unknown sites are
-    skipped. ``ingest_seq`` grows with the row's place in its file, which is
-    the arrival order that first-wins rules need; it is not consecutive.
+    skipped. ``ingest_seq`` grows with the file name and the row's place in the
+    file, which is the arrival order that first-wins rules need; it is not
+    consecutive.
     """
     raw = _csv(spark, path, RAW_REVIEW)
     named = F.lit(site) if site else F.regexp_extract(F.col("_metadata.file_path"), _RAW_FILE, 1)
-    return (
-        raw.select(
-            named.alias("site"),
-            F.monotonically_increasing_id().alias("ingest_seq"),
-            F.col("rating").try_cast("double").alias("rating"),
-            "date", "content",
-        )
-        .filter(F.col("site").isin(*SITES))
-    )
+    rows = raw.select(
+        named.alias("site"), F.regexp_replace(F.col("_metadata.file_path"), _SLASHES, "/").alias("file"),
+        F.monotonically_increasing_id().bitwiseAND(_ROW_BITS).alias("row"),
+        F.col("rating").try_cast("double").alias("rating"), "date", "content",
+    ).filter(F.col("site").isin(*SITES))
+    # a multi-line file is read by one task, so its row counter only grows
+    names = sorted(re.sub(_SLASHES, "/", name) for name in raw.inputFiles())
+    ranks = spark.createDataFrame(list(zip(names, range(len(names)))), "file string, file_no long")
+    ranks = F.broadcast(ranks) if len(names) <= _FILES_BROADCAST else ranks
+    return rows.join(ranks, "file").select(
+        "site", (F.col("file_no") * (_ROW_BITS + 1) + F.col("row")).alias("ingest_seq"), "rating", "date", "content")
 
 
 def read_collection(spark: SparkSession, path: str, site: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reviewloom.fixed_values import INDEX_REQUIRED
-from reviewloom.schemas import INDEX, SUBJECT, USERS
+from reviewloom.schemas import INDEX, MESSAGES, SUBJECT, USERS
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,6 +38,11 @@ def read_users_jdbc(spark: SparkSession, url: str, table_name: str = "users", **
     return spark.read.format("jdbc").option("url", url).option("dbtable", table_name).options(**options).load()
 
 
+def stream_messages(spark: SparkSession, path: str, bytes_per_batch: int = 512 * 1024 * 1024) -> DataFrame:
+    """Message files as a stream; the size of a micro-batch bounds what one conversation can hold in it."""
+    return spark.readStream.schema(MESSAGES).option("maxBytesPerTrigger", bytes_per_batch).parquet(path)
+
+
 # --- vector index -----------------------------------------------------------
 def write_index(index: DataFrame, path: str) -> None:
     """Write vectors with their metadata; an empty index writes nothing."""
@@ -56,12 +61,12 @@ def missing_index_fields(index: DataFrame) -> list[str]:
 def load_index(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
     """Read the index; where there is none, build and write it first."""
     try:
-        return spark.read.parquet(path)
+        return spread(spark.read.parquet(path), "vec_id")
     except AnalysisException as error:
         if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
     build().write.mode("overwrite").parquet(path)
-    return spark.read.schema(INDEX).parquet(path)
+    return spread(spark.read.schema(INDEX).parquet(path), "vec_id")
 
 
 def append_index(index_path: str, existing: DataFrame, added: DataFrame) -> None:

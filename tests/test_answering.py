@@ -1,0 +1,88 @@
+import pytest
+from pyspark.sql import functions as F
+
+from reviewloom import session
+from reviewloom.fixed_values import PROMPT_CHAT, REPLY_SUBJECT_FAILED
+from reviewloom.operators import retrieval
+from reviewloom.plans.answering import session_states
+from reviewloom.plans.derived import subjects as part_subjects
+from reviewloom.sources import tables
+from test_routing_subjects import first_mentioned
+
+
+def reviews(spark, texts, start=0):
+    return spark.createDataFrame(
+        [("kakaomap", i + start, t, "2024-05-03", 5.0) for i, t in enumerate(texts)],
+        "site string, ingest_seq long, content string, date string, rating double")
+
+
+TEXTS = ["good park today", "long queue at the gate", "nice food and staff"]
+
+
+def test_messages_through_all_handlers(spark, sf):
+    index = retrieval.build_index(reviews(spark, TEXTS))
+    messages = spark.createDataFrame([
+        (1, "good park 후기"), (2, "small ring 가격"), (3, "안녕"), (4, ""), (5, None), (6, "unknown 주소")], "msg_id long, text string")
+    got = {r.msg_id: r for r in session_states(messages, index, part_subjects(spark, sf)).collect()}
+    assert [got[i].routing_decision for i in range(1, 7)] == ["rag_review", "subject_info", "chat", "chat", "chat", "subject_info"]
+    assert got[1].used_count == 3 and got[1].review_query == "good park 후기" and got[1].detected_category is None
+    names = [r.name for r in part_subjects(spark, sf).orderBy("pos").collect()]
+    assert got[2].found_subject_name == names[first_mentioned(names, "small ring 가격")] and got[2].used_count is None
+    assert got[3].prompt == PROMPT_CHAT and got[4].prompt is None and got[5].prompt is None
+    assert got[6].data_source == "llm_general"
+
+
+def test_label_without_a_handler_gets_no_prompt(spark, sf):
+    index = retrieval.build_index(reviews(spark, TEXTS))
+    messages = spark.createDataFrame([(1, "hello", '{"intent":"other"}')], "msg_id long, text string, said string")
+    row = session_states(messages, index, part_subjects(spark, sf), reply_col="said").first()
+    assert (row.routing_decision, row.prompt) == ("other", None)
+
+
+def test_documents_are_added_after_the_last_one(spark, tmp_path):
+    path = str(tmp_path / "index")
+    index = tables.load_index(spark, path, lambda: retrieval.build_index(reviews(spark, TEXTS)))
+    retrieval.add_documents(path, index, retrieval.indexable(reviews(spark, ["a new long review", "tiny"], 100)))
+    got = spark.read.parquet(path).orderBy("vec_id").collect()
+    assert [(r.vec_id, r.content) for r in got][-1] == (3, "a new long review") and len(got) == 4
+    assert all(abs(sum(x * x for x in r.embedding) - 1) < 1e-6 for r in got)
+
+
+def test_fallback_names_the_subject_and_note_follows_answers(spark):
+    def model():
+        def call(prompt):
+            raise RuntimeError("down")
+        return call
+    rows = spark.createDataFrame([("p", "Ritz")], "prompt string, extracted_subject string")
+    row = retrieval.answer(rows, model, REPLY_SUBJECT_FAILED.replace("{subject}", "{extracted_subject}"),
+                           fallback_fields=("extracted_subject",)).first()
+    assert row.result.startswith("죄송합니다. Ritz에 대한") and row.error == "down"
+    shown = spark.createDataFrame([("yes", "!", None), ("no", "!", "e"), ("yes", None, None)], "r string, n string, e string")
+    got = [x[0] for x in shown.select(retrieval.noted_result(F.col("r"), F.col("n"), F.col("e"))).collect()]
+    assert got == ["yes!", "no", "yes"]
+
+
+def test_shared_folder_comes_from_the_session(spark):
+    first, second = (session.shared_folder(StandIn({"spark.checkpoint.dir": "/shared/run/"}), "x") for _ in range(2))
+    assert first.startswith("/shared/run/x-") and first != second
+    assert session.stored(spark.range(3), "numbers").count() == 3
+
+
+class StandIn:
+    """As much of a session on a cluster as the settings need."""
+
+    def __init__(self, settings):
+        self.conf, self.sparkContext = self, self
+        self.get, self.master = settings.get, "spark://host:7077"
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_folder(StandIn({}), "x")
+
+
+def test_broadcast_only_when_counted_small(spark):
+    def hinted(df):
+        return "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    assert hinted(session.broadcast_if_small(spark.range(5), 5))
+    assert not hinted(session.broadcast_if_small(spark.range(6), 5))

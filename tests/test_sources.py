@@ -29,6 +29,15 @@ def test_raw_files_by_name(spark, raw_folder):
         ("myrealtrip", 4.0, "2024.5.3.", "본문 있는 글"), ("myrealtrip", 3.0, None, None)]
 
 
+def test_rows_of_many_files_keep_the_order_of_names(spark, tmp_path):
+    for n in range(5):
+        body = "".join(f"5,2024.05.03,file {n} row {i}{' long' * (n * 7 % 5) * 50}\n" for i in range(20))
+        (tmp_path / f"part-{4 - n}.csv").write_text("rating,date,content\n" + body, encoding="utf-8")
+    got = source.read_raw_csv(spark, str(tmp_path / "*.csv"), "kakaomap").orderBy("ingest_seq").collect()
+    assert [tuple(map(int, r.content.split()[1:4:2])) for r in got] == [(n, i) for n in range(4, -1, -1) for i in range(20)]
+    assert len({r.ingest_seq for r in got}) == 100
+
+
 def test_one_file_of_a_named_site(spark, raw_folder):
     got = source.read_raw_csv(spark, str(raw_folder / "reviews_kakaomap.csv"), "tripdotcom")
     assert {r.site for r in got.collect()} == {"tripdotcom"}
