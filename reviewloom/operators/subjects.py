@@ -32,9 +32,9 @@ def _substrings(text: Column, lengths: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(lengths, of_length)))
 
 
-def first_contained(texts: DataFrame, id_col: str, text_col: str, words: DataFrame, name: str,
-                    literal_words: int | None = None) -> DataFrame:
-    """Lowest ``pos`` among the dictionary words that are substrings of the text.
+def with_first_contained(texts: DataFrame, id_col: str, text_col: str, words: DataFrame, name: str,
+                         literal_words: int | None = None) -> DataFrame:
+    """Add the lowest ``pos`` among the dictionary words that are substrings of the text, NULL if none is.
 
     ``words`` holds unique ``word`` with its ``pos``. A dictionary of up to
     ``LITERAL_WORDS`` is tested in place, without any shuffle. A larger one is
@@ -46,10 +46,10 @@ def first_contained(texts: DataFrame, id_col: str, text_col: str, words: DataFra
     few = words.orderBy("pos", "word").limit(literal_words + 1).collect()
     if len(few) <= literal_words:
         if not few:
-            return texts.select(id_col, F.lit(None).cast("long").alias(name)).filter(F.lit(False))
+            return texts.withColumn(name, F.lit(None).cast("long"))
         tests = F.array(*[F.struct(F.lit(r["word"]).alias("word"), F.lit(r["pos"]).alias("pos")) for r in few])
         held = F.filter(tests, lambda t: F.col(text_col).contains(t["word"]))
-        return texts.select(id_col, F.get(held, F.lit(0))["pos"].alias(name)).filter(F.col(name).isNotNull())
+        return texts.withColumn(name, F.get(held, F.lit(0))["pos"])
     facts = words.agg(F.collect_set(F.length("word")).alias("lengths"), F.count("*").alias("n"),
                       F.min(F.when(F.col("word") == "", F.col("pos"))).alias("empty")).first()
     lengths = [n for n in facts["lengths"] if n > 0]
@@ -57,10 +57,8 @@ def first_contained(texts: DataFrame, id_col: str, text_col: str, words: DataFra
         F.col(text_col), F.array(*[F.lit(n) for n in sorted(lengths)]).cast("array<int>"))).alias("word"))
     side = F.broadcast(words) if facts["n"] <= LOOKUP_ROWS else words
     hits = probes.join(side, "word").groupBy(id_col).agg(F.min("pos").alias(name))
-    if facts["empty"] is None:
-        return hits
-    return texts.select(id_col).join(hits, id_col, "left").select(
-        id_col, F.least(F.col(name), F.lit(facts["empty"])).alias(name))
+    found = texts.join(hits, id_col, "left")
+    return found if facts["empty"] is None else found.withColumn(name, F.least(F.col(name), F.lit(facts["empty"])))
 
 
 def _lowest(rows: DataFrame) -> DataFrame:
@@ -74,18 +72,29 @@ def _names(subjects: DataFrame) -> DataFrame:
 def find_by_name(queries: DataFrame, subjects: DataFrame, id_col: str = "query_id",
                  name_col: str = "name") -> DataFrame:
     """``id_col, pos`` of the first subject in list order whose name equals, contains
-    or is contained in the query's name, ignoring case."""
+    or is contained in the query's name, ignoring case; NULL if there is none."""
+    names = _names(subjects)
     probes = queries.select(id_col, F.lower(name_col).alias("probe"))
-    inside = first_contained(probes, id_col, "probe", _names(subjects), "pos_inside")
+    probes = with_first_contained(probes, id_col, "probe", names, "pos_inside")
 
-    names = _names(subjects)
     every = F.sequence(F.lit(1), F.greatest(F.length("word"), F.lit(1)))
-    around = _lowest(names.select(
-        F.explode(F.concat(F.array(F.lit("")), _substrings(F.col("word"), every))).alias("part"), "pos")
-        .withColumnRenamed("part", "word"))
-    outside = probes.join(around, F.col("probe") == F.col("word")).select(id_col, F.col("pos").alias("pos_around"))
-    return (probes.select(id_col).join(inside, id_col, "left").join(outside, id_col, "left")
-            .select(id_col, F.least("pos_inside", "pos_around").alias("pos")))
+    parts = names.select(F.explode(F.concat(F.array(F.lit("")), _substrings(F.col("word"), every))).alias("part"), "pos")
+    around = parts.groupBy(F.col("part").alias("probe")).agg(F.min("pos").alias("pos_around"))
+    return probes.join(broadcast_if_small(around, LOOKUP_ROWS), "probe", "left").select(
+        id_col, F.least("pos_inside", "pos_around").alias("pos"))
+
+
+def _with_mentioned(messages: DataFrame, subjects: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Messages with the position of the subject they mention, or NULL, as ``named_pos``."""
+    names = _names(subjects)
+    parts = names.select("pos", F.explode(F.concat(F.array("word"), split_words(F.col("word")))).alias("word"))
+    texts = messages.withColumn("__probe", F.lower(F.coalesce(text_col, F.lit(""))))
+    mentioned = with_first_contained(texts, id_col, "__probe", _lowest(parts), "__mentioned")
+    resolved = find_by_name(names.select(F.col("pos").alias("__mentioned"), F.col("word").alias("name")),
+                            subjects, "__mentioned")
+    return mentioned.join(
+        broadcast_if_small(resolved.withColumnRenamed("pos", "named_pos"), LOOKUP_ROWS), "__mentioned", "left",
+    ).select(*messages.columns, "named_pos")
 
 
 def find_mentioned(messages: DataFrame, subjects: DataFrame, id_col: str = "msg_id",
@@ -95,13 +104,8 @@ def find_mentioned(messages: DataFrame, subjects: DataFrame, id_col: str = "msg_
     The first mentioned list entry counts, and its name is then looked up like a
     typed name, so an earlier entry contained in that name takes its place.
     """
-    lowered = subjects.select("pos", F.lower("name").alias("word"))
-    parts = lowered.select("pos", F.explode(F.concat(F.array("word"), split_words(F.col("word")))).alias("word"))
-    texts = messages.select(id_col, F.lower(F.coalesce(text_col, F.lit(""))).alias("probe"))
-    mentioned = first_contained(texts, id_col, "probe", _lowest(parts), "mentioned")
-    listed = subjects.select(F.col("pos").alias("mentioned"), "name")
-    resolved = find_by_name(listed, subjects, "mentioned", "name")
-    return mentioned.join(resolved, "mentioned").select(id_col, "pos")
+    found = _with_mentioned(messages, subjects, id_col, text_col)
+    return found.filter(F.col("named_pos").isNotNull()).select(id_col, F.col("named_pos").alias("pos"))
 
 
 # --- categories -------------------------------------------------------------
@@ -153,8 +157,7 @@ def _holds(word: Column, parts) -> Column:
 def resolve_messages(messages: DataFrame, subjects: DataFrame, id_col: str = "msg_id", text_col: str = "text",
                      categories=CATEGORY_WORDS) -> DataFrame:
     """Detected category, extracted name, found subject and its labels per message."""
-    named = find_mentioned(messages, subjects, id_col, text_col).withColumnRenamed("pos", "named_pos")
-    keyed = messages.join(named, id_col, "left").withColumn(
+    keyed = _with_mentioned(messages, subjects, id_col, text_col).withColumn(
         "__category", detect_category(F.col(text_col), categories))
     # one row per keyword category at most
     first = first_of_category(subjects.filter(F.col("category").isin(*[c for c, _ in categories])))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -35,6 +37,23 @@ def build_session(app_name: str = "reviewloom", master: str | None = None,
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's source to the Python workers, once per Spark context.
+
+    Needed where it was neither installed on the executors nor named in
+    ``--py-files``; Spark's own file distribution carries it.
+    """
+    context = spark.sparkContext
+    if any(name.startswith("reviewloom") for name in getattr(context, "_python_includes", [])):
+        return
+    home = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="reviewloom-source-")) / "reviewloom.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(home.rglob("*.py")):
+            out.write(source, source.relative_to(home.parent))
+    context.addPyFile(str(archive))
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder below ``spark.checkpoint.dir`` that every executor can reach.
 

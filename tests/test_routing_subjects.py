@@ -116,8 +116,8 @@ def test_shuffled_dictionary(spark, monkeypatch, limit):
     monkeypatch.setattr(subjects, "LOOKUP_ROWS", 0)
     texts = spark.createDataFrame([(1, "xxabyy"), (2, "ab"), (3, "q")], "id int, t string")
     words = spark.createDataFrame([("ab", 5), ("xab", 7), ("y", 3)], "word string, pos long")
-    got = subjects.first_contained(texts, "id", "t", words, "found", limit)
-    assert {r.id: r.found for r in got.collect()} == {1: 3, 2: 5}
+    got = subjects.with_first_contained(texts, "id", "t", words, "found", limit)
+    assert {r.id: r.found for r in got.collect()} == {1: 3, 2: 5, 3: None}
 
 
 def test_categories_and_outcomes(spark):
