@@ -87,111 +87,120 @@ PAGE_RULES = Rules("<html", Match("html"), {
 
 
 # --- one page ---------------------------------------------------------------
-class _Node:
-    __slots__ = ("tag", "attrs", "parent", "children")
-
-    def __init__(self, tag="", attrs=(), parent=None):
-        self.tag, self.attrs, self.parent, self.children = tag, dict(attrs), parent, []
-
-    def elements(self) -> Iterator["_Node"]:
-        """Descendant elements in document order; pages may nest deeply, so no recursion."""
-        waiting = [c for c in reversed(self.children) if isinstance(c, _Node)]
-        while waiting:
-            node = waiting.pop()
-            yield node
-            waiting.extend(c for c in reversed(node.children) if isinstance(c, _Node))
-
-    def texts(self) -> Iterator[str]:
-        waiting = list(reversed(self.children))
-        while waiting:
-            child = waiting.pop()
-            if isinstance(child, str):
-                yield child
-            elif child.tag not in _HIDDEN:
-                waiting.extend(reversed(child.children))
+class _Element:
+    """An element; its descendants and texts are spans of the page's two lists."""
+
+    __slots__ = ("tag", "attrs", "parent", "hidden", "inner", "after", "text", "text_after")
+
+    def __init__(self, tag, attrs, parent, inner, text):
+        self.tag, self.attrs, self.parent = tag, dict(attrs), parent
+        self.hidden = tag in _HIDDEN or (parent is not None and parent.hidden)
+        self.inner, self.text = inner, text
+        self.after = self.text_after = None
 
     def passes(self, m: Match) -> bool:
         if m.tag and self.tag != m.tag:
             return False
-        names = (self.attrs.get("class") or "").split()
-        if m.classes and not set(m.classes) <= set(names):
-            return False
-        if m.class_text and " ".join(names) != m.class_text:
-            return False
+        if m.classes or m.class_text:
+            names = (self.attrs.get("class") or "").split()
+            if not set(m.classes) <= set(names) or (m.class_text and " ".join(names) != m.class_text):
+                return False
         if m.attr and self.attrs.get(m.attr[0]) != m.attr[1]:
             return False
         return m.parent is None or (self.parent is not None and self.parent.passes(m.parent))
 
-    def all(self, m: Match) -> Iterator["_Node"]:
-        return (n for n in self.elements() if n.passes(m))
 
+class _Page(HTMLParser):
+    """All elements and visible texts of a page in document order."""
 
-class _Tree(HTMLParser):
-    def __init__(self):
+    def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = _Node()
+        self.elements, self.texts, self.in_text = [], [], False
+        self.root = _Element("", (), None, 0, 0)
+        self.open = [self.root]
+        self.feed(html)
+        self.close()
+        self._leave(0)
+
+    def _enter(self, tag, attrs):
+        self.in_text = False
+        element = _Element(tag, attrs, self.open[-1], len(self.elements) + 1, len(self.texts))
+        self.elements.append(element)
+        return element
+
+    def _leave(self, depth):
+        self.in_text = False
+        for element in self.open[depth:]:
+            element.after, element.text_after = len(self.elements), len(self.texts)
+        del self.open[depth:]
 
     def handle_starttag(self, tag, attrs):
-        node = _Node(tag, attrs, self.at)
-        self.at.children.append(node)
-        if tag not in _VOID:
-            self.at = node
+        element = self._enter(tag, attrs)
+        self.open.append(element)
+        if tag in _VOID:
+            self._leave(len(self.open) - 1)
 
     def handle_startendtag(self, tag, attrs):
-        self.at.children.append(_Node(tag, attrs, self.at))
+        self.open.append(self._enter(tag, attrs))
+        self._leave(len(self.open) - 1)
 
     def handle_endtag(self, tag):
-        node = self.at
-        while node is not self.root and node.tag != tag:
-            node = node.parent
-        if node is not self.root:
-            self.at = node.parent
+        depth = next((d for d in range(len(self.open) - 1, 0, -1) if self.open[d].tag == tag), 0)
+        if depth:
+            self._leave(depth)
 
     def handle_data(self, data):
-        if self.at.children and isinstance(self.at.children[-1], str):
-            self.at.children[-1] += data
+        if self.open[-1].hidden:
+            return
+        if self.in_text:
+            self.texts[-1] += data
         else:
-            self.at.children.append(data)
-
-
-def _follow(item: _Node, field_: Field) -> _Node | None:
-    for path in field_.paths:
-        node = next(item.all(path[0]), None)
-        if node is None:
-            continue
-        for step in path[1:]:
-            node = next(node.all(step), None) if node is not None else None
-        return node
-    return None if field_.paths else item
-
-
-def _passes_inside(node: _Node, holds: Match | None) -> bool:
-    if holds is None:
-        return True
-    first = next(node.all(Match(holds.tag)), None)
-    return first is not None and first.passes(holds)
-
-
-def _read(item: _Node, field_: Field) -> str | None:
-    node = _follow(item, field_)
-    if node is None:
-        return field_.default
-    if field_.kind == "count":
-        return str(sum(_passes_inside(n, field_.holds) for n in node.all(field_.each)))
-    if field_.kind == "text":
-        return "".join(node.texts()).strip()
-    pieces = [t.strip() for t in node.texts() if t.strip()]
-    if field_.kind == "last":
-        return pieces[-1] if pieces else ""
-    return "\n".join(pieces)
+            self.texts.append(data)
+            self.in_text = True
+
+    def handle_comment(self, data):
+        self.in_text = False
+
+    def all(self, element: _Element, m: Match) -> Iterator[_Element]:
+        return (e for e in self.elements[element.inner:element.after] if e.passes(m))
+
+    def first(self, element: _Element | None, m: Match) -> _Element | None:
+        return None if element is None else next(self.all(element, m), None)
+
+    def follow(self, item: _Element, rule: Field) -> _Element | None:
+        for path in rule.paths:
+            element = self.first(item, path[0])
+            if element is not None:
+                for step in path[1:]:
+                    element = self.first(element, step)
+                return element
+        return None if rule.paths else item
+
+    def counts(self, element: _Element, holds: Match | None) -> bool:
+        if holds is None:
+            return True
+        inside = self.first(element, Match(holds.tag))
+        return inside is not None and inside.passes(holds)
+
+    def read(self, item: _Element, rule: Field) -> str | None:
+        element = self.follow(item, rule)
+        if element is None:
+            return rule.default
+        if rule.kind == "count":
+            return str(sum(self.counts(e, rule.holds) for e in self.all(element, rule.each)))
+        texts = self.texts[element.text:element.text_after]
+        if rule.kind == "text":
+            return "".join(texts).strip()
+        pieces = [t.strip() for t in texts if t.strip()]
+        if rule.kind == "last":
+            return pieces[-1] if pieces else ""
+        return "\n".join(pieces)
 
 
 def read_page(html: str, rules: Rules) -> list[dict[str, str | None]]:
     """The items of one page as dictionaries of texts."""
-    tree = _Tree()
-    tree.feed(html)
-    tree.close()
-    return [{name: _read(item, f) for name, f in rules.fields.items()} for item in tree.root.all(rules.item)]
+    page = _Page(html)
+    return [{name: page.read(item, f) for name, f in rules.fields.items()} for item in page.all(page.root, rules.item)]
 
 
 # --- page tables ------------------------------------------------------------

@@ -11,8 +11,8 @@ from reviewloom.functions.text import split_words
 from reviewloom.operators import conversations, embed, knn, retrieval, wordpiece
 from reviewloom.plans import answering, derived
 from reviewloom.plans.chat_queries import MARKDOWN, keyword_case, quoted, resolve_sql, subject_prompt
-from reviewloom.plans.oracle_parts import (CLEAN, CONTENTS, MENTIONS, SELECTED, TOP10, TURNS, USER_MESSAGES, hashed,
-                                           selected, trimmed)
+from reviewloom.plans.oracle_parts import (CLEAN, CONTENTS, MENTIONS, PAIRS, SELECTED, TOP10, TURNS, USER_MESSAGES,
+                                           hashed, selected, trimmed, words)
 from reviewloom.session import shared_folder, stored
 from reviewloom.sources.tables import load_index, table
 
@@ -216,7 +216,40 @@ _TEMPLATE = PROMPT_REVIEW.replace("'", "''")
 _HEAD, _REST = _TEMPLATE.split("{context}")
 _MIDDLE, _TAIL = _REST.split("{question}")
 
+
+
+def _diverse_sql(k: int) -> str:
+    """The greedy selection, one step per common table."""
+    dot = "round(list_dot_product(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 6)"
+    steps = f"""cand AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 25),
+        near AS (SELECT a.query_id, a.vec_id, b.vec_id AS other, {dot} AS s FROM cand a JOIN cand b USING (query_id)
+          JOIN embeddings x ON x.vec_id = a.vec_id JOIN embeddings y ON y.vec_id = b.vec_id),
+        chosen1 AS (SELECT query_id, vec_id, score, 1 AS rank FROM cand
+          QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) = 1)"""
+    for n in range(2, k + 1):
+        steps += f""",
+        value{n} AS (SELECT c.query_id, c.vec_id, c.score, round(0.5 * c.score - 0.5 * max(n.s), 6) AS value
+          FROM cand c JOIN near n USING (query_id, vec_id) JOIN chosen{n - 1} o ON o.query_id = n.query_id AND o.vec_id = n.other
+          WHERE (c.query_id, c.vec_id) NOT IN (SELECT (query_id, vec_id) FROM chosen{n - 1})
+          GROUP BY c.query_id, c.vec_id, c.score),
+        chosen{n} AS (SELECT * FROM chosen{n - 1} UNION ALL SELECT query_id, vec_id, score, {n} FROM value{n}
+          QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY value DESC, vec_id) = 1)"""
+    return f"WITH {PAIRS}, {steps} SELECT query_id, vec_id, score, CAST(rank AS BIGINT) AS rank FROM chosen{k}"
+
+
 SQL = {
+    "mmr_select": _diverse_sql(5),
+    # every character is a piece, so a word is its longest known beginning and then single characters
+    "wordpiece_reviews": f"""WITH {CLEAN}, whole AS (SELECT DISTINCT unnest({words('text')}) AS piece FROM benchmark),
+        toks AS (SELECT ingest_seq, unnest(range(1, len(w) + 1)) AS place, unnest(w) AS word
+          FROM (SELECT ingest_seq, {words("replace(content, '_', ' _ ')")} AS w FROM clean)),
+        starts AS (SELECT word, unnest(range(1, length(word) + 1)) AS n FROM (SELECT DISTINCT word FROM toks)),
+        longest AS (SELECT word, max(n) AS n FROM starts LEFT JOIN whole ON piece = substr(word, 1, n)
+          WHERE n = 1 OR piece IS NOT NULL GROUP BY word),
+        cut AS (SELECT word, CASE WHEN length(word) > 100 THEN ['[UNK]'] ELSE list_concat([substr(word, 1, n)],
+          list_transform(range(n + 1, length(word) + 1), lambda i: '##' || substr(word, i, 1))) END AS pieces FROM longest)
+        SELECT ingest_seq, array_to_string(list_slice(flatten(list(pieces ORDER BY place)), 1, 250), ' ') AS pieces
+        FROM toks JOIN cut USING (word) GROUP BY ingest_seq""",
     "knn_top10": _KNN,
     "knn_blockwise": _KNN,
     "knn_label_profiles": """WITH parts AS (SELECT label, unnest(range(1, len(embedding) + 1)) AS place, unnest(embedding)::DOUBLE AS x FROM embeddings),

@@ -22,17 +22,18 @@ def _pair(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iter
     batches; the messages of a batch are ordered by turn here.
     """
     pairs, is_open = state.get if state.exists else (0, False)
-    new = pd.concat(list(chunks)).sort_values("turn")
-    is_user = (new["role"] == "user").to_numpy()
-    text = new["text"].fillna("")
-    leaves_open = is_user | (text == "").to_numpy()
-    was_open = [is_open, *leaves_open[:-1]]
-    opens = is_user | ~pd.Series(was_open, dtype=bool).to_numpy()
-    numbers = pairs + opens.cumsum()
-    state.update((int(numbers[-1]), bool(leaves_open[-1])))
+    messages = sorted(
+        row for chunk in chunks for row in zip(chunk["turn"], chunk["role"] == "user", chunk["text"].fillna("")))
+    numbers = []
+    for _, is_user, text in messages:
+        pairs += is_user or not is_open
+        is_open = is_user or text == ""
+        numbers.append(pairs)
+    state.update((int(pairs), bool(is_open)))
     yield pd.DataFrame({
         "conv_id": key[0], "pair_no": numbers,
-        "user": text.where(is_user, ""), "assistant": text.where(~is_user, "")})
+        "user": [text if is_user else "" for _, is_user, text in messages],
+        "assistant": ["" if is_user else text for _, is_user, text in messages]})
 
 
 def start_pairing(messages: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
