@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from reviewloom.fixed_values import HISTORY_TURNS
 from reviewloom.operators.ordered import RANGE_WIDTH
@@ -17,45 +17,50 @@ def pair_turns(messages: DataFrame, width: int = RANGE_WIDTH) -> DataFrame:
     open, and otherwise opens one without a user text. A pair is open until it
     holds an assistant text that is not empty. Other roles are ignored.
     """
-    kept = messages.filter(F.col("role").isin(*_ROLES)).select(
-        "conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
-    is_user = F.col("role") == "user"
-    leaves_open = is_user | (F.col("text") == "")
-    numbered = _number_pairs(kept, is_user, leaves_open, width)
-    return merge_fragments(numbered.select(
-        "conv_id", "pair_no",
-        F.when(is_user, F.col("text")).otherwise("").alias("user"),
-        F.when(is_user, "").otherwise(F.col("text")).alias("assistant")))
+    return merge_fragments(number_messages(messages, width=width))
+
 
+def number_messages(messages: DataFrame, before: DataFrame | None = None, width: int = RANGE_WIDTH) -> DataFrame:
+    """Each message as its part of a pair: ``conv_id, turn, pair_no, user, assistant``.
 
-def _number_pairs(rows: DataFrame, is_user: Column, leaves_open: Column, width: int) -> DataFrame:
-    """Number of the pair each message belongs to, counted from 1 per conversation.
+    ``before`` holds what earlier messages left behind, as ``conv_id, pairs,
+    is_open``; it takes part as a message at turn -1.
 
     A conversation may be longer than one task should hold, so it is cut into
     ranges of turns. Inside a range only its first message lacks a predecessor;
     one summary row per range settles that message and the count so far.
     """
-    cut = rows.withColumn("range", F.floor(F.col("turn") / F.lit(width)))
+    is_user = F.col("role") == "user"
+    rows = messages.filter(F.col("role").isin(*_ROLES)).select(
+        "conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("leaves_open", is_user | (F.col("text") == "")).withColumn("pairs", F.lit(None).cast("long"))
+    if before is not None:
+        rows = rows.unionByName(before.select(
+            "conv_id", F.lit(-1).cast("long").alias("turn"), F.lit("before").alias("role"), F.lit("").alias("text"),
+            F.col("is_open").alias("leaves_open"), "pairs"))
+
     inside = Window.partitionBy("conv_id", "range").orderBy("turn")
-    seen = cut.withColumn("was_open", F.lag(leaves_open).over(inside))
-    # 1 opens a pair, 0 does not, NULL: an assistant message that begins a range
-    seen = seen.withColumn("opens", F.when(is_user, 1).otherwise((~F.col("was_open")).cast("int")))
+    seen = rows.withColumn("range", F.floor(F.col("turn") / F.lit(width))).withColumn(
+        "was_open", F.lag("leaves_open").over(inside))
+    # pairs opened here; NULL for an assistant message that begins a range
+    seen = seen.withColumn("opens", F.coalesce("pairs", F.when(is_user, 1).otherwise((~F.col("was_open")).cast("int"))))
 
     ranges = seen.groupBy("conv_id", "range").agg(
         F.sum("opens").alias("n"), F.max(F.col("opens").isNull()).alias("unsettled"),
-        F.max_by(leaves_open, "turn").alias("ends_open"))
+        F.max_by("leaves_open", "turn").alias("ends_open"))
     earlier = Window.partitionBy("conv_id").orderBy("range")
     settled = ranges.withColumn(
-        "first_opens",
-        (F.col("unsettled") & ~F.lag("ends_open", 1, False).over(earlier)).cast("int"))
-    before = earlier.rowsBetween(Window.unboundedPreceding, -1)
+        "first_opens", (F.col("unsettled") & ~F.lag("ends_open", 1, False).over(earlier)).cast("int"))
+    all_before = earlier.rowsBetween(Window.unboundedPreceding, -1)
     offsets = settled.select(
         "conv_id", "range", "first_opens",
-        F.coalesce(F.sum(F.coalesce("n", F.lit(0)) + F.col("first_opens")).over(before), F.lit(0)).alias("offset"))
+        F.coalesce(F.sum(F.coalesce("n", F.lit(0)) + F.col("first_opens")).over(all_before), F.lit(0)).alias("offset"))
 
     counted = seen.withColumn("local_no", F.coalesce(F.sum("opens").over(inside), F.lit(0)))
-    return counted.join(offsets, ["conv_id", "range"]).withColumn(
-        "pair_no", F.col("offset") + F.col("first_opens") + F.col("local_no"))
+    return counted.join(offsets, ["conv_id", "range"]).filter(F.col("role") != "before").select(
+        "conv_id", "turn", (F.col("offset") + F.col("first_opens") + F.col("local_no")).alias("pair_no"),
+        F.when(is_user, F.col("text")).otherwise("").alias("user"),
+        F.when(is_user, "").otherwise(F.col("text")).alias("assistant"))
 
 
 def merge_fragments(fragments: DataFrame) -> DataFrame:

@@ -101,17 +101,25 @@ def stream_clean_incremental(spark, folder):
     return review_queries.shown(read_clean(spark, sink))
 
 
-def stream_turn_state(spark, folder):
+def _streamed_pairs(start, spark: SparkSession, folder: str) -> DataFrame:
     sink, checkpoint = shared_folder(spark, "pair-sink"), shared_folder(spark, "pair-progress")
     stream = stream_messages(spark, f"{folder}/conversations*.parquet")
-    turn_stream.start_pairing(stream, sink, checkpoint).awaitTermination()
+    start(stream, sink, checkpoint).awaitTermination()
     return turn_stream.read_pairs(spark, sink)
 
 
+def stream_turn_state(spark, folder):
+    return _streamed_pairs(turn_stream.start_pairing, spark, folder)
+
+
+def stream_live_turns(spark, folder):
+    return _streamed_pairs(turn_stream.start_live_pairing, spark, folder)
+
+
 QUERIES = {f.__name__: f for f in (
     lookup_users, match_status, insert_absent, insert_absent_status, upsert_users, update_present,
     update_present_status, delete_present, delete_present_status, apply_changes, apply_changes_outcomes, page_items,
-    extract_first_site, extract_second_site, extract_third_site, stream_clean_incremental, stream_turn_state)}
+    extract_first_site, extract_second_site, extract_third_site, stream_clean_incremental, stream_turn_state, stream_live_turns)}
 
 _DAY = "DATE '2021-06-01' + CAST(doc_id % 1600 AS INTEGER)"
 _LINES = "all_lines AS (SELECT doc_id, unnest(str_split(text, chr(10))) AS line, unnest(range(0, len(str_split(text, chr(10))))) AS item_no FROM documents)"
@@ -176,4 +184,5 @@ SQL = {
         FROM all_lines WHERE doc_id % 13 <> 0""",
     "stream_clean_incremental": review_queries.SQL["clean_reviews"],
     "stream_turn_state": chat_queries.SQL["turn_pairs"],
+    "stream_live_turns": chat_queries.SQL["turn_pairs"],
 }

@@ -1,26 +1,60 @@
-"""Conversation state: message events to paired turns."""
+"""Conversation state: message events to paired turns.
+
+``start_pairing`` suits backlogs: a micro-batch of any size runs through the
+batch operator, which spreads a long conversation over many tasks.
+``start_live_pairing`` suits small, frequent micro-batches: Spark's state store
+keeps two numbers per conversation and only conversations with new messages are
+touched.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from reviewloom.operators.conversations import merge_fragments
+from reviewloom.operators.conversations import merge_fragments, number_messages
+from reviewloom.operators.ordered import RANGE_WIDTH
 
-_FRAGMENT = "conv_id long, pair_no long, user string, assistant string"
+_PARTS = "conv_id long, turn long, pair_no long, user string, assistant string"
+_BEFORE = "conv_id long, pairs long, is_open boolean"
 _STATE = "pairs long, is_open boolean"
 
 
-def _pair(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Number this micro-batch's messages of one conversation after the stored pair count.
+def _before(spark: SparkSession, sink: str, batch_id: int) -> DataFrame:
+    """What all micro-batches before this one left behind, one narrow row per conversation."""
+    if batch_id == 0:
+        return spark.createDataFrame([], _BEFORE)
+    return spark.read.schema(_BEFORE).parquet(f"{sink}/state/slot={(batch_id - 1) % 2}")
+
 
-    Only the pair count and whether the last pair is open are kept between
-    batches; the messages of a batch are ordered by turn here.
+def start_pairing(messages: DataFrame, sink: str, checkpoint: str, width: int = RANGE_WIDTH) -> StreamingQuery:
+    """Pair the messages that have arrived, then stop; later starts go on from there.
+
+    ``messages`` streams ``conv_id, turn, role, text``. A micro-batch writes its
+    own folder and one of two alternating state folders, so running it again
+    after a failure finds the same state and replaces what it wrote.
     """
+    def pair(batch: DataFrame, batch_id: int) -> None:
+        spark, path = batch.sparkSession, f"{sink}/parts/batch={batch_id}"
+        before = _before(spark, sink, batch_id)
+        number_messages(batch, before, width).write.mode("overwrite").parquet(path)
+        ends = spark.read.schema(_PARTS).parquet(path).select(
+            "conv_id", "turn", "pair_no", (F.col("assistant") == "").alias("is_open"))
+        ends = ends.unionByName(before.select(
+            "conv_id", F.lit(-1).cast("long").alias("turn"), F.col("pairs").alias("pair_no"), "is_open"))
+        (ends.groupBy("conv_id").agg(F.max("pair_no").alias("pairs"), F.max_by("is_open", "turn").alias("is_open"))
+         .write.mode("overwrite").parquet(f"{sink}/state/slot={batch_id % 2}"))
+
+    return (messages.writeStream.option("checkpointLocation", checkpoint)
+            .foreachBatch(pair).trigger(availableNow=True).start())
+
+
+def _pair(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Number this micro-batch's messages of one conversation after the stored pair count."""
     pairs, is_open = state.get if state.exists else (0, False)
     messages = sorted(
         row for chunk in chunks for row in zip(chunk["turn"], chunk["role"] == "user", chunk["text"].fillna("")))
@@ -31,28 +65,24 @@ def _pair(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iter
         numbers.append(pairs)
     state.update((int(pairs), bool(is_open)))
     yield pd.DataFrame({
-        "conv_id": key[0], "pair_no": numbers,
+        "conv_id": key[0], "turn": [turn for turn, _, _ in messages], "pair_no": numbers,
         "user": [text if is_user else "" for _, is_user, text in messages],
         "assistant": ["" if is_user else text for _, is_user, text in messages]})
 
 
-def start_pairing(messages: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
-    """Pair the messages that have arrived, then stop; later starts go on from the state.
-
-    ``messages`` streams ``conv_id, turn, role, text``. Bound the size of a
-    micro-batch at its source (``maxFilesPerTrigger``): within one, a
-    conversation is ordered in one task. A pair that spans micro-batches is
-    written in parts; ``read_pairs`` puts them together.
-    """
+def start_live_pairing(messages: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
+    """The same with keyed state. One conversation's messages of a micro-batch are
+    ordered in one task, so bound the micro-batch at its source (``stream_messages`` does)."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{sink}/parts/batch={batch_id}")
 
     kept = messages.filter(messages["role"].isin("user", "assistant"))
-    fragments = kept.groupBy("conv_id").applyInPandasWithState(
-        _pair, _FRAGMENT, _STATE, "append", GroupStateTimeout.NoTimeout)
-    return (fragments.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+    parts = kept.groupBy("conv_id").applyInPandasWithState(
+        _pair, _PARTS, _STATE, "append", GroupStateTimeout.NoTimeout)
+    return (parts.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
             .foreachBatch(write).trigger(availableNow=True).start())
 
 
 def read_pairs(spark: SparkSession, sink: str) -> DataFrame:
-    return merge_fragments(spark.read.schema(_FRAGMENT).parquet(sink))
+    """All pairs so far; a pair that spans micro-batches is put together here."""
+    return merge_fragments(spark.read.schema(_PARTS).parquet(f"{sink}/parts"))

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from reviewloom.operators import cleaning
 from reviewloom.operators.conversations import pair_turns
 from reviewloom.schemas import MESSAGES
@@ -34,14 +36,19 @@ def test_a_batch_that_runs_again_leaves_no_second_copy(spark, tmp_path):
     assert read_clean(spark, sink).count() == 1
 
 
-def test_pairing_in_batches_equals_one_batch(spark, tmp_path):
+def start_in_short_ranges(stream, sink, progress):
+    return turn_stream.start_pairing(stream, sink, progress, width=3)
+
+
+@pytest.mark.parametrize("start", [turn_stream.start_pairing, start_in_short_ranges, turn_stream.start_live_pairing])
+def test_pairing_in_batches_equals_one_batch(spark, tmp_path, start):
     rnd = random.Random(8)
     rows = [(c, t, rnd.choice(["user", "assistant", "assistant", "system"]), rnd.choice(["", "x", "y", None]))
             for t in range(24) for c in range(12)]
     source, sink, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
-    for start in range(0, len(rows), 60):
-        spark.createDataFrame(rows[start:start + 60], MESSAGES).coalesce(1).write.mode("append").parquet(source)
+    for first in range(0, len(rows), 60):
+        spark.createDataFrame(rows[first:first + 60], MESSAGES).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(MESSAGES).option("maxFilesPerTrigger", 1).parquet(source)
-        turn_stream.start_pairing(stream, sink, progress).awaitTermination()
+        start(stream, sink, progress).awaitTermination()
     whole = pair_turns(spark.createDataFrame(rows, MESSAGES))
     assert sorted(map(tuple, turn_stream.read_pairs(spark, sink).collect())) == sorted(map(tuple, whole.collect()))
