@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
 HASH_DIM = 64
@@ -48,11 +48,15 @@ def embed(df: DataFrame, text_col: str,
                           + [T.StructField(name, T.ArrayType(T.FloatType()))])
     columns = [f.name for f in schema.fields if f.name != name]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         embedder = make_embedder()
         for batch in batches:
-            if len(batch):
-                vectors = unit_rows(np.asarray(embedder(batch[text_col].fillna("").tolist()), dtype="float32"))
-                yield batch[columns].assign(**{name: list(vectors)})
-
-    return df.mapInPandas(run, schema)
+            if not len(batch):
+                continue
+            texts = [text or "" for text in batch[text_col].to_pylist()]
+            vectors = unit_rows(np.asarray(embedder(texts), dtype="float32"))
+            ends = np.arange(len(batch) + 1, dtype="int32") * vectors.shape[1]
+            lists = pa.ListArray.from_arrays(ends, vectors.ravel())
+            yield pa.RecordBatch.from_arrays([batch[c] for c in columns] + [lists], [*columns, name])
+
+    return df.mapInArrow(run, schema)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from reviewloom.fixed_values import SEARCH_K
@@ -20,13 +20,24 @@ from reviewloom.functions.vectors import SCORE_DECIMALS
 QUERY_BYTES = 64 * 1024 * 1024
 QUERY_TILE = 256
 VECTOR_TILE = 8192
+ROUNDING_MARGIN = 2 * 10.0 ** -SCORE_DECIMALS
 QUERY_BLOCK = 4096
 VECTOR_BLOCK = 65536
 _HITS = "query_id long, vec_id long, score double"
 
 
-def _matrix(column) -> np.ndarray:
-    return np.vstack(column.to_numpy()).astype("float64")
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A column of equally long lists as a matrix, without a Python object per row."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    rows = len(column)
+    return column.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(rows, -1)
+
+
+def _ids(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.to_numpy(zero_copy_only=False).astype("int64")
 
 
 class _TopK:
@@ -45,15 +56,16 @@ class _TopK:
                 self._add_tile(number, tile, vec_ids[piece], vectors[piece])
 
     def _add_tile(self, number: int, tile: slice, vec_ids: np.ndarray, vectors: np.ndarray) -> None:
-        scores = np.round(self.queries[tile] @ vectors.T, SCORE_DECIMALS) + 0.0
+        scores = self.queries[tile] @ vectors.T
         cut = self.floor[tile]
-        if scores.shape[1] > self.k:
+        if np.isneginf(cut).any() and scores.shape[1] > self.k:
             cut = np.maximum(cut, np.partition(scores, -self.k, axis=1)[:, -self.k])
-        row, col = np.nonzero(scores >= cut[:, None])
+        # the margin keeps every score that rounds up to the cut; only those kept are rounded
+        row, col = np.nonzero(scores >= cut[:, None] - ROUNDING_MARGIN)
         old_row, old_ids, old_score = self.kept[number]
+        score = np.concatenate([old_score, np.round(scores[row, col], SCORE_DECIMALS) + 0.0])
         row = np.concatenate([old_row, row])
         ids = np.concatenate([old_ids, vec_ids[col]])
-        score = np.concatenate([old_score, scores[row[len(old_row):], col]])
         order = np.lexsort((ids, -score, row))
         row, ids, score = row[order], ids[order], score[order]
         at = np.arange(len(row))
@@ -63,13 +75,13 @@ class _TopK:
         full = place == self.k - 1
         self.floor[tile.start + row[full]] = score[full]
 
-    def frame(self) -> pd.DataFrame:
+    def hits(self) -> pa.Table:
         parts = [(self.query_ids[tile][row], ids, score)
                  for tile, (row, ids, score) in zip(self.tiles, self.kept)]
         if not parts:
             parts = [(np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0))]
         query, ids, score = (np.concatenate(p) for p in zip(*parts))
-        return pd.DataFrame({"query_id": query, "vec_id": ids, "score": score})
+        return pa.table({"query_id": query, "vec_id": ids, "score": score})
 
 
 def _few_queries(queries: DataFrame, broadcast_bytes: int) -> tuple[np.ndarray, np.ndarray] | None:
@@ -78,10 +90,10 @@ def _few_queries(queries: DataFrame, broadcast_bytes: int) -> tuple[np.ndarray,
     if head is None:
         return np.empty(0, "int64"), np.empty((0, 1))
     limit = broadcast_bytes // (8 * max(1, head["dim"]))
-    rows = queries.select("query_id", "embedding").limit(limit + 1).toPandas()
+    rows = queries.select("query_id", "embedding").limit(limit + 1).toArrow()
     if len(rows) > limit:
         return None
-    return rows["query_id"].to_numpy("int64"), _matrix(rows["embedding"])
+    return _ids(rows["query_id"]), _matrix(rows["embedding"])
 
 
 def local_top_k(vectors: DataFrame, queries: DataFrame, k: int, broadcast_bytes: int = QUERY_BYTES) -> DataFrame:
@@ -91,14 +103,14 @@ def local_top_k(vectors: DataFrame, queries: DataFrame, k: int, broadcast_bytes:
         return _blockwise_top_k(vectors, queries, k)
     shared = vectors.sparkSession.sparkContext.broadcast(matrix)
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = _TopK(*shared.value, k)
         for batch in batches:
             if len(batch) and len(best.query_ids):
-                best.add(batch["vec_id"].to_numpy("int64"), _matrix(batch["embedding"]))
-        yield best.frame()
+                best.add(_ids(batch["vec_id"]), _matrix(batch["embedding"]))
+        yield from best.hits().to_batches()
 
-    return vectors.select("vec_id", "embedding").mapInPandas(search, _HITS)
+    return vectors.select("vec_id", "embedding").mapInArrow(search, _HITS)
 
 
 def _blockwise_top_k(vectors: DataFrame, queries: DataFrame, k: int,
@@ -114,16 +126,15 @@ def _blockwise_top_k(vectors: DataFrame, queries: DataFrame, k: int,
         "query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).alias("q_block"),
         F.explode(F.sequence(F.lit(0), F.lit(n_v - 1)).cast("array<long>")).alias("v_block"))
 
-    def search(block: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFrame:
+    def search(block: pa.Table, batch: pa.Table) -> pa.Table:
         if not len(block) or not len(batch):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype(
-                {"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        best = _TopK(batch["query_id"].to_numpy("int64"), _matrix(batch["embedding"]), k)
-        best.add(block["vec_id"].to_numpy("int64"), _matrix(block["embedding"]))
-        return best.frame()
+            return _TopK(np.empty(0, "int64"), np.empty((0, 1)), k).hits()
+        best = _TopK(_ids(batch["query_id"]), _matrix(batch["embedding"]), k)
+        best.add(_ids(block["vec_id"]), _matrix(block["embedding"]))
+        return best.hits()
 
     key = ["v_block", "q_block"]
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(search, _HITS)
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(search, _HITS)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = SEARCH_K, skip_self: bool = False,

@@ -38,19 +38,22 @@ def start_pairing(messages: DataFrame, sink: str, checkpoint: str, width: int =
     own folder and one of two alternating state folders, so running it again
     after a failure finds the same state and replaces what it wrote.
     """
-    def pair(batch: DataFrame, batch_id: int) -> None:
-        spark, path = batch.sparkSession, f"{sink}/parts/batch={batch_id}"
-        before = _before(spark, sink, batch_id)
-        number_messages(batch, before, width).write.mode("overwrite").parquet(path)
-        ends = spark.read.schema(_PARTS).parquet(path).select(
-            "conv_id", "turn", "pair_no", (F.col("assistant") == "").alias("is_open"))
-        ends = ends.unionByName(before.select(
-            "conv_id", F.lit(-1).cast("long").alias("turn"), F.col("pairs").alias("pair_no"), "is_open"))
-        (ends.groupBy("conv_id").agg(F.max("pair_no").alias("pairs"), F.max_by("is_open", "turn").alias("is_open"))
-         .write.mode("overwrite").parquet(f"{sink}/state/slot={batch_id % 2}"))
-
     return (messages.writeStream.option("checkpointLocation", checkpoint)
-            .foreachBatch(pair).trigger(availableNow=True).start())
+            .foreachBatch(lambda batch, batch_id: pair_batch(batch, batch_id, sink, width))
+            .trigger(availableNow=True).start())
+
+
+def pair_batch(batch: DataFrame, batch_id: int, sink: str, width: int = RANGE_WIDTH) -> None:
+    """Write one micro-batch's parts of pairs and the state after it."""
+    spark, path = batch.sparkSession, f"{sink}/parts/batch={batch_id}"
+    before = _before(spark, sink, batch_id)
+    number_messages(batch, before, width).write.mode("overwrite").parquet(path)
+    ends = spark.read.schema(_PARTS).parquet(path).select(
+        "conv_id", "turn", "pair_no", (F.col("assistant") == "").alias("is_open"))
+    ends = ends.unionByName(before.select(
+        "conv_id", F.lit(-1).cast("long").alias("turn"), F.col("pairs").alias("pair_no"), "is_open"))
+    (ends.groupBy("conv_id").agg(F.max("pair_no").alias("pairs"), F.max_by("is_open", "turn").alias("is_open"))
+     .write.mode("overwrite").parquet(f"{sink}/state/slot={batch_id % 2}"))
 
 
 def _pair(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

@@ -52,3 +52,15 @@ def test_pairing_in_batches_equals_one_batch(spark, tmp_path, start):
         start(stream, sink, progress).awaitTermination()
     whole = pair_turns(spark.createDataFrame(rows, MESSAGES))
     assert sorted(map(tuple, turn_stream.read_pairs(spark, sink).collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_a_repeated_micro_batch_changes_nothing(spark, tmp_path):
+    sink = str(tmp_path / "out")
+    batches = [[(1, 0, "user", "a"), (2, 0, "assistant", "")], [(1, 1, "assistant", "b"), (2, 1, "assistant", "c")],
+               [(1, 2, "assistant", "d"), (3, 0, "user", "e")]]
+    for number, rows in enumerate(batches):
+        for _ in range(2):
+            turn_stream.pair_batch(spark.createDataFrame(rows, MESSAGES), number, sink)
+    whole = pair_turns(spark.createDataFrame([r for b in batches for r in b], MESSAGES))
+    got = sorted(map(tuple, turn_stream.read_pairs(spark, sink).collect()))
+    assert got == sorted(map(tuple, whole.collect())) == [(1, 1, "a", "b"), (1, 2, "", "d"), (2, 1, "", "c"), (3, 1, "e", "")]

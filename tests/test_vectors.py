@@ -67,7 +67,8 @@ def test_tiles_and_zero_vectors(spark, monkeypatch):
     for at in range(0, 40, 13):
         best.add(np.arange(at, min(at + 13, 40)), v[at:at + 13])
     got = {}
-    for r in best.frame().sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).itertuples():
+    hits = best.hits().to_pandas().sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+    for r in hits.itertuples():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     assert got == brute(v, w, 6)
 
