@@ -21,8 +21,7 @@ QUERY_BYTES = 64 * 1024 * 1024
 QUERY_TILE = 256
 VECTOR_TILE = 8192
 ROUNDING_MARGIN = 2 * 10.0 ** -SCORE_DECIMALS
-QUERY_BLOCK = 4096
-VECTOR_BLOCK = 65536
+BLOCK_BYTES = 64 * 1024 * 1024
 _HITS = "query_id long, vec_id long, score double"
 
 
@@ -84,12 +83,17 @@ class _TopK:
         return pa.table({"query_id": query, "vec_id": ids, "score": score})
 
 
+def _rows_within(queries: DataFrame, size: int) -> int | None:
+    """How many vectors of this length fit ``size`` bytes; None without any query."""
+    head = queries.select(F.size("embedding").alias("dim")).first()
+    return None if head is None else size // (8 * max(1, head["dim"]))
+
+
 def _few_queries(queries: DataFrame, broadcast_bytes: int) -> tuple[np.ndarray, np.ndarray] | None:
     """The query matrix if it surely fits the byte limit, else None."""
-    head = queries.select(F.size("embedding").alias("dim")).first()
-    if head is None:
+    limit = _rows_within(queries, broadcast_bytes)
+    if limit is None:
         return np.empty(0, "int64"), np.empty((0, 1))
-    limit = broadcast_bytes // (8 * max(1, head["dim"]))
     rows = queries.select("query_id", "embedding").limit(limit + 1).toArrow()
     if len(rows) > limit:
         return None
@@ -113,12 +117,16 @@ def local_top_k(vectors: DataFrame, queries: DataFrame, k: int, broadcast_bytes:
     return vectors.select("vec_id", "embedding").mapInArrow(search, _HITS)
 
 
-def _blockwise_top_k(vectors: DataFrame, queries: DataFrame, k: int,
-                     query_block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK) -> DataFrame:
-    """For query sets of any size: hash both sides into blocks of bounded size
-    and bring each pair of blocks together in one task."""
-    n_q = -(-queries.count() // query_block) or 1
-    n_v = -(-vectors.count() // vector_block) or 1
+def _blockwise_top_k(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int | None = None) -> DataFrame:
+    """For query sets of any size: hash both sides into blocks of some ``BLOCK_BYTES``
+    and bring each pair of blocks together in one task.
+
+    Each side travels once per block of the other, so blocks are as large as a
+    task can well hold.
+    """
+    block_rows = block_rows or _rows_within(queries, BLOCK_BYTES) or 1
+    n_q = -(-queries.count() // block_rows) or 1
+    n_v = -(-vectors.count() // block_rows) or 1
     left = vectors.select(
         "vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(n_v)).alias("v_block"),
         F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)).cast("array<long>")).alias("q_block"))

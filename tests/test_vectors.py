@@ -50,7 +50,7 @@ def test_nearest_equals_brute_force(spark, n, k, parts, skip_self, broadcast_byt
 
 def test_many_blocks_give_the_same(spark):
     v, w, vectors, queries = random_tables(spark, 120, 30, seed=3)
-    local = knn._blockwise_top_k(vectors, queries, 4, query_block=7, vector_block=11)
+    local = knn._blockwise_top_k(vectors, queries, 4, block_rows=7)
     best = {}
     for r in local.collect():
         best.setdefault(r.query_id, []).append((-r.score, r.vec_id))
