@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reviewloom.llm import content_sort, sharding
+from reviewloom.llm import content_sort, sharding, simhash
 from reviewloom.sources.tables import table
 
 
@@ -18,9 +18,14 @@ def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign_shards(table(spark, folder, "documents"))
 
 
+def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"), width=3, radius=2)
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op9_sharding": op9_sharding,
+    "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
 SQL = {
