@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reviewloom.llm import content_sort, sharding, simhash
+from reviewloom.llm import content_sort, packing, sharding, simhash
 from reviewloom.sources.tables import table
 
 
+#: The vocabulary file that token counts and packing use.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), TOKENIZER)
+
+
 def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return content_sort.mark_copies(docs).select(
@@ -23,6 +32,7 @@ def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
     "op9_sharding": op9_sharding,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
