@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reviewloom.llm import content_sort, packing, sharding, simhash
+from reviewloom.llm import content_sort, packing, repeats, sharding, simhash
 from reviewloom.sources.tables import table
 
 
@@ -23,6 +23,10 @@ def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
         F.col("row.doc_id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, folder, "documents"), width=50).drop("kept_text")
+
+
 def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign_shards(table(spark, folder, "documents"))
 
@@ -34,6 +38,7 @@ def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
+    "op6_substring_dedup": op6_substring_dedup,
     "op9_sharding": op9_sharding,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }

@@ -124,3 +124,14 @@ def pieces(data: bytes, size: int = 4 << 20) -> Iterator[bytes]:
             end += 1
         yield data[at:end]
         at = end
+
+
+def blocks(batches: Iterator[pa.RecordBatch], text: int = 1, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut so that each part's texts have about ``size`` bytes, or one text more."""
+    for batch in batches:
+        _, offsets = text_bytes(batch.column(text))
+        at = 0
+        while at < len(batch):
+            upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
+            yield batch.slice(at, upto - at)
+            at = upto
