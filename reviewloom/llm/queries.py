@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reviewloom.llm import content_sort, packing, repeats, sharding, simhash
+from reviewloom.llm import content_sort, mixing, packing, repeats, sharding, simhash
 from reviewloom.sources.tables import table
 
 
@@ -27,6 +27,18 @@ def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.without_repeats(table(spark, folder, "documents"), width=50).drop("kept_text")
 
 
+#: Weights of the mixture; names that are not listed weigh one.
+WEIGHTS = {
+    "domain": {"domain0": 4, "domain1": 3, "domain2": 2, "domain3": 1},
+    "lang": {"en": 5, "de": 2, "fr": 2, "es": 1},
+    "source": {},
+}
+
+
+def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.select_prefixes(table(spark, folder, "documents"), WEIGHTS).drop("digest")
+
+
 def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign_shards(table(spark, folder, "documents"))
 
@@ -39,6 +51,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_mixing": op7_mixing,
     "op9_sharding": op9_sharding,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
@@ -50,4 +63,34 @@ SQL = {
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY c) AS group_size,
                row_number() OVER w = 1 AS kept, sha256(c) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY c ORDER BY length(t) DESC, doc_id)""",
+    "op7_mixing": r"""
+        WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                       CASE WHEN regexp_extract(coalesce(source, ''), '([0-9]{1,9})', 1) = '' THEN 'domain'
+                            ELSE 'domain' || (regexp_extract(source, '([0-9]{1,9})', 1)::BIGINT % 4)::VARCHAR END AS domain,
+                       len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS tokens FROM documents),
+        leaves AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS tokens FROM d GROUP BY domain, lang, source),
+        b0 AS (SELECT least(sum(tokens), sum(tokens * 4))::DOUBLE AS budget FROM leaves),
+        n1 AS (SELECT domain, sum(tokens * 4)::DOUBLE AS capacity, CASE domain WHEN 'domain0' THEN 4 WHEN 'domain1' THEN 3 WHEN 'domain2' THEN 2 ELSE 1 END::DOUBLE AS weight FROM leaves GROUP BY domain),
+        v1 AS (SELECT *, (budget - coalesce(sum(capacity) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                    / sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+                 FROM n1 CROSS JOIN b0 WINDOW w AS (ORDER BY capacity / weight, domain)),
+        b1 AS (SELECT domain, least(capacity, max(level) OVER () * weight) AS budget FROM v1),
+        n2 AS (SELECT domain, lang, sum(tokens * 4)::DOUBLE AS capacity, CASE lang WHEN 'en' THEN 5 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END::DOUBLE AS weight FROM leaves GROUP BY domain, lang),
+        v2 AS (SELECT *, (budget - coalesce(sum(capacity) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                    / sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+                 FROM n2 JOIN b1 USING (domain) WINDOW w AS (PARTITION BY domain ORDER BY capacity / weight, lang)),
+        b2 AS (SELECT domain, lang, least(capacity, max(level) OVER (PARTITION BY domain) * weight) AS budget FROM v2),
+        n3 AS (SELECT domain, lang, source, sum(tokens * 4)::DOUBLE AS capacity, 1::DOUBLE AS weight FROM leaves GROUP BY domain, lang, source),
+        v3 AS (SELECT *, (budget - coalesce(sum(capacity) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                    / sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+                 FROM n3 JOIN b2 USING (domain, lang) WINDOW w AS (PARTITION BY domain, lang ORDER BY capacity / weight, source)),
+        b3 AS (SELECT domain, lang, source, least(capacity, max(level) OVER (PARTITION BY domain, lang) * weight) AS budget FROM v3),
+        x AS (SELECT d.*, e.epoch, l.tokens AS leaf_tokens, budget, md5('7:' || e.epoch || ':' || doc_id) AS digest
+              FROM d JOIN leaves l USING (domain, lang, source) JOIN b3 USING (domain, lang, source)
+              CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS epoch) e WHERE l.tokens > 0),
+        s AS (SELECT *, (epoch * leaf_tokens + coalesce(sum(tokens) OVER (
+                  PARTITION BY domain, lang, source, epoch ORDER BY digest, doc_id, tokens
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start FROM x)
+        SELECT doc_id, domain, lang, source, epoch, start, tokens,
+               least(tokens, ceil(budget - start)::BIGINT) AS taken FROM s WHERE start < budget""",
 }
