@@ -1,29 +1,60 @@
-"""From raw documents to training sequences: each stage works on all that the one before it kept."""
+"""From raw documents to training sequences: each stage works on all that the one before it kept.
+
+Languages, exact copies, near duplicates and the mixture decide which documents
+stay; packing turns these into sequences. The first four return the columns of
+``documents``, the last one the pieces in the sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewloom.llm import content_sort
-from reviewloom.session import ship_package, shared_folder
+from reviewloom.llm import content_sort, language, mixing, packing, queries, simhash
+from reviewloom.session import shared_folder, ship_package
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language; those without letters or of no known language go."""
+    ship_package(spark)
+    return language.accepted_documents(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays: the longest, then the smallest id."""
+    """One document of each group of equal texts: the longest, then the smallest id."""
     return content_sort.without_copies(docs)
 
 
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked fingerprints: the smallest id."""
+    ship_package(spark)
+    return simhash.without_near_duplicates(docs, width=3, radius=2)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents by target weights, as many tokens as there are; a document can come once per epoch."""
+    return mixing.mixed(docs, queries.WEIGHTS)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in full sequences."""
+    ship_package(spark)
+    return packing.pack(docs, queries.TOKENIZER)
+
+
 STAGES = [
+    ("language_id", language_id),
     ("exact_dedup", exact_dedup),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("mix_sources", mix_sources),
+    ("pack_sequences", pack_sequences),
 ]
 
-#: Language models, fingerprints and token ids are beyond SQL; tests compare stages with brute force.
+#: Trigram models, XXH64 fingerprints and token ids are beyond SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; each result is written to the shared folder and read again."""
-    ship_package(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         path = shared_folder(spark, f"pipeline-{name}")
