@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reviewloom.llm import content_sort, language, mixing, packing, repeats, sharding, simhash
+from reviewloom.llm import content_sort, language, log_bilinear, mixing, packing, repeats, sharding, simhash
 from reviewloom.sources.tables import table
 
 
@@ -23,6 +23,10 @@ def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
         F.col("row.doc_id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return log_bilinear.score(table(spark, folder, "documents"))
+
+
 def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.document_languages(table(spark, folder, "documents"))
 
@@ -58,6 +62,7 @@ def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_lm_scoring": op3_lm_scoring,
     "op5_language_id": op5_language_id,
     "page_languages": page_languages,
     "op6_substring_dedup": op6_substring_dedup,
