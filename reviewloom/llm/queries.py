@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reviewloom.llm import content_sort, language, log_bilinear, mixing, packing, repeats, sharding, simhash
+from reviewloom.llm import ball_tree, content_sort, language, log_bilinear, mixing, packing, repeats, sharding, simhash
 from reviewloom.sources.tables import table
 
 
@@ -27,6 +27,10 @@ def op3_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return log_bilinear.score(table(spark, folder, "documents"))
 
 
+def op4_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return ball_tree.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.document_languages(table(spark, folder, "documents"))
 
@@ -63,6 +67,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_lm_scoring": op3_lm_scoring,
+    "op4_exact_top_k": op4_exact_top_k,
     "op5_language_id": op5_language_id,
     "page_languages": page_languages,
     "op6_substring_dedup": op6_substring_dedup,
@@ -78,6 +83,15 @@ SQL = {
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY c) AS group_size,
                row_number() OVER w = 1 AS kept, sha256(c) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY c ORDER BY length(t) DESC, doc_id)""",
+    "op4_exact_top_k": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+                     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, v.vec_id AS vec_id, list_inner_product(q.e, v.e)::BIGINT AS score
+              FROM v q JOIN v ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id),
+        r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id,
+                     score FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
     "op7_mixing": r"""
         WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
                        CASE WHEN regexp_extract(coalesce(source, ''), '([0-9]{1,9})', 1) = '' THEN 'domain'
