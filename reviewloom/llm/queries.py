@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reviewloom.llm import ball_tree, content_sort, language, log_bilinear, mixing, packing, repeats, sharding, simhash
+from reviewloom.llm import ball_tree, content_sort, language, log_bilinear, mixing, packing, page_diff, repeats, sharding, simhash
 from reviewloom.sources.tables import table
 
 
@@ -55,6 +55,10 @@ def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.select_prefixes(table(spark, folder, "documents"), WEIGHTS).drop("digest")
 
 
+def op8_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return page_diff.main_texts(table(spark, folder, "pages"))
+
+
 def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign_shards(table(spark, folder, "documents"))
 
@@ -72,6 +76,7 @@ QUERIES = {
     "page_languages": page_languages,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_mixing": op7_mixing,
+    "op8_html_extraction": op8_html_extraction,
     "op9_sharding": op9_sharding,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
