@@ -29,6 +29,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reviewloom.llm.words import blocks, text_bytes
@@ -74,7 +75,9 @@ def suffix_of(url: Column) -> Column:
 
 def _trigrams(batch: pa.RecordBatch, text: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashed trigrams of a batch that hold a letter, and where each text's begin among them."""
-    data, offsets = text_bytes(batch.column(text))
+    none, space = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
+    texts = pc.fill_null(batch.column(text).cast(pa.large_string()), none)
+    data, offsets = text_bytes(pc.binary_join_element_wise(none, texts, none, space))
     folded = _FOLD[data]
     if len(folded) < 3:
         return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
