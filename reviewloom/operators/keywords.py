@@ -6,27 +6,21 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from reviewloom.fixed_values import SITES
 
-STOPWORDS_AS_LITERALS = 1000
-
 
 def keyword_counts(clean: DataFrame, stopwords: DataFrame | list[str]) -> DataFrame:
     """Occurrences of each lower-cased token per site, without stop-words.
 
-    ``stopwords`` is a list, or a table ``word`` of any length: a list of up to
-    1,000 words becomes a literal filter, a longer one and a table are removed
-    by an anti-join on the counted words, which are far fewer than the tokens.
+    ``stopwords`` is a list or a table ``word``; NULLs in it remove nothing. They
+    are removed by an anti-join on the counted words, which are far fewer than
+    the tokens.
     """
     words = clean.select("site", F.explode("tokenized_content").alias("word")).select(
         "site", F.lower("word").alias("word"))
-    literal = isinstance(stopwords, list) and len(stopwords) <= STOPWORDS_AS_LITERALS
-    if literal and stopwords:
-        words = words.filter(~F.col("word").isin(*stopwords))
     counts = words.groupBy("site", "word").agg(F.count("*").alias("n"))
-    if literal:
-        return counts
     if isinstance(stopwords, list):
         stopwords = clean.sparkSession.createDataFrame([(w,) for w in stopwords], "word string")
-    return counts.join(stopwords.select("word").distinct(), "word", "left_anti").select("site", "word", "n")
+    unwanted = stopwords.filter(F.col("word").isNotNull()).select("word").distinct()
+    return counts.join(unwanted, "word", "left_anti").select("site", "word", "n")
 
 
 def top_keywords(counts: DataFrame, n: int) -> DataFrame:

@@ -1,10 +1,11 @@
 """Subject records: finding them from messages, flattening them, writing them out.
 
-Containment tests ("the message holds this name") against a long dictionary
-are equi-joins: every substring of the probed text that has the length of some
-dictionary word is looked up in the dictionary, whose words are unique. That
-needs no pairwise comparison and splits like any other hash join. A short
-dictionary is tested as a list of literals.
+Containment tests ("the message holds this name") are equi-joins. A word of
+``GRAM`` letters or more is looked up by one of its runs of ``GRAM`` letters, the
+one that fewest words of the dictionary have; a text brings its distinct runs of
+that length, one per position, and the few candidates are then verified. Shorter
+words are looked up among the texts' runs of their length. There is one way for
+every size of dictionary, and the answer depends on a row's text alone.
 """
 
 from __future__ import annotations
@@ -14,51 +15,73 @@ from pyspark.sql import Column, DataFrame, functions as F
 from reviewloom.fixed_values import (AGE_LABELS, CATEGORY_WORDS, NAME_ENDINGS, NAME_STOPWORDS, NO_CATEGORY,
                                      PROMPT_SUBJECT_FOUND, PROMPT_SUBJECT_MISSING, PROMPT_SUBJECT_SYSTEM)
 from reviewloom.functions.text import contains_any, fill_template, quoted, split_words, trim_space
-from reviewloom.session import broadcast_if_small
 
-LOOKUP_ROWS = 200_000
-DETAIL_ROWS = 10_000
-LITERAL_WORDS = 500
+GRAM = 3
 TEXT_MAP = "map<string,string>"
 
 
 # --- containment by equi-join -----------------------------------------------
-def _substrings(text: Column, lengths: Column) -> Column:
-    """Distinct substrings of ``text`` with one of the ``lengths``."""
-    def of_length(size: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.length(text) - size + 1)
-        return F.when(F.length(text) >= size, F.transform(starts, lambda at: F.substr(text, at, size))).otherwise(
-            F.array().cast("array<string>"))
-    return F.array_distinct(F.flatten(F.transform(lengths, of_length)))
+def _runs(text: Column, size: int) -> Column:
+    """Distinct runs of ``size`` letters of a text."""
+    starts = F.sequence(F.lit(1), F.length(text) - size + 1)
+    return F.when(F.length(text) >= size, F.array_distinct(F.transform(
+        starts, lambda at: F.substr(text, at, F.lit(size))))).otherwise(F.array().cast("array<string>"))
 
 
-def with_first_contained(texts: DataFrame, id_col: str, text_col: str, words: DataFrame, name: str,
-                         literal_words: int | None = None) -> DataFrame:
+def _short_runs(text: Column) -> Column:
+    return F.flatten(F.array(*[_runs(text, size) for size in range(1, GRAM)]))
+
+
+def _keyed(texts: DataFrame, column: str) -> DataFrame:
+    """Distinct texts with a short key; equal keys of different texts are told apart later."""
+    known = texts.select(F.col(column).alias("text")).filter("text IS NOT NULL").distinct()
+    return known.withColumn("key", F.xxhash64("text"))
+
+
+def _held(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """``text, word`` for the distinct keyed ``texts`` and those of the distinct ``words`` that they hold.
+
+    The runs travel with the key, not with the text; the few candidates meet the
+    texts again and are verified.
+    """
+    grams = words.filter(F.length("word") >= GRAM).select("word", F.explode(_runs(F.col("word"), GRAM)).alias("run"))
+    spread = grams.groupBy("run").agg(F.count("*").alias("n"))
+    rarest = grams.join(spread, "run").groupBy("word").agg(F.min(F.struct("n", "run"))["run"].alias("run"))
+    short = words.filter(F.length("word").between(1, GRAM - 1)).select("word", F.col("word").alias("run"))
+    runs = F.concat(_short_runs(F.col("text")), _runs(F.col("text"), GRAM))
+    candidates = (texts.select("key", F.explode(runs).alias("run")).join(rarest.unionByName(short), "run")
+                  .select("key", "word").distinct())
+    found = texts.join(candidates, "key").filter(F.contains("text", "word")).select("text", "word")
+    return found.unionByName(texts.select("text", F.lit("").alias("word")).join(words.select("word"), "word")
+                             .select("text", "word"))
+
+
+def with_first_contained(texts: DataFrame, text_col: str, words: DataFrame, name: str) -> DataFrame:
     """Add the lowest ``pos`` among the dictionary words that are substrings of the text, NULL if none is.
 
-    ``words`` holds unique ``word`` with its ``pos``. A dictionary of up to
-    ``LITERAL_WORDS`` is tested in place, without any shuffle. A larger one is
-    joined: broadcast when it is counted to be small, shuffled otherwise; being
-    unique it never multiplies rows, and a hot substring is split by the
-    adaptive skew join.
+    ``words`` holds unique ``word`` with its ``pos``; the empty word is in every
+    text but NULL.
     """
-    literal_words = LITERAL_WORDS if literal_words is None else literal_words
-    few = words.orderBy("pos", "word").limit(literal_words + 1).collect()
-    if len(few) <= literal_words:
-        if not few:
-            return texts.withColumn(name, F.lit(None).cast("long"))
-        tests = F.array(*[F.struct(F.lit(r["word"]).alias("word"), F.lit(r["pos"]).alias("pos")) for r in few])
-        held = F.filter(tests, lambda t: F.col(text_col).contains(t["word"]))
-        return texts.withColumn(name, F.get(held, F.lit(0))["pos"])
-    facts = words.agg(F.collect_set(F.length("word")).alias("lengths"), F.count("*").alias("n"),
-                      F.min(F.when(F.col("word") == "", F.col("pos"))).alias("empty")).first()
-    lengths = [n for n in facts["lengths"] if n > 0]
-    probes = texts.select(id_col, F.explode(_substrings(
-        F.col(text_col), F.array(*[F.lit(n) for n in sorted(lengths)]).cast("array<int>"))).alias("word"))
-    side = F.broadcast(words) if facts["n"] <= LOOKUP_ROWS else words
-    hits = probes.join(side, "word").groupBy(id_col).agg(F.min("pos").alias(name))
-    found = texts.join(hits, id_col, "left")
-    return found if facts["empty"] is None else found.withColumn(name, F.least(F.col(name), F.lit(facts["empty"])))
+    lowest = (_held(_keyed(texts, text_col), words.select("word")).join(words, "word")
+              .groupBy(F.col("text").alias("__held")).agg(F.min("pos").alias(name)))
+    return texts.join(lowest, F.col(text_col) == F.col("__held"), "left").drop("__held")
+
+
+def with_first_around(texts: DataFrame, text_col: str, words: DataFrame, name: str) -> DataFrame:
+    """Add the lowest ``pos`` among the dictionary words that hold the text, NULL if none does.
+
+    A short text can be in very many words, so the runs of these are reduced to
+    their lowest position before they meet the texts.
+    """
+    known = texts.select(F.col(text_col).alias("word")).filter("word IS NOT NULL").distinct()
+    runs = F.concat(F.array(F.lit("")), _short_runs(F.col("word")))
+    short = (words.select("pos", F.explode(runs).alias("word")).groupBy("word").agg(F.min("pos").alias("pos"))
+             .join(known, "word").select("word", "pos"))
+    names = words.select(F.col("word").alias("text"), "pos")
+    long = (_held(_keyed(names, "text"), known.filter(F.length("word") >= GRAM)).join(names, "text")
+            .select("word", "pos"))
+    lowest = short.unionByName(long).groupBy(F.col("word").alias("__held")).agg(F.min("pos").alias(name))
+    return texts.join(lowest, F.col(text_col) == F.col("__held"), "left").drop("__held")
 
 
 def _lowest(rows: DataFrame) -> DataFrame:
@@ -75,25 +98,21 @@ def find_by_name(queries: DataFrame, subjects: DataFrame, id_col: str = "query_i
     or is contained in the query's name, ignoring case; NULL if there is none."""
     names = _names(subjects)
     probes = queries.select(id_col, F.lower(name_col).alias("probe"))
-    probes = with_first_contained(probes, id_col, "probe", names, "pos_inside")
+    probes = with_first_contained(probes, "probe", names, "pos_inside")
+    probes = with_first_around(probes, "probe", names, "pos_around")
+    return probes.select(id_col, F.least("pos_inside", "pos_around").alias("pos"))
 
-    every = F.sequence(F.lit(1), F.greatest(F.length("word"), F.lit(1)))
-    parts = names.select(F.explode(F.concat(F.array(F.lit("")), _substrings(F.col("word"), every))).alias("part"), "pos")
-    around = parts.groupBy(F.col("part").alias("probe")).agg(F.min("pos").alias("pos_around"))
-    return probes.join(broadcast_if_small(around, LOOKUP_ROWS), "probe", "left").select(
-        id_col, F.least("pos_inside", "pos_around").alias("pos"))
 
-
-def _with_mentioned(messages: DataFrame, subjects: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _with_mentioned(messages: DataFrame, subjects: DataFrame, text_col: str) -> DataFrame:
     """Messages with the position of the subject they mention, or NULL, as ``named_pos``."""
     names = _names(subjects)
     parts = names.select("pos", F.explode(F.concat(F.array("word"), split_words(F.col("word")))).alias("word"))
     texts = messages.withColumn("__probe", F.lower(F.coalesce(text_col, F.lit(""))))
-    mentioned = with_first_contained(texts, id_col, "__probe", _lowest(parts), "__mentioned")
+    mentioned = with_first_contained(texts, "__probe", _lowest(parts), "__mentioned")
     resolved = find_by_name(names.select(F.col("pos").alias("__mentioned"), F.col("word").alias("name")),
                             subjects, "__mentioned")
     return mentioned.join(
-        broadcast_if_small(resolved.withColumnRenamed("pos", "named_pos"), LOOKUP_ROWS), "__mentioned", "left",
+        resolved.withColumnRenamed("pos", "named_pos"), "__mentioned", "left",
     ).select(*messages.columns, "named_pos")
 
 
@@ -104,7 +123,7 @@ def find_mentioned(messages: DataFrame, subjects: DataFrame, id_col: str = "msg_
     The first mentioned list entry counts, and its name is then looked up like a
     typed name, so an earlier entry contained in that name takes its place.
     """
-    found = _with_mentioned(messages, subjects, id_col, text_col)
+    found = _with_mentioned(messages, subjects, text_col)
     return found.filter(F.col("named_pos").isNotNull()).select(id_col, F.col("named_pos").alias("pos"))
 
 
@@ -129,6 +148,11 @@ def in_category(subjects: DataFrame, category: str) -> DataFrame:
     return subjects.filter(F.col("category") == category)
 
 
+def category_members(subjects: DataFrame) -> DataFrame:
+    """The subjects of every category, as rows: a category can hold any number."""
+    return subjects.filter(F.col("category").isNotNull()).select("category", "pos", "name")
+
+
 # --- names in questions -----------------------------------------------------
 def _before(ending: str) -> str:
     # anchored to line starts, so that a text without the ending is read once
@@ -157,7 +181,7 @@ def _holds(word: Column, parts) -> Column:
 def resolve_messages(messages: DataFrame, subjects: DataFrame, id_col: str = "msg_id", text_col: str = "text",
                      categories=CATEGORY_WORDS) -> DataFrame:
     """Detected category, extracted name, found subject and its labels per message."""
-    keyed = _with_mentioned(messages, subjects, id_col, text_col).withColumn(
+    keyed = _with_mentioned(messages, subjects, text_col).withColumn(
         "__category", detect_category(F.col(text_col), categories))
     # one row per keyword category at most
     first = first_of_category(subjects.filter(F.col("category").isin(*[c for c, _ in categories])))
@@ -165,7 +189,7 @@ def resolve_messages(messages: DataFrame, subjects: DataFrame, id_col: str = "ms
     chosen = keyed.withColumn("subject_pos", F.coalesce("named_pos", "category_pos"))
     facts = subjects.select(F.col("pos").alias("subject_pos"), F.col("name").alias("found_subject_name"),
                             F.col("category").alias("subject_category"))
-    joined = chosen.join(broadcast_if_small(facts, LOOKUP_ROWS), "subject_pos", "left")
+    joined = chosen.join(facts, "subject_pos", "left")
     found = F.col("found_subject_name").isNotNull()
     return joined.select(
         *[F.col(c) for c in messages.columns],
@@ -180,7 +204,7 @@ def resolve_messages(messages: DataFrame, subjects: DataFrame, id_col: str = "ms
 def subject_prompts(resolved: DataFrame, subjects: DataFrame, text_col: str = "text") -> DataFrame:
     """Prompt per message, with the subject's details where one was found."""
     details = subjects.select(F.col("pos").alias("subject_pos"), markdown().alias("details"))
-    joined = resolved.join(broadcast_if_small(details, DETAIL_ROWS), "subject_pos", "left")
+    joined = resolved.join(details, "subject_pos", "left")
     system, question = F.lit(PROMPT_SUBJECT_SYSTEM), F.col(text_col)
     with_details = fill_template(PROMPT_SUBJECT_FOUND, system=system, name=F.col("found_subject_name"),
                                  details=F.col("details"), question=question)

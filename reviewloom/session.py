@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "reviewloom", master: str | None = None,
@@ -57,14 +58,17 @@ def ship_package(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder below ``spark.checkpoint.dir`` that every executor can reach.
 
-    Only a local session may do without the setting; it then gets a temporary
-    folder of this machine, which is where all its executors run.
+    A cluster must name the folder. Only a session whose executors are threads of
+    this process may leave it unset; it then gets a folder of its own for its
+    lifetime, which is removed when the process ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = os.path.join(tempfile.gettempdir(), "reviewloom-local")
+        base = tempfile.mkdtemp(prefix="reviewloom-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
@@ -78,11 +82,3 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     path = shared_folder(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Mark a lookup table for broadcast after counting that it has at most ``max_rows`` rows.
-
-    A larger one is left to a shuffled join, where adaptive execution splits hot keys.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -79,10 +79,3 @@ class StandIn:
 def test_a_cluster_without_a_shared_folder_is_refused():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.shared_folder(StandIn({}), "x")
-
-
-def test_broadcast_only_when_counted_small(spark):
-    def hinted(df):
-        return "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
-    assert hinted(session.broadcast_if_small(spark.range(5), 5))
-    assert not hinted(session.broadcast_if_small(spark.range(6), 5))

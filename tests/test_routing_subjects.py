@@ -92,17 +92,17 @@ NAMES = ["Lotte World", "Lotte World Tower", "World", "남산 타워", "경복
 TYPED = ["lotte world", "WORLD", "tower", "남산", "남산 타워 전망대", "nothing here", "", "abc lotte", "궁", "a"]
 
 
-@pytest.mark.parametrize("literal_words", [500, 0])
-def test_lookup_equals_loop(spark, monkeypatch, literal_words):
-    monkeypatch.setattr(subjects, "LITERAL_WORDS", literal_words)
+@pytest.mark.parametrize("gram", [2, 3, 5])
+def test_lookup_equals_loop(spark, monkeypatch, gram):
+    monkeypatch.setattr(subjects, "GRAM", gram)
     df = spark.createDataFrame(list(enumerate(TYPED)), "query_id int, name string")
     got = {r.query_id: r.pos for r in subjects.find_by_name(df, subject_table(spark, NAMES)).collect()}
     assert got == {i: first_by_name(NAMES, t) for i, t in enumerate(TYPED)}
 
 
-@pytest.mark.parametrize("literal_words", [500, 0])
-def test_mentions_equal_loop(spark, monkeypatch, literal_words):
-    monkeypatch.setattr(subjects, "LITERAL_WORDS", literal_words)
+@pytest.mark.parametrize("gram", [2, 3, 5])
+def test_mentions_equal_loop(spark, monkeypatch, gram):
+    monkeypatch.setattr(subjects, "GRAM", gram)
     rnd = random.Random(2)
     words = ["lotte", "World", "tower", "남산", "타워", "경복궁", "b", "zzz", " ", "abc"]
     texts = ["".join(rnd.choices(words, k=rnd.randint(0, 4))) for _ in range(200)]
@@ -111,13 +111,15 @@ def test_mentions_equal_loop(spark, monkeypatch, literal_words):
     assert got == {i: p for i, t in enumerate(texts) if (p := first_mentioned(NAMES, t)) is not None}
 
 
-@pytest.mark.parametrize("limit", [500, 0])
-def test_shuffled_dictionary(spark, monkeypatch, limit):
-    monkeypatch.setattr(subjects, "LOOKUP_ROWS", 0)
-    texts = spark.createDataFrame([(1, "xxabyy"), (2, "ab"), (3, "q")], "id int, t string")
-    words = spark.createDataFrame([("ab", 5), ("xab", 7), ("y", 3)], "word string, pos long")
-    got = subjects.with_first_contained(texts, "id", "t", words, "found", limit)
-    assert {r.id: r.found for r in got.collect()} == {1: 3, 2: 5, 3: None}
+@pytest.mark.parametrize("more", [0, 1000])
+def test_null_empty_and_repeated_rows_for_any_size_of_dictionary(spark, more):
+    """Rows are judged one by one; a longer dictionary of other words changes nothing."""
+    rows = [(1, None), (2, "abc"), (2, "zz"), (3, ""), (2, "abc"), (4, "xxabyy")]
+    words = [("", 5), ("abc", 1), ("xab", 7), ("y", 3), *((f"other {n}", 100 + n) for n in range(more))]
+    got = subjects.with_first_contained(spark.createDataFrame(rows, "id int, t string"), "t",
+                                        spark.createDataFrame(words, "word string, pos long"), "found")
+    assert sorted(((r.id, r.t, r.found) for r in got.collect()), key=repr) == sorted(
+        [(1, None, None), (2, "abc", 1), (2, "zz", 5), (3, "", 5), (2, "abc", 1), (4, "xxabyy", 3)], key=repr)
 
 
 def test_categories_and_outcomes(spark):

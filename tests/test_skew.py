@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
 from reviewloom.operators import cleaning, conversations, keyed
+from reviewloom.plans import catalog
 
 ROWS = 60_000
 
@@ -66,7 +67,7 @@ def plan(df):
     return out.getvalue()
 
 
-@pytest.mark.parametrize("name", sorted(n for n in entry_point.queries() if not n.startswith("stream_")))
+@pytest.mark.parametrize("name", sorted(n for n in catalog.QUERIES if not n.startswith("stream_")))
 def test_no_query_pairs_everything_with_everything(spark, sf, name):
     text = plan(entry_point.queries()[name](spark, sf))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
