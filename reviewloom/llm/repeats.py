@@ -113,6 +113,11 @@ def _suffixes(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
             part[mine] = (int(ids[k]) * 2654435761 >> 7 & 0x7FFFFFFF) % split[found]
             part[mine] |= np.where(split[found] > 1, 1 << 40, 0)
         text, place, prefix, label, part = (x[take] for x in (text, place, prefix, label, part))
+        # a text that goes round in circles has the same windows again and again: the first of each is enough
+        order = np.lexsort((place, label, text))
+        again = np.zeros(len(text), bool)
+        again[order[1:]] = (text[order[1:]] == text[order[:-1]]) & (label[order[1:]] == label[order[:-1]])
+        text, place, prefix, label, part = (x[~again] for x in (text, place, prefix, label, part))
         begin = _runs(text, place, prefix, most)
         yield pa.RecordBatch.from_arrays(
             [pa.array(prefix[begin]), pa.array(part[begin]), pa.array(ids[text[begin]]),
@@ -176,16 +181,20 @@ def _subtrees(batches: Iterator[pa.RecordBatch], rows: int = 50_000) -> Iterator
 
 
 def _kept(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Texts without the words of marked windows, and of windows of the same words elsewhere in the text."""
     for batch in blocks(batches):
+        _, text, _, _, label = _labels(batch, width)
+        bounds = np.searchsorted(text, np.arange(len(batch) + 1))
         removed, texts = [], []
-        for text, found in zip(batch.column(1), batch.column(3)):
+        for k, (text, found) in enumerate(zip(batch.column(1), batch.column(3))):
             words = (text.as_py() or "").encode().split()
-            cover = np.zeros(len(words) + 1, np.int64)
+            own = label[bounds[k]:bounds[k + 1]]
             marks = np.array([(m["place"], m["marks"]) for m in found.as_py()], np.int64)
-            for bit in range(int(marks[:, 1].max()).bit_length()):
-                begin = marks[marks[:, 1] >> bit & 1 == 1, 0] + bit
-                np.add.at(cover, begin, 1)
-                np.add.at(cover, begin + width, -1)
+            marked = [marks[marks[:, 1] >> bit & 1 == 1, 0] + bit for bit in range(int(marks[:, 1].max()).bit_length())]
+            begin = np.flatnonzero(np.isin(own, own[np.concatenate(marked)]))
+            cover = np.zeros(len(words) + 1, np.int64)
+            cover[begin] += 1
+            cover[begin + width] -= 1
             gone = np.cumsum(cover[:-1]) > 0
             removed.append(int(gone.sum()))
             texts.append(b" ".join([w for w, g in zip(words, gone.tolist()) if not g]).decode("utf-8"))
