@@ -62,12 +62,13 @@ def budgets(leaves: DataFrame, total: Column, weights: dict[str, dict[str, int]]
     ``total`` is an aggregate over the leaves' tokens.
     """
     able = leaves.withColumn("capacity", F.col("tokens") * epochs)
-    parent = able.agg(F.least(total, F.sum("capacity")).cast("double").alias("budget"))
+    able = able.withColumn("root", F.lit(0))
+    parent = able.groupBy("root").agg(F.least(total, F.sum("capacity")).cast("double").alias("budget"))
     for depth, name in enumerate(tree):
-        above, here = list(tree[:depth]), list(tree[:depth + 1])
+        above, here = ["root", *tree[:depth]], ["root", *tree[:depth + 1]]
         nodes = able.groupBy(*here).agg(F.sum("capacity").cast("double").alias("capacity")).withColumn(
             "weight", _weight(name, weights.get(name, {})))
-        nodes = nodes.join(parent, above) if above else nodes.crossJoin(F.broadcast(parent))  # one row
+        nodes = nodes.join(parent, above)
         order = Window.partitionBy(*above).orderBy((F.col("capacity") / F.nullif("weight", F.lit(0.0))).asc_nulls_last(),
                                                    name)
         before = F.coalesce(F.sum("capacity").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
@@ -77,7 +78,7 @@ def budgets(leaves: DataFrame, total: Column, weights: dict[str, dict[str, int]]
             .withColumn("level", F.coalesce(F.max("level").over(Window.partitionBy(*above)), F.lit(0.0)))
             .select(*here, F.least("capacity", F.col("level") * F.col("weight")).alias("budget"))
         )
-    return parent
+    return parent.drop("root")
 
 
 def _rows(docs: DataFrame, tree: tuple[str, ...], places: dict[str, Column], id_column: str,
