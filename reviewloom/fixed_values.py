@@ -65,6 +65,7 @@ MSG_UPDATED = "User password updated successfully."
 # --- replies ----------------------------------------------------------------
 REPLY_BLANK_QUESTION = "질문이 비어 있어요. 어떤 점이 궁금한가요?"
 REPLY_NO_REVIEWS = "관련된 리뷰를 찾을 수 없어요. 다른 질문을 해보시겠어요?"
+NO_REFERENCES = "   - (관련 후기 없음)"
 REPLY_CHAT_FAILED = "롯데월드에 대해 궁금한 점이 있으시면 언제든 물어보세요!"
 REPLY_REVIEW_FAILED = "리뷰 검색 중 오류가 발생했어요: {error}"
 REPLY_SUBJECT_FAILED = "죄송합니다. {subject}에 대한 정보를 가져오는 중 오류가 발생했습니다. 다시 시도해 주세요."

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +23,13 @@ def _slot(token: str, dim: int) -> tuple[int, int]:
 def hashed_features(texts: list[str], dim: int = HASH_DIM) -> np.ndarray:
     """Signed token counts in ``dim`` slots: the offline stand-in for an embedding model."""
     out = np.zeros((len(texts), dim), dtype="float32")
-    for row, text in enumerate(texts):
-        for token in (text or "").lower().split():
-            slot, sign = _slot(token, dim)
-            out[row, slot] += sign
+    split = [(text or "").lower().split() for text in texts]
+    tokens = pa.array(chain.from_iterable(split), pa.string()).dictionary_encode()
+    if not len(tokens):
+        return out
+    slots, signs = np.array([_slot(token, dim) for token in tokens.dictionary.to_pylist()]).T
+    rows, codes = np.repeat(np.arange(len(split)), [len(s) for s in split]), tokens.indices.to_numpy()
+    np.add.at(out, (rows, slots[codes]), signs[codes])
     return out
 
 

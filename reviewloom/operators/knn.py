@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reviewloom.fixed_values import SEARCH_K
 from reviewloom.functions.vectors import SCORE_DECIMALS
@@ -145,13 +145,30 @@ def _blockwise_top_k(vectors: DataFrame, queries: DataFrame, k: int, block_rows:
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(search, _HITS)
 
 
+def _is_usable() -> Column:
+    whole = F.forall("embedding", lambda x: x.isNotNull())
+    return F.coalesce(whole & (F.size("embedding") > 0), F.lit(False))
+
+
+def usable(vectors: DataFrame) -> DataFrame:
+    """The rows whose vector is there and whole."""
+    return vectors.filter(_is_usable())
+
+
+def unusable(vectors: DataFrame) -> DataFrame:
+    """How many rows have no usable vector."""
+    return vectors.agg(F.count(F.when(~_is_usable(), 1)).alias("unusable"))
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = SEARCH_K, skip_self: bool = False,
             broadcast_bytes: int = QUERY_BYTES) -> DataFrame:
     """``query_id, vec_id, score, rank`` of the k best vectors of each query.
 
     ``skip_self`` leaves out the vector whose id equals the query's. A query
-    matrix above ``broadcast_bytes`` is searched block by block.
+    matrix above ``broadcast_bytes`` is searched block by block. Vectors that are
+    NULL or hold a NULL take no part; ``unusable`` counts them.
     """
+    vectors, queries = usable(vectors), usable(queries)
     found = local_top_k(vectors, queries, k + 1 if skip_self else k, broadcast_bytes)
     if skip_self:
         found = found.filter(F.col("query_id") != F.col("vec_id"))

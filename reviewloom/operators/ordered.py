@@ -8,10 +8,10 @@ that of the plain window. Keys and order must not be NULL.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from reviewloom.session import stored
+
 RANGE_WIDTH = 4096
 _RANGE = "__range"
 
@@ -74,23 +74,20 @@ def running_sum(df: DataFrame, keys: list[str], order: str, value: Column, name:
 def number_rows(df: DataFrame, group: str, order: str, name: str, groups: tuple[str, ...]) -> DataFrame:
     """Consecutive numbers from 0 over all rows, ordered by ``(group, order)``.
 
-    ``groups`` lists the values of ``group`` in their order; there are no others.
-    ``df`` is read three times, so pass a stored table rather than a long plan. Range widths follow
-    from the data, so each range holds some 100,000 rows where ``order`` is even.
+    Groups come in the order of ``groups``, then all others by name. Ranges are
+    cut by sampled splitters, so they are even wherever the rows lie; they are
+    written once with their number, and a running sum over one row per range
+    gives each range its first number.
     """
-    spans = (df.filter(F.col(group).isin(*groups)).groupBy(group)
-             .agg(F.count("*").alias("n"), F.min(order).alias("lo"), F.max(order).alias("hi")).collect())
-    per_group = {r[group]: r["n"] for r in spans}
-    rows = sum(per_group.values())
-    if not rows:
-        return df.withColumn(name, F.lit(0).cast("long"))
-    pieces = max(1, rows // 100_000)
-    width = max(1, (max(r["hi"] for r in spans) - min(r["lo"] for r in spans) + 1) // pieces)
-
-    numbered = running_sum(df, [group], order, F.lit(1).cast("long"), "__n", width)
-    starts, total = {}, 0
-    for g in groups:
-        starts[g], total = total, total + per_group.get(g, 0)
-    start = reduce(lambda acc, g: acc.when(F.col(group) == g, F.lit(starts[g])), groups[1:],
-                   F.when(F.col(group) == groups[0], F.lit(starts[groups[0]])))
-    return drop_range(numbered).withColumn(name, (F.col("__n") - 1 + start).cast("long")).drop("__n")
+    listed = F.array_position(F.array(*[F.lit(g) for g in groups]), F.col(group))
+    place = F.when(listed > 0, listed).otherwise(len(groups) + 1)
+    keys = ["__place", group, order]
+    ranged = stored(df.withColumn("__place", place).repartitionByRange(*keys)
+                    .withColumn(_RANGE, F.spark_partition_id()), "numbered")
+    earlier = Window.partitionBy(F.lit(0)).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy(_RANGE).agg(F.count("*").alias("__n")).select(
+        _RANGE, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
+    inside = Window.partitionBy(_RANGE).orderBy(*keys)
+    return (ranged.withColumn("__at", F.row_number().over(inside)).join(starts, _RANGE)
+            .withColumn(name, (F.col("__start") + F.col("__at") - 1).cast("long"))
+            .drop("__place", _RANGE, "__at", "__start"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from reviewloom.fixed_values import (DEFAULT_PLACE, INDEX_LENGTH_ABOVE, KEEP_AT_LEAST, KEEP_AT_MOST, MMR_FETCH,
-                                     MMR_KEEP, PROMPT_REVIEW, REPLY_BLANK_QUESTION, REPLY_NO_REVIEWS,
+                                     MMR_KEEP, NO_REFERENCES, PROMPT_REVIEW, REPLY_BLANK_QUESTION, REPLY_NO_REVIEWS,
                                      SCORE_MIN, SITES)
 from reviewloom.functions.labels import (chunk_entry, confidence, confidence_note, hit_entry, or_default,
                                          reference_line)
@@ -111,11 +111,14 @@ def retriever_hits(hits: DataFrame) -> DataFrame:
                        *[F.col("meta")[k].alias(k) for k in keys], score.alias("score"))
 
 
+def _listed(rows: DataFrame) -> Column:
+    """A query's few hits as structs in rank order."""
+    return F.array_sort(F.collect_list(F.struct("rank", *[c for c in rows.columns if c not in ("query_id", "rank")])))
+
+
 def hit_lists(rows: DataFrame) -> DataFrame:
     """One list of hit structs per query in rank order; ``rows`` holds a few hits per query."""
-    fields = [c for c in rows.columns if c != "query_id"]
-    ordered = F.array_sort(F.collect_list(F.struct("rank", *[f for f in fields if f != "rank"])))
-    return rows.groupBy("query_id").agg(ordered.alias("retrieved_reviews"))
+    return rows.groupBy("query_id").agg(_listed(rows).alias("retrieved_reviews"))
 
 
 # --- text -------------------------------------------------------------------
@@ -146,14 +149,18 @@ def chunk_blocks(hits: DataFrame) -> DataFrame:
     return distinct_chunks(hits).groupBy("query_id").agg(entries.alias("context"))
 
 
-def reference_lists(hits: DataFrame) -> DataFrame:
+def reference_lists(hits: DataFrame, queries: DataFrame) -> DataFrame:
+    """The reference lines of every query; a query without hits has a line that says so."""
     entries = _in_rank_order(reference_line(F.col("content"), F.col("meta")), "\n")
-    return hits.groupBy("query_id").agg(entries.alias("references"))
+    found = hits.groupBy("query_id").agg(entries.alias("references"))
+    return queries.select("query_id").distinct().join(found, "query_id", "left").select(
+        "query_id", F.coalesce("references", F.lit(NO_REFERENCES)).alias("references"))
 
 
 def review_prompts(questions: DataFrame, hits: DataFrame) -> DataFrame:
     """Prompt per question from its selected hits, or the fixed reply where no prompt is due."""
-    material = hits.groupBy("query_id").agg(_hit_context(), *_figures())
+    material = hits.groupBy("query_id").agg(_hit_context(), *_figures()).join(
+        hit_lists(document_hits(hits)), "query_id")
     joined = questions.join(material.withColumn("confidence", confidence(F.col("avg_similarity"))), "query_id", "left")
     blank = is_blank(F.col("question"))
     found = F.col("used_count").isNotNull()
@@ -162,30 +169,33 @@ def review_prompts(questions: DataFrame, hits: DataFrame) -> DataFrame:
         F.when(~blank & found, fill_template(PROMPT_REVIEW, context=F.col("context"),
                                              question=trim_space(F.col("question")))).alias("prompt"),
         F.when(blank, REPLY_BLANK_QUESTION).when(~found, REPLY_NO_REVIEWS).alias("reply"),
-        "total_found", "filtered_count", "used_count", "avg_similarity", "confidence",
-        F.when(found, confidence_note(F.col("confidence"))).alias("note"))
+        "total_found", "filtered_count", "used_count", "avg_similarity", "max_similarity", "min_similarity",
+        "retrieved_reviews", "confidence", F.when(found, confidence_note(F.col("confidence"))).alias("note"))
 
 
 def search_reviews(index: DataFrame, questions: DataFrame,
                    make_embedder: Callable = lambda: hashed_features) -> DataFrame:
     """Questions ``query_id, question`` to prompts: embed, search, select, assemble.
 
+    The questions' vectors are stored, so that a model sees each question once.
     The selected hits are stored: they are few and narrow, so the join that
     fetches their texts can broadcast them instead of shuffling all texts.
     """
-    asked = embed(questions.filter(~is_blank(F.col("question"))), "question", make_embedder)
+    asked = stored(embed(questions.filter(~is_blank(F.col("question"))), "question", make_embedder)
+                   .select("query_id", "embedding"), "questions")
     selected = stored(select_hits(nearest(index, asked.select("query_id", "embedding"))), "hits")
     return review_prompts(questions, with_content(selected, index))
 
 
 # --- answers ----------------------------------------------------------------
 def answer(prompts: DataFrame, make_model: Callable[[], Callable[[str], str]], fallback: str,
-           prompt_col: str = "prompt", fallback_fields: tuple[str, ...] = ()) -> DataFrame:
+           prompt_col: str = "prompt", fallback_fields: tuple[str, ...] = (), trim: bool = False) -> DataFrame:
     """Add ``result`` and ``error`` by calling a user-supplied model per prompt.
 
     A failing call leaves the job running: its row gets the fallback text, in
     which ``{error}`` stands for the reason and ``{name}`` for a listed column,
-    and the reason.
+    and the reason. ``trim`` takes white space off both ends of an answer, which
+    free chat asks for and the other handlers do not.
     """
     schema = T.StructType(prompts.schema.fields + [
         T.StructField("result", T.StringType()), T.StructField("error", T.StringType())])
@@ -194,7 +204,8 @@ def answer(prompts: DataFrame, make_model: Callable[[], Callable[[str], str]], f
         if row[prompt_col] is None:
             return None, None
         try:
-            return model(row[prompt_col]).strip(), None
+            text = model(row[prompt_col])
+            return text.strip() if trim else text, None
         except Exception as failure:  # noqa: BLE001 - any model error becomes a row
             text = fallback
             for name in fallback_fields:

@@ -12,7 +12,8 @@ from reviewloom.operators import retrieval, routing, subjects
 from reviewloom.operators.embed import hashed_features
 from reviewloom.session import stored
 
-FIGURES = ("total_found", "filtered_count", "used_count", "avg_similarity", "confidence", "note")
+FIGURES = ("retrieved_reviews", "total_found", "filtered_count", "used_count", "avg_similarity", "max_similarity",
+           "min_similarity", "confidence", "note")
 
 
 def session_states(messages: DataFrame, index: DataFrame, catalogue: DataFrame, reply_col: str | None = None,

@@ -119,7 +119,8 @@ def category_counts(spark, folder):
 
 
 def category_members(spark, folder):
-    return subjects.in_category(derived.subjects(spark, folder), "호텔").select("pos", "name")
+    """The subjects of every category."""
+    return subjects.category_members(derived.subjects(spark, folder))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -249,5 +250,5 @@ SQL = {
     "visitor_tips": f"""WITH {SUBJECTS} SELECT pos, name, unnest([0, 1])::BIGINT AS item_no, unnest([p_type, p_brand]) AS tip
         FROM subjects_v WHERE p_size % 4 <> 3""",
     "category_counts": f"WITH {SUBJECTS} SELECT category, count(*) AS n FROM subjects_v GROUP BY category",
-    "category_members": f"WITH {SUBJECTS} SELECT pos, name FROM subjects_v WHERE category = '호텔'",
+    "category_members": f"WITH {SUBJECTS} SELECT category, pos, name FROM subjects_v WHERE category IS NOT NULL",
 }

@@ -7,7 +7,7 @@ Each definition has an equal one in SQL in ``oracle_parts``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from reviewloom.fixed_values import DATE_LABEL, DEFAULT_PLACE, NAME_ENDINGS, SITES
 from reviewloom.functions.labels import or_default
@@ -19,6 +19,11 @@ from reviewloom.sources.tables import spread, table
 AS_OF = "2025-01-01 00:00:00"
 
 
+def pair_id(major: str, minor: str) -> Column:
+    """One number for a pair, the second part below 2**32."""
+    return F.shiftleft(F.col(major), 32) + F.col(minor)
+
+
 def lines(documents: DataFrame) -> DataFrame:
     """One row per line of a document, with the review columns."""
     numbered = documents.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "content"))
@@ -27,7 +32,7 @@ def lines(documents: DataFrame) -> DataFrame:
     return numbered.select(
         "doc_id", "line_no",
         F.element_at(F.array(*[F.lit(s) for s in SITES]), (F.col("doc_id") % 3 + 1).cast("int")).alias("site"),
-        (F.col("doc_id") * 1000000 + F.col("line_no")).alias("ingest_seq"),
+        pair_id("doc_id", "line_no").alias("ingest_seq"),
         F.when(F.col("doc_id") % 11 != 0, ((F.col("doc_id") + F.col("line_no")) % 7).cast("double")).alias("rating"),
         F.date_add(F.lit("2021-06-01").cast("date"), days).cast("timestamp").alias("date"),
         "content")
@@ -97,7 +102,7 @@ def user_messages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def numbered_messages(spark: SparkSession, folder: str) -> DataFrame:
-    return user_messages(spark, folder).select((F.col("conv_id") * 100000 + F.col("turn")).alias("msg_id"), "text")
+    return user_messages(spark, folder).select(pair_id("conv_id", "turn").alias("msg_id"), "text")
 
 
 def model_replies(spark: SparkSession, folder: str) -> DataFrame:

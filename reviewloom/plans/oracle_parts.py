@@ -20,7 +20,7 @@ def words(c: str) -> str:
 
 
 REVIEWS = f"""reviews_v AS (
-  SELECT doc_id, line_no, {SITE_LIST}[doc_id % 3 + 1] AS site, doc_id * 1000000 + line_no AS ingest_seq,
+  SELECT doc_id, line_no, {SITE_LIST}[doc_id % 3 + 1] AS site, doc_id * 4294967296 + line_no AS ingest_seq,
     CASE WHEN doc_id % 11 <> 0 THEN CAST((doc_id + line_no) % 7 AS DOUBLE) END AS rating,
     TIMESTAMP '2021-06-01' + to_days(CAST((doc_id * 37 + line_no) % 1600 AS INTEGER)) AS date, content
   FROM (SELECT doc_id, unnest(str_split(text, chr(10))) AS content,

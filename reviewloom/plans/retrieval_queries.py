@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reviewloom.fixed_values import INFO_WORDS, NOTE_HIGH, NOTE_LOW, PROMPT_CHAT, PROMPT_REVIEW, REVIEW_WORDS
+from reviewloom.fixed_values import INFO_WORDS, NO_REFERENCES, NOTE_HIGH, NOTE_LOW, PROMPT_CHAT, PROMPT_REVIEW, REVIEW_WORDS
 from reviewloom.functions.labels import chunk_source, hit_source
 from reviewloom.functions.vectors import l2_normalise
 from reviewloom.functions.text import split_words
@@ -74,7 +74,10 @@ def chunk_context(spark, folder):
 
 
 def reference_lines(spark, folder):
-    return retrieval.reference_lists(_content_hits(spark, folder))
+    """The reference lines of every vector's hits, and of one query that finds nothing."""
+    asked = derived.vector_queries(spark, folder).select("query_id")
+    nothing = spark.createDataFrame([(-1,)], "query_id long")
+    return retrieval.reference_lists(_content_hits(spark, folder), asked.unionByName(nothing))
 
 
 def document_hits(spark, folder):
@@ -88,8 +91,9 @@ def retriever_hits(spark, folder):
 def hit_lists(spark, folder):
     lists = retrieval.hit_lists(retrieval.document_hits(_content_hits(spark, folder)))
     shown = F.transform("retrieved_reviews", lambda h: F.concat_ws(
-        ":", h["rank"].cast("string"), h["chunk_index"].cast("string"), h["platform"]))
-    return lists.select("query_id", F.array_join(shown, ",").alias("hits"))
+        "|", h["rank"].cast("string"), h["chunk_index"].cast("string"), h["source_row"].cast("string"), h["platform"],
+        h["place"], h["date"], h["rating"].cast("string"), F.format_string("%.6f", h["score"]), h["chunk"]))
+    return lists.select("query_id", F.array_join(shown, "\n").alias("hits"))
 
 
 def source_strings(spark, folder):
@@ -122,7 +126,7 @@ def hash_embed_reviews(spark, folder):
 
 def _questions(spark, folder):
     rows = derived.messages(spark, folder).filter("role = 'user'")
-    return rows.select((F.col("conv_id") * 100000 + F.col("turn")).alias("query_id"), F.col("text").alias("question"))
+    return rows.select(derived.pair_id("conv_id", "turn").alias("query_id"), F.col("text").alias("question"))
 
 
 def _stored_index(spark, folder):
@@ -130,19 +134,28 @@ def _stored_index(spark, folder):
                       lambda: retrieval.build_index(derived.stored_clean(spark, folder)))
 
 
+def _shown_reviews(prompts: DataFrame) -> DataFrame:
+    """The retrieved reviews as text."""
+    shown = F.transform("retrieved_reviews", lambda h: F.concat_ws(
+        "|", h["rank"].cast("string"), h["source_row"].cast("string"), h["platform"], h["date"],
+        F.format_string("%.6f", h["score"]), h["chunk"]))
+    return prompts.withColumn("retrieved_reviews", F.array_join(shown, "\n"))
+
+
 def review_prompts(spark, folder):
     """User messages answered from the review index: embed, search, select, assemble."""
     prompts = retrieval.search_reviews(_stored_index(spark, folder), _questions(spark, folder))
-    return prompts.withColumn("avg_similarity", F.round("avg_similarity", 6))
+    return _shown_reviews(prompts.withColumn("avg_similarity", F.round("avg_similarity", 6)))
 
 
 def chat_states(spark, folder):
     """User messages through routing and all three handlers."""
     states = answering.session_states(derived.numbered_messages(spark, folder), _stored_index(spark, folder),
                                       derived.subjects(spark, folder))
-    return states.select(
-        "msg_id", "routing_decision", "review_query", "rag_context", "total_found", "filtered_count", "used_count",
-        F.round("avg_similarity", 6).alias("avg_similarity"), "confidence", "detected_category", "extracted_subject",
+    return _shown_reviews(states).select(
+        "msg_id", "routing_decision", "review_query", "rag_context", "retrieved_reviews", "total_found", "filtered_count",
+        "used_count", F.round("avg_similarity", 6).alias("avg_similarity"), "max_similarity", "min_similarity",
+        "confidence", "note", "reply", "detected_category", "extracted_subject",
         "found_subject_name", "info_type", "data_source", "prompt")
 
 
@@ -167,7 +180,9 @@ def _stub():
 def answered_messages(spark, folder):
     """The answer job with a deterministic stand-in for a model."""
     asked = derived.messages(spark, folder).filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("prompt"))
-    return retrieval.answer(asked, lambda: _stub(), "failed: {error}").select("conv_id", "turn", "result", "error")
+    plain = retrieval.answer(asked, lambda: _stub(), "failed: {error}").withColumnRenamed("result", "plain_result")
+    return retrieval.answer(plain.drop("error"), lambda: _stub(), "failed: {error}", trim=True).select(
+        "conv_id", "turn", F.col("plain_result").alias("result"), F.col("result").alias("trimmed_result"), "error")
 
 
 def answers_in_history(spark, folder):
@@ -209,6 +224,8 @@ _SEARCH = f"""{hashed('review_index', 'vec_id', 'content', 'doc_vec')}, {hashed(
           row_number() OVER (PARTITION BY p.query_id ORDER BY score DESC, p.vec_id) AS rank
           FROM all_pairs p LEFT JOIN shared s USING (query_id, vec_id) QUALIFY rank <= 10),
         {selected('ranked')}, figures AS ({_QUALITY}),
+        lists AS (SELECT query_id, string_agg(concat_ws('|', rank, vec_id, platform, date, format('{{:.6f}}', score), content),
+          chr(10) ORDER BY rank) AS retrieved_reviews FROM selected JOIN review_index USING (vec_id) GROUP BY query_id),
         ctx AS (SELECT query_id, string_agg(content || chr(10) || '(source: ' || {_HIT_SOURCE} || ', similarity: ' ||
           format('{{:.3f}}', score) || ')', chr(10) || chr(10) ORDER BY rank) AS context
           FROM selected JOIN review_index USING (vec_id) GROUP BY query_id)"""
@@ -272,11 +289,14 @@ SQL = {
     "reference_lines": f"""{_HITS}, l AS (SELECT *, replace({trimmed('content')}, chr(10), ' ') AS line FROM hits)
         SELECT query_id, string_agg('   - "' || CASE WHEN length(line) > 40 THEN substr(line, 1, 40) || '...' ELSE line END ||
           '" (플랫폼: ' || coalesce(platform, '') || ', 평점: ' || coalesce(CAST(rating AS VARCHAR), '') || ', 날짜: ' ||
-          coalesce(date, '') || ')', chr(10) ORDER BY rank) AS "references" FROM l GROUP BY query_id""",
+          coalesce(date, '') || ')', chr(10) ORDER BY rank) AS "references" FROM l GROUP BY query_id
+        UNION ALL SELECT q.query_id, '{NO_REFERENCES}' FROM (SELECT vec_id AS query_id FROM embeddings UNION ALL SELECT -1) q
+          WHERE q.query_id NOT IN (SELECT query_id FROM hits)""",
     "document_hits": f"""{_HITS} SELECT query_id, rank, content AS chunk, coalesce(platform, 'unknown') AS platform, place,
         coalesce(date, '') AS date, rating, vec_id AS source_row, vec_id AS chunk_index, score FROM hits""",
     "retriever_hits": f"""{_HITS} SELECT query_id, rank, content AS chunk, platform, subject, place, date, rating, '' AS url, score FROM hits""",
-    "hit_lists": f"""{_HITS} SELECT query_id, string_agg(rank || ':' || vec_id || ':' || coalesce(platform, 'unknown'), ',' ORDER BY rank) AS hits
+    "hit_lists": f"""{_HITS} SELECT query_id, string_agg(concat_ws('|', rank, vec_id, vec_id, coalesce(platform, 'unknown'), place,
+          coalesce(date, ''), CAST(rating AS VARCHAR), format('{{:.6f}}', score), content), chr(10) ORDER BY rank) AS hits
         FROM hits GROUP BY query_id""",
     "source_strings": f"WITH {CONTENTS} SELECT vec_id, {_HIT_SOURCE} AS hit_source, {_CHUNK_SOURCE} AS chunk_source FROM contents",
     "context_dedup": f"SELECT lang AS query_id, min(doc_id) AS rank FROM documents GROUP BY lang, {trimmed('text')}",
@@ -284,25 +304,29 @@ SQL = {
     "hash_embed_reviews": f"""WITH {CLEAN}, {hashed('clean', 'ingest_seq', 'content', 'vec')}
         SELECT ingest_seq, slot, round(CAST(w AS DOUBLE), 6) AS w FROM vec""",
     "review_prompts": f"""WITH {CLEAN}, {_INDEX},
-        asked AS (SELECT conv_id * 100000 + turn AS query_id, text AS question FROM conversations WHERE role = 'user'),
+        asked AS (SELECT conv_id * 4294967296 + turn AS query_id, text AS question FROM conversations WHERE role = 'user'),
         {_SEARCH}
         SELECT query_id, question, context, '{_HEAD}' || context || '{_MIDDLE}' || {trimmed('question')} || '{_TAIL}' AS prompt,
-          CAST(NULL AS VARCHAR) AS reply, total_found, filtered_count, used_count, avg_similarity, confidence,
+          CAST(NULL AS VARCHAR) AS reply, retrieved_reviews, total_found, filtered_count, used_count, avg_similarity,
+          max_similarity, min_similarity, confidence,
           CASE confidence WHEN 'low' THEN '{NOTE_LOW}' WHEN 'high' THEN '{NOTE_HIGH}'
             ELSE '' END AS note
-        FROM asked JOIN ctx USING (query_id) JOIN figures USING (query_id)""",
+        FROM asked JOIN ctx USING (query_id) JOIN figures USING (query_id) JOIN lists USING (query_id)""",
     "chat_states": f"""WITH {CLEAN}, {_INDEX}, {USER_MESSAGES}, {MENTIONS},
-        routed AS (SELECT conv_id * 100000 + turn AS query_id, msg_id, text,
+        routed AS (SELECT conv_id * 4294967296 + turn AS query_id, msg_id, text,
           {keyword_case('text', REVIEW_WORDS, INFO_WORDS)} AS routing_decision FROM user_messages),
         asked AS (SELECT query_id, text AS question FROM routed WHERE routing_decision = 'rag_review'),
         {_SEARCH}, subject_messages AS (SELECT * FROM routed WHERE routing_decision = 'subject_info'),
         {resolve_sql('subject_messages')}, described AS (SELECT pos, {MARKDOWN} AS details FROM subjects_v)
-        SELECT r.query_id AS msg_id, r.routing_decision, {trimmed('question')} AS review_query, context AS rag_context, total_found,
-          filtered_count, used_count, avg_similarity, confidence, detected_category, extracted_subject, found_subject_name,
+        SELECT r.query_id AS msg_id, r.routing_decision, {trimmed('question')} AS review_query, context AS rag_context, retrieved_reviews,
+          total_found, filtered_count, used_count, avg_similarity, max_similarity, min_similarity, confidence,
+          CASE confidence WHEN 'low' THEN '{NOTE_LOW}' WHEN 'high' THEN '{NOTE_HIGH}' WHEN 'none' THEN '' END AS note,
+          CAST(NULL AS VARCHAR) AS reply, detected_category, extracted_subject, found_subject_name,
           info_type, data_source, CASE r.routing_decision
             WHEN 'rag_review' THEN '{_HEAD}' || context || '{_MIDDLE}' || {trimmed('question')} || '{_TAIL}'
             WHEN 'subject_info' THEN {subject_prompt('s.text')} ELSE {quoted(PROMPT_CHAT)} END AS prompt
         FROM routed r LEFT JOIN asked a USING (query_id) LEFT JOIN ctx USING (query_id) LEFT JOIN figures USING (query_id)
+        LEFT JOIN lists USING (query_id)
         LEFT JOIN resolved_messages s ON s.query_id = r.query_id LEFT JOIN described ON pos = s.subject_pos""",
     "answers_in_history": f"""WITH {TURNS}, spoken AS (SELECT conv_id, max_by(text, turn) FILTER (role = 'user' AND text <> '') AS t
           FROM conversations GROUP BY conv_id)
@@ -310,6 +334,7 @@ SQL = {
         SELECT conv_id, coalesce((SELECT max(pair_no) FROM turn_pairs p WHERE p.conv_id = s.conv_id), 0) + 1, coalesce(t, ''),
           CAST(length(coalesce(t, '')) AS VARCHAR) FROM spoken s""",
     "answered_messages": """SELECT conv_id, turn,
-        CASE WHEN contains(text, '?') THEN 'failed: no answer' ELSE CAST(length(text) AS VARCHAR) END AS result,
+        CASE WHEN contains(text, '?') THEN 'failed: no answer' ELSE '  ' || length(text) || '  ' END AS result,
+        CASE WHEN contains(text, '?') THEN 'failed: no answer' ELSE CAST(length(text) AS VARCHAR) END AS trimmed_result,
         CASE WHEN contains(text, '?') THEN 'no answer' END AS error FROM conversations WHERE role = 'user'""",
 }

@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from reviewloom.fixed_values import DEFAULT_PLACE, SITES
 from reviewloom.functions.dates import parse_date
 from reviewloom.schemas import CLEAN_REVIEW, RAW_REVIEW
+from reviewloom.sources.arrival import numbered, with_places
 
-_RAW_FILE = r"reviews_([^/.]+)\.csv$"
-_SLASHES = r"(?<=:)/+"
-_ROW_BITS = (1 << 33) - 1
-_FILES_BROADCAST = 200_000
-_CLEAN_FILE = r"preprocessed_reviews_([^/.]+)\.csv$"
+# a file of that name, or a folder of that name with part files
+_RAW_FILE = r"/reviews_([^/.]+)\.csv(?:/[^/]*)?$"
+_CLEAN_FILE = r"/preprocessed_reviews_([^/.]+)\.csv(?:/[^/]*)?$"
 
 
 def _csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -30,32 +27,22 @@ def read_raw_csv(spark: SparkSession, path: str, site: str | None = None) -> Dat
     ``site`` names the site of every row; without it the site is taken from
     file names such as ``reviews_<site>.csv`` and files of unknown sites are
     skipped. ``ingest_seq`` grows with the file name and the row's place in the
-    file, which is the arrival order that first-wins rules need; it is not
-    consecutive.
+    file, which is the arrival order that first-wins rules need.
     """
-    raw = _csv(spark, path, RAW_REVIEW)
-    named = F.lit(site) if site else F.regexp_extract(F.col("_metadata.file_path"), _RAW_FILE, 1)
-    rows = raw.select(
-        named.alias("site"), F.regexp_replace(F.col("_metadata.file_path"), _SLASHES, "/").alias("file"),
-        F.monotonically_increasing_id().bitwiseAND(_ROW_BITS).alias("row"),
-        F.col("rating").try_cast("double").alias("rating"), "date", "content",
-    ).filter(F.col("site").isin(*SITES))
-    # a multi-line file is read by one task, so its row counter only grows
-    names = sorted(re.sub(_SLASHES, "/", name) for name in raw.inputFiles())
-    ranks = spark.createDataFrame(list(zip(names, range(len(names)))), "file string, file_no long")
-    ranks = F.broadcast(ranks) if len(names) <= _FILES_BROADCAST else ranks
-    return rows.join(ranks, "file").select(
-        "site", (F.col("file_no") * (_ROW_BITS + 1) + F.col("row")).alias("ingest_seq"), "rating", "date", "content")
+    rows = numbered(with_places(_csv(spark, path, RAW_REVIEW)).withColumn(
+        "site", F.lit(site) if site else F.regexp_extract(F.col("__file"), _RAW_FILE, 1)), "ingest_seq")
+    return rows.filter(F.col("site").isin(*SITES)).select(
+        "site", "ingest_seq", F.col("rating").try_cast("double").alias("rating"), "date", "content")
 
 
 def read_collection(spark: SparkSession, path: str, site: str) -> DataFrame:
     """A whole JSON-lines collection of one site without its ``_id``; empty is an error."""
     schema = T.StructType([T.StructField("_id", T.StringType()), *RAW_REVIEW.fields])
-    rows = spark.read.schema(schema).json(path).drop("_id")
-    if rows.isEmpty():
+    read = spark.read.schema(schema).json(path)
+    if read.isEmpty():
         raise ValueError(f"No data found in collection: {path}")
-    return rows.select(
-        F.lit(site).alias("site"), F.monotonically_increasing_id().alias("ingest_seq"),
+    return numbered(with_places(read).drop("_id"), "ingest_seq").select(
+        F.lit(site).alias("site"), "ingest_seq",
         F.col("rating").try_cast("double").alias("rating"), "date", "content",
     )
 
@@ -124,8 +111,9 @@ def write_clean_csv(df: DataFrame, path: str) -> None:
 def read_preprocessed_csv(spark: SparkSession, path: str) -> DataFrame:
     """Records to index from ``preprocessed_reviews_<site>.csv`` files.
 
-    Files that vanish or cannot be read are skipped. ``platform`` is the site in
-    the file name; subject and place are constants.
+    Files that vanish or cannot be read are skipped. ``site`` and ``platform``
+    are the site in the file name; subject and place are constants. ``meta``
+    holds them as the index needs it, so the records can be indexed as they are.
     """
     schema = T.StructType([
         T.StructField("rating", T.StringType()), T.StructField("date", T.StringType()),
@@ -136,13 +124,21 @@ def read_preprocessed_csv(spark: SparkSession, path: str) -> DataFrame:
     rows = (spark.read.schema(schema).option("header", True).option("multiLine", True)
             .option("quote", '"').option("escape", '"')
             .option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).csv(path))
-    return rows.select(
-        F.monotonically_increasing_id().alias("ingest_seq"),
-        "content", F.col("rating").try_cast("double").alias("rating"),
-        F.coalesce("date", F.lit("")).alias("date"),
-        F.regexp_extract(F.col("_metadata.file_path"), _CLEAN_FILE, 1).alias("platform"),
-        F.lit(DEFAULT_PLACE).alias("subject"), F.lit(DEFAULT_PLACE).alias("place"),
-    )
+    site = F.regexp_extract(F.col("__file"), _CLEAN_FILE, 1)
+    records = numbered(with_places(rows).withColumn("site", site), "ingest_seq").select(
+        "site", "ingest_seq", "content", F.col("rating").try_cast("double").alias("rating"),
+        F.coalesce("date", F.lit("")).alias("date"), F.col("site").alias("platform"),
+        F.lit(DEFAULT_PLACE).alias("subject"), F.lit(DEFAULT_PLACE).alias("place"))
+    return records.withColumn("meta", F.struct("platform", "subject", "place", "date", "rating", F.lit("").alias("url")))
+
+
+def write_preprocessed_csv(df: DataFrame, path: str) -> None:
+    """Cleaned reviews of one site in the published columns, in arrival order."""
+    columns = ("rating", "date", "content", "review_length", "tokenized_content", "weekday", "text_length")
+    (df.repartitionByRange("ingest_seq").sortWithinPartitions("ingest_seq")
+     .withColumn("tokenized_content", F.to_json("tokenized_content"))
+     .withColumn("date", F.date_format("date", "yyyy-MM-dd")).select(*columns)
+     .write.mode("overwrite").option("header", True).option("escape", '"').csv(path))
 
 
 def write_raw_csv(df: DataFrame, path: str) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reviewloom.fixed_values import INDEX_REQUIRED
 from reviewloom.schemas import INDEX, MESSAGES, SUBJECT, USERS
+from reviewloom.sources.arrival import numbered, with_places
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -16,7 +18,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def read_subjects(spark: SparkSession, path: str) -> DataFrame:
-    """Nested subject records with their list position; one object or a list of them.
+    """Nested subject records with their position by file name and list place; one object or a list of them.
 
     A missing path gives an empty table of the same schema.
     """
@@ -25,8 +27,8 @@ def read_subjects(spark: SparkSession, path: str) -> DataFrame:
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        rows = spark.createDataFrame([], SUBJECT)
-    return rows.withColumn("pos", F.monotonically_increasing_id())
+        return spark.createDataFrame([], SUBJECT).withColumn("pos", F.lit(0).cast("long"))
+    return numbered(with_places(rows), "pos")
 
 
 def read_users(spark: SparkSession, path: str) -> DataFrame:
@@ -44,10 +46,12 @@ def stream_messages(spark: SparkSession, path: str, bytes_per_batch: int = 512 *
 
 
 # --- vector index -----------------------------------------------------------
-def write_index(index: DataFrame, path: str) -> None:
-    """Write vectors with their metadata; an empty index writes nothing."""
-    if not index.isEmpty():
-        index.write.mode("overwrite").parquet(path)
+def write_index(index: DataFrame, path: str) -> bool:
+    """Write vectors with their metadata; an empty index writes nothing. Tells whether it wrote."""
+    if index.isEmpty():
+        return False
+    index.write.mode("overwrite").parquet(path)
+    return True
 
 
 def missing_index_fields(index: DataFrame) -> list[str]:
@@ -59,14 +63,22 @@ def missing_index_fields(index: DataFrame) -> list[str]:
 
 
 def load_index(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Read the index; where there is none, build and write it first."""
+    """Read the index; where there is none, build and write it first.
+
+    A stored index without a required field gives a warning. An empty build is
+    not written, and gives an empty index.
+    """
     try:
-        return spread(spark.read.parquet(path), "vec_id")
+        index = spark.read.parquet(path)
     except AnalysisException as error:
         if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-    build().write.mode("overwrite").parquet(path)
-    return spread(spark.read.schema(INDEX).parquet(path), "vec_id")
+        if not write_index(build(), path):
+            return spark.createDataFrame([], INDEX)
+        index = spark.read.schema(INDEX).parquet(path)
+    if lacking := missing_index_fields(index):
+        warnings.warn(f"the index at {path} lacks {', '.join(lacking)}", stacklevel=2)
+    return spread(index, "vec_id")
 
 
 def append_index(index_path: str, existing: DataFrame, added: DataFrame) -> None:

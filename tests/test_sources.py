@@ -158,3 +158,52 @@ def test_spread_only_when_tasks_are_few(spark, sf):
     assert tables.spread(few, "doc_id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     many = spark.range(100).repartition(50).withColumn("x", F.lit(1))
     assert tables.spread(many, "id") is many
+
+
+@pytest.mark.parametrize("split", ["128m", "2k"])
+def test_arrival_order_follows_names_and_places_not_sizes(spark, tmp_path, split):
+    """Files of 5, 50 and 500 rows, whole and cut into many blocks, in JSON and CSV."""
+    sizes = {"a": 5, "b": 50, "c": 500}
+    for name, n in sizes.items():
+        (tmp_path / f"{name}.json").write_text("".join(json.dumps({
+            "_id": f"{name}{i}", "rating": 1, "date": "2024.05.03", "content": f"{name} {i:04d}"}) + "\n" for i in range(n)))
+        (tmp_path / f"preprocessed_reviews_{name}.csv").write_text(
+            "rating,date,content,review_length,tokenized_content,weekday,text_length\n"
+            + "".join(f"5.0,2024-05-03,{name} {i:04d},1,[],,1\n" for i in range(n)))
+    expected = [f"{name} {i:04d}" for name, n in sizes.items() for i in range(n)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        for rows in (source.read_collection(spark, str(tmp_path / "*.json"), "kakaomap"),
+                     source.read_preprocessed_csv(spark, str(tmp_path / "preprocessed_reviews_*.csv"))):
+            got = rows.orderBy("ingest_seq").collect()
+            assert [r.content for r in got] == expected
+            assert [r.ingest_seq for r in got] == list(range(len(expected)))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_records_of_preprocessed_files_can_be_indexed(spark, tmp_path):
+    from reviewloom.operators import retrieval
+    clean = clean_rows(spark)
+    for site in ("kakaomap", "tripdotcom"):
+        source.write_preprocessed_csv(clean.filter(F.col("site") == site), str(tmp_path / f"preprocessed_reviews_{site}.csv"))
+    records = source.read_preprocessed_csv(spark, str(tmp_path / "preprocessed_reviews_*.csv"))
+    got = retrieval.build_index(records).orderBy("vec_id").collect()
+    assert [(r.vec_id, r.content, r.meta.platform) for r in got] == [
+        (0, "first good text", "kakaomap"), (1, "second good text", "kakaomap"), (2, "third good text", "tripdotcom")]
+
+
+def test_numbers_of_unlisted_groups_and_clumped_order(spark):
+    from reviewloom.operators.ordered import number_rows
+    rows = [("z", 1), ("b", 2**40), *(("a", n) for n in range(200)), ("a", 2**50), (None, 3)]
+    got = number_rows(spark.createDataFrame(rows, "g string, o long"), "g", "o", "n", ("b", "a")).orderBy("n").collect()
+    assert [r.n for r in got] == list(range(len(rows)))
+    assert [r.g for r in got][:1] == ["b"] and {r.g for r in got[-2:]} == {"z", None}
+
+
+def test_loading_warns_of_missing_fields_and_writes_no_empty_index(spark, tmp_path):
+    spark.createDataFrame([(0, "x")], "vec_id long, content string").write.parquet(str(tmp_path / "bare"))
+    with pytest.warns(UserWarning, match="lacks platform, date, rating"):
+        tables.load_index(spark, str(tmp_path / "bare"), lambda: None)
+    assert tables.load_index(spark, str(tmp_path / "new"), lambda: spark.createDataFrame([], INDEX)).count() == 0
+    assert not (tmp_path / "new").exists()

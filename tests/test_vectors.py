@@ -183,7 +183,7 @@ def test_failing_answers_stay_rows(spark):
             return f" {prompt}! "
         return call
     rows = spark.createDataFrame([("hello",), ("bad",), (None,)], "prompt string")
-    got = {r.prompt: (r.result, r.error) for r in retrieval.answer(rows, model, "sorry: {error}").collect()}
+    got = {r.prompt: (r.result, r.error) for r in retrieval.answer(rows, model, "sorry: {error}", trim=True).collect()}
     assert got == {"hello": ("hello!", None), "bad": ("sorry: down", "down"), None: (None, None)}
 
 
@@ -226,3 +226,40 @@ def test_numbers_are_consecutive(spark):
     got = number_rows(rows, "g", "o", "n", ("a", "b", "c")).orderBy("n").collect()
     assert [r.n for r in got] == list(range(5000))
     assert [(r.g, r.o) for r in got] == sorted((r.g, r.o) for r in got)
+
+
+def test_rows_without_a_usable_vector_take_no_part(spark):
+    rows = [(0, [1.0, 0.0]), (1, None), (2, [None, 1.0]), (3, [0.0, 1.0]), (4, [])]
+    stored_rows = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = stored_rows.withColumnRenamed("vec_id", "query_id")
+    for size in (64, 0):
+        got = knn.nearest(stored_rows, asked, 5, broadcast_bytes=size * 2**20).collect()
+        assert {(r.query_id, r.vec_id) for r in got} == {(q, v) for q in (0, 3) for v in (0, 3)}
+    assert knn.unusable(stored_rows).first()[0] == 3
+
+
+def test_a_query_without_hits_has_a_line_that_says_so(spark):
+    meta = "struct<platform:string,subject:string,place:string,date:string,rating:double,url:string>"
+    hits = spark.createDataFrame([(1, 1, "text", ("k", "s", "p", "d", 5.0, ""), 0.5)],
+                                 f"query_id long, rank int, content string, meta {meta}, score double")
+    got = {r.query_id: r.references for r in
+           retrieval.reference_lists(hits, spark.createDataFrame([(1,), (2,)], "query_id long")).collect()}
+    assert got[2] == "   - (관련 후기 없음)" and got[1].startswith('   - "text"')
+
+
+def test_a_model_sees_each_question_once(spark, tmp_path):
+    """Also where the questions are too many to be broadcast."""
+    from reviewloom.schemas import INDEX
+    seen = tmp_path / "seen"
+
+    def make():
+        def model(texts):
+            with seen.open("a") as out:
+                out.write("".join(f"{t}\n" for t in texts))
+            return [[1.0, 0.0] for _ in texts]
+        return model
+
+    index = spark.createDataFrame([(0, "one", ("k", "s", "p", "2024-05-03", 5.0, ""), [1.0, 0.0])], INDEX)
+    questions = spark.createDataFrame([(n, f"question {n}") for n in range(20)], "query_id long, question string")
+    assert retrieval.search_reviews(index, questions, make).count() == 20
+    assert sorted(seen.read_text().split("\n"))[1:] == sorted(f"question {n}" for n in range(20))
