@@ -28,7 +28,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reviewloom.llm.components import components
 from reviewloom.llm.words import pieces
@@ -133,26 +133,27 @@ def _linked(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Recor
         yield links(kept)
 
 
-def _tables(found: DataFrame, choices: list[tuple[int, int]]) -> DataFrame:
-    """Each fingerprint once per mask, as (table, part, bits)."""
-    choice = F.array(*(F.struct(F.lit(n).cast("long").alias("table"), F.lit(_signed(m)).cast("long").alias("mask"))
-                       for n, m in choices))
-    return (found.select("bits", F.explode(choice).alias("c"))
+def _mask(table: int, mask: int) -> Column:
+    return F.struct(F.lit(table).cast("long").alias("table"), F.lit(_signed(mask)).cast("long").alias("mask"))
+
+
+def _tables(found: DataFrame, choices: Column) -> DataFrame:
+    """Each fingerprint once per chosen mask, as (table, part, bits)."""
+    return (found.select("bits", F.explode(choices).alias("c"))
             .select("c.table", F.col("bits").bitwiseAND(F.col("c.mask")).alias("part"), "bits"))
 
 
 def links(found: DataFrame, radius: int) -> DataFrame:
     """Links u, v that connect all of the distinct fingerprints ``found`` within ``radius`` bits of each other."""
     first = masks(radius)
-    rows = _tables(found, list(enumerate(first)))
+    outer = [_mask(n, m) for n, m in enumerate(first)]
+    inner = [F.array(*(_mask(len(first) * (n + 1) + k, m | more) for k, more in enumerate(masks(radius, (2**64 - 1) ^ m))))
+             for n, m in enumerate(first)]
+    rows = _tables(found, F.array(*outer))
     counts = rows.groupBy("table", "part").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    at = F.col("table").cast("int")
     shared = rows.join(counts, ["table", "part"])
-    narrow = shared.where(F.col("n") <= BUCKET).select("table", "part", "bits")
-    for number, mask in enumerate(first):
-        inner = [(len(first) * (number + 1) + k, mask | more)
-                 for k, more in enumerate(masks(radius, (2**64 - 1) ^ mask))]
-        narrow = narrow.unionByName(_tables(
-            shared.where((F.col("n") > BUCKET) & (F.col("table") == number)).select("bits"), inner))
+    narrow = _tables(shared, F.when(F.col("n") <= BUCKET, F.array(F.array(*outer)[at])).otherwise(F.array(*inner)[at]))
     ordered = narrow.repartition("table", "part").sortWithinPartitions("table", "part", "bits")
     return ordered.mapInArrow(lambda batches: _linked(batches, radius), "u long, v long").distinct()
 
