@@ -20,12 +20,9 @@ def pair_turns(messages: DataFrame, width: int = RANGE_WIDTH) -> DataFrame:
     return merge_fragments(number_messages(messages, width=width))
 
 
-def number_messages(messages: DataFrame, before: DataFrame | None = None, width: int = RANGE_WIDTH) -> DataFrame:
+def number_messages(messages: DataFrame, width: int = RANGE_WIDTH) -> DataFrame:
     """Each message as its part of a pair: ``conv_id, turn, pair_no, user, assistant``.
 
-    ``before`` holds what earlier messages left behind, as ``conv_id, pairs,
-    is_open``; it takes part as a message at turn -1.
-
     A conversation may be longer than one task should hold, so it is cut into
     ranges of turns. Inside a range only its first message lacks a predecessor;
     one summary row per range settles that message and the count so far.
@@ -33,17 +30,13 @@ def number_messages(messages: DataFrame, before: DataFrame | None = None, width:
     is_user = F.col("role") == "user"
     rows = messages.filter(F.col("role").isin(*_ROLES)).select(
         "conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("leaves_open", is_user | (F.col("text") == "")).withColumn("pairs", F.lit(None).cast("long"))
-    if before is not None:
-        rows = rows.unionByName(before.select(
-            "conv_id", F.lit(-1).cast("long").alias("turn"), F.lit("before").alias("role"), F.lit("").alias("text"),
-            F.col("is_open").alias("leaves_open"), "pairs"))
+    rows = rows.withColumn("leaves_open", is_user | (F.col("text") == ""))
 
     inside = Window.partitionBy("conv_id", "range").orderBy("turn")
     seen = rows.withColumn("range", F.floor(F.col("turn") / F.lit(width))).withColumn(
         "was_open", F.lag("leaves_open").over(inside))
     # pairs opened here; NULL for an assistant message that begins a range
-    seen = seen.withColumn("opens", F.coalesce("pairs", F.when(is_user, 1).otherwise((~F.col("was_open")).cast("int"))))
+    seen = seen.withColumn("opens", F.when(is_user, 1).otherwise((~F.col("was_open")).cast("int")))
 
     ranges = seen.groupBy("conv_id", "range").agg(
         F.sum("opens").alias("n"), F.max(F.col("opens").isNull()).alias("unsettled"),
@@ -57,7 +50,7 @@ def number_messages(messages: DataFrame, before: DataFrame | None = None, width:
         F.coalesce(F.sum(F.coalesce("n", F.lit(0)) + F.col("first_opens")).over(all_before), F.lit(0)).alias("offset"))
 
     counted = seen.withColumn("local_no", F.coalesce(F.sum("opens").over(inside), F.lit(0)))
-    return counted.join(offsets, ["conv_id", "range"]).filter(F.col("role") != "before").select(
+    return counted.join(offsets, ["conv_id", "range"]).select(
         "conv_id", "turn", (F.col("offset") + F.col("first_opens") + F.col("local_no")).alias("pair_no"),
         F.when(is_user, F.col("text")).otherwise("").alias("user"),
         F.when(is_user, "").otherwise(F.col("text")).alias("assistant"))

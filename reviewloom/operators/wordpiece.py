@@ -10,13 +10,13 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from reviewloom.fixed_values import TOKEN_LIMIT
 
 UNKNOWN = "[UNK]"
+#: Default of the longest word that is cut; longer ones become one ``[UNK]``.
 WORD_LIMIT = 100
-VOCABULARY_ROWS = 500_000
 
 
 @lru_cache(maxsize=100_000)
@@ -34,35 +34,59 @@ def _words(text: str) -> list[str]:
     return "".join(f" {c} " if _is_wide(c) or _is_mark(c) else c for c in text).split()
 
 
-def _pieces(word: str, vocabulary: frozenset[str]) -> list[str]:
-    """Longest pieces from the left; later ones carry the ``##`` prefix."""
-    if len(word) > WORD_LIMIT:
-        return [UNKNOWN]
-    found, start = [], 0
-    while start < len(word):
-        prefix = "##" if start else ""
-        end = next((e for e in range(len(word), start, -1) if prefix + word[start:e] in vocabulary), None)
-        if end is None:
-            return [UNKNOWN]
-        found.append(prefix + word[start:end])
-        start = end
-    return found
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _split(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda text: _words(text) if isinstance(text, str) else [])
 
 
-def with_pieces(clean: DataFrame, vocabulary: DataFrame, limit: int = TOKEN_LIMIT) -> DataFrame:
-    """Replace ``tokenized_content`` by the first ``limit`` word pieces of ``content``.
+def _longest_first(word: Column, steps: Column) -> Column:
+    """Pieces of a word from the left; ``steps`` maps a place to the longest piece's length there."""
+    end = F.length(word) + 1
+    nothing = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("pieces"))
+
+    def step(done: Column, _: Column) -> Column:
+        size = F.try_element_at(steps, done["at"])
+        piece = F.concat(F.when(done["at"] > 1, "##").otherwise(""), F.substr(word, done["at"], size))
+        return (F.when(done["at"] >= end, done)
+                .when(size.isNull(), F.struct(end.alias("at"), F.array(F.lit(UNKNOWN)).alias("pieces")))
+                .otherwise(F.struct((done["at"] + size).alias("at"), F.concat(done["pieces"], F.array(piece)).alias("pieces"))))
+
+    return F.aggregate(F.sequence(F.lit(1), F.length(word)), nothing, step)["pieces"]
 
-    ``vocabulary`` has one column ``piece``. It is sent to every task, so more
-    than ``VOCABULARY_ROWS`` pieces are refused.
-    """
-    pieces = [r["piece"] for r in vocabulary.select("piece").distinct().limit(VOCABULARY_ROWS + 1).collect()]
-    if len(pieces) > VOCABULARY_ROWS:
-        raise ValueError(f"a vocabulary holds at most {VOCABULARY_ROWS} pieces")
-    shared = clean.sparkSession.sparkContext.broadcast(frozenset(pieces))
 
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        known = lru_cache(maxsize=100_000)(lambda word: _pieces(word, shared.value))
-        return texts.map(lambda t: [p for w in _words(t) for p in known(w)][:limit] if isinstance(t, str) else [])
+def cut_words(words: DataFrame, vocabulary: DataFrame, word_limit: int = WORD_LIMIT) -> DataFrame:
+    """``word, pieces`` of distinct words: longest pieces from the left, later ones with the ``##`` prefix.
 
-    return clean.withColumn("tokenized_content", cut("content"))
+    Every part of a word is looked up by an equi-join, so a vocabulary can have any size.
+    """
+    size = F.length("word")
+    parts = (
+        words.filter(size <= word_limit).select("word", F.explode(F.sequence(F.lit(1), size)).alias("at"))
+        .select("word", "at", F.explode(F.sequence(F.lit(1), size - F.col("at") + 1)).alias("n"))
+        .withColumn("piece", F.concat(F.when(F.col("at") > 1, "##").otherwise(""),
+                                      F.substr("word", "at", "n")))
+    )
+    known = vocabulary.select("piece").filter("piece IS NOT NULL").distinct()
+    steps = (parts.join(known, "piece").groupBy("word", "at").agg(F.max("n").alias("n"))
+             .groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("steps")))
+    return words.join(steps, "word", "left").select("word", F.when(
+        F.col("steps").isNull(), F.array(F.lit(UNKNOWN))).otherwise(_longest_first(F.col("word"), F.col("steps"))).alias("pieces"))
+
+
+def with_pieces(clean: DataFrame, vocabulary: DataFrame, limit: int = TOKEN_LIMIT,
+                word_limit: int = WORD_LIMIT) -> DataFrame:
+    """Replace ``tokenized_content`` by the first ``limit`` word pieces of ``content``.
+
+    ``vocabulary`` has one column ``piece`` and any length. Equal contents are cut
+    once; a NULL or empty content has no pieces.
+    """
+    # every word gives a piece, so words beyond the limit do not count
+    placed = clean.select("content").distinct().select(
+        "content", F.posexplode(F.slice(_split("content"), 1, limit)).alias("place", "word"))
+    cut = cut_words(placed.select("word").distinct(), vocabulary, word_limit)
+    ordered = F.array_sort(F.collect_list(F.struct("place", "pieces")))
+    tokens = placed.join(cut, "word").groupBy("content").agg(
+        F.slice(F.flatten(F.transform(ordered, lambda w: w["pieces"])), 1, limit).alias("__pieces"))
+    return clean.join(tokens, "content", "left").withColumn(
+        "tokenized_content", F.coalesce("__pieces", F.array().cast("array<string>"))).select(
+        *dict.fromkeys([*clean.columns, "tokenized_content"]))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from reviewloom.fixed_values import SITES
 from reviewloom.operators import extract, keyed
 from reviewloom.plans import chat_queries, derived, review_queries
-from reviewloom.plans.oracle_parts import HISTORY, USERS, trimmed
+from reviewloom.plans.oracle_parts import CLEAN, HISTORY, USERS, trimmed
 from reviewloom.session import shared_folder
 from reviewloom.sources.reviews import read_clean
 from reviewloom.sources.tables import stream_messages, table
@@ -101,10 +101,24 @@ def stream_clean_incremental(spark, folder):
     return review_queries.shown(read_clean(spark, sink))
 
 
+def stream_clean_batches(spark, folder):
+    """The same from three files that arrive one after the other, with copies across them."""
+    sink, checkpoint = shared_folder(spark, "clean-sink"), shared_folder(spark, "clean-progress")
+    arrived, documents = shared_folder(spark, "arrived"), table(spark, folder, "documents")
+    # by id, since the first of equal contents is the one that arrived first
+    documents.repartitionByRange(3, "doc_id").write.parquet(arrived)
+    stream = spark.readStream.schema(documents.schema).option("maxFilesPerTrigger", 1).option(
+        "latestFirst", False).parquet(arrived)
+    clean_stream.start_cleaning(derived.lines(stream), sink, checkpoint, derived.AS_OF).awaitTermination()
+    return read_clean(spark, sink).select("site", "content")
+
+
 def _streamed_pairs(start, spark: SparkSession, folder: str) -> DataFrame:
+    """Messages in three files dealt by a hash, so that each micro-batch brings late turns."""
     sink, checkpoint = shared_folder(spark, "pair-sink"), shared_folder(spark, "pair-progress")
-    stream = stream_messages(spark, f"{folder}/conversations*.parquet")
-    start(stream, sink, checkpoint).awaitTermination()
+    arrived = shared_folder(spark, "arrived")
+    table(spark, folder, "conversations").repartition(3, F.xxhash64("conv_id", "turn")).write.parquet(arrived)
+    start(stream_messages(spark, arrived, bytes_per_batch=1), sink, checkpoint).awaitTermination()
     return turn_stream.read_pairs(spark, sink)
 
 
@@ -119,7 +133,8 @@ def stream_live_turns(spark, folder):
 QUERIES = {f.__name__: f for f in (
     lookup_users, match_status, insert_absent, insert_absent_status, upsert_users, update_present,
     update_present_status, delete_present, delete_present_status, apply_changes, apply_changes_outcomes, page_items,
-    extract_first_site, extract_second_site, extract_third_site, stream_clean_incremental, stream_turn_state, stream_live_turns)}
+    extract_first_site, extract_second_site, extract_third_site, stream_clean_incremental,
+    stream_clean_batches, stream_turn_state, stream_live_turns)}
 
 _DAY = "DATE '2021-06-01' + CAST(doc_id % 1600 AS INTEGER)"
 _LINES = "all_lines AS (SELECT doc_id, unnest(str_split(text, chr(10))) AS line, unnest(range(0, len(str_split(text, chr(10))))) AS item_no FROM documents)"
@@ -183,6 +198,7 @@ SQL = {
         CASE WHEN doc_id % 2 = 0 THEN strftime({_DAY}, '%Y.%m.%d') ELSE strftime({_DAY}, '%Y-%m-%d') END AS date, {trimmed('line')} AS content
         FROM all_lines WHERE doc_id % 13 <> 0""",
     "stream_clean_incremental": review_queries.SQL["clean_reviews"],
+    "stream_clean_batches": f"WITH {CLEAN} SELECT site, content FROM clean",
     "stream_turn_state": chat_queries.SQL["turn_pairs"],
     "stream_live_turns": chat_queries.SQL["turn_pairs"],
 }

@@ -36,22 +36,32 @@ def test_a_batch_that_runs_again_leaves_no_second_copy(spark, tmp_path):
     assert read_clean(spark, sink).count() == 1
 
 
-def start_in_short_ranges(stream, sink, progress):
-    return turn_stream.start_pairing(stream, sink, progress, width=3)
-
-
-@pytest.mark.parametrize("start", [turn_stream.start_pairing, start_in_short_ranges, turn_stream.start_live_pairing])
-def test_pairing_in_batches_equals_one_batch(spark, tmp_path, start):
+@pytest.mark.parametrize("shuffled", [False, True])
+@pytest.mark.parametrize("start, width", [(turn_stream.start_pairing, 4096), (turn_stream.start_pairing, 3),
+                                          (turn_stream.start_live_pairing, 4096)])
+def test_pairing_in_batches_equals_one_batch(spark, tmp_path, start, width, shuffled):
     rnd = random.Random(8)
     rows = [(c, t, rnd.choice(["user", "assistant", "assistant", "system"]), rnd.choice(["", "x", "y", None]))
             for t in range(24) for c in range(12)]
+    if shuffled:
+        rnd.shuffle(rows)
     source, sink, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
     for first in range(0, len(rows), 60):
         spark.createDataFrame(rows[first:first + 60], MESSAGES).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(MESSAGES).option("maxFilesPerTrigger", 1).parquet(source)
         start(stream, sink, progress).awaitTermination()
     whole = pair_turns(spark.createDataFrame(rows, MESSAGES))
-    assert sorted(map(tuple, turn_stream.read_pairs(spark, sink).collect())) == sorted(map(tuple, whole.collect()))
+    assert sorted(map(tuple, turn_stream.read_pairs(spark, sink, width).collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_late_turns_take_their_place(spark, tmp_path):
+    for start in (turn_stream.start_pairing, turn_stream.start_live_pairing):
+        source, sink, progress = (str(tmp_path / start.__name__ / n) for n in ("in", "out", "progress"))
+        for rows in ([(1, 2, "user", "c")], [(1, 0, "user", "a"), (1, 1, "assistant", "b")]):
+            spark.createDataFrame(rows, MESSAGES).coalesce(1).write.mode("append").parquet(source)
+            start(spark.readStream.schema(MESSAGES).parquet(source), sink, progress).awaitTermination()
+        got = sorted(map(tuple, turn_stream.read_pairs(spark, sink).collect()))
+        assert got == [(1, 1, "a", "b"), (1, 2, "c", "")]
 
 
 def test_a_repeated_micro_batch_changes_nothing(spark, tmp_path):

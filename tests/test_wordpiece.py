@@ -25,10 +25,13 @@ def test_pieces_equal_a_public_tokenizer(spark, vocabulary):
     assert got == [known.encode(t, add_special_tokens=False).tokens for t in texts]
 
 
-def test_limit_null_and_size_check(spark, vocabulary, monkeypatch):
+def test_limits_null_and_a_long_vocabulary(spark, vocabulary):
     df = spark.createDataFrame([(0, "a " * 300), (1, None)], "i int, content string")
     got = [r.tokenized_content for r in wordpiece.with_pieces(df, vocabulary).orderBy("i").collect()]
     assert got == [["a"] * 250, []]
-    monkeypatch.setattr(wordpiece, "VOCABULARY_ROWS", 3)
-    with pytest.raises(ValueError):
-        wordpiece.with_pieces(df, vocabulary)
+    long = vocabulary.unionByName(spark.range(600_000).selectExpr("concat('piece', id) AS piece")).unionByName(vocabulary)
+    got = wordpiece.with_pieces(df, long.unionByName(spark.createDataFrame([(None,)], "piece string"))).orderBy("i").collect()
+    assert [r.tokenized_content for r in got] == [["a"] * 250, []]
+    words = spark.createDataFrame([("aaaa",)], "content string")
+    assert wordpiece.with_pieces(words, long, word_limit=3).first().tokenized_content == ["[UNK]"]
+    assert wordpiece.with_pieces(words, long, limit=2).first().tokenized_content == ["a", "##a"]
