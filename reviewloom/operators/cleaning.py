@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from reviewloom.fixed_values import (DATE_MIN, LENGTH_ABOVE, LENGTH_BELOW, RATING_MAX, RATING_MIN,
                                      SOURCE_CAP, TOKEN_LIMIT)
@@ -12,6 +12,7 @@ from reviewloom.functions.text import strip_specials, tokens, trim_space
 _EMAIL = r"^[A-Za-z0-9!#$%&'*+/=?^_`{|}~.-]{1,64}@([A-Za-z0-9]([A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}$"
 
 _SLICES = 256
+_FIXED = (T.NumericType, T.TimestampType, T.DateType, T.BooleanType)
 
 
 def _as_of(as_of: str | None) -> Column:
@@ -51,9 +52,15 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key in ``order``.
 
     An aggregation, not a window: each task sends at most one row per key, so
-    copies that fill a third of the table cost no more than others.
+    copies that fill a third of the table cost no more than others. Where one
+    column orders the rows and the others have a fixed size, each is carried by
+    itself, and Spark hashes instead of sorting whole texts; the order is then
+    unique within a key, or equal rows are taken for each other.
     """
-    rest = F.struct(*[F.col(c) for c in df.columns if c not in keys])
+    others = [c for c in df.columns if c not in keys]
+    if len(order) == 1 and all(isinstance(df.schema[c].dataType, _FIXED) for c in others):
+        return df.groupBy(*keys).agg(*[F.min_by(c, order[0]).alias(c) for c in others]).select(*df.columns)
+    rest = F.struct(*[F.col(c) for c in others])
     first = df.groupBy(*keys).agg(F.min_by(rest, F.struct(*order)).alias("__first"))
     return first.select(*keys, "__first.*").select(*df.columns)
 

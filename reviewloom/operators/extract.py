@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from reviewloom.functions.dates import normalise_labelled_date
@@ -203,6 +203,10 @@ def read_page(html: str, rules: Rules) -> list[dict[str, str | None]]:
     return [{name: page.read(item, f) for name, f in rules.fields.items()} for item in page.all(page.root, rules.item)]
 
 
+#: Items that a task gathers before it hands them on.
+_ITEMS = 4096
+
+
 # --- page tables ------------------------------------------------------------
 def extract_items(pages: DataFrame, rules: Rules, carry: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """One row per item: the carried page columns, its place on the page and its field texts."""
@@ -210,16 +214,29 @@ def extract_items(pages: DataFrame, rules: Rules, carry: tuple[str, ...] = ("pag
     types = dict(pages.dtypes)
     schema = ", ".join([f"{c} {types[c]}" for c in carry] + ["item_no long"] + [f"{n} string" for n in names])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for page in batch.to_dict("records"):
-                for number, item in enumerate(read_page(page["html"], rules)):
-                    rows.append([page[c] for c in carry] + [number] + [item[n] for n in names])
-            yield pd.DataFrame(rows, columns=[*carry, "item_no", *names])
+            pages_of, numbers, texts = [], [], {n: [] for n in names}
+
+            def rows() -> pa.RecordBatch:
+                fields = [pa.array(texts[n], pa.string()) for n in names]
+                kept = batch.select(list(carry)).take(pa.array(pages_of, pa.int32()))
+                return pa.RecordBatch.from_arrays([*kept.columns, pa.array(numbers, pa.int64()), *fields],
+                                                  [*carry, "item_no", *names])
+
+            for at, html in enumerate(batch.column(len(carry))):
+                for number, item in enumerate(read_page(html.as_py(), rules)):
+                    pages_of.append(at)
+                    numbers.append(number)
+                    for n in names:
+                        texts[n].append(item[n])
+                if len(numbers) >= _ITEMS:
+                    yield rows()
+                    pages_of, numbers, texts = [], [], {n: [] for n in names}
+            yield rows()
 
     # pages without the marker never reach Python
-    return pages.filter(F.col("html").contains(rules.marker)).select(*carry, "html").mapInPandas(run, schema)
+    return pages.filter(F.col("html").contains(rules.marker)).select(*carry, "html").mapInArrow(run, schema)
 
 
 def extract_reviews(pages: DataFrame, site: str, carry: tuple[str, ...] = ("page_id",)) -> DataFrame:

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from reviewloom.fixed_values import (MSG_DELETED, MSG_EXISTS, MSG_LOGIN, MSG_MISMATCH, MSG_NOT_FOUND,
                                      MSG_REGISTERED, MSG_UPDATED)
 from reviewloom.operators.ordered import carry_forward, drop_range
-from reviewloom.session import stored
 
 OPS = ("login", "register", "upsert", "update", "delete")
 _CHANGE_RANGE = 65536
@@ -104,8 +103,6 @@ def _history(table: DataFrame, changes: DataFrame) -> DataFrame:
                 .when(op == "delete", F.struct(nothing.alias("v"))))
     events = events.withColumn("sets_present", present)
     events = events.withColumn("sets_password", password).withColumn("sets_username", username)
-    # both sides of the next step read it, so it is computed once
-    events = stored(events, "changes")
     carried = carry_forward(events, ["email"], "seq",
                             {"old_password": F.col("sets_password"), "old_username": F.col("sets_username")},
                             _CHANGE_RANGE)
@@ -138,10 +135,10 @@ def _envelope(events: DataFrame) -> DataFrame:
 def apply_changes(table: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Apply changes in ``seq`` order: the table after them and one outcome per change.
 
-    The changes with the state before each are stored in the shared folder, and
-    both results read them there.
+    Both results come from one plan and nothing is written; a caller who needs
+    both can store the history first.
     """
-    events = stored(_history(table, changes), "history")
+    events = _history(table, changes)
 
     def last_set(column: str) -> Column:
         return F.max_by(F.col(column), F.when(F.col(column).isNotNull(), F.col("seq")))

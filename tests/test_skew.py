@@ -79,3 +79,35 @@ def test_scans_read_only_what_is_used(spark, sf):
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan(queries["weekday_summary"](spark, sf))
     assert "PushedFilters: [EqualTo(role,user)" in plan(queries["route_messages"](spark, sf)).replace("IsNotNull(role), ", "")
     assert "ReadSchema: struct<conv_id:bigint,turn:bigint,role:string,text:string>" in plan(queries["turn_pairs"](spark, sf))
+
+
+def test_rows_of_a_hot_key_are_dealt_by_range(spark, messages):
+    """Every exchange that carries messages deals them by conversation and range, so no task gets a whole key."""
+    import re
+    numbered = conversations.number_messages(messages, width=1000)
+    assert numbered.count() == ROWS
+    text = plan(numbered)
+    dealt = re.findall(r"hashpartitioning\((conv_id#\d+L?)(, range#\d+L?)?", text)
+    assert dealt and any(with_range for _, with_range in dealt)
+    # the exchange by conversation alone carries one summary row per range
+    per_range = messages.groupBy("conv_id", F.floor(F.col("turn") / 1000).alias("range")).count()
+    assert per_range.agg(F.max("count")).first()[0] <= 1000
+    assert per_range.filter("conv_id = -1").count() == ROWS // 1000
+
+
+def jobs_while_building(spark, name, sf):
+    group = f"build {name}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        entry_point.queries()[name](spark, sf)
+    finally:
+        spark.sparkContext.setJobGroup("rest", "rest")
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+@pytest.mark.parametrize("name", ["resolve_messages", "subject_lookup", "subject_mentions", "subject_prompts",
+                                  "top_keywords_by_site", "keyword_pivot", "wordpiece_reviews", "apply_changes",
+                                  "apply_changes_outcomes", "clean_reviews", "turn_pairs"])
+def test_building_a_plan_starts_no_work(spark, sf, name):
+    """Reading a table's schema is a job; nothing else runs before an action."""
+    assert jobs_while_building(spark, name, sf) <= 4
