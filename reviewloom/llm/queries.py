@@ -97,6 +97,39 @@ SQL = {
         r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id,
                      score FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op6_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        w AS (SELECT doc_id, unnest(range(1, len(words) - 48)) AS place, unnest(list_transform(range(1, len(words) - 48),
+                  lambda i: md5(array_to_string(list_slice(words, i, i + 49), ' ')))) AS passage
+              FROM d WHERE len(words) >= 50),
+        seen AS (SELECT passage, min(doc_id) AS least FROM w GROUP BY passage),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(place, place + 50)) AS place
+                 FROM w JOIN seen USING (passage) WHERE least < doc_id),
+        placed AS (SELECT doc_id, unnest(range(1, len(words) + 1)) AS place, unnest(words) AS word FROM d),
+        kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS text
+                 FROM placed ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id)
+        SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed,
+               sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
+    # the main text of the generated pages is what their article element holds
+    "op8_html_extraction": r"""
+        WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS inside FROM pages),
+        b AS (SELECT page_id, url, list_transform(regexp_split_to_array(inside, '</?(p|h1)>'),
+                  lambda x: trim(regexp_replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', ' ', 'g'),
+                      '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))) AS blocks FROM a),
+        t AS (SELECT page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM b)
+        SELECT page_id, url, text, length(text) AS n_chars FROM t""",
+    # CRC-32 bit by bit; shards by the middle of each document among all bytes
+    "op9_sharding": r"""
+        WITH d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 8 AS size,
+                       xor(4294967295, list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
+                           lambda x: ('0x' || x)::BIGINT), lambda crc, x: list_reduce(range(8),
+                           lambda c, i: xor(c >> 1, (c & 1) * 3988292384), xor(crc, x)), 4294967295)) AS text_crc32
+                   FROM documents),
+        s AS (SELECT *, coalesce(sum(size) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+                     sum(size) OVER () AS total FROM d),
+        p AS (SELECT *, ((2 * before + size) * 24 // (2 * total))::INTEGER AS shard FROM s)
+        SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot,
+               NULL::INTEGER AS grown_shard FROM p""",
     "op7_mixing": r"""
         WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
                        CASE WHEN regexp_extract(coalesce(source, ''), '([0-9]{1,9})', 1) = '' THEN 'domain'
