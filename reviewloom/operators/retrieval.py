@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from reviewloom.fixed_values import (DEFAULT_PLACE, INDEX_LENGTH_ABOVE, KEEP_AT_LEAST, KEEP_AT_MOST, MMR_FETCH,
@@ -236,23 +237,54 @@ def select_diverse(candidates: DataFrame, queries: DataFrame, k: int = MMR_KEEP,
     similar candidate; each further one weighs similarity against the closest
     earlier pick. Ties go to the lower ``vec_id``.
     """
-    def pick(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("vec_id")
-        vectors = np.vstack(block["embedding"].to_numpy()).astype("float64")
-        query = np.asarray(block["query"].iloc[0], dtype="float64")
+    def pick(vec_ids: np.ndarray, vectors: np.ndarray, query: np.ndarray) -> tuple[list[int], np.ndarray]:
         relevance = np.round(vectors @ query, 6)
         alike = np.round(vectors @ vectors.T, 6)
         chosen = [int(relevance.argmax())]
-        while len(chosen) < min(k, len(block)):
+        while len(chosen) < min(k, len(vec_ids)):
             value = np.round(balance * relevance - (1 - balance) * alike[:, chosen].max(axis=1), 6)
             value[chosen] = -np.inf
             chosen.append(int(value.argmax()))
-        return pd.DataFrame({
-            "query_id": block["query_id"].iloc[chosen].to_numpy(), "vec_id": block["vec_id"].iloc[chosen].to_numpy(),
-            "score": relevance[chosen], "rank": np.arange(1, len(chosen) + 1, dtype="int32")})
-
-    paired = candidates.join(queries.select("query_id", F.col("embedding").alias("query")), "query_id")
-    return paired.groupBy("query_id").applyInPandas(pick, "query_id long, vec_id long, score double, rank int")
+        return chosen, relevance[chosen]
+
+    def matrix(column: pa.Array) -> np.ndarray:
+        return column.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(column), -1)
+
+    def select(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.combine_chunks().to_batches()[0]
+        query_ids, vec_ids = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("query_id", "vec_id"))
+        vectors, queries = matrix(rows.column("embedding")), matrix(rows.column("query"))
+        begin = np.flatnonzero(np.append(True, query_ids[1:] != query_ids[:-1]))
+        places, scores, ranks = [], [], []
+        for at, end in zip(begin, np.append(begin[1:], len(query_ids))):
+            chosen, score = pick(vec_ids[at:end], vectors[at:end], queries[at])
+            places += [at + c for c in chosen]
+            scores.append(score)
+            ranks += range(1, len(chosen) + 1)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(query_ids[places]), pa.array(vec_ids[places]), pa.array(np.concatenate(scores)),
+             pa.array(ranks, pa.int32())], ["query_id", "vec_id", "score", "rank"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Many queries at a time; the last query of a batch waits for the next one."""
+        held: pa.Table | None = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            query_ids = rows.column("query_id").to_numpy()
+            cut = int(np.argmax(query_ids == query_ids[-1]))
+            if cut:
+                yield select(rows.slice(0, cut))
+            held = rows.slice(cut)
+        if held is not None:
+            yield select(held)
+
+    paired = candidates.join(queries.select("query_id", F.col("embedding").alias("query")), "query_id").select(
+        F.col("query_id").cast("long").alias("query_id"), F.col("vec_id").cast("long").alias("vec_id"), "embedding", "query")
+    return paired.repartition("query_id").sortWithinPartitions("query_id", "vec_id").mapInArrow(
+        run, "query_id long, vec_id long, score double, rank int")
 
 
 def diverse(vectors: DataFrame, queries: DataFrame, k: int = MMR_KEEP, fetch_k: int = MMR_FETCH,
