@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reviewloom.fixed_values import INFO_WORDS, NO_REFERENCES, NOTE_HIGH, NOTE_LOW, PROMPT_CHAT, PROMPT_REVIEW, REVIEW_WORDS
+from reviewloom.fixed_values import (INFO_WORDS, NO_REFERENCES, NOTE_HIGH, NOTE_LOW, PROMPT_CHAT, PROMPT_REVIEW,
+                                     REPLY_CHAT_FAILED, REPLY_REVIEW_FAILED, REPLY_SUBJECT_FAILED, REVIEW_WORDS)
 from reviewloom.functions.labels import chunk_source, hit_source
 from reviewloom.functions.vectors import l2_normalise
 from reviewloom.functions.text import split_words
@@ -159,6 +160,32 @@ def chat_states(spark, folder):
         "found_subject_name", "info_type", "data_source", "prompt")
 
 
+def _checking_model():
+    def model(prompt: str) -> str:
+        if len(prompt) % 3 == 0:
+            raise ValueError("no answer")
+        return f" {len(prompt)} "
+    return model
+
+
+def _answered(spark, folder) -> DataFrame:
+    states = answering.session_states(derived.numbered_messages(spark, folder), _stored_index(spark, folder),
+                                      derived.subjects(spark, folder))
+    answers = answering.answer_states(states, lambda: _checking_model())
+    return stored(answers.withColumns({"conv_id": F.shiftright("msg_id", 32),
+                                       "turn": F.col("msg_id").bitwiseAND((1 << 32) - 1)}), "answers")
+
+
+def answered_states(spark, folder):
+    """Every message answered by its handler, with a stand-in for the model that fails at times."""
+    return _answered(spark, folder).select("conv_id", "turn", "routing_decision", "result", "said", "error")
+
+
+def handled_history(spark, folder):
+    """The history of each conversation after its messages were answered, by the handlers' own rules."""
+    return answering.answered_history(conversations.pair_turns(derived.messages(spark, folder)), _answered(spark, folder))
+
+
 def wordpiece_reviews(spark, folder):
     """Word pieces by a vocabulary of the characters in use and the benchmark's words."""
     clean = derived.cleaned(spark, folder).select("ingest_seq", "content")
@@ -202,7 +229,7 @@ def mmr_select(spark, folder):
 QUERIES = {f.__name__: f for f in (
     knn_top10, knn_label_profiles, knn_blockwise, hits_above_threshold, knn_threshold_floor, retrieval_quality,
     context_block, chunk_context, reference_lines, document_hits, retriever_hits, hit_lists, source_strings,
-    context_dedup, review_index, hash_embed_reviews, wordpiece_reviews, review_prompts, chat_states, answered_messages, answers_in_history,
+    context_dedup, review_index, hash_embed_reviews, wordpiece_reviews, review_prompts, chat_states, answered_states, handled_history, answered_messages, answers_in_history,
     mmr_select)}
 
 _KNN = f"WITH {TOP10} SELECT query_id, vec_id, score, rank FROM top10"
@@ -338,3 +365,19 @@ SQL = {
         CASE WHEN contains(text, '?') THEN 'failed: no answer' ELSE CAST(length(text) AS VARCHAR) END AS trimmed_result,
         CASE WHEN contains(text, '?') THEN 'no answer' END AS error FROM conversations WHERE role = 'user'""",
 }
+
+_FAILED = "length(prompt) % 3 = 0"
+_SAID = f"""said AS (SELECT msg_id >> 32 AS conv_id, msg_id & 4294967295 AS turn, s.*,
+      CASE routing_decision WHEN 'chat' THEN CASE WHEN {_FAILED} THEN '{REPLY_CHAT_FAILED}' ELSE length(prompt)::VARCHAR END
+        WHEN 'rag_review' THEN CASE WHEN {_FAILED} THEN replace('{REPLY_REVIEW_FAILED}', '{{error}}', 'no answer')
+          ELSE ' ' || length(prompt) || ' ' END END AS said FROM ({SQL["chat_states"]}) s)"""
+SQL["answered_states"] = f"""WITH {_SAID} SELECT conv_id, turn, routing_decision,
+    CASE routing_decision WHEN 'rag_review' THEN said || CASE WHEN {_FAILED} THEN '' ELSE note END
+      WHEN 'subject_info' THEN CASE WHEN {_FAILED} THEN replace('{REPLY_SUBJECT_FAILED}', '{{subject}}', extracted_subject)
+        ELSE ' ' || length(prompt) || ' ' END ELSE said END AS result,
+    said, CASE WHEN {_FAILED} AND routing_decision <> 'chat' THEN 'no answer' END AS error FROM said"""
+SQL["handled_history"] = f"""WITH {TURNS}, {USER_MESSAGES}, {_SAID},
+    ends AS (SELECT conv_id, max(pair_no) AS last_no FROM turn_pairs GROUP BY conv_id)
+    SELECT conv_id, pair_no, "user", assistant FROM turn_pairs UNION ALL
+    SELECT conv_id, coalesce(last_no, 0) + row_number() OVER (PARTITION BY conv_id ORDER BY turn), text, said
+    FROM said JOIN user_messages USING (conv_id, turn) LEFT JOIN ends USING (conv_id) WHERE said IS NOT NULL"""
