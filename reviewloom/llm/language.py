@@ -92,7 +92,10 @@ def _trigrams(batch: pa.RecordBatch, text: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def _fit(rows: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages and the log-likelihood of each trigram in each; the last column is no language."""
+    """Languages and the log-likelihood of each trigram in each; the last column is no language.
+
+    ``rows`` has declared, text and draw, a hash of the row.
+    """
     counted = (rows.where("declared IS NOT NULL").groupBy("declared").count()
                .where(F.col("count") >= LEAST_ROWS).orderBy(F.desc("count"), "declared").limit(LANGUAGES).collect())
     sizes = {r["declared"]: r["count"] for r in counted}
@@ -100,7 +103,7 @@ def _fit(rows: DataFrame) -> tuple[list[str], np.ndarray]:
     if not names:
         return [], np.zeros((BUCKETS, 1), np.float32)
     part = F.create_map(*(F.lit(x) for name in names for x in (name, SAMPLE / sizes[name])))[F.col("declared")]
-    drawn = F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 20)) < part * (1 << 20)
+    drawn = F.pmod(F.col("draw"), F.lit(1 << 20)) < part * (1 << 20)
 
     def profile(key: tuple[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
@@ -151,7 +154,9 @@ def identify(rows: DataFrame, text: Column, declared: Column, suffix: Column, ho
                                  host.alias("host"),
                                  F.coalesce(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1), F.lit("")).alias("parent"))
                         .alias("evidence"), text.alias("text"))
-    names, model = _fit(given.select(F.col("evidence.declared").alias("declared"), "text"))
+    # drawn by row: all copies of one text must not be drawn together
+    names, model = _fit(given.select(F.col("evidence.declared").alias("declared"), "text",
+                                     F.xxhash64("evidence.keep", "text").alias("draw")))
     kinds = model.shape[1]
     shape = given.schema["evidence"].dataType.simpleString()
     read = stored(given.mapInArrow(
