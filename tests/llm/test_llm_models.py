@@ -163,6 +163,8 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><b
 def test_page_lines():
     assert [text for text, _ in page_diff.page_lines(PAGE)] == [
         "Title & more", "First line goes on bold .".replace(" .", "."), "Second <b>", "One", "two and text"]
+    header = "<article><header><h1>Headline</h1><p>By <a href=x>me</a></p><h2>Sub</h2></header><p>Body</p></article>"
+    assert [text for text, _ in page_diff.page_lines(header)] == ["Headline", "Sub", "Body"]
     assert page_diff.page_lines("") == [] and page_diff.page_lines("plain text") == [("plain text", True)]
     assert page_diff.page_lines("<p>a < b & c<p>x<unclosed 'q") == [("a < b & c", True), ("x<unclosed 'q", True)]
     assert [t for t, _ in page_diff.page_lines("<div class='sidebar-left'><article><p>In a frame</p></article></div>")] == ["In a frame"]
