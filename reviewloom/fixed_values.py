@@ -6,7 +6,6 @@ templates. Nothing here is logic.
 
 # --- sites and calendar -----------------------------------------------------
 SITES = ("kakaomap", "myrealtrip", "tripdotcom")
-SITE_LABELS = {"kakaomap": "KakaoMap", "myrealtrip": "MyRealTrip", "tripdotcom": "Trip.com"}
 WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
 
 # --- cleaning limits --------------------------------------------------------

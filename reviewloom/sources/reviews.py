@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from reviewloom.fixed_values import DEFAULT_PLACE, SITES
-from reviewloom.functions.dates import parse_date
 from reviewloom.schemas import CLEAN_REVIEW, RAW_REVIEW
 from reviewloom.sources.arrival import numbered, with_places
 
@@ -145,7 +144,3 @@ def write_raw_csv(df: DataFrame, path: str) -> None:
     """Scraped reviews, only the three published columns."""
     (df.select("rating", "date", "content").write.mode("overwrite")
      .option("header", True).option("escape", '"').csv(path))
-
-
-def with_parsed_date(df: DataFrame) -> DataFrame:
-    return df.withColumn("date", parse_date(F.col("date")))
