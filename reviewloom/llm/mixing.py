@@ -59,16 +59,21 @@ def budgets(leaves: DataFrame, total: Column, weights: dict[str, dict[str, int]]
             tree: tuple[str, ...] = TREE) -> DataFrame:
     """The budget (a fraction of a token may remain) of each leaf; ``leaves`` has the tree columns and tokens.
 
-    ``total`` is an aggregate over the leaves' tokens.
+    ``total`` may use ``all_tokens``, the tokens of all leaves.
     """
     able = leaves.withColumn("capacity", F.col("tokens") * epochs)
-    able = able.withColumn("root", F.lit(0))
-    parent = able.groupBy("root").agg(F.least(total, F.sum("capacity")).cast("double").alias("budget"))
+    parent = None
     for depth, name in enumerate(tree):
-        above, here = ["root", *tree[:depth]], ["root", *tree[:depth + 1]]
-        nodes = able.groupBy(*here).agg(F.sum("capacity").cast("double").alias("capacity")).withColumn(
+        above, here = list(tree[:depth]), list(tree[:depth + 1])
+        nodes = able.groupBy(*here).agg(F.sum("capacity").cast("double").alias("capacity"),
+                                        F.sum("tokens").alias("all_tokens")).withColumn(
             "weight", _weight(name, weights.get(name, {})))
-        nodes = nodes.join(parent, above)
+        if parent is None:  # the root divides its budget among a few names
+            every = Window.partitionBy()
+            nodes = nodes.withColumn("all_tokens", F.sum("all_tokens").over(every)).withColumn(
+                "budget", F.least(total.cast("double"), F.sum("capacity").over(every)))
+        else:
+            nodes = nodes.join(parent, above)
         order = Window.partitionBy(*above).orderBy((F.col("capacity") / F.nullif("weight", F.lit(0.0))).asc_nulls_last(),
                                                    name)
         before = F.coalesce(F.sum("capacity").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
@@ -78,7 +83,7 @@ def budgets(leaves: DataFrame, total: Column, weights: dict[str, dict[str, int]]
             .withColumn("level", F.coalesce(F.max("level").over(Window.partitionBy(*above)), F.lit(0.0)))
             .select(*here, F.least("capacity", F.col("level") * F.col("weight")).alias("budget"))
         )
-    return parent.drop("root")
+    return parent
 
 
 def _rows(docs: DataFrame, tree: tuple[str, ...], places: dict[str, Column], id_column: str,
@@ -98,7 +103,7 @@ def select_prefixes(docs: DataFrame, weights: dict[str, dict[str, int]], share:
     places = {"domain": domain_of(F.col("source"))} if places is None else places
     rows = _rows(docs, tree, places, id_column, text_column)
     leaves = rows.groupBy(*tree).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"))
-    given = budgets(leaves, F.floor(F.sum("tokens") * share), weights, epochs, tree)
+    given = budgets(leaves, F.floor(F.col("all_tokens") * share), weights, epochs, tree)
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     every = Window.partitionBy()
     plan = (
