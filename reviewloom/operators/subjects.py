@@ -47,13 +47,11 @@ def _held(texts: DataFrame, words: DataFrame) -> DataFrame:
     grams = words.filter(F.length("word") >= GRAM).select("word", F.explode(_runs(F.col("word"), GRAM)).alias("run"))
     spread = grams.groupBy("run").agg(F.count("*").alias("n"))
     rarest = grams.join(spread, "run").groupBy("word").agg(F.min(F.struct("n", "run"))["run"].alias("run"))
-    short = words.filter(F.length("word").between(1, GRAM - 1)).select("word", F.col("word").alias("run"))
-    runs = F.concat(_short_runs(F.col("text")), _runs(F.col("text"), GRAM))
+    short = words.filter(F.length("word") < GRAM).select("word", F.col("word").alias("run"))
+    runs = F.concat(F.array(F.lit("")), _short_runs(F.col("text")), _runs(F.col("text"), GRAM))
     candidates = (texts.select("key", F.explode(runs).alias("run")).join(rarest.unionByName(short), "run")
                   .select("key", "word").distinct())
-    found = texts.join(candidates, "key").filter(F.contains("text", "word")).select("text", "word")
-    return found.unionByName(texts.select("text", F.lit("").alias("word")).join(words.select("word"), "word")
-                             .select("text", "word"))
+    return texts.join(candidates, "key").filter(F.contains("text", "word")).select("text", "word")
 
 
 def with_first_contained(texts: DataFrame, text_col: str, words: DataFrame, name: str) -> DataFrame:

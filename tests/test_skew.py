@@ -1,6 +1,7 @@
 """One key holds a third of all rows: results stay whole and no task gets the key."""
 
 import io
+import re
 from contextlib import redirect_stdout
 
 import pytest
@@ -71,7 +72,11 @@ def plan(df):
 def test_no_query_pairs_everything_with_everything(spark, sf, name):
     text = plan(entry_point.queries()[name](spark, sf))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-    assert "SinglePartition" not in text
+    # only running sums over one row per range or file may pass one task
+    for block in text.split("\n\n"):
+        if "SinglePartition" in block:
+            columns = re.search(r"Input \[\d+\]: \[(.*)\]", block).group(1).split(", ")
+            assert all(column.startswith("__") for column in columns), block
 
 
 def test_scans_read_only_what_is_used(spark, sf):
@@ -83,7 +88,6 @@ def test_scans_read_only_what_is_used(spark, sf):
 
 def test_rows_of_a_hot_key_are_dealt_by_range(spark, messages):
     """Every exchange that carries messages deals them by conversation and range, so no task gets a whole key."""
-    import re
     numbered = conversations.number_messages(messages, width=1000)
     assert numbered.count() == ROWS
     text = plan(numbered)
