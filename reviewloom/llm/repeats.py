@@ -200,7 +200,7 @@ def _kept(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
             texts.append(b" ".join([w for w, g in zip(words, gone.tolist()) if not g]).decode("utf-8"))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(2), pa.array(removed, pa.int64()), pa.array(texts, pa.string())],
-            ["id", "key", "n_removed", "kept_text"])
+            ["id", "digest", "n_removed", "kept_text"])
 
 
 def without_repeats(docs: DataFrame, width: int = WIDTH, id_column: str = "doc_id",
@@ -214,19 +214,21 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, id_column: str = "doc_i
                        F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))).alias("key"))
     scanned = stored(rows.mapInArrow(
         lambda b: _scan(b, width), "id long, key long, n_words long, digest string, prefixes array<long>"), "prefixes")
-    strings = scanned.groupBy("digest").agg(F.min("id").alias("least"))
-    named = scanned.drop("prefixes").join(strings, "digest")
-
-    starts = scanned.where(F.size("prefixes") > 0).join(
-        strings, (scanned["digest"] == strings["digest"]) & (scanned["id"] == strings["least"]), "left_semi")
-    starts = starts.select("id", "key", F.explode(F.array_distinct("prefixes")).alias("prefix"))
+    # copies are combined before they are shuffled; written, the join can split a text with many copies
+    strings = stored(
+        scanned.groupBy("digest").agg(F.min(F.struct("id", "key", "prefixes")).alias("one"))
+        .select("digest", F.col("one.id").alias("least"), "one.key", "one.prefixes"), "strings")
+    named = scanned.drop("prefixes").join(strings.select("digest", "least"), "digest")
+
+    starts = strings.where(F.size("prefixes") > 0).select(
+        F.col("least").alias("id"), "key", "digest", F.explode(F.array_distinct("prefixes")).alias("prefix"))
     shared = starts.groupBy("prefix").agg(F.min("id").alias("low"), F.max("id").alias("high"),
                                           F.count(F.lit(1)).alias("n")).where("low < high")
     parts = F.ceil(F.col("n") / GROUP).cast("long").alias("parts")
-    per_text = starts.join(shared, "prefix").groupBy("id", "key").agg(
+    per_text = starts.join(shared, "prefix").groupBy("id", "key", "digest").agg(
         F.collect_list(F.struct("prefix", parts)).alias("shared"))
     texts = stored(rows.join(per_text, ["id", "key"]).dropDuplicates(["id", "key"])
-                   .select("id", "text", "key", "shared"), "sharing-texts")
+                   .select("id", "text", "key", "shared", "digest"), "sharing-texts")
 
     found = stored(
         texts.mapInArrow(lambda b: _suffixes(b, width),
@@ -237,13 +239,13 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, id_column: str = "doc_i
         "least", F.min("id").over(Window.partitionBy("prefix", "label"))).where("id > least")
     marks = found.where("label IS NULL").unionByName(below.drop("least")).groupBy("id", "key").agg(
         F.collect_list(F.struct("place", "marks")).alias("found"))
-    cut = texts.select("id", "text", "key").join(marks, ["id", "key"]).select(
-        "id", "text", "key", "found").mapInArrow(
-        lambda b: _kept(b, width), "id long, key long, n_removed long, kept_text string")
+    cut = texts.select("id", "text", "key", "digest").join(marks, ["id", "key"]).select(
+        "id", "text", "digest", "found").mapInArrow(
+        lambda b: _kept(b, width), "id long, digest string, n_removed long, kept_text string")
 
     whole = (F.col("id") > F.col("least")) & (F.col("n_words") >= width)
     changed = F.col("n_removed").isNotNull()
-    return named.join(cut, ["id", "key"], "left").select(
+    return named.join(cut, ["id", "digest"], "left").select(
         F.when(F.col("id") < _LAST, F.col("id")).alias("doc_id"), "n_words",
         F.when(whole, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(whole, F.lit(_EMPTY)).when(changed, F.sha2("kept_text", 256)).otherwise(F.col("digest"))
