@@ -116,6 +116,26 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in _merged(parts)], ["word", "n"])
 
 
+def _frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``KNOWN`` of the most frequent words, the most frequent first.
+
+    Words are counted by the logarithm of their count, a few thousand levels at
+    most, and whole levels are taken from the top; no task sorts the words.
+    """
+    levels = counts.groupBy(F.floor(F.log2("n") * 64).alias("level")).agg(
+        F.count(F.lit(1)).alias("words"), F.min("n").alias("least")).collect()
+    least, taken = None, 0
+    for level in sorted(levels, key=lambda r: -r["level"]):
+        taken += level["words"]
+        if taken > KNOWN:
+            break
+        least = level["least"]
+    found = counts.where(F.col("n") >= (2**62 if least is None else least)).toArrow()
+    names, own = (found.column(k).to_numpy() for k in (0, 1))
+    order = np.lexsort((names, -own))
+    return names[order], own[order]
+
+
 def count_words(rows: DataFrame) -> tuple[DataFrame, Vocabulary]:
     """word and n of all training words, and what every task needs of it."""
     learnt = rows.where("NOT held_out")
@@ -123,8 +143,7 @@ def count_words(rows: DataFrame) -> tuple[DataFrame, Vocabulary]:
                     "word-counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("distinct")).first()
     ends = learnt.count()
-    frequent = counts.orderBy(F.desc("n"), "word").limit(KNOWN).toArrow()
-    names, own = (frequent.column(k).to_numpy() for k in (0, 1))
+    names, own = _frequent(counts)
     outputs = min(OUTPUTS, len(names))
     targets = np.minimum(np.arange(len(names)), outputs)
     order = np.argsort(names)
