@@ -12,7 +12,6 @@ from reviewloom.functions.text import trim_space
 from reviewloom.operators import retrieval, routing, subjects
 from reviewloom.operators.embed import hashed_features
 from reviewloom.operators.ordered import drop_range, running_sum
-from reviewloom.session import stored
 
 FIGURES = ("retrieved_reviews", "total_found", "filtered_count", "used_count", "avg_similarity", "max_similarity",
            "min_similarity", "confidence", "note")
@@ -25,7 +24,7 @@ def session_states(messages: DataFrame, index: DataFrame, catalogue: DataFrame,
     Columns of the other handlers stay NULL. ``prompt`` is what the handler asks
     the model; ``reply`` is a fixed answer that needs no model.
     """
-    routed = stored(routing.route(messages, reply_col=reply_col).select("msg_id", "text", "routing_decision"), "routed")
+    routed = routing.route(messages, reply_col=reply_col).select("msg_id", "text", "routing_decision")
 
     def of(route: str) -> DataFrame:
         return routed.filter(F.col("routing_decision") == route)
