@@ -2,18 +2,22 @@
 
 A word's representation is predicted as the sum of the context words'
 representations, each scaled per dimension by its position's weights; the product
-with a target's representation plus its bias is the target's score. Targets are the
-``OUTPUTS`` most frequent words, the text's end, and one class for all other words;
-inside that class a word has its smoothed share of the counts. Scores are
-normalised over all targets, so a text's tokens have proper probabilities.
+with a target's representation plus its bias is the target's score. Targets are all
+words that come at least ``LEAST_COUNT`` times in the training rows (at most the
+``OUTPUTS`` most frequent ones, which bounds what a task holds), the text's end, and
+one target for all rarer words, inside which a word has its smoothed share of the
+counts. Probabilities are normalised exactly in two levels, classes of words of
+like frequency and then the words of the class, so a text's tokens have proper
+probabilities. Both levels have outputs of their own and are trained by noise-contrastive
+steps, which touch the target and the noise only and so do not grow with the vocabulary.
 
 Passes, all over the whole table:
 
 1. Words of the training rows are counted, combined per task before the shuffle.
 2. Parameters start from a bounded draw of about ``FIRST_ROWS`` training rows. Then
    every task trains a copy on every ``STRIDE``-th place of its own training rows,
-   and the copies are averaged by their numbers of places, so what is learnt from
-   grows with the table.
+   and each word's vectors are averaged over the copies by how often they were
+   learnt; tasks hand on only those, in ranges of words.
 3. Every row is scored in blocks by matrix products. The counts of the ``KNOWN`` most
    frequent words travel with the tasks, which bounds them; those of all others are
    joined by word, and their shares are added to both scores.
@@ -41,8 +45,10 @@ from pyspark.sql import DataFrame, functions as F
 from reviewloom.llm.words import blocks, hashes, spans, text_bytes
 from reviewloom.session import stored
 
-#: Words with an output of their own, words whose counts every task holds, context words, dimensions.
-OUTPUTS, KNOWN, CONTEXT, DIMENSIONS = 254, 1 << 18, 4, 16
+#: Words with an output of their own at most, words whose counts every task holds, context words, dimensions.
+OUTPUTS, KNOWN, CONTEXT, DIMENSIONS = 1 << 18, 1 << 18, 4, 16
+#: A word with an output of its own comes so often at least.
+LEAST_COUNT = 5
 #: Training rows that the first parameters come from; after that each task trains on one place in ``STRIDE``.
 FIRST_ROWS, STRIDE = 2000, 8
 #: Noise words per batch, places per batch, learning rate.
@@ -50,6 +56,8 @@ NOISE, BATCH, RATE = 64, 1024, 0.1
 #: Distinct words that a task gathers before it hands its counts on.
 GATHERED = 1 << 20
 ADDED = 0.1
+#: Rows of a table of parameters that are averaged together; scores computed at a time.
+RANGE, AT_A_TIME = 1024, 1 << 21
 
 Parameters = dict[str, np.ndarray]
 
@@ -74,6 +82,12 @@ class Vocabulary:
     def end(self) -> int:
         return len(self.own) - 1
 
+    @property
+    def classes(self) -> np.ndarray:
+        """The class of each target: k holds the words of rank k*k up to (k+1)*(k+1); others and the end are alone."""
+        words = np.sqrt(np.arange(self.other)).astype(np.int64)  # exact, as ranks are far below 2**52
+        return np.append(words, np.arange(2) + (words[-1] + 1 if len(words) else 0))
+
     def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Target and count of each word, and whether it is among the known ones."""
         if not len(self.names):
@@ -144,7 +158,7 @@ def count_words(rows: DataFrame) -> tuple[DataFrame, Vocabulary]:
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("distinct")).first()
     ends = learnt.count()
     names, own = _frequent(counts)
-    outputs = min(OUTPUTS, len(names))
+    outputs = min(OUTPUTS, int((own >= LEAST_COUNT).sum()))
     targets = np.minimum(np.arange(len(names)), outputs)
     order = np.argsort(names)
     per_target = np.append(own[:outputs], [total["tokens"] - own[:outputs].sum(), ends]).astype(np.float64)
@@ -170,54 +184,84 @@ def _contexts(targets: np.ndarray, place: np.ndarray, at: np.ndarray, start: int
 
 
 def _fresh(vocabulary: Vocabulary) -> Parameters:
+    """Every target begins with its share of the counts, whatever the context."""
     rng, size = np.random.default_rng(11), len(vocabulary.own)
-    share = np.log(np.maximum(vocabulary.own, 0.5) / max(vocabulary.own.sum(), 1))
+
+    def log_share(counts: np.ndarray) -> np.ndarray:
+        return np.log(np.maximum(counts, 0.5) / max(counts.sum(), 1)).astype(np.float32)
+
+    per_class = np.bincount(vocabulary.classes, weights=vocabulary.own)
     return {
         "context": rng.normal(0, 0.1, (size + 1, DIMENSIONS)).astype(np.float32),
         "places": np.repeat(1 / np.arange(1, CONTEXT + 1, dtype=np.float32)[:, None], DIMENSIONS, axis=1),
-        "target": rng.normal(0, 0.1, (size, DIMENSIONS)).astype(np.float32),
-        "bias": share.astype(np.float32),
+        "target": np.zeros((size, DIMENSIONS), np.float32),
+        "bias": log_share(vocabulary.own),
+        "class": np.zeros((len(per_class), DIMENSIONS), np.float32),
+        "class_bias": log_share(per_class),
     }
 
 
 class Trainer:
-    """Noise-contrastive steps with per-parameter rates."""
+    """Noise-contrastive steps with per-parameter rates; only what a step touches is moved."""
 
     def __init__(self, parameters: Parameters, vocabulary: Vocabulary, seed: int):
         self.p = {k: v.copy() for k, v in parameters.items()}
-        self.seen = {k: np.full(v.shape, 1e-2, np.float32) for k, v in self.p.items()}
-        self.noise = np.maximum(vocabulary.own, 0.5) / np.maximum(vocabulary.own, 0.5).sum()
-        self.log_noise = np.log(self.noise * NOISE).astype(np.float32)
+        self.seen = {k: np.full(v.shape, 1.0, np.float32) for k, v in self.p.items()}
+        self.learnt = {k: np.zeros(len(v)) for k, v in self.p.items()}  # how often each row
+        self.classes = vocabulary.classes
+        self.noise = {}
+        for name, counts in (("target", vocabulary.own), ("class", np.bincount(self.classes, weights=vocabulary.own))):
+            share = np.maximum(counts, 0.5) / np.maximum(counts, 0.5).sum()
+            self.noise[name] = np.cumsum(share)[:-1], np.log(share * NOISE).astype(np.float32)
         self.rng, self.places = np.random.default_rng(seed), 0
 
-    def _step(self, name: str, gradient: np.ndarray) -> None:
-        self.seen[name] += gradient * gradient
-        self.p[name] -= RATE * gradient / np.sqrt(self.seen[name])
+    def _step(self, name: str, gradient: np.ndarray, rows: np.ndarray, times: np.ndarray | int) -> None:
+        self.learnt[name][rows] += times
+        seen = self.seen[name][rows] + gradient * gradient
+        self.seen[name][rows] = seen
+        self.p[name][rows] -= RATE * gradient / np.sqrt(seen)
+
+    @staticmethod
+    def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each row once, the sum of its values, and how often it came."""
+        order = np.argsort(rows)
+        rows = rows[order]
+        first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+        times = np.diff(np.append(first, len(rows)))
+        width = values.shape[1]
+        cells = np.repeat(np.arange(len(first)) * width, times)[:, None] + np.arange(width)
+        total = np.bincount(cells.ravel(), weights=values[order].ravel(), minlength=len(first) * width)
+        return rows[first], total.reshape(-1, width).astype(np.float32), times
+
+    def _level(self, name: str, bias: str, predicted: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """One step for the outputs ``name``; returns the gradient of ``predicted``."""
+        p, (ends, log_noise) = self.p, self.noise[name]
+        noise = np.searchsorted(ends, self.rng.random(NOISE), side="right")
+        own, others = p[name][target], p[name][noise]
+        true = np.einsum("nd,nd->n", predicted, own) + p[bias][target] - log_noise[target]
+        false = predicted @ others.T + p[bias][noise] - log_noise[noise]
+        # gradients of -log s(true) - sum log s(-false)
+        g_true = -1 / (1 + np.exp(np.clip(true, -30, 30)))
+        g_false = 1 / (1 + np.exp(-np.clip(false, -30, 30)))
+        back = g_true[:, None] * own + g_false @ others
+        wide = np.concatenate([predicted, np.ones((len(predicted), 1), np.float32)], axis=1)  # the last one is the bias
+        rows, total, times = self._summed(np.append(target, noise),
+                                          np.concatenate([g_true[:, None] * wide, g_false.T @ wide]))
+        self._step(name, total[:, :-1], rows, times)
+        self._step(bias, total[:, -1], rows, times)
+        return back
 
     def learn(self, target: np.ndarray, context: np.ndarray) -> None:
         """One batch; ``context`` has one row per position before the targets."""
         p, n = self.p, len(target)
         near = p["context"][context]
         predicted = np.einsum("jnd,jd->nd", near, p["places"])
-        noise = self.rng.choice(len(self.noise), NOISE, p=self.noise)
-        true = np.einsum("nd,nd->n", predicted, p["target"][target]) + p["bias"][target] - self.log_noise[target]
-        false = predicted @ p["target"][noise].T + p["bias"][noise] - self.log_noise[noise]
-        # gradients of -log s(true) - sum log s(-false)
-        g_true = -1 / (1 + np.exp(np.clip(true, -30, 30))) / n
-        g_false = 1 / (1 + np.exp(-np.clip(false, -30, 30))) / n
-        one = np.zeros((n, len(self.noise)), np.float32)
-        one[np.arange(n), target] = g_true
-        np.add.at(one.T, noise, g_false.T)
-        back = one @ p["target"]
-        self._step("target", one.T @ predicted)
-        self._step("bias", one.sum(axis=0))
-        self._step("places", np.einsum("jnd,nd->jd", near, back))
-        spread = np.zeros_like(p["context"])
-        for k in range(CONTEXT):
-            hot = np.zeros((n, len(spread)), np.float32)
-            hot[np.arange(n), context[k]] = 1
-            spread += hot.T @ (back * p["places"][k])
-        self._step("context", spread)
+        back = self._level("target", "bias", predicted, target)
+        back += self._level("class", "class_bias", predicted, self.classes[target])
+        spread = back[None] * p["places"][:, None]
+        self._step("places", np.einsum("jnd,nd->jd", near, back), np.arange(CONTEXT), n)
+        rows, total, times = self._summed(context.ravel(), spread.reshape(-1, DIMENSIONS))
+        self._step("context", total, rows, times)
         self.places += n
 
     def learn_from(self, batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, stride: int, rounds: int = 1) -> None:
@@ -227,40 +271,49 @@ class Trainer:
                 at = self.rng.permutation(np.arange(int(self.rng.integers(stride)), len(targets), stride))
                 for begin in range(0, len(at), BATCH):
                     here = at[begin:begin + BATCH]
-                    self.learn(targets[here], _contexts(targets, place, here, len(self.noise)))
-
-
-def _flat(parameters: Parameters) -> np.ndarray:
-    return np.concatenate([parameters[k].ravel() for k in sorted(parameters)])
-
-
-def _shaped(flat: np.ndarray, like: Parameters) -> Parameters:
-    out, at = {}, 0
-    for k in sorted(like):
-        out[k] = flat[at:at + like[k].size].reshape(like[k].shape).astype(np.float32)
-        at += like[k].size
-    return out
+                    self.learn(targets[here], _contexts(targets, place, here, len(vocabulary.own)))
 
 
 def _trained(rows: DataFrame, start: Parameters, vocabulary: Vocabulary, stride: int, rounds: int) -> Parameters:
-    """Copies of ``start`` trained by each task of ``rows`` on its own rows, averaged by their numbers of places."""
+    """Copies of ``start`` trained by each task of ``rows`` on its own rows, averaged by how often they learnt each row."""
     shared = rows.sparkSession.sparkContext.broadcast((start, vocabulary))  # bounded by OUTPUTS and KNOWN
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, words = shared.value
         trainer = Trainer(first, words, TaskContext.get().partitionId())
         trainer.learn_from(batches, words, stride, rounds)
-        if trainer.places:
-            flat = _flat(trainer.p).astype(np.float64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(flat))), pa.array(flat * trainer.places),
-                 pa.array(np.full(len(flat), float(trainer.places)))], ["at", "value", "places"])
-
-    mean = (rows.mapInArrow(learn, "at long, value double, places double").groupBy("at")
-            .agg((F.sum("value") / F.sum("places")).alias("mean")).toPandas())
-    flat = _flat(start).astype(np.float64)
-    flat[mean["at"].to_numpy()] = mean["mean"].to_numpy()
-    return _shaped(flat, start)
+        for name in sorted(first):
+            at = np.flatnonzero(trainer.learnt[name])
+            for part in np.split(at, np.flatnonzero(np.diff(at // RANGE)) + 1):
+                if len(part):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([name]), pa.array([int(part[0]) // RANGE]), pa.array([part.astype(np.int64).tobytes()]),
+                         pa.array([trainer.learnt[name][part].tobytes()]), pa.array([trainer.p[name][part].tobytes()])],
+                        ["name", "part", "at", "times", "value"])
+
+    def mean(key: tuple[pa.Scalar, pa.Scalar], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, base = key[0].as_py(), key[1].as_py() * RANGE
+        total, times = 0.0, np.zeros(RANGE)
+        for batch in batches:
+            for at, n, value in zip(*(batch.column(k) for k in ("at", "times", "value"))):
+                here = np.frombuffer(at.as_py(), np.int64) - base
+                n = np.frombuffer(n.as_py())
+                value = np.frombuffer(value.as_py(), np.float32).reshape(len(here), -1)
+                if not isinstance(total, np.ndarray):
+                    total = np.zeros((RANGE, value.shape[1]))
+                total[here] += n[:, None] * value
+                times[here] += n
+        met = np.flatnonzero(times)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([name]), pa.array([(met + base).tobytes()]),
+             pa.array([(total[met] / times[met, None]).astype(np.float32).tobytes()])], ["name", "at", "value"])
+
+    out = {k: v.copy() for k, v in start.items()}
+    for r in (rows.mapInArrow(learn, "name string, part long, at binary, times binary, value binary")
+              .groupBy("name", "part").applyInArrow(mean, "name string, at binary, value binary").collect()):
+        at = np.frombuffer(r["at"], np.int64)
+        out[r["name"]][at] = np.frombuffer(r["value"], np.float32).reshape(len(at), *start[r["name"]].shape[1:])
+    return out
 
 
 def train(rows: DataFrame, vocabulary: Vocabulary) -> Parameters:
@@ -272,6 +325,37 @@ def train(rows: DataFrame, vocabulary: Vocabulary) -> Parameters:
     return _trained(learnt, first, vocabulary, STRIDE, 1)
 
 
+def _log_probabilities(targets: np.ndarray, place: np.ndarray, p: Parameters, v: Vocabulary) -> np.ndarray:
+    """Natural logarithm of each target's probability after its context: its class, then itself in the class."""
+    n, classes = len(targets), v.classes
+    kinds = classes[targets]
+    predicted, logs = np.empty((n, DIMENSIONS), np.float32), np.empty(n)
+
+    def among(rows: np.ndarray, mine: np.ndarray, outputs: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        scores = predicted[rows] @ outputs.T
+        scores += bias
+        scores -= scores.max(axis=1, keepdims=True)
+        own = scores[np.arange(len(rows)), mine].astype(np.float64)
+        return own - np.log(np.exp(scores, out=scores).sum(axis=1, dtype=np.float64))
+
+    def parts(rows: np.ndarray, width: int) -> Iterator[np.ndarray]:
+        step = max(1, AT_A_TIME // width)
+        return (rows[at:at + step] for at in range(0, len(rows), step))
+
+    for here in parts(np.arange(n), len(p["class"])):
+        near = _contexts(targets, place, here, len(v.own))
+        predicted[here] = sum(p["context"][near[k]] * p["places"][k] for k in range(CONTEXT))
+        logs[here] = among(here, kinds[here], p["class"], p["class_bias"])
+    begin = np.searchsorted(classes, np.arange(len(p["class"]) + 1))
+    order = np.argsort(kinds, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(kinds[order])) + 1):
+        first, last = (begin[kinds[rows[0]] + k] for k in (0, 1)) if len(rows) else (0, 0)
+        if last - first > 1:
+            for here in parts(rows, last - first):
+                logs[here] += among(here, targets[here] - first, p["target"][first:last], p["bias"][first:last])
+    return logs
+
+
 def _scored(batches: Iterator[pa.RecordBatch], p: Parameters, vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
     """Both scores as far as the known words tell, and the other words' hashes."""
     v, row = vocabulary, TaskContext.get().partitionId() << 33
@@ -279,20 +363,9 @@ def _scored(batches: Iterator[pa.RecordBatch], p: Parameters, vocabulary: Vocabu
     own = len(v.own) - 2
     others = v.own[v.other] + ADDED * (v.distinct - own - (v.ends > 0) + 1)
     end_base = math.log10(v.ends + ADDED) - all_base
-    start, ten = len(v.own), math.log(10)
     for batch in blocks(batches, size=4 << 20):
         targets, place, begin, found, first, count, known = _sequence(batch, v)
-        logs = np.empty(len(targets))
-        for at in range(0, len(targets), 4 * BATCH):
-            here = np.arange(at, min(at + 4 * BATCH, len(targets)))
-            near = _contexts(targets, place, here, start)
-            predicted = sum(p["context"][near[k]] * p["places"][k] for k in range(CONTEXT))
-            scores = predicted @ p["target"].T
-            scores += p["bias"]
-            top = scores.max(axis=1, keepdims=True)
-            scores -= top
-            mine = scores[np.arange(len(here)), targets[here]].astype(np.float64)
-            logs[here] = (mine - np.log(np.exp(scores, out=scores).sum(axis=1, dtype=np.float64))) / ten
+        logs = _log_probabilities(targets, place, p, v) / math.log(10)
         share = np.log10(count + ADDED)
         rest = targets[np.delete(np.arange(len(targets)), first[1:] + np.arange(len(begin)))] == v.other \
             if len(found) else np.zeros(0, bool)

@@ -114,6 +114,30 @@ def test_probabilities_add_up_to_one(spark):
     assert sum(np.exp(x) for x in logs.values()) == pytest.approx(1, abs=1e-5)
 
 
+def test_rare_words_have_models_of_their_own(spark):
+    """Words far down the list are told apart by their contexts, and classes and words add up to one."""
+    rng = np.random.default_rng(5)
+    train, held = ([n for n in range(10**4, 10**5) if (zlib.crc32(str(n).encode()) % 10 == 0) == h] for h in (False, True))
+    pairs = [f"left{k % 20} right{k % 20}" for k in range(800)]
+    rows = [(train[k], " ".join(f"often{n}" for n in rng.integers(0, 400, 60)) + " " + pairs[k % 800], None, None, None)
+            for k in range(1600)]
+    asked = [(held[20 * a + b], f"left{a} right{b}", None, None, None) for a in range(20) for b in range(20)]
+    docs = odd_docs(spark, rows + asked)
+    got = {r.doc_id: r for r in log_bilinear.score(docs).collect()}
+    model = np.array([[got[held[20 * a + b]].score for b in range(20)] for a in range(20)])
+    base = np.array([[got[held[20 * a + b]].base_score for b in range(20)] for a in range(20)])
+    assert np.ptp(base) < 1e-9 and (np.diag(model) > model.mean(axis=1)).mean() > 0.9
+
+    rows_ = log_bilinear._rows(docs, "doc_id", "text")
+    _, vocabulary = log_bilinear.count_words(rows_)
+    size = len(vocabulary.own)
+    assert size == 442  # 440 words, all others, the end
+    p = log_bilinear.train(rows_, vocabulary)
+    targets, place = np.stack([np.full(size, 430), np.arange(size)], axis=1).ravel(), np.tile([0, 1], size)
+    logs = log_bilinear._log_probabilities(targets, place, p, vocabulary)
+    assert np.exp(logs[1::2]).sum() == pytest.approx(1, abs=1e-4) and np.ptp(logs[::2]) < 1e-4
+
+
 def brute_top(rows, is_query, k, scale=1024):
     usable = [(n, np.floor(scale * np.array(v, np.float64)).astype(np.int64)) for n, v in rows
               if n is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
