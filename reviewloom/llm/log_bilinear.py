@@ -15,7 +15,7 @@ Passes, all over the whole table:
 
 1. Words of the training rows are counted, combined per task before the shuffle.
 2. Parameters start from a bounded draw of about ``FIRST_ROWS`` training rows. Then
-   every task trains a copy on every ``STRIDE``-th place of its own training rows,
+   every task trains a copy on every place of its own training rows,
    and each word's vectors are averaged over the copies by how often they were
    learnt; tasks hand on only those, in ranges of words.
 3. Every row is scored in blocks by matrix products. The counts of the ``KNOWN`` most
@@ -49,15 +49,15 @@ from reviewloom.session import stored
 OUTPUTS, KNOWN, CONTEXT, DIMENSIONS = 1 << 18, 1 << 18, 4, 16
 #: A word with an output of its own comes so often at least.
 LEAST_COUNT = 5
-#: Training rows that the first parameters come from; after that each task trains on one place in ``STRIDE``.
-FIRST_ROWS, STRIDE = 2000, 8
+#: Training rows that the first parameters come from; after that each task trains on all its places.
+FIRST_ROWS = 2000
 #: Noise words per batch, places per batch, learning rate.
 NOISE, BATCH, RATE = 64, 1024, 0.1
 #: Distinct words that a task gathers before it hands its counts on.
 GATHERED = 1 << 20
 ADDED = 0.1
 #: Rows of a table of parameters that are averaged together; scores computed at a time.
-RANGE, AT_A_TIME = 1024, 1 << 21
+RANGE, AT_A_TIME = 1024, 1 << 17
 
 Parameters = dict[str, np.ndarray]
 
@@ -217,9 +217,11 @@ class Trainer:
 
     def _step(self, name: str, gradient: np.ndarray, rows: np.ndarray, times: np.ndarray | int) -> None:
         self.learnt[name][rows] += times
-        seen = self.seen[name][rows] + gradient * gradient
+        seen = self.seen[name].take(rows, axis=0)
+        seen += gradient * gradient
         self.seen[name][rows] = seen
-        self.p[name][rows] -= RATE * gradient / np.sqrt(seen)
+        np.sqrt(seen, out=seen)
+        self.p[name][rows] -= np.divide(RATE * gradient, seen, out=seen)
 
     @staticmethod
     def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -228,21 +230,22 @@ class Trainer:
         rows = rows[order]
         first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
         times = np.diff(np.append(first, len(rows)))
-        width = values.shape[1]
-        cells = np.repeat(np.arange(len(first)) * width, times)[:, None] + np.arange(width)
-        total = np.bincount(cells.ravel(), weights=values[order].ravel(), minlength=len(first) * width)
-        return rows[first], total.reshape(-1, width).astype(np.float32), times
+        return rows[first], np.add.reduceat(values.take(order, axis=0), first, axis=0), times
 
     def _level(self, name: str, bias: str, predicted: np.ndarray, target: np.ndarray) -> np.ndarray:
         """One step for the outputs ``name``; returns the gradient of ``predicted``."""
         p, (ends, log_noise) = self.p, self.noise[name]
         noise = np.searchsorted(ends, self.rng.random(NOISE), side="right")
-        own, others = p[name][target], p[name][noise]
+        own, others = p[name].take(target, axis=0), p[name][noise]
         true = np.einsum("nd,nd->n", predicted, own) + p[bias][target] - log_noise[target]
-        false = predicted @ others.T + p[bias][noise] - log_noise[noise]
+        false = predicted @ others.T
+        false += p[bias][noise] - log_noise[noise]
         # gradients of -log s(true) - sum log s(-false)
         g_true = -1 / (1 + np.exp(np.clip(true, -30, 30)))
-        g_false = 1 / (1 + np.exp(-np.clip(false, -30, 30)))
+        np.clip(false, -30, 30, out=false)
+        np.exp(np.negative(false, out=false), out=false)
+        false += 1
+        g_false = np.reciprocal(false, out=false)
         back = g_true[:, None] * own + g_false @ others
         wide = np.concatenate([predicted, np.ones((len(predicted), 1), np.float32)], axis=1)  # the last one is the bias
         rows, total, times = self._summed(np.append(target, noise),
@@ -254,7 +257,7 @@ class Trainer:
     def learn(self, target: np.ndarray, context: np.ndarray) -> None:
         """One batch; ``context`` has one row per position before the targets."""
         p, n = self.p, len(target)
-        near = p["context"][context]
+        near = p["context"].take(context, axis=0)
         predicted = np.einsum("jnd,jd->nd", near, p["places"])
         back = self._level("target", "bias", predicted, target)
         back += self._level("class", "class_bias", predicted, self.classes[target])
@@ -264,24 +267,24 @@ class Trainer:
         self._step("context", total, rows, times)
         self.places += n
 
-    def learn_from(self, batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, stride: int, rounds: int = 1) -> None:
+    def learn_from(self, batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, rounds: int = 1) -> None:
         for batch in blocks(batches, size=4 << 20):
             targets, place, *_ = _sequence(batch, vocabulary)
             for _ in range(rounds):
-                at = self.rng.permutation(np.arange(int(self.rng.integers(stride)), len(targets), stride))
+                at = self.rng.permutation(len(targets))
                 for begin in range(0, len(at), BATCH):
                     here = at[begin:begin + BATCH]
                     self.learn(targets[here], _contexts(targets, place, here, len(vocabulary.own)))
 
 
-def _trained(rows: DataFrame, start: Parameters, vocabulary: Vocabulary, stride: int, rounds: int) -> Parameters:
+def _trained(rows: DataFrame, start: Parameters, vocabulary: Vocabulary, rounds: int) -> Parameters:
     """Copies of ``start`` trained by each task of ``rows`` on its own rows, averaged by how often they learnt each row."""
     shared = rows.sparkSession.sparkContext.broadcast((start, vocabulary))  # bounded by OUTPUTS and KNOWN
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, words = shared.value
         trainer = Trainer(first, words, TaskContext.get().partitionId())
-        trainer.learn_from(batches, words, stride, rounds)
+        trainer.learn_from(batches, words, rounds)
         for name in sorted(first):
             at = np.flatnonzero(trainer.learnt[name])
             for part in np.split(at, np.flatnonzero(np.diff(at // RANGE)) + 1):
@@ -321,8 +324,8 @@ def train(rows: DataFrame, vocabulary: Vocabulary) -> Parameters:
     learnt = rows.where("NOT held_out")
     part = int(min(1.0, FIRST_ROWS / max(1, vocabulary.ends)) * (1 << 20))
     drawn = learnt.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < part).repartition(1)
-    first = _trained(drawn, _fresh(vocabulary), vocabulary, 1, 2)
-    return _trained(learnt, first, vocabulary, STRIDE, 1)
+    first = _trained(drawn, _fresh(vocabulary), vocabulary, 2)
+    return _trained(learnt, first, vocabulary, 1)
 
 
 def _log_probabilities(targets: np.ndarray, place: np.ndarray, p: Parameters, v: Vocabulary) -> np.ndarray:
@@ -336,7 +339,7 @@ def _log_probabilities(targets: np.ndarray, place: np.ndarray, p: Parameters, v:
         scores += bias
         scores -= scores.max(axis=1, keepdims=True)
         own = scores[np.arange(len(rows)), mine].astype(np.float64)
-        return own - np.log(np.exp(scores, out=scores).sum(axis=1, dtype=np.float64))
+        return own - np.log((np.exp(scores, out=scores) @ np.ones(len(bias), np.float32)).astype(np.float64))
 
     def parts(rows: np.ndarray, width: int) -> Iterator[np.ndarray]:
         step = max(1, AT_A_TIME // width)
@@ -344,7 +347,7 @@ def _log_probabilities(targets: np.ndarray, place: np.ndarray, p: Parameters, v:
 
     for here in parts(np.arange(n), len(p["class"])):
         near = _contexts(targets, place, here, len(v.own))
-        predicted[here] = sum(p["context"][near[k]] * p["places"][k] for k in range(CONTEXT))
+        predicted[here] = sum(p["context"].take(near[k], axis=0) * p["places"][k] for k in range(CONTEXT))
         logs[here] = among(here, kinds[here], p["class"], p["class_bias"])
     begin = np.searchsorted(classes, np.arange(len(p["class"]) + 1))
     order = np.argsort(kinds, kind="stable")

@@ -138,6 +138,19 @@ def test_rare_words_have_models_of_their_own(spark):
     assert np.exp(logs[1::2]).sum() == pytest.approx(1, abs=1e-4) and np.ptp(logs[::2]) < 1e-4
 
 
+def test_every_place_is_learnt_beyond_the_first_rows(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = log_bilinear._rows(docs, "doc_id", "text")
+    _, vocabulary = log_bilinear.count_words(rows)
+    table = rows.where("NOT held_out").toArrow()
+    trainer = log_bilinear.Trainer(log_bilinear._fresh(vocabulary), vocabulary, 1)
+    trainer.learn_from(iter(table.to_batches()), vocabulary)
+    assert trainer.places == vocabulary.tokens
+    monkeypatch.setattr(log_bilinear, "FIRST_ROWS", 50)
+    got = log_bilinear.score(docs).where("held_out").collect()
+    assert sum(r.score for r in got) > sum(r.base_score for r in got)
+
+
 def brute_top(rows, is_query, k, scale=1024):
     usable = [(n, np.floor(scale * np.array(v, np.float64)).astype(np.int64)) for n, v in rows
               if n is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
