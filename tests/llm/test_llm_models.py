@@ -207,6 +207,30 @@ def test_page_lines():
     assert [t for t, _ in page_diff.page_lines("<div class='sidebar-left'><article><p>In a frame</p></article></div>")] == ["In a frame"]
 
 
+def test_an_article_decides_only_if_it_holds_the_text():
+    card = "<div><p>The whole long text of the page.</p></div><article><p>Read on</p></article>"
+    assert page_diff.page_lines(card) == [("The whole long text of the page.", True), ("Read on", True)]
+    beside = "<article><p>The whole long text of the page.</p></article><p>By me</p>"
+    assert page_diff.page_lines(beside) == [("The whole long text of the page.", False), ("By me", True)]
+    for comment in ("<article class='comment'>{}</article>", "<div id=comments><article>{}</article></div>"):
+        page = "<article><p>The text.</p>{0}</article>{0}".format(comment.format("<p>First! I have a lot to say on it.</p>"))
+        assert page_diff.page_lines(page) == [("The text.", False)]
+        assert page_diff.page_lines(comment.format("First!") + "<p>The text.</p>") == [("The text.", True)]
+    for frame in ("<main class='has-sidebar'>{}</main>", "<div class='menu-open'><article>{}</article></div>"):
+        assert page_diff.page_lines(frame.format("<p>The text.</p>") + "<p>Site</p>") == [("The text.", False), ("Site", True)]
+
+
+def test_lines_outside_an_article_are_compared(spark):
+    page = "<p>Our site</p><article><p>A long text that number {0} tells alone.</p><p>Told by all</p></article><p>Posted on day {0}</p>"
+    teaser = "<div><p>A long text that number {0} tells alone.</p></div><article><p>Join us</p></article>"
+    rows = [(k, f"http://{h}.example/{k}", html.format(k)) for k, (h, html) in enumerate([("a", page)] * 3 + [("b", teaser)] * 3)]
+    got = {r.page_id: r.text for r in page_diff.main_texts(
+        spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(3):
+        assert got[k] == f"A long text that number {k} tells alone.\n\nTold by all\n\nPosted on day {k}"
+        assert got[k + 3] == f"A long text that number {k + 3} tells alone."
+
+
 def test_pages_of_the_table(spark):
     """The article element of each generated page holds its main text."""
     import html
