@@ -231,6 +231,19 @@ def test_lines_outside_an_article_are_compared(spark):
         assert got[k + 3] == f"A long text that number {k + 3} tells alone."
 
 
+def test_raw_elements_take_no_text_that_is_not_theirs():
+    def texts(page):
+        return [text for text, _ in page_diff.page_lines(page)]
+
+    for empty in ("<svg/>", "<svg width='1' />", "<iframe src='x' />", "<canvas id=c />", "<script src='x'/>", "<math/>",
+                  "<object data='x'/>", "<iframe src=x>", "<svg>", "<canvas>"):
+        assert texts(f"<article>{empty}<p>One</p><p>Two</p></article>") == ["One", "Two"], empty
+        if empty.endswith("/>"):
+            assert texts(f"<article>{empty}<p>One</p><svg>no</svg><p>Two</p></article>") == ["One", "Two"], empty
+    assert texts("<p>One</p><script src=/a/>no()</script><svg><text>no</text></svg><p>Two</p><style>no") == ["One", "Two"]
+    assert texts("<p>So <math><mi>a</mi><mo>=</mo><mn>1</mn></math>.</p><object data=x><p>Instead</p></object>") == ["So a=1.", "Instead"]
+
+
 def test_pages_of_the_table(spark):
     """The article element of each generated page holds its main text."""
     import html
