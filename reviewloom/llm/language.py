@@ -1,7 +1,7 @@
 """Language of texts by Bayesian fusion of several kinds of evidence.
 
 * Text: naive Bayes over hashed byte trigrams. The profiles are fitted on about
-  ``SAMPLE`` rows for each declared language (at most ``LANGUAGES`` of them), drawn
+  ``SAMPLE`` rows for each language that ``LEAST_ROWS`` rows declare, drawn
   by a hash of the row; texts are read whole. Trigrams overlap, so a text counts as
   at most ``TRIGRAMS`` independent ones. One more class spreads evenly over all
   trigrams; a text that fits it best is in none of the languages.
@@ -16,7 +16,9 @@ and parent's counts. Hosts and suffixes are joined, not broadcast, as they grow
 
 Defined cases: a text without letters (null, empty, digits, marks) is in no
 language ("und", confidence 0, not kept); null declarations, suffixes and hosts are
-no evidence; with no usable declaration in the table every row is "und". Equal
+no evidence; with no usable declaration in the table every row is "und". A row whose
+declaration has too few rows for a profile, and whose text is in none of the other
+languages, is kept under its declaration with confidence ``CONFIDENCE``. Equal
 scores go to the language that sorts first. Repeated rows are returned each. An
 empty table gives an empty table. Other columns travel in the struct ``row``.
 """
@@ -24,8 +26,7 @@ empty table gives an empty table. Other columns travel in the struct ``row``.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from reviewloom.llm.words import blocks, text_bytes
 from reviewloom.session import stored
 
-#: Bounds of the fitted model: rows per language (expected number), languages, hashed trigrams.
-SAMPLE, LANGUAGES, BUCKETS = 1000, 32, 1 << 15
+#: Bounds of the fitted model: rows per language (expected number), hashed trigrams.
+SAMPLE, BUCKETS = 1000, 1 << 15
 #: A language needs this many rows that declare it.
 LEAST_ROWS = 5
 #: Trigrams of a text that count as independent.
@@ -97,7 +98,7 @@ def _fit(rows: DataFrame) -> tuple[list[str], np.ndarray]:
     ``rows`` has declared, text and draw, a hash of the row.
     """
     counted = (rows.where("declared IS NOT NULL").groupBy("declared").count()
-               .where(F.col("count") >= LEAST_ROWS).orderBy(F.desc("count"), "declared").limit(LANGUAGES).collect())
+               .where(F.col("count") >= LEAST_ROWS).collect())
     sizes = {r["declared"]: r["count"] for r in counted}
     names = sorted(sizes)
     if not names:
@@ -115,12 +116,11 @@ def _fit(rows: DataFrame) -> tuple[list[str], np.ndarray]:
     # a bounded sample: one task per language is enough
     profiles = (rows.where(drawn).select("declared", "text").groupBy("declared")
                 .applyInArrow(profile, "declared string, counts binary").collect())
-    table = np.zeros((BUCKETS, len(names) + 1), np.float64)
+    table = np.full((BUCKETS, len(names) + 1), -np.log(BUCKETS), np.float32)
     for r in profiles:
-        table[:, names.index(r["declared"])] = np.frombuffer(r["counts"], np.int64)
-    table[:, :-1] += 0.1
-    table[:, -1] = 1
-    return names, np.log(table / table.sum(axis=0)).astype(np.float32)
+        counts = np.frombuffer(r["counts"], np.int64) + 0.1
+        table[:, names.index(r["declared"])] = np.log(counts / counts.sum())
+    return names, table
 
 
 def _scores(batches: Iterator[pa.RecordBatch], model: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -142,9 +142,10 @@ def _scores(batches: Iterator[pa.RecordBatch], model: np.ndarray) -> Iterator[pa
 
 
 def _counts(rows: DataFrame, by: str, kinds: int, names: str) -> DataFrame:
-    """For each value of ``by`` the number of texts of each language, as an array."""
+    """For each value of ``by`` the number of texts of each language, as an array, and of all texts."""
     return rows.where(F.col(by).isNotNull()).groupBy(F.col(by).alias(names)).agg(
-        F.array(*(F.count(F.when(F.col("text_best") == k, 1)).cast("double") for k in range(kinds))).alias(names + "_n"))
+        F.array(*(F.count(F.when(F.col("text_best") == k, 1)).cast("double") for k in range(kinds))).alias(names + "_n"),
+        F.count(F.lit(1)).cast("double").alias(names + "_all"))
 
 
 def identify(rows: DataFrame, text: Column, declared: Column, suffix: Column, host: Column,
@@ -167,17 +168,21 @@ def identify(rows: DataFrame, text: Column, declared: Column, suffix: Column, ho
     usual = [r + 1.0 for r in read.agg(*(F.count(F.when(F.col("text_best") == k, 1)) for k in range(kinds))).first()]
     base = [x / sum(usual) for x in usual]
 
-    def prior(counts: str, own: Column | float, under: list[Column]) -> list[Column]:
-        seen = [F.coalesce(F.col(counts)[k], F.lit(0.0)) - (F.when(F.col("text_best") == k, own).otherwise(0.0))
-                for k in range(kinds)]
-        total = reduce(lambda a, b: a + b, seen) + STRENGTH
-        return [(s + STRENGTH * u) / total for s, u in zip(seen, under)]
+    # expressions of one language k, so that plans do not grow with the languages
+    def prior(value: str, own: Column, under: Callable[[Column], Column]) -> Callable[[Column], Column]:
+        total = F.coalesce(f"{value}_all", F.lit(0.0)) - own + STRENGTH
 
-    def told(value: str) -> list[Column]:
+        def share(k: Column) -> Column:
+            seen = F.coalesce(F.col(f"{value}_n")[k], F.lit(0.0)) - F.when(F.col("text_best") == k, own).otherwise(0.0)
+            return (seen + STRENGTH * under(k)) / total
+        return share
+
+    all_usual = F.array(*(F.lit(x) for x in usual))
+
+    def told(value: str, k: Column) -> Column:
         """log P(value | language), from counts smoothed by the value's share of all rows."""
-        rows_of = F.aggregate(f"{value}_n", F.lit(0.0), lambda a, x: a + x)
-        return [F.when(F.col(f"{value}_n").isNull(), 0.0).otherwise(F.log(
-            (F.col(f"{value}_n")[k] + STRENGTH * rows_of / sum(usual)) / (usual[k] + STRENGTH))) for k in range(kinds)]
+        return F.when(F.col(f"{value}_n").isNull(), 0.0).otherwise(F.log(
+            (F.col(f"{value}_n")[k] + STRENGTH * F.col(f"{value}_all") / sum(usual)) / (all_usual[k] + STRENGTH)))
 
     joined = read
     for by in ("declared", "suffix", "host", "parent"):
@@ -185,13 +190,11 @@ def identify(rows: DataFrame, text: Column, declared: Column, suffix: Column, ho
         # rows without a value must not meet in one task
         key = F.coalesce(F.col(by), F.concat(F.lit("\0"), F.pmod(F.xxhash64("scores"), F.lit(1 << 16))))
         joined = joined.join(table, key == table[f"{by}_of"], "left")
-    world = [F.lit(x) for x in base]
+    world = F.array(*(F.lit(x) for x in base))
     own_host, own_parent = (F.when(F.col(c).isNotNull(), 1.0).otherwise(0.0) for c in ("host", "parent"))
-    parent = prior("parent_of_n", own_parent, world)
-    hosts = prior("host_of_n", own_host, parent)
-    logs = [F.col("scores")[k] + F.log(h) + d + s
-            for k, (h, d, s) in enumerate(zip(hosts, told("declared_of"), told("suffix_of")))]
-    fused = joined.withColumn("logs", F.array(*logs))
+    hosts = prior("host_of", own_host, prior("parent_of", own_parent, lambda k: world[k]))
+    fused = joined.withColumn("logs", F.transform(
+        "scores", lambda s, k: s + F.log(hosts(k)) + told("declared_of", k) + told("suffix_of", k)))
     top = F.array_max("logs")
     labels = F.array(*(F.lit(x) for x in [*names, UNKNOWN]))
     empty = F.col("trigrams") == 0
@@ -199,6 +202,11 @@ def identify(rows: DataFrame, text: Column, declared: Column, suffix: Column, ho
         "sure", 1 / F.aggregate("logs", F.lit(0.0), lambda a, x: a + F.exp(x - top)))
     language = F.when(empty, UNKNOWN).otherwise(labels[F.col("best").cast("int")])
     confidence = F.when(empty, 0.0).otherwise(F.round("sure", 6))
+    # a declaration that no profile can contradict
+    believed = ~empty & F.col("declared").isNotNull() & ~F.array_contains(labels, F.col("declared")) & (
+        (language == UNKNOWN) | (confidence < CONFIDENCE))
+    language = F.when(believed, F.col("declared")).otherwise(language)
+    confidence = F.when(believed, CONFIDENCE).otherwise(confidence)
     return fused.select("keep", "declared", F.when(empty, UNKNOWN).otherwise(labels[F.col("text_best").cast("int")])
                         .alias("text_language"), language.alias("language"), confidence.alias("confidence"),
                         ((language != UNKNOWN) & (confidence >= CONFIDENCE)).alias("accepted"))

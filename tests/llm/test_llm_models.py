@@ -50,6 +50,23 @@ def test_odd_documents_have_a_language_or_none(spark):
     assert language.accepted_documents(no_docs(spark)).count() == 0
 
 
+def test_many_languages_have_profiles_and_rare_ones_are_kept(spark):
+    rng = np.random.default_rng(4)
+    tags = [f"{a}{b}" for a in "pq" for b in "abcdefghijklmnopqrst"]
+    syllables = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 4)) for _ in range(12 * 42)]
+
+    def text(k):
+        return " ".join("".join(rng.choice(syllables[12 * k:12 * k + 12], 2)) for _ in range(40))
+    rows = [(n, text(n % 40), tags[n % 40], None, None) for n in range(400)]
+    rows += [(1000 + n, text(40), "zz", None, None) for n in range(language.LEAST_ROWS - 1)] + [(2000, "0 1", "yy", None, None)]
+    docs = odd_docs(spark, rows)
+    got = {r.doc_id: r for r in language.document_languages(docs).collect()}
+    assert all(got[n].language == tags[n % 40] and got[n].kept for n in range(400))
+    assert all(got[n].language == "zz" and got[n].kept for n in range(1000, 1000 + language.LEAST_ROWS - 1))
+    assert got[2000].language == "und" and not got[2000].kept
+    assert language.accepted_documents(docs).count() == len(rows) - 1
+
+
 def test_address_parts(spark):
     from pyspark.sql import functions as F
     urls = ["https://www.Example.co.de:80/fr/1?x", "http://u@h.org", None, "no address", "//a.fr/es"]
