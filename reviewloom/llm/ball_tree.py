@@ -1,6 +1,7 @@
 """Exact top-k inner products by ball trees, one per shard.
 
-Vectors are dealt to shards by id. In a shard a ball tree (centres and radii) gives
+Rows that repeat id and vector are counted first, as only k of them can matter, and
+dealt to shards by id and vector. In a shard a ball tree (centres and radii) gives
 every node an upper bound of a query's inner products: query times centre plus
 query's length times radius. Nodes whose bound is below the query's current k-th
 score are cut off; the leaves that remain are visited from the highest bound down,
@@ -8,8 +9,9 @@ raising the k-th score, until no bound reaches it. Every query first searches th
 shard it lies in; the k-th score found there is shared with all other shards.
 
 Queries meet shards in blocks: a group holds one shard and at most about
-``QUERY_BLOCK`` queries. Of equal vectors in a shard only the k + 1 smallest ids can
-matter (one may be the query itself), so a vector with many copies costs little.
+``QUERY_BLOCK`` queries. Of equal vectors in a shard at most k rows of an id and 2 k
+rows in all can matter (k of them may be the query's own), so a vector with many
+copies costs little.
 
 Components are floor(scale * x) as whole numbers, and products are exact.
 
@@ -136,6 +138,13 @@ def search(points: np.ndarray, ids: list[np.ndarray], queries: np.ndarray, own:
     return best
 
 
+def _needed(ids: np.ndarray, k: int) -> np.ndarray:
+    """Of ascending ids those that can be among the ``k`` smallest when any one id is left out."""
+    if len(ids) <= k:
+        return ids
+    return ids[np.arange(len(ids)) - np.searchsorted(ids, ids) < k][:2 * k]
+
+
 def _matrix(column: pa.ChunkedArray, scale: float) -> list[np.ndarray]:
     return [np.floor(scale * np.asarray(v.values, np.float64)) for v in column]
 
@@ -155,7 +164,7 @@ def _group(points: pa.Table, queries: pa.Table, k: int, scale: float) -> pa.Tabl
         names = points["vec_id"].to_numpy()[own_rows]
         order = np.lexsort((names, group.ravel()))
         cuts = np.flatnonzero(np.diff(group.ravel()[order])) + 1
-        ids = [x[:k + 1] for x in np.split(names[order], cuts)]
+        ids = [_needed(x, k) for x in np.split(names[order], cuts)]
         asks = queries.take(pa.array(which))
         least = asks["least"].to_numpy().astype(np.float64)
         found = search(distinct, ids, np.array([asked[n] for n in which]).reshape(len(which), size),
@@ -184,7 +193,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024
     partitions = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shards = max(1, math.ceil(counts["rows"] / SHARD), min(2 * partitions, math.ceil(counts["rows"] / 1024)))
     groups = max(1, math.ceil(counts["queries"] / QUERY_BLOCK))
-    points = points.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)))
+    # rows of one id and vector meet as counts, and an id's vectors spread over the shards
+    points = stored(
+        points.groupBy("vec_id", "vector").agg(F.max("is_query").alias("is_query"), F.count(F.lit(1)).alias("n"))
+        .withColumn("n", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int")))).drop("n")
+        .withColumn("shard", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(shards))), "points")
     asked = stored(
         points.where("is_query").withColumn("query_key", F.xxhash64("vector"))
         .dropDuplicates(["vec_id", "query_key"])

@@ -195,6 +195,18 @@ def test_search(spark, monkeypatch):
     assert ball_tree.top_k(frame.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_search_for_a_row_repeated_more_than_k_times(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, [float(x) for x in rng.normal(size=4)]) for k in range(300)]
+    rows += [(0, rows[0][1])] * 30 + [(5, rows[0][1])] * 14 + [(200, rows[0][1])] * 30 + [(k, rows[0][1]) for k in range(400, 420)]
+    rows += [(100, [float(x) for x in rng.normal(size=4)]) for _ in range(20)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    from pyspark.sql import functions as F
+    got = ball_tree.top_k(frame, F.col("vec_id") % 100 == 0, k=10).collect()
+    stored = [(n, [float(np.float32(x)) for x in v]) for n, v in rows]
+    assert sorted(tuple(r) for r in got) == brute_top(stored, lambda n: n % 100 == 0, 10)
+
+
 def test_bounds_hold_for_every_node():
     rng = np.random.default_rng(8)
     points = np.floor(1024 * rng.normal(size=(500, 8)))
