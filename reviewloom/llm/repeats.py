@@ -1,8 +1,9 @@
-"""Repeated passages removed by prefix-partitioned suffix trees.
+"""Repeated passages removed by a join of hashed windows, grouped by minimisers.
 
-A suffix starts at every word, and a passage of ``width`` words that occurs twice is
-a node at depth ``width`` of the suffix tree of all texts. The tree is built in
-groups. A suffix belongs to a group by a prefix of variable length: the one that
+A suffix starts at every word, and a passage of ``width`` words that occurs twice
+would be a node at depth ``width`` of the suffix tree of all texts. No tree is built:
+only the nodes of that depth are found, as equal hashes of windows, in groups. A
+suffix belongs to a group by a prefix of variable length: the one that
 ends with the first ``width`` words' marker, the run of ``width // 2`` words with the
 smallest hash. Equal passages have equal prefixes, so a node never lies in two groups.
 
@@ -19,7 +20,8 @@ smallest hash. Equal passages have equal prefixes, so a node never lies in two g
    round compares these.
 5. Words covered by repeats are removed from the texts that have any.
 
-Prefixes and labels are independent 64-bit hashes that must both agree.
+Prefixes and labels are 64-bit hashes that must both agree. Both come from the same
+word hashes, so they are not independent, and words are not compared.
 
 Defined cases: null and empty texts have no words; a text with fewer words than a
 passage keeps them all; a null id counts as larger than every other; rows with
