@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reviewloom.llm import ball_tree, content_sort, language, log_bilinear, mixing, packing, page_diff, repeats, sharding, simhash
+from reviewloom.llm import (ball_tree, content_sort, divergence, language, log_bilinear, mixing, packing, page_diff,
+                            repeats, sharding, simhash)
 from reviewloom.sources.tables import table
 
 
@@ -67,6 +68,10 @@ def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"), width=3, radius=2)
 
 
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents"), least_docs=30, top=50)
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
@@ -79,6 +84,7 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_sharding": op9_sharding,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op12_source_divergence": op12_source_divergence,
 }
 
 SQL = {
@@ -160,4 +166,27 @@ SQL = {
                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start FROM x)
         SELECT doc_id, domain, lang, source, epoch, start, tokens,
                least(tokens, ceil(budget - start)::BIGINT) AS taken FROM s WHERE start < budget""",
+    "op12_source_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS place, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                       regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+        t AS (SELECT place, lang, source, unnest(terms) AS term FROM d),
+        k AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT place) >= 30),
+        l AS (SELECT lang, sum(n)::BIGINT AS total, count(*) AS v FROM k GROUP BY lang),
+        c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY lang, source, term),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        z AS (SELECT lang, source, coalesce(sum(n), 0)::BIGINT AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+        p AS (SELECT z.lang, z.source, k.term, coalesce(c.n, 0) AS n,
+                     1 + 1000000000 * (coalesce(c.n, 0) + 5) // (z.total + 5 * l.v) AS p,
+                     1 + 1000000000 * (k.n + 5) // (l.total + 5 * l.v) AS q
+              FROM z JOIN k USING (lang) JOIN l USING (lang)
+              LEFT JOIN c ON c.lang = z.lang AND c.source = z.source AND c.term = k.term),
+        s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p))::BIGINT AS value
+              FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+        r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+              FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+              LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+              UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+        o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM r)
+        SELECT lang, source, part, item, value, rank FROM o WHERE part = 'pair' OR rank <= 50""",
 }
