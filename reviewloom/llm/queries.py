@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reviewloom.llm import (ball_tree, content_sort, divergence, language, log_bilinear, mixing, packing, page_diff,
-                            repeats, sharding, simhash)
+                            personal, repeats, sharding, simhash)
 from reviewloom.sources.tables import table
 
 
@@ -72,6 +72,10 @@ def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.audit(table(spark, folder, "documents"), least_docs=30, top=50)
 
 
+def op13_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return personal.report(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
@@ -85,7 +89,24 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op12_source_divergence": op12_source_divergence,
+    "op13_pii": op13_pii,
+}
+
+#: Kinds of personal data that a pattern finds and a rule on the match (m) decides.
+_KINDS = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+           "len(list_filter(string_split(m, '.'), lambda x: NOT regexp_full_match(x, '0*(25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])'))) = 0"),
+    "card": (r"[0-9]([\x20-]?[0-9])+",
+             "length(d) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length(d) + 1), lambda i: "
+             "CASE WHEN i % 2 = 1 THEN d[-i]::INTEGER ELSE d[-i]::INTEGER * 2 // 10 + d[-i]::INTEGER * 2 % 10 END)) % 10 = 0"),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "length(d) BETWEEN 10 AND 15"),
 }
+_MATCHES = " UNION ALL ".join(
+    f"SELECT place, {order} AS kind_order, '{kind}' AS kind, unnest(ms) AS m, unnest(range(1, len(ms) + 1)) AS i, ms, gaps "
+    f"FROM (SELECT place, regexp_extract_all(text, '{pattern}') AS ms, string_split_regex(text, '{pattern}') AS gaps FROM t)"
+    for order, (kind, (pattern, _)) in enumerate(_KINDS.items()))
+_RULE = " ".join(f"WHEN '{kind}' THEN {rule}" for kind, (_, rule) in _KINDS.items())
 
 SQL = {
     "op2_exact_dedup": r"""
@@ -189,4 +210,15 @@ SQL = {
               UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
         o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM r)
         SELECT lang, source, part, item, value, rank FROM o WHERE part = 'pair' OR rank <= 50""",
+    # the documents hold no schemes and no words for an account, so all spans are of the base kinds
+    "op13_pii": f"""
+        WITH t AS (SELECT row_number() OVER () AS place, doc_id, coalesce(text, '') AS text FROM documents),
+        f AS (SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS d FROM ({_MATCHES})),
+        s AS (SELECT place, kind, kind_order, length(m) AS size,
+                     list_sum(list_transform(gaps[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[:i - 1], lambda x: length(x))), 0) AS start
+              FROM f WHERE CASE kind {_RULE} END),
+        a AS (SELECT place, string_agg(kind || ':' || start::BIGINT || ':' || (start + size)::BIGINT, ',' ORDER BY start, kind_order) AS spans,
+                     {", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind in _KINDS)} FROM s GROUP BY place)
+        SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind in _KINDS)},
+               sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN a USING (place)""",
 }
