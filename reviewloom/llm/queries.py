@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reviewloom.llm import (ball_tree, content_sort, divergence, language, log_bilinear, mixing, packing, page_diff,
-                            personal, repeats, sharding, simhash)
+                            personal, repeats, sharding, simhash, vector_codes)
 from reviewloom.sources.tables import table
 
 
@@ -68,6 +68,10 @@ def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"), width=3, radius=2)
 
 
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.report(table(spark, folder, "embeddings"))
+
+
 def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.audit(table(spark, folder, "documents"), least_docs=30, top=50)
 
@@ -88,6 +92,7 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_sharding": op9_sharding,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_vector_codes": op11_vector_codes,
     "op12_source_divergence": op12_source_divergence,
     "op13_pii": op13_pii,
 }
@@ -108,6 +113,17 @@ _MATCHES = " UNION ALL ".join(
     for order, (kind, (pattern, _)) in enumerate(_KINDS.items()))
 _RULE = " ".join(f"WHEN '{kind}' THEN {rule}" for kind, (_, rule) in _KINDS.items())
 
+#: One round of the codebooks: every part's entry (b), then the means (c).
+_ROUND = """
+        b{n} AS MATERIALIZED (SELECT p.id, p.part, p.e, min((p.size + c.size - 2 * list_inner_product(p.e, c.e))::BIGINT * 256 + c.entry) AS best
+               FROM p JOIN c{n} c USING (part) GROUP BY p.id, p.part, p.e),"""
+_MEANS = """
+        u{m} AS (SELECT part, best % 256 AS entry, unnest(e)::BIGINT AS x, unnest(range(1, len(e) + 1)) AS i FROM b{n}),
+        m{m} AS (SELECT part, entry, i, sum(x) AS s, count(*) AS n FROM u{m} GROUP BY part, entry, i),
+        l{m} AS (SELECT part, entry, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY i) AS e FROM m{m} GROUP BY part, entry),
+        c{m} AS MATERIALIZED (SELECT part, entry, coalesce(l{m}.e, c{n}.e) AS e,
+               list_inner_product(coalesce(l{m}.e, c{n}.e), coalesce(l{m}.e, c{n}.e)) AS size FROM c{n} LEFT JOIN l{m} USING (part, entry)),"""
+
 SQL = {
     "op2_exact_dedup": r"""
         WITH n AS (SELECT doc_id, coalesce(text, '') AS t,
@@ -221,4 +237,17 @@ SQL = {
                      {", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind in _KINDS)} FROM s GROUP BY place)
         SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind in _KINDS)},
                sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN a USING (place)""",
+    "op11_vector_codes": """
+        WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS id, vec_id, label,
+                       list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT id, part, e[part * len(e) // 4 + 1:(part + 1) * len(e) // 4] AS e FROM v CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS part)),
+        p AS MATERIALIZED (SELECT *, list_inner_product(e, e) AS size FROM s),
+        c0 AS MATERIALIZED (SELECT part, id - 1 AS entry, e, size FROM p WHERE id <= 256),"""
+    + "".join(_ROUND.format(n=n) + (_MEANS.format(n=n, m=n + 1) if n < 4 else "") for n in range(5)) + """
+        r AS (SELECT id, string_agg(lower(printf('%02x', best % 256)), '' ORDER BY part) AS code, sum(best // 256)::BIGINT AS error
+              FROM b4 GROUP BY id),
+        h AS (SELECT sha256(string_agg(list_aggregate(list_transform(e, lambda x: x::BIGINT::VARCHAR), 'string_agg', ','), ',' ORDER BY part, entry)) AS books FROM c4)
+        SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, books AS codebooks_sha256
+        FROM v JOIN r USING (id) CROSS JOIN h""",
 }
