@@ -7,29 +7,24 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, ty
 from reviewloom.fixed_values import DEFAULT_PLACE, SITES
 from reviewloom.schemas import CLEAN_REVIEW, RAW_REVIEW
 from reviewloom.sources.arrival import numbered, with_places
+from reviewloom.sources.records import read_csv
 
 # a file of that name, or a folder of that name with part files
 _RAW_FILE = r"/reviews_([^/.]+)\.csv(?:/[^/]*)?$"
 _CLEAN_FILE = r"/preprocessed_reviews_([^/.]+)\.csv(?:/[^/]*)?$"
 
 
-def _csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    # Review bodies hold line feeds and doubled quotes.
-    return (spark.read.schema(schema).option("header", True).option("multiLine", True)
-            .option("quote", '"').option("escape", '"').option("encoding", "UTF-8")
-            .option("enforceSchema", False).csv(path))
-
-
 def read_raw_csv(spark: SparkSession, path: str, site: str | None = None) -> DataFrame:
     """Raw reviews as ``site, ingest_seq, rating, date, content``.
 
     ``site`` names the site of every row; without it the site is taken from
     file names such as ``reviews_<site>.csv`` and files of unknown sites are
     skipped. ``ingest_seq`` grows with the file name and the row's place in the
-    file, which is the arrival order that first-wins rules need.
+    file, which is the arrival order that first-wins rules need. One large file is
+    read in many tasks, also where bodies hold line feeds and quotes.
     """
-    rows = numbered(with_places(_csv(spark, path, RAW_REVIEW)).withColumn(
-        "site", F.lit(site) if site else F.regexp_extract(F.col("__file"), _RAW_FILE, 1)), "ingest_seq")
+    rows = read_csv(spark, path, RAW_REVIEW, "ingest_seq", check_header=True).withColumn(
+        "site", F.lit(site) if site else F.regexp_extract(F.col("__file"), _RAW_FILE, 1))
     return rows.filter(F.col("site").isin(*SITES)).select(
         "site", "ingest_seq", F.col("rating").try_cast("double").alias("rating"), "date", "content")
 
@@ -120,11 +115,8 @@ def read_preprocessed_csv(spark: SparkSession, path: str) -> DataFrame:
         T.StructField("tokenized_content", T.StringType()), T.StructField("weekday", T.StringType()),
         T.StructField("text_length", T.StringType()),
     ])
-    rows = (spark.read.schema(schema).option("header", True).option("multiLine", True)
-            .option("quote", '"').option("escape", '"')
-            .option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).csv(path))
-    site = F.regexp_extract(F.col("__file"), _CLEAN_FILE, 1)
-    records = numbered(with_places(rows).withColumn("site", site), "ingest_seq").select(
+    rows = read_csv(spark, path, schema, "ingest_seq", ignoreMissingFiles=True, ignoreCorruptFiles=True)
+    records = rows.withColumn("site", F.regexp_extract(F.col("__file"), _CLEAN_FILE, 1)).select(
         "site", "ingest_seq", "content", F.col("rating").try_cast("double").alias("rating"),
         F.coalesce("date", F.lit("")).alias("date"), F.col("site").alias("platform"),
         F.lit(DEFAULT_PLACE).alias("subject"), F.lit(DEFAULT_PLACE).alias("place"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reviewloom.fixed_values import INDEX_REQUIRED
 from reviewloom.schemas import INDEX, MESSAGES, SUBJECT, USERS
-from reviewloom.sources.arrival import numbered, with_places
+from reviewloom.sources.records import read_json_lists
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,15 +20,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def read_subjects(spark: SparkSession, path: str) -> DataFrame:
     """Nested subject records with their position by file name and list place; one object or a list of them.
 
-    A missing path gives an empty table of the same schema.
+    One long list is read in many tasks. A missing path gives an empty table of the same schema.
     """
     try:
-        rows = spark.read.schema(SUBJECT).option("multiLine", True).json(path)
+        return read_json_lists(spark, path, SUBJECT, "pos").drop("__file")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], SUBJECT).withColumn("pos", F.lit(0).cast("long"))
-    return numbered(with_places(rows), "pos")
 
 
 def read_users(spark: SparkSession, path: str) -> DataFrame:

@@ -1,6 +1,8 @@
 import json
+import random
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from reviewloom.operators import cleaning
@@ -207,3 +209,94 @@ def test_loading_warns_of_missing_fields_and_writes_no_empty_index(spark, tmp_pa
         tables.load_index(spark, str(tmp_path / "bare"), lambda: None)
     assert tables.load_index(spark, str(tmp_path / "new"), lambda: spark.createDataFrame([], INDEX)).count() == 0
     assert not (tmp_path / "new").exists()
+
+
+@pytest.fixture()
+def cut_files(spark):
+    """Cuts files into ranges of so many bytes."""
+    def cut(size):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    yield cut
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def csv_field(draw):
+    text = "".join(draw.choice('ab,"\n x글') for _ in range(draw.randint(0, 30)))
+    return '"' + text.replace('"', '""') + '"' if any(c in text for c in ',"\n') or draw.random() < 0.3 else text
+
+
+def csv_files(folder):
+    draw = random.Random(1)
+    for n in range(3):
+        (folder / f"f{n}.csv").write_text("rating,date,content\n" + "".join(
+            f"{i},{csv_field(draw)},{csv_field(draw)}\n" for i in range(200)), encoding="utf-8")
+    (folder / "g.csv").write_bytes(b'rating,date,content\n1,a "q" b,say "hi"\n\n2,"x\r\ny",z\r\n3,,"""q"""\n4,"",\n5,"a"b,"c')
+    (folder / "h.csv").write_bytes(b'\xef\xbb\xbfrating,date,content\r\n1,"a\r\nb",c\r\n\r\n2,,d\r\n')
+    (folder / "i.csv").write_bytes(b"rating,date,content\n")
+    (folder / "j.csv").write_bytes(b'rating,date,content\n6,"' + b'long "" line\n' * 300 + b'",end')
+
+
+@pytest.mark.parametrize("size", ["128m", "300", "41"])
+def test_records_cut_in_ranges_are_those_of_the_whole_file(spark, tmp_path, cut_files, size):
+    """Quotes and line feeds lie across cuts; a record can hold whole ranges."""
+    from reviewloom.schemas import RAW_REVIEW
+    csv_files(tmp_path)
+    whole = []
+    for file in sorted(tmp_path.iterdir()):
+        read = (spark.read.schema(RAW_REVIEW).option("header", True).option("multiLine", True).option("quote", '"')
+                .option("escape", '"').csv(str(file)))
+        assert read.rdd.getNumPartitions() == 1
+        whole += [tuple(r) for r in read.collect()]
+    cut_files(size)
+    got = source.read_csv(spark, str(tmp_path), RAW_REVIEW, "n", check_header=True).orderBy("n").collect()
+    assert [(r.rating, r.date, r.content) for r in got] == whole
+    assert [r.n for r in got] == list(range(len(whole)))
+
+
+def test_one_file_is_read_in_many_tasks(spark, tmp_path, cut_files):
+    file = tmp_path / "reviews_kakaomap.csv"
+    file.write_text("rating,date,content\n" + "".join(f'{i % 5},2024.05.03,"row {i}\nsecond ""line"", {"x" * (i % 90)}"\n' for i in range(1000)))
+    cut_files(str(file.stat().st_size // 50 + 1))
+    assert spark.read.text(str(file)).rdd.getNumPartitions() == 50
+    got = source.read_raw_csv(spark, str(file)).orderBy("ingest_seq").collect()
+    assert [r.content for r in got] == [f'row {i}\nsecond "line", {"x" * (i % 90)}' for i in range(1000)]
+    assert [r.ingest_seq for r in got] == list(range(1000)) and {r.site for r in got} == {"kakaomap"}
+
+
+def test_a_wrong_header_is_an_error(spark, tmp_path):
+    (tmp_path / "reviews_kakaomap.csv").write_text("date,rating,content\n2024,5,x\n")
+    with pytest.raises(PySparkException, match="header of a CSV file"):
+        source.read_raw_csv(spark, str(tmp_path / "*.csv")).collect()
+
+
+@pytest.mark.parametrize("size", ["128m", "200", "37"])
+def test_lists_cut_in_ranges_are_those_of_the_whole_file(spark, tmp_path, cut_files, size):
+    """Braces, brackets, quotes and backslashes inside texts lie across cuts."""
+    from reviewloom.schemas import SUBJECT
+    draw = random.Random(2)
+
+    def subject(i):
+        return {"name": f'n{i}\\"}}{{ [{{ \\\\' * draw.randint(0, 3), "category": "c}", "ticket_info": {"a}{": {"b": ["x", "]}"]}}, "visitor_tips": ["t}", '\\"{']}
+    for n, indent in enumerate((None, 1, None)):
+        (tmp_path / f"{n}.json").write_text(json.dumps([subject(i) for i in range(120)], indent=indent, ensure_ascii=n == 0))
+    (tmp_path / "3.json").write_text(json.dumps(subject(0)))
+    (tmp_path / "4.json").write_text("[]")
+    (tmp_path / "5.json").write_text("\n [ ]\n")
+    (tmp_path / "6.json").write_bytes(b"\xef\xbb\xbf\n[" + json.dumps({"name": "last"}).encode() + b"]")
+
+    def rows(frame):
+        return [(r.name, r.category, json.loads(r.ticket_info) if r.ticket_info else None, r.visitor_tips) for r in frame]
+    whole = []
+    for file in sorted(tmp_path.iterdir()):
+        whole += rows(spark.read.schema(SUBJECT).option("multiLine", True).json(str(file)).collect())
+    cut_files(size)
+    got = tables.read_subjects(spark, str(tmp_path)).orderBy("pos").collect()
+    assert rows(got) == whole and [r.pos for r in got] == list(range(len(whole)))
+
+
+def test_a_list_that_breaks_off_keeps_what_it_has(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"name": "A"}, {"name": "B", "category":')
+    got = tables.read_subjects(spark, str(tmp_path)).orderBy("pos").collect()
+    assert [(r.name, r.category) for r in got] == [("A", None), ("B", None)]
