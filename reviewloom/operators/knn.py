@@ -1,38 +1,39 @@
 """Exact nearest vectors by inner product for a batch of queries.
 
-Every (query, vector) pair is scored, but only inside a task and as one matrix
-product; what leaves a task is its own top k per query. Scores are rounded
-before they are ranked and ties go to the lower ``vec_id``, so the result does
-not depend on how the vectors are spread over tasks.
+Queries that fit ``QUERY_BYTES`` are broadcast, and one scan scores them as matrix products;
+what leaves a task is its own top k per query. For more queries the vectors are divided into cells
+(``cells``): each query visits cells from the highest bound down, a few more in each round, and
+stops at its k-th score. Scores are rounded before they are ranked and ties go to the lower
+``vec_id``, so the result does not depend on how the vectors are spread over tasks.
+
+A vector takes part if it is there, not empty and all its components are finite numbers, and
+meets the queries of its own length.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reviewloom.fixed_values import SEARCH_K
-from reviewloom.functions.vectors import SCORE_DECIMALS
+from reviewloom.functions.vectors import SCORE_DECIMALS, matrix
+from reviewloom.operators.cells import Divided, divide
+from reviewloom.session import stored
 
 QUERY_BYTES = 64 * 1024 * 1024
 QUERY_TILE = 256
 VECTOR_TILE = 8192
 ROUNDING_MARGIN = 2 * 10.0 ** -SCORE_DECIMALS
-BLOCK_BYTES = 64 * 1024 * 1024
+#: Queries that one task holds against a slice of a cell, and how many times more cells each round may visit.
+ASK_ROWS, STEP = 8192, 4
 _HITS = "query_id long, vec_id long, score double"
 
 
-def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """A column of equally long lists as a matrix, without a Python object per row."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    rows = len(column)
-    return column.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(rows, -1)
-
-
 def _ids(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -83,94 +84,147 @@ class _TopK:
         return pa.table({"query_id": query, "vec_id": ids, "score": score})
 
 
-def _rows_within(queries: DataFrame, size: int) -> int | None:
-    """How many vectors of this length fit ``size`` bytes; None without any query."""
-    head = queries.select(F.size("embedding").alias("dim")).first()
-    return None if head is None else size // (8 * max(1, head["dim"]))
+def _by_length(ids: pa.Array | pa.ChunkedArray, vectors: pa.Array | pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Ids and matrix of the vectors of each length."""
+    lengths = pc.list_value_length(vectors)
+    return {n: (_ids(ids.filter(pc.equal(lengths, n))), matrix(vectors.filter(pc.equal(lengths, n))))
+            for n in pc.unique(lengths).to_pylist()}
 
 
-def _few_queries(queries: DataFrame, broadcast_bytes: int) -> tuple[np.ndarray, np.ndarray] | None:
-    """The query matrix if it surely fits the byte limit, else None."""
-    limit = _rows_within(queries, broadcast_bytes)
-    if limit is None:
-        return np.empty(0, "int64"), np.empty((0, 1))
+def _few_queries(queries: DataFrame, broadcast_bytes: int) -> dict[int, tuple[np.ndarray, np.ndarray]] | None:
+    """The queries by length if they surely fit the byte limit, else None."""
+    longest = queries.agg(F.max(F.size("embedding"))).first()[0]
+    if longest is None:
+        return {}
+    limit = broadcast_bytes // (8 * longest)
     rows = queries.select("query_id", "embedding").limit(limit + 1).toArrow()
-    if len(rows) > limit:
-        return None
-    return _ids(rows["query_id"]), _matrix(rows["embedding"])
+    return None if len(rows) > limit else _by_length(rows["query_id"], rows["embedding"])
 
 
-def local_top_k(vectors: DataFrame, queries: DataFrame, k: int, broadcast_bytes: int = QUERY_BYTES) -> DataFrame:
-    """Top k per query of each task; the query matrix is broadcast when it is small."""
-    matrix = _few_queries(queries, broadcast_bytes)
-    if matrix is None:
-        return _blockwise_top_k(vectors, queries, k)
-    shared = vectors.sparkSession.sparkContext.broadcast(matrix)
+def _scan_top_k(vectors: DataFrame, asked: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> DataFrame:
+    """Top k per query of each task, by one scan of all vectors."""
+    shared = vectors.sparkSession.sparkContext.broadcast(asked)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _TopK(*shared.value, k)
+        best = {n: _TopK(*queries, k) for n, queries in shared.value.items()}
         for batch in batches:
-            if len(batch) and len(best.query_ids):
-                best.add(_ids(batch["vec_id"]), _matrix(batch["embedding"]))
-        yield from best.hits().to_batches()
+            for n, rows in _by_length(batch["vec_id"], batch["embedding"]).items():
+                if n in best:
+                    best[n].add(*rows)
+        for found in best.values():
+            yield from found.hits().to_batches()
 
     return vectors.select("vec_id", "embedding").mapInArrow(search, _HITS)
 
 
-def _blockwise_top_k(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int | None = None) -> DataFrame:
-    """For query sets of any size: hash both sides into blocks of some ``BLOCK_BYTES``
-    and bring each pair of blocks together in one task.
+class Found(NamedTuple):
+    """Hits ranked per query, and how many pairs of query and vector were scored, of how many there are."""
+    hits: DataFrame
+    scored: int
+    possible: int
+
 
-    Each side travels once per block of the other, so blocks are as large as a
-    task can well hold.
+def _ranked(hits: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def search_cells(divided: Divided, queries: DataFrame, k: int, ask_rows: int = ASK_ROWS) -> Found:
+    """The ``k`` best vectors of each query, cell by cell; all queries have the length of the vectors.
+
+    In each round a query meets the next cells in order of its bounds, as long as they reach its k-th
+    score so far; no query is left when a round asks for no cell. A cell's rows are cut into slices and its
+    queries into blocks of bounded size.
     """
-    block_rows = block_rows or _rows_within(queries, BLOCK_BYTES) or 1
-    n_q = -(-queries.count() // block_rows) or 1
-    n_v = -(-vectors.count() // block_rows) or 1
-    left = vectors.select(
-        "vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(n_v)).alias("v_block"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)).cast("array<long>")).alias("q_block"))
-    right = queries.select(
-        "query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).alias("q_block"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_v - 1)).cast("array<long>")).alias("v_block"))
-
-    def search(block: pa.Table, batch: pa.Table) -> pa.Table:
-        if not len(block) or not len(batch):
+    spark = queries.sparkSession
+    asked = stored(queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding"), "asked")
+    kind = asked.schema["embedding"].dataType.simpleString()
+    shared = spark.sparkContext.broadcast((divided.centres, divided.radii, divided.rows))
+    total, filled = asked.count(), int((divided.rows > 0).sum())
+
+    def next_cells(first: int, last: int):
+        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cells = Divided(None, *shared.value)
+            for batch in batches:
+                for at in range(0, len(batch), QUERY_TILE):
+                    part = batch.slice(at, QUERY_TILE)
+                    bound = cells.bounds(matrix(part.column(1)))
+                    order = np.argsort(-bound, axis=1, kind="stable")[:, first:last]
+                    floor = part.column(2).to_numpy(zero_copy_only=False)
+                    reach = np.take_along_axis(bound, order, axis=1) >= np.nan_to_num(floor, nan=-np.inf)[:, None] - ROUNDING_MARGIN
+                    row, col = np.nonzero(reach & (cells.rows[order] > 0))
+                    chosen = pa.array(row)
+                    yield pa.record_batch([part.column(0).take(chosen), part.column(1).take(chosen), pa.array(order[row, col].astype(np.int32))],
+                                          names=["query_id", "embedding", "cell"])
+        return choose
+
+    def score(points: pa.Table, asks: pa.Table) -> pa.Table:
+        if not len(points) or not len(asks):
             return _TopK(np.empty(0, "int64"), np.empty((0, 1)), k).hits()
-        best = _TopK(_ids(batch["query_id"]), _matrix(batch["embedding"]), k)
-        best.add(_ids(block["vec_id"]), _matrix(block["embedding"]))
+        best = _TopK(_ids(asks["query_id"]), matrix(asks["embedding"]), k)
+        best.add(_ids(points["vec_id"]), matrix(points["embedding"]))
         return best.hits()
 
-    key = ["v_block", "q_block"]
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(search, _HITS)
+    best, scored, first, last = spark.createDataFrame([], _HITS + ", rank int"), 0, 0, 1
+    while first < filled:
+        floors = best.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+        pairs = stored(asked.join(floors, "query_id", "left").select("query_id", "embedding", "floor").mapInArrow(
+            next_cells(first, last), f"query_id long, embedding {kind}, cell int"), "asks")
+        asks = {r["cell"]: r["count"] for r in pairs.groupBy("cell").count().collect()}  # one row per cell at most
+        if not asks:
+            break
+        cuts = F.broadcast(spark.createDataFrame(
+            [(c, int(-(-divided.rows[c] // VECTOR_TILE)), -(-n // ask_rows)) for c, n in asks.items()], "cell int, slices int, blocks int"))
+        points = divided.points.join(cuts, "cell").select(
+            "vec_id", "embedding", "cell", F.pmod(F.xxhash64("vec_id"), "slices").cast("int").alias("slice"),
+            F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        blocks = pairs.join(cuts, "cell").select(
+            "query_id", "embedding", "cell", F.pmod(F.xxhash64("query_id"), "blocks").cast("int").alias("block"),
+            F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+        key = ["cell", "slice", "block"]
+        hits = points.groupBy(*key).cogroup(blocks.groupBy(*key)).applyInArrow(score, _HITS)
+        best = stored(_ranked(best.drop("rank").unionByName(hits), k), "best")
+        scored += sum(int(divided.rows[c]) * n for c, n in asks.items())
+        first, last = last, last * STEP
+    return Found(best, scored, total * int(divided.rows.sum()))
 
 
 def _is_usable() -> Column:
-    whole = F.forall("embedding", lambda x: x.isNotNull())
-    return F.coalesce(whole & (F.size("embedding") > 0), F.lit(False))
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce(finite & (F.size("embedding") > 0), F.lit(False))
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """The rows whose vector is there and whole."""
+    """The rows whose vector is there, whole and finite."""
     return vectors.filter(_is_usable())
 
 
-def unusable(vectors: DataFrame) -> DataFrame:
-    """How many rows have no usable vector."""
-    return vectors.agg(F.count(F.when(~_is_usable(), 1)).alias("unusable"))
+def unusable(vectors: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """How many rows have no usable vector or, with ``queries``, none of the length of any query."""
+    if queries is None:
+        return vectors.agg(F.count(F.when(~_is_usable(), 1)).alias("unusable"))
+    lengths = usable(queries).select(F.size("embedding").alias("length")).distinct().withColumn("asked", F.lit(True))
+    sized = vectors.select(F.when(_is_usable(), F.size("embedding")).alias("length"))
+    return sized.join(lengths, "length", "left").agg(F.count(F.when(F.col("asked").isNull(), 1)).alias("unusable"))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = SEARCH_K, skip_self: bool = False,
             broadcast_bytes: int = QUERY_BYTES) -> DataFrame:
     """``query_id, vec_id, score, rank`` of the k best vectors of each query.
 
-    ``skip_self`` leaves out the vector whose id equals the query's. A query
-    matrix above ``broadcast_bytes`` is searched block by block. Vectors that are
-    NULL or hold a NULL take no part; ``unusable`` counts them.
+    ``skip_self`` leaves out the vector whose id equals the query's. Queries above
+    ``broadcast_bytes`` are searched cell by cell. Vectors that are not usable take no
+    part, nor do those of a length that no query has; ``unusable`` counts them.
     """
     vectors, queries = usable(vectors), usable(queries)
-    found = local_top_k(vectors, queries, k + 1 if skip_self else k, broadcast_bytes)
-    if skip_self:
-        found = found.filter(F.col("query_id") != F.col("vec_id"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    fetched = k + 1 if skip_self else k
+    asked = _few_queries(queries, broadcast_bytes)
+    if asked is None:
+        found = None
+        for row in queries.select(F.size("embedding").alias("n")).distinct().orderBy("n").collect():  # one, as a rule
+            own = F.size("embedding") == row["n"]
+            hits = search_cells(divide(vectors.filter(own), row["n"]), queries.filter(own), fetched).hits.drop("rank")
+            found = hits if found is None else found.unionByName(hits)
+    else:
+        found = _scan_top_k(vectors, asked, fetched)
+    return _ranked(found.filter(F.col("query_id") != F.col("vec_id")) if skip_self else found, k)

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from reviewloom.fixed_values import (INFO_WORDS, NO_REFERENCES, NOTE_HIGH, NOTE_LOW, PROMPT_CHAT, PROMPT_REVIEW,
                                      REPLY_CHAT_FAILED, REPLY_REVIEW_FAILED, REPLY_SUBJECT_FAILED, REVIEW_WORDS)
 from reviewloom.functions.labels import chunk_source, hit_source
 from reviewloom.functions.vectors import l2_normalise
 from reviewloom.functions.text import split_words
-from reviewloom.operators import conversations, embed, knn, retrieval, wordpiece
+from reviewloom.operators import cells, conversations, embed, knn, retrieval, wordpiece
 from reviewloom.plans import answering, derived
 from reviewloom.plans.chat_queries import MARKDOWN, keyword_case, quoted, resolve_sql, subject_prompt
 from reviewloom.plans.oracle_parts import (CLEAN, CONTENTS, MENTIONS, PAIRS, SELECTED, TOP10, TURNS, USER_MESSAGES,
@@ -39,12 +39,24 @@ def knn_label_profiles(spark, folder):
 
 
 def knn_blockwise(spark, folder):
-    """The search for query sets of any size, which shuffles blocks instead of broadcasting."""
+    """The search for query sets of any size, cell by cell instead of broadcasting."""
     found = knn.nearest(derived.vectors(spark, folder), derived.vector_queries(spark, folder), skip_self=True,
                         broadcast_bytes=0)
     return _long(found, "rank")
 
 
+def knn_stored_cells(spark, folder):
+    """The same hits from vectors that were stored by cell, as an index is."""
+    path = shared_folder(spark, "cells")
+    vectors = knn.usable(derived.vectors(spark, folder))
+    length = vectors.select(F.size("embedding")).first()[0]
+    cells.write(vectors, length, path, cell_rows=256)
+    found = knn.search_cells(cells.load(spark, path), derived.vector_queries(spark, folder), 11).hits.drop("rank")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = found.filter("query_id <> vec_id").withColumn("rank", F.row_number().over(order).cast("long"))
+    return ranked.filter("rank <= 10")
+
+
 def hits_above_threshold(spark, folder):
     return _long(retrieval.threshold(_top10(spark, folder), 0.4), "rank")
 
@@ -227,7 +239,7 @@ def mmr_select(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    knn_top10, knn_label_profiles, knn_blockwise, hits_above_threshold, knn_threshold_floor, retrieval_quality,
+    knn_top10, knn_label_profiles, knn_blockwise, knn_stored_cells, hits_above_threshold, knn_threshold_floor, retrieval_quality,
     context_block, chunk_context, reference_lines, document_hits, retriever_hits, hit_lists, source_strings,
     context_dedup, review_index, hash_embed_reviews, wordpiece_reviews, review_prompts, chat_states, answered_states, handled_history, answered_messages, answers_in_history,
     mmr_select)}
@@ -296,6 +308,7 @@ SQL = {
         FROM toks JOIN cut USING (word) GROUP BY ingest_seq""",
     "knn_top10": _KNN,
     "knn_blockwise": _KNN,
+    "knn_stored_cells": _KNN,
     "knn_label_profiles": """WITH parts AS (SELECT label, unnest(range(1, len(embedding) + 1)) AS place, unnest(embedding)::DOUBLE AS x FROM embeddings),
         means AS (SELECT label, place, avg(x) AS x FROM parts GROUP BY ALL),
         profiles AS (SELECT CAST(label AS BIGINT) AS query_id,

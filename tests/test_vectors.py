@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from reviewloom.fixed_values import NOTE_HIGH, NOTE_LOW, REPLY_BLANK_QUESTION, REPLY_NO_REVIEWS
 from reviewloom.functions.labels import chunk_source, confidence, confidence_note, hit_source, reference_line
 from reviewloom.functions.vectors import inner_product, l2_normalise
-from reviewloom.operators import knn, retrieval
+from reviewloom.operators import cells, knn, retrieval
 from reviewloom.operators.embed import embed, hashed_features, unit_rows
 from reviewloom.operators.ordered import number_rows
 from reviewloom.schemas import INDEX, INDEX_META
@@ -48,13 +48,60 @@ def test_nearest_equals_brute_force(spark, n, k, parts, skip_self, broadcast_byt
     assert found(got) == brute(v, w, k, skip_self)
 
 
-def test_many_blocks_give_the_same(spark):
-    v, w, vectors, queries = random_tables(spark, 120, 30, seed=3)
-    local = knn._blockwise_top_k(vectors, queries, 4, block_rows=7)
-    best = {}
-    for r in local.collect():
-        best.setdefault(r.query_id, []).append((-r.score, r.vec_id))
-    assert {q: [(j, -s) for s, j in sorted(b)[:4]] for q, b in best.items()} == brute(v, w, 4)
+def clustered(spark, n=600, asked=40, seed=3):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(0, 1, (12, 8)) * 5
+    v = centres[rng.integers(0, 12, n)] + rng.normal(0, 0.1, (n, 8))
+    w = centres[rng.integers(0, 12, asked)] + rng.normal(0, 0.1, (asked, 8))
+    rows = [spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(t)], f"{name} long, embedding array<double>")
+            for name, t in (("vec_id", v), ("query_id", w))]
+    return v, w, *rows
+
+
+@pytest.mark.parametrize("cell_rows, ask_rows", [(20, 7), (1000, 3), (3, 1000)])
+def test_cells_leave_out_pairs_and_no_hit(spark, monkeypatch, cell_rows, ask_rows):
+    v, w, vectors, queries = clustered(spark)
+    divided = cells.divide(vectors, 8, cell_rows)
+    assert divided.rows.sum() == len(v) and len(divided.rows) == -(-len(v) // cell_rows)
+    got = knn.search_cells(divided, queries, 4, ask_rows)
+    assert found(got.hits) == brute(v, w, 4)
+    assert got.possible == len(v) * len(w)
+    assert got.scored < 0.5 * got.possible if cell_rows < 1000 else got.scored == got.possible
+
+
+def test_bounds_are_not_below_any_product(spark):
+    v, w, vectors, _ = clustered(spark, 200, 30)
+    divided = cells.divide(vectors, 8, 15)
+    bound = divided.bounds(w)
+    for row in divided.points.collect():
+        assert (bound[:, row.cell] >= w @ v[row.vec_id]).all()
+
+
+def test_stored_cells_are_read_back(spark, tmp_path):
+    v, w, vectors, queries = clustered(spark)
+    cells.write(vectors, 8, str(tmp_path / "index"), 30)
+    assert found(knn.search_cells(cells.load(spark, str(tmp_path / "index")), queries, 3).hits) == brute(v, w, 3)
+
+
+def test_large_cells_are_searched_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(knn, "VECTOR_TILE", 50)
+    v, w, vectors, queries = clustered(spark)
+    assert found(knn.search_cells(cells.divide(vectors, 8, 300), queries, 5, 10).hits) == brute(v, w, 5)
+
+
+@pytest.mark.parametrize("broadcast_bytes", [knn.QUERY_BYTES, 0])
+def test_bad_vectors_and_other_lengths_change_no_hit(spark, broadcast_bytes):
+    """NaN, infinity and vectors of a second length, among vectors and queries."""
+    rng = np.random.default_rng(8)
+    short, long = rng.normal(0, 1, (30, 2)), rng.normal(0, 1, (25, 4))
+    rows = [(i, x.tolist()) for i, x in enumerate(short)] + [(100 + i, x.tolist()) for i, x in enumerate(long)]
+    bad = [(200, [float("nan"), 1.0]), (201, [float("inf"), 1.0]), (202, [1.0, float("-inf")]), (203, [None, 1.0]), (204, None), (205, [])]
+    vectors = spark.createDataFrame(rows + bad + [(206, [1.0, 2.0, 3.0])], "vec_id long, embedding array<double>")
+    queries = spark.createDataFrame(rows[:5] + rows[30:36] + bad, "query_id long, embedding array<double>")
+    want = {i: [(j, s) for j, s in brute(short, short[i:i + 1], 3)[0]] for i in range(5)}
+    want |= {100 + i: [(100 + j, s) for j, s in brute(long, long[i:i + 1], 3)[0]] for i in range(6)}
+    assert found(knn.nearest(vectors, queries, 3, broadcast_bytes=broadcast_bytes)) == want
+    assert knn.unusable(vectors).first()[0] == 6 and knn.unusable(vectors, queries).first()[0] == 7
 
 
 def test_tiles_and_zero_vectors(spark, monkeypatch):
