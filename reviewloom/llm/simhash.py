@@ -28,7 +28,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from reviewloom.llm.components import components
 from reviewloom.llm.words import pieces
@@ -60,14 +60,16 @@ def fingerprint(text: str | None, width: int) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id and the 64-bit fingerprint, as a signed number."""
+    """doc_id, the 64-bit fingerprint as a signed number, and a hash of the whole text."""
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter((fingerprint(t.as_py(), width) for t in batch.column(1)), np.uint64, len(batch))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), batch.column(2)],
+                                             ["doc_id", "bits", "text_hash"])
 
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    return rows.mapInArrow(of_batches, "doc_id long, bits long")
+    text = F.col(text_column)
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    return rows.mapInArrow(of_batches, "doc_id long, bits long, text_hash long")
 
 
 def masks(radius: int, free: int = 2**64 - 1) -> list[int]:
@@ -158,17 +160,21 @@ def links(found: DataFrame, radius: int) -> DataFrame:
     return ordered.mapInArrow(lambda batches: _linked(batches, radius), "u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, id_column: str = "doc_id",
-                    text_column: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (the smallest id that links lead to)."""
-    rows = stored(fingerprints(docs, width, id_column, text_column), "fingerprints")
+def _classes(rows: DataFrame, radius: int) -> DataFrame:
+    """bits, root, component_id of every fingerprint: its component and the smallest id there."""
     found = rows.groupBy("bits").agg(F.min("doc_id").alias("least"))
     roots = components(links(found.select("bits"), radius))
     classes = found.join(roots, F.col("bits") == F.col("node"), "left").select(
         "bits", "least", F.coalesce("root", "bits").alias("root"))
     smallest = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = classes.join(smallest, "root").select("bits", "component_id")
-    return rows.join(named, "bits").select(
+    return classes.join(smallest, "root").select("bits", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, id_column: str = "doc_id",
+                    text_column: str = "text") -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (the smallest id that links lead to)."""
+    rows = stored(fingerprints(docs, width, id_column, text_column), "fingerprints")
+    return rows.join(_classes(rows, radius), "bits").select(
         "doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -176,11 +182,19 @@ def without_near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, id
                             text_column: str = "text") -> DataFrame:
     """One document of each group, that with the smallest id, with its own columns.
 
-    Rows without an id are kept. Of rows that repeat the id that stays, one is kept.
+    A row is told by its id and text: an id that stands on two texts is two documents, and of two texts
+    of one group with the same smallest id one stays. Rows without an id are kept. Of rows that
+    repeat the id and text that stay, one is kept.
     """
-    gone = near_duplicates(docs, width, radius, id_column, text_column).where(
-        "doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_column).alias("id"))
-    kept = rows.join(gone, rows["id"] == gone["gone_id"], "left_anti")
-    again = Window.partitionBy("id", F.xxhash64(F.col("row")[text_column])).orderBy("id")
-    return kept.withColumn("copy", F.row_number().over(again)).where("copy = 1 OR id IS NULL").select("row.*")
+    rows = stored(fingerprints(docs, width, id_column, text_column), "fingerprints")
+    chosen = (rows.where("doc_id IS NOT NULL").groupBy("bits", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("copies"))
+              .join(_classes(rows, radius), "bits").groupBy("root")
+              .agg(F.min(F.struct("doc_id", "text_hash", "copies")).alias("stays")).select("stays.*"))
+    stays = stored(chosen, "stays")
+    named = docs.select(F.struct("*").alias("row"), F.col(id_column).cast("long").alias("doc_id"),
+                        F.xxhash64(F.col(text_column)).alias("text_hash"))
+    keys = ["doc_id", "text_hash"]
+    once = named.join(stays.where("copies = 1").select(*keys), keys, "left_semi").select("row")
+    repeated = (named.join(stays.where("copies > 1").select(*keys), keys, "left_semi")
+                .groupBy(*keys).agg(F.any_value("row").alias("row")).select("row"))
+    return once.unionAll(repeated).unionAll(named.where("doc_id IS NULL").select("row")).select("row.*")

@@ -128,3 +128,20 @@ def test_whole_tables(spark, sf):
         least[c] = min(least.get(c, 2**63), d)
     got = {tuple(r) for r in queries.op10_simhash_near_dedup(spark, sf).collect()}
     assert got == {(d, format(p, "016x"), least[c]) for (d, _), p, c in zip(rows, prints, of)}
+
+
+def test_an_id_on_two_texts_is_two_documents(spark):
+    one = "the quick brown fox jumps over the lazy dog near the river bank today"
+    other = "an entirely different text about mountains and valleys in the far north of the land"
+    frame = spark.createDataFrame([(1, one), (5, one), (5, other), (5, other), (None, one), (None, None)], "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in simhash.without_near_duplicates(frame).collect()]
+    assert sorted(kept, key=repr) == sorted([(1, one), (5, other), (None, one), (None, None)], key=repr)
+
+
+def test_one_of_two_linked_texts_with_one_id_stays(spark):
+    words_ = [f"w{k}" for k in range(400)]
+    texts = [" ".join(words_), " ".join(words_ + ["tail"])]
+    assert simhash.near_duplicates(spark.createDataFrame([(1, texts[0]), (2, texts[1])], "doc_id long, text string")).select(
+        "component_id").distinct().count() == 1
+    frame = spark.createDataFrame([(1, t) for t in texts] * 3, "doc_id long, text string")
+    assert simhash.without_near_duplicates(frame).count() == 1
