@@ -2,7 +2,12 @@
 
 A page is cut into lines, one per block element. Elements that declare what they are
 decide at once: menus, headers, footers, sidebars, forms, scripts and styles go, as
-does what is named an advert, notice, comment and the like, article elements too. If
+does what is named an advert, notice, comment and the like, article elements too. A name
+counts if it is a whole class or id, or if all its other parts are usual beside it
+(``cookie-notice``, not ``notice-of-meeting``). A form, an element named like a layout's
+frame and a skipped element that is never closed may also stand around the whole page: an
+article or main element inside is not dropped with them, and if most text of a page or all
+that is left lies in such a frame, its lines are kept and compared. If
 the article or main elements hold most of the text that is left, their lines stay.
 What remains open (all other lines, and lines made of links only) is compared with
 the page of the same host whose path is nearest: neighbours in path order, the one
@@ -40,8 +45,9 @@ from reviewloom.session import stored
 # Names of the markup language, and names that pages give to what is no article.
 _RAW = {"script", "style", "noscript", "template", "iframe", "svg", "canvas", "title"}
 _TO_THE_END = {"script", "style", "title"}  # of these, what takes the rest of the page if it is not closed
-_SKIPPED = {"head", "nav", "header", "footer", "aside", "form", "button", "select", "textarea", "dialog", "menu",
-            "input", "label", "fieldset"}
+_SKIPPED = {"head", "nav", "header", "footer", "aside", "button", "select", "textarea", "dialog", "menu"}
+_FORMS = {"form", "fieldset", "label"}
+_HEAD = {"base", "link", "meta", "noscript", "script", "style", "template", "title"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl",
            "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head",
@@ -49,7 +55,7 @@ _BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "cent
            "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 _ARTICLE = {"article", "main"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu"}
+_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu"}
 _NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs",
           "comment", "comments", "consent", "cookie", "cookies", "copyright", "disqus", "footer", "gdpr", "login",
           "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "overlay",
@@ -58,6 +64,11 @@ _NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "ban
           "subscribe", "toolbar", "widget"}
 #: Of these, names that layouts also give to the frame around the whole article.
 _FRAMES = {"banner", "footer", "masthead", "menu", "modal", "nav", "navbar", "overlay", "sidebar", "toolbar", "widget"}
+#: What stands beside such names in a class or id without changing what they say.
+_PARTNERS = {"a", "area", "article", "bar", "block", "body", "bottom", "box", "button", "buttons", "col", "column", "container",
+             "content", "desktop", "entry", "fixed", "form", "global", "group", "header", "inner", "item", "items", "left",
+             "link", "links", "list", "main", "message", "mobile", "outer", "page", "panel", "post", "posts", "primary",
+             "right", "secondary", "section", "site", "slot", "sticky", "text", "title", "top", "unit", "wrap", "wrapper", "zone"}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+|[^>]*+)>|([^<]++|<)",
@@ -68,86 +79,152 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _OPEN_VALUE = re.compile(r"=\s*[^\s\"'][^\s]*/\Z")
 
 
+def _said(name: str) -> set[str]:
+    """The telling parts of a class or id, if its other parts are only their usual partners."""
+    parts = {part.rstrip("0123456789") for part in re.split("[-_:]+", name)} - {"", "x"}
+    telling = parts & _NAMES
+    return telling if parts <= _NAMES | _PARTNERS else set()
+
+
 def _named_away(attributes: str) -> int:
     """Whether class, id or role say that an element is no part of an article: 1, or 4 if it may be a frame around one."""
     frame = 0
     for name, *values in _ATTRIBUTE.findall(attributes):
-        words = set(re.split(r"[^a-z0-9]+", "".join(values).lower()))
-        if words & (_ROLES if name.lower() == "role" else _NAMES - _FRAMES):
+        names = "".join(values).lower().split()
+        if name.lower() == "role":
+            if _ROLES.intersection(names):
+                return 1
+            continue
+        words = set().union(*map(_said, names))
+        if words - _FRAMES:
             return 1
-        if name.lower() != "role" and words & _FRAMES:
+        if words:
             frame = 4
     return frame
 
 
+def _events(page: str) -> tuple[list[tuple[str | None, str | int]], set[int]]:
+    """Texts (None, text), opening tags (tag, attributes) and closing tags (tag, number of elements that end), in
+    order; and the places of the opening tags that have a closing one. One pass, whatever the page holds."""
+    events: list[tuple[str | None, str | int]] = []
+    closed: set[int] = set()
+    stack: list[tuple[str, int]] = []  # open elements: tag, place among the events
+    places: dict[str, list[int]] = {}  # of each tag in the stack
+    endless: set[str] = set()  # raw elements that no tag closes any more
+
+    def end(depth: int) -> None:
+        events.append((stack[depth][0], len(stack) - depth))
+        for tag, _ in stack[depth:]:
+            places[tag].pop()
+        del stack[depth:]
+
+    at, last = 0, page.rfind(">")
+    while at <= last and (match := _TOKEN.match(page, at)):
+        at = match.end()
+        closing, tag, attributes, text = match.groups()
+        if text is not None:
+            events.append((None, text))
+        if tag is None:
+            continue
+        tag = tag.lower()
+        if stack and stack[-1][0] == "head" and not closing and tag not in _HEAD:
+            end(len(stack) - 1)
+        if closing:
+            if places.get(tag):
+                closed.add(stack[places[tag][-1]][1])
+                end(places[tag][-1])
+            else:
+                events.append((tag, 0))
+        elif tag in _RAW:
+            if not (attributes.endswith("/") and not _OPEN_VALUE.search(attributes)) and tag not in endless:
+                after = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+                if not after:
+                    endless.add(tag)
+                at = after.end() if after else len(page) if tag in _TO_THE_END else at
+        elif tag in _VOID or attributes.endswith("/"):
+            events.append((tag, 0))
+        else:
+            places.setdefault(tag, []).append(len(stack))
+            stack.append((tag, len(events)))
+            events.append((tag, attributes))
+    if at < len(page):
+        events.append((None, page[at:]))
+    return events, closed
+
+
 def page_lines(page: str) -> list[tuple[str, bool]]:
     """The lines of a page that are not declared away: text, and whether differencing decides about it."""
     lines: list[tuple[str, int, bool]] = []  # text, 0 outside / 1 in an article / 2 in one that is framed, links only
-    # element, 0 kept / 1 named away / 2 away / 3 an article's header / 4 perhaps a frame, article as above, in a link
-    stack: list[tuple[str, int, int, bool]] = []
-    away, article, link, linked, plain = 0, 0, False, False, False
+    # lines dropped with a frame and how many kept ones stand before each, by its place and whether it is only named so
+    framed: dict[tuple[int, bool], list[tuple[str, int]]] = {}
+    # 0 kept / 1 named away / 2 away / 3 an article's header / 4 perhaps a frame, article as above, in a link, which frame
+    stack: list[tuple[int, int, bool, tuple[int, bool]]] = []
+    state = away, article, link, frame = 0, 0, False, (0, False)
+    linked = plain = False
     line: list[str] = []
 
     def end_line() -> None:
         nonlocal linked, plain
         text = " ".join(entities.unescape("".join(line)).split())
-        if text:
+        if text and away == 4:
+            framed.setdefault(frame, []).append((text, len(lines)))
+        elif text:
             lines.append((text, article, linked and not plain))
         line.clear()
         linked = plain = False
 
-    at = 0
-    while match := _TOKEN.match(page, at):
-        at = match.end()
-        closing, tag, attributes, text = match.groups()
-        if text is not None:
-            if not away:
-                line.append(text)
-                if not text.isspace():
-                    linked, plain = linked or link, plain or not link
-            continue
+    events, closed = _events(page)
+    for place, (tag, what) in enumerate(events):
         if tag is None:
+            if away in (0, 4):
+                line.append(what)
+                if not what.isspace():
+                    linked, plain = linked or link, plain or not link
             continue
-        tag = tag.lower()
         if tag == "br":
             line.append(" ")
             continue
         if tag in _BLOCKS:
             end_line()
-        if closing:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if depth is not None:
-                del stack[depth:]
-                _, away, article, link = stack[-1] if stack else ("", 0, 0, False)
-        elif tag in _RAW:
-            if not (attributes.endswith("/") and not _OPEN_VALUE.search(attributes)):
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page) if tag in _TO_THE_END else at
-        elif tag not in _VOID and not attributes.endswith("/"):
-            if tag in _ARTICLE:
-                named = _named_away(attributes)
-                if away in (0, 4) and named == 1:
-                    away = 1
-                elif away == 4 or not away and named:
-                    away, article = 0, 2
-                elif not away:
-                    article = article or 1
-            elif tag == "header" and article:  # an article's own header holds its headline
-                away = away or 3
-            elif tag in _HEADINGS and away == 3:
-                away = 0
-            elif tag in _SKIPPED:
-                away = 2
-            elif not away and tag not in ("html", "body") and attributes:
-                away = _named_away(attributes)
-            link = link or tag == "a"
-            stack.append((tag, away, article, link))
+        if isinstance(what, int):
+            if what:
+                del stack[len(stack) - what:]
+                away, article, link, frame = stack[-1] if stack else state
+            continue
+        before = away
+        if tag in _ARTICLE:
+            named = _named_away(what)
+            if away in (0, 4) and named == 1:
+                away = 1
+            elif away == 4 or not away and named:
+                away, article = 0, 2
+            elif not away:
+                article = article or 1
+        elif tag == "header" and article:  # an article's own header holds its headline
+            away = away or 3
+        elif tag in _HEADINGS and away == 3:
+            away = 0
+        elif tag in _SKIPPED:
+            away = 2 if place in closed or away in (1, 2) else 4
+        elif tag in _FORMS:
+            away = away or 4
+        elif not away and tag not in ("html", "body") and what:
+            away = _named_away(what)
+        if away == 4 and before != 4:
+            frame = (place, tag not in _FORMS | _SKIPPED)
+        link = link or tag == "a"
+        stack.append((away, article, link, frame))
     end_line()
     held = [sum(len(text) for text, where, links in lines if where == k and not links) for k in range(3)]
     if held[2] > held[0] + held[1]:  # the name was that of a frame around the article
         lines, held[1] = [(text, min(where, 1), links) for text, where, links in lines], held[1] + held[2]
     decided = held[1] > held[0]
-    return [(text, links or not (where and decided)) for text, where, links in lines if where < 2]
+    kept = [(text, links or not (where and decided), n) for n, (text, where, links) in enumerate(lines) if where < 2]
+    sizes = {key: sum(len(text) for text, _ in found) for key, found in framed.items()}
+    around = max(sizes, key=sizes.get, default=None)
+    if around and (not kept or not around[1] and sizes[around] > held[0] + held[1]):
+        kept = sorted([(text, True, n - 0.5) for text, n in framed[around]] + kept, key=lambda x: x[2])
+    return [(text, asked) for text, asked, _ in kept]
 
 
 def _hash(text: str) -> int:

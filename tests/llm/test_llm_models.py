@@ -273,6 +273,67 @@ def test_raw_elements_take_no_text_that_is_not_theirs():
     assert texts("<p>So <math><mi>a</mi><mo>=</mo><mn>1</mn></math>.</p><object data=x><p>Instead</p></object>") == ["So a=1.", "Instead"]
 
 
+def texts_of(page):
+    return [text for text, _ in page_diff.page_lines(page)]
+
+
+@pytest.mark.parametrize("page", [
+    "<body><form action=/post><p>Menu</p>{}<input name=q></form></body>",
+    "<form><fieldset><label>{}</label></fieldset></form>",
+    "<body><nav><ul><li><a href=/>Home</a></li></ul>{}<footer>End</footer></body>",
+    "<header><h2>Site</h2><div>{}</div>",
+    "<div class='menu wrapper'>{}</div>",
+])
+def test_an_article_is_not_lost_with_what_stands_around_it(page):
+    article = "<article><h1>Title</h1><p>The whole long text of the article, said once.</p></article>"
+    assert texts_of(page.format(article)) == ["Title", "The whole long text of the article, said once."]
+
+
+@pytest.mark.parametrize("start", [
+    "<article class='post tag-social'>", "<article class='hentry category-search-engines'>", "<div class='notice-of-meeting'>",
+    "<article><div class='related-work'>", "<div id=search-for-meaning>", "<section class='history-of-advertising'>"])
+def test_a_name_that_only_holds_a_telling_word_drops_nothing(start):
+    assert texts_of(f"{start}<p>The text.</p>") == ["The text."]
+
+
+@pytest.mark.parametrize("name", ["ad", "ads", "ad-container", "ad_slot_1", "cookie-notice", "site-footer", "related-posts", "post-comments", "sidebar-left",
+                                  "social-share-buttons", "main-menu", "big comments"])
+def test_names_with_their_usual_partners_drop_an_element(name):
+    assert texts_of(f"<p>The text of the page.</p><div class='{name}'><p>Other</p></div>") == ["The text of the page."]
+
+
+def test_a_form_around_a_page_without_an_article_is_compared():
+    page = "<p>Skip</p><form id=aspnet><div><p>The long text of a page in a form.</p><p>More of it.</p><nav>Menu</nav></div></form><p>End</p>"
+    assert page_diff.page_lines(page) == [("Skip", True), ("The long text of a page in a form.", True), ("More of it.", True), ("End", True)]
+    assert page_diff.page_lines("<p>A text that is longer than the form.</p><form><p>Your name</p></form>") == [
+        ("A text that is longer than the form.", True)]
+    assert page_diff.page_lines("<div class=sidebar><p>All there is.</p></div>") == [("All there is.", True)]
+    assert page_diff.page_lines("<nav>Menu</nav><div class=comments>First!</div><script>x</script>") == []
+
+
+def test_the_head_ends_where_the_page_begins():
+    assert texts_of("<head><title>T</title><meta x=1><p>One</p><div>Two</div>") == ["One", "Two"]
+    assert texts_of("<html><head><title>T</title><body><p>One</p>") == ["One"]
+
+
+@pytest.mark.parametrize("part", ["<iframe>", "<div></p>", "<p><b></i>", "<a ", "<", "<nav>", "<form><label>", "<!-- ", "</div>", '<a b="', "<svg>", "x<br>"])
+def test_time_follows_the_length_of_a_page(part):
+    import time
+
+    def seconds(count):
+        begin = time.perf_counter()
+        page_diff.page_lines(part * count)
+        return time.perf_counter() - begin
+    seconds(1000)
+    assert seconds(64_000) < 40 * seconds(4_000) + 0.5
+
+
+def test_a_very_long_page():
+    lines = [f"Line {k} of the text." for k in range(50_000)]
+    page = "<nav>Menu</nav><article>" + "".join(f"<p>{x}</p>" for x in lines) + "</article><footer>End</footer>"
+    assert texts_of(page) == lines
+
+
 def test_pages_of_the_table(spark):
     """The article element of each generated page holds its main text."""
     import html
