@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from reviewloom.fixed_values import HISTORY_TURNS
-from reviewloom.operators.ordered import RANGE_WIDTH
+from reviewloom.operators.ordered import RANGE_WIDTH, with_ranges
 
 _ROLES = ("user", "assistant")
 
@@ -24,7 +24,7 @@ def number_messages(messages: DataFrame, width: int = RANGE_WIDTH) -> DataFrame:
     """Each message as its part of a pair: ``conv_id, turn, pair_no, user, assistant``.
 
     A conversation may be longer than one task should hold, so it is cut into
-    ranges of turns. Inside a range only its first message lacks a predecessor;
+    ranges of about ``width`` messages. Inside a range only its first message lacks a predecessor;
     one summary row per range settles that message and the count so far.
     """
     is_user = F.col("role") == "user"
@@ -33,7 +33,7 @@ def number_messages(messages: DataFrame, width: int = RANGE_WIDTH) -> DataFrame:
     rows = rows.withColumn("leaves_open", is_user | (F.col("text") == ""))
 
     inside = Window.partitionBy("conv_id", "range").orderBy("turn")
-    seen = rows.withColumn("range", F.floor(F.col("turn") / F.lit(width))).withColumn(
+    seen = with_ranges(rows, ["conv_id"], "turn", width, "range").withColumn(
         "was_open", F.lag("leaves_open").over(inside))
     # pairs opened here; NULL for an assistant message that begins a range
     seen = seen.withColumn("opens", F.when(is_user, 1).otherwise((~F.col("was_open")).cast("int")))

@@ -4,6 +4,10 @@ A plain window over a key sends the whole key to one task. These helpers cut
 each key into ranges of its order column, run the window inside a range, and
 carry one summary row per range over to the ranges that follow. The result is
 that of the plain window. Keys and order must not be NULL.
+
+Ranges follow the rows, not the values: a key with few rows is one range however far
+its values lie apart, and a key with many is cut by its own extent and count. Where a
+part holds far more rows than the others, it is cut once more by its own extent.
 """
 
 from __future__ import annotations
@@ -16,10 +20,32 @@ RANGE_WIDTH = 4096
 _RANGE = "__range"
 
 
-def _with_range(df: DataFrame, order: str, width: int) -> DataFrame:
-    if _RANGE in df.columns:
-        return df
-    return df.withColumn(_RANGE, F.floor(F.col(order) / F.lit(width)))
+def _cut(df: DataFrame, parts: list[str], order: str, limit: int, width: int, name: str) -> DataFrame:
+    """Number the parts' rows by steps of equal extent, as many as make ``width`` rows each on average.
+
+    Only parts with more than ``limit`` rows are cut; the table of these is small, and is all that is joined.
+    """
+    large = (df.where(" AND ".join(f"{p} IS NOT NULL" for p in parts)).groupBy(*parts)
+             .agg(F.count(F.lit(1)).alias("__n"), F.min(order).alias("__low"), F.max(order).alias("__high"))
+             .where(F.col("__n") > limit)
+             .select(*(F.col(p).alias(f"__large_{p}") for p in parts), "__low",
+                     F.greatest(F.lit(1), F.ceil((F.col("__high").cast("double") - F.col("__low").cast("double") + 1)
+                                                 / F.ceil(F.col("__n") / width))).cast("long").alias("__step")))
+    met = df.join(large, [F.col(p) == F.col(f"__large_{p}") for p in parts], "left")
+    return met.withColumn(name, F.floor((F.col(order).cast("double") - F.col("__low").cast("double")) / F.col("__step"))).drop(
+        "__low", "__step", *(f"__large_{p}" for p in parts))
+
+
+def with_ranges(df: DataFrame, keys: list[str], order: str, width: int = RANGE_WIDTH, name: str = _RANGE) -> DataFrame:
+    """Add the range of each row in its key: about ``width`` rows, in order of a whole number unique within the key."""
+    first = _cut(df, keys, order, width, width, "__first")
+    both = _cut(first, [*keys, "__first"], order, 4 * width, width, "__second")
+    return both.withColumn(name, F.struct(F.coalesce("__first", F.lit(0)).alias("first"),
+                                          F.coalesce("__second", F.lit(0)).alias("second"))).drop("__first", "__second")
+
+
+def _with_range(df: DataFrame, keys: list[str], order: str, width: int) -> DataFrame:
+    return df if _RANGE in df.columns else with_ranges(df, keys, order, width)
 
 
 def drop_range(df: DataFrame) -> DataFrame:
@@ -33,7 +59,7 @@ def carry_forward(df: DataFrame, keys: list[str], order: str, values: dict[str,
     ``order`` is a number, unique within a key. The helper column of ranges
     stays in the result for the next ordered operator; ``drop_range`` ends it.
     """
-    ranged = _with_range(df, order, width)
+    ranged = _with_range(df, keys, order, width)
     names = list(values)
     for name, value in values.items():
         ranged = ranged.withColumn(f"__v_{name}", value)
@@ -60,7 +86,7 @@ def carry_forward(df: DataFrame, keys: list[str], order: str, values: dict[str,
 def running_sum(df: DataFrame, keys: list[str], order: str, value: Column, name: str,
                 width: int = RANGE_WIDTH) -> DataFrame:
     """Add the sum of ``value`` over the rows of the key up to and including this one."""
-    ranged = _with_range(df, order, width).withColumn("__v", value)
+    ranged = _with_range(df, keys, order, width).withColumn("__v", value)
     inside = Window.partitionBy(*keys, _RANGE).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
 

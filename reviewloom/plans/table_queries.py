@@ -7,9 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from reviewloom.fixed_values import SITES
 from reviewloom.operators import extract, keyed
 from reviewloom.plans import chat_queries, derived, review_queries
-from reviewloom.plans.oracle_parts import CLEAN, HISTORY, USERS, trimmed
+from reviewloom.plans.oracle_parts import HISTORY, USERS, trimmed
 from reviewloom.session import shared_folder
-from reviewloom.sources.reviews import read_clean
 from reviewloom.sources.tables import stream_messages, table
 from reviewloom.streaming import clean_stream, turn_stream
 
@@ -98,19 +97,18 @@ def stream_clean_incremental(spark, folder):
     documents = table(spark, folder, "documents")
     stream = spark.readStream.schema(documents.schema).parquet(f"{folder}/documents*.parquet")
     clean_stream.start_cleaning(derived.lines(stream), sink, checkpoint, derived.AS_OF).awaitTermination()
-    return review_queries.shown(read_clean(spark, sink))
+    return review_queries.shown(clean_stream.read_cleaned(spark, sink))
 
 
 def stream_clean_batches(spark, folder):
-    """The same from three files that arrive one after the other, with copies across them."""
+    """The same from files that arrive last ones first, with copies across them: earlier copies replace later ones."""
     sink, checkpoint = shared_folder(spark, "clean-sink"), shared_folder(spark, "clean-progress")
     arrived, documents = shared_folder(spark, "arrived"), table(spark, folder, "documents")
-    # by id, since the first of equal contents is the one that arrived first
-    documents.repartitionByRange(3, "doc_id").write.parquet(arrived)
-    stream = spark.readStream.schema(documents.schema).option("maxFilesPerTrigger", 1).option(
-        "latestFirst", False).parquet(arrived)
+    for part in (2, 0, 1):
+        (documents.where(F.pmod("doc_id", F.lit(3)) == part).coalesce(1).write.mode("append").parquet(arrived))
+    stream = spark.readStream.schema(documents.schema).option("maxFilesPerTrigger", 1).parquet(arrived)
     clean_stream.start_cleaning(derived.lines(stream), sink, checkpoint, derived.AS_OF).awaitTermination()
-    return read_clean(spark, sink).select("site", "content")
+    return review_queries.shown(clean_stream.read_cleaned(spark, sink))
 
 
 def _streamed_pairs(start, spark: SparkSession, folder: str) -> DataFrame:
@@ -198,7 +196,7 @@ SQL = {
         CASE WHEN doc_id % 2 = 0 THEN strftime({_DAY}, '%Y.%m.%d') ELSE strftime({_DAY}, '%Y-%m-%d') END AS date, {trimmed('line')} AS content
         FROM all_lines WHERE doc_id % 13 <> 0""",
     "stream_clean_incremental": review_queries.SQL["clean_reviews"],
-    "stream_clean_batches": f"WITH {CLEAN} SELECT site, content FROM clean",
+    "stream_clean_batches": review_queries.SQL["clean_reviews"],
     "stream_turn_state": chat_queries.SQL["turn_pairs"],
     "stream_live_turns": chat_queries.SQL["turn_pairs"],
 }

@@ -1,37 +1,102 @@
-"""Incremental cleaning: new raw reviews to the cleaned table."""
+"""Incremental cleaning: new raw reviews to the cleaned table, the first of equal contents, whatever arrives first.
+
+A micro-batch writes its own folder of the sink and, beside the sink, one narrow row
+per review it added: site, digest of the content, arrival number. These rows are the
+state. A later copy of a content is found by its digest and compared with the text in the
+sink; it is left out, unless its arrival number is smaller: then it is added, and its
+row says which one it replaces. With ``keep_batches`` only the rows of that many
+micro-batches are kept, so the state is bounded; a copy of an older content is added once
+more, and reading takes the first one.
+
+Each micro-batch overwrites its own folders and looks only at those of earlier ones, so a
+batch that is run again after a failure leaves the same rows.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from reviewloom.operators.cleaning import add_features, apply_rules
+from reviewloom.operators.cleaning import add_features, apply_rules, keep_first
 from reviewloom.schemas import CLEAN_REVIEW
+from reviewloom.session import stored
+from reviewloom.sources.reviews import read_clean
+
+_SEEN = "site string, digest long, ingest_seq long, replaces long"
+
+
+def digest(content: Column) -> Column:
+    return F.xxhash64(content)
+
+
+def _folder(spark: SparkSession, path: str):
+    """Hadoop's file system and path object."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    files, where = _folder(spark, path)
+    if not files.exists(where):
+        return []
+    names = [status.getPath().getName() for status in files.listStatus(where)]
+    return sorted(int(name.removeprefix("batch=")) for name in names if name.startswith("batch="))
+
+
+def _forget(spark: SparkSession, path: str, before: int) -> None:
+    for number in _batches(spark, path):
+        if number < before:
+            files, where = _folder(spark, f"{path}/batch={number}")
+            files.delete(where, True)
+
 
+def _earlier(spark: SparkSession, sink: str, batch_id: int, keep_batches: int | None) -> DataFrame | None:
+    """The state rows that this micro-batch may look at."""
+    seen = f"{sink}-seen"
+    since = 0 if keep_batches is None else batch_id - keep_batches
+    numbers = [n for n in _batches(spark, seen) if since <= n < batch_id]
+    if not numbers:
+        return None
+    return spark.read.schema(_SEEN).option("basePath", seen).parquet(*(f"{seen}/batch={n}" for n in numbers))
 
-def first_seen(cleaned: DataFrame) -> DataFrame:
-    """Rows of contents never seen before, the first in order within a micro-batch.
 
-    A streaming aggregation keeps each content's first row in the state store;
-    partial aggregation shrinks copies before the shuffle. A content whose first
-    and latest micro-batch differ was already written and is left out.
-    """
-    stamped = cleaned.withColumn("arrived", F.current_timestamp())
-    state = stamped.groupBy("site", "content").agg(
-        F.min(F.struct("ingest_seq", "rating", "date", "review_length")).alias("first"),
-        F.min("arrived").alias("first_batch"), F.max("arrived").alias("this_batch"))
-    return state.filter(F.col("first_batch") == F.col("this_batch")).select("site", "content", "first.*")
+def add_batch(rows: DataFrame, batch_id: int, sink: str, keep_batches: int | None = None) -> None:
+    """Add one micro-batch's rows, to which the rules have been applied."""
+    spark = rows.sparkSession
+    firsts = keep_first(rows, ["site", "content"], ["ingest_seq"])
+    earlier = _earlier(spark, sink, batch_id, keep_batches)
+    kept = firsts.withColumn("replaces", F.lit(None).cast("long"))
+    if earlier is not None:
+        firsts = stored(firsts, "firsts")
+        texts = read_clean(spark, sink).select("site", F.col("ingest_seq").alias("old"), F.col("content").alias("old_content"))
+        alike = firsts.select("site", digest(F.col("content")).alias("digest"), "content").join(
+            earlier.select("site", "digest", F.col("ingest_seq").alias("old")), ["site", "digest"])
+        copies = (alike.join(texts, ["site", "old"]).where(F.col("content") == F.col("old_content"))
+                  .groupBy("site", "content").agg(F.min("old").alias("replaces")))
+        kept = stored(firsts.join(copies, ["site", "content"], "left").where("replaces IS NULL OR ingest_seq < replaces"), "kept")
+    columns, folder = [f.name for f in CLEAN_REVIEW.fields], f"{sink}/batch={batch_id}"
+    add_features(kept).select(*columns).write.mode("overwrite").parquet(folder)
+    added = kept if earlier is not None else read_clean(spark, folder).withColumn("replaces", F.lit(None).cast("long"))
+    added.select("site", digest(F.col("content")).alias("digest"), "ingest_seq", "replaces").write.mode("overwrite").parquet(
+        f"{sink}-seen/batch={batch_id}")
+    if keep_batches is not None:
+        _forget(spark, f"{sink}-seen", batch_id - keep_batches)
 
 
-def start_cleaning(raw: DataFrame, sink: str, checkpoint: str, as_of: str | None = None) -> StreamingQuery:
-    """Clean what has arrived, then stop. A later start goes on from the checkpoint.
+def start_cleaning(raw: DataFrame, sink: str, checkpoint: str, as_of: str | None = None,
+                   keep_batches: int | None = None) -> StreamingQuery:
+    """Clean what has arrived, then stop. A later start goes on from the checkpoint."""
+    return (apply_rules(raw, as_of).writeStream.option("checkpointLocation", checkpoint)
+            .foreachBatch(lambda batch, batch_id: add_batch(batch, batch_id, sink, keep_batches))
+            .trigger(availableNow=True).start())
 
-    Each micro-batch overwrites its own folder, so a batch that is run again
-    after a failure leaves no second copy.
-    """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        columns = [f.name for f in CLEAN_REVIEW.fields]
-        add_features(batch).select(*columns).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
-    return (first_seen(apply_rules(raw, as_of)).writeStream.outputMode("update")
-            .option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start())
+def read_cleaned(spark: SparkSession, sink: str, keep_batches: int | None = None) -> DataFrame:
+    """The first review of each site and content; ``keep_batches`` as the stream had it."""
+    rows = read_clean(spark, sink)
+    if keep_batches is not None:
+        first = rows.groupBy("site", "content").agg(F.min("ingest_seq").alias("ingest_seq"))
+        return rows.join(first, ["site", "content", "ingest_seq"], "left_semi")
+    replaced = spark.read.schema(_SEEN).parquet(f"{sink}-seen").where("replaces IS NOT NULL").select(
+        "site", F.col("replaces").alias("ingest_seq"))
+    return rows.join(replaced, ["site", "ingest_seq"], "left_anti")

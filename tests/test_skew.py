@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
-from reviewloom.operators import cleaning, conversations, keyed
+from reviewloom.operators import cleaning, conversations, keyed, ordered
 from reviewloom.plans import catalog
 
 ROWS = 60_000
@@ -94,9 +94,34 @@ def test_rows_of_a_hot_key_are_dealt_by_range(spark, messages):
     dealt = re.findall(r"hashpartitioning\((conv_id#\d+L?)(, range#\d+L?)?", text)
     assert dealt and any(with_range for _, with_range in dealt)
     # the exchange by conversation alone carries one summary row per range
-    per_range = messages.groupBy("conv_id", F.floor(F.col("turn") / 1000).alias("range")).count()
-    assert per_range.agg(F.max("count")).first()[0] <= 1000
-    assert per_range.filter("conv_id = -1").count() == ROWS // 1000
+    per_range = ordered.with_ranges(messages, ["conv_id"], "turn", 1000).groupBy("conv_id", "__range").count()
+    assert per_range.agg(F.max("count")).first()[0] <= 1001
+    assert per_range.filter("conv_id = -1").count() == ROWS // 3 // 1000
+
+
+@pytest.mark.parametrize("place", ["id * 1000000000", "id * id * 1000", "CASE WHEN id % 2 = 0 THEN id ELSE 4000000000000000000 - id END",
+                                   "pmod(xxhash64(id), 4000000000000000000)", "id"])
+def test_ranges_follow_the_rows_however_far_apart_their_values_lie(spark, place):
+    """A third of the rows has one key; no range holds many more rows than asked for, and few ranges hold few."""
+    rows = spark.range(ROWS).selectExpr("CASE WHEN id % 3 = 0 THEN -1 ELSE id % 997 END AS k", f"{place} AS o").repartition(8)
+    ranges = ordered.with_ranges(rows, ["k"], "o", 500).groupBy("k", "__range").count()
+    hot = ranges.filter("k = -1").agg(F.max("count"), F.count("*")).first()
+    assert hot[0] <= 2000 and hot[1] <= 4 * ROWS // 3 // 500
+    assert ranges.filter("k <> -1").agg(F.max("count"), F.count("*")).first()[1] == 997
+    carried = ordered.carry_forward(rows, ["k"], "o", {"last": F.col("o")}, 500).filter("k = -1")
+    plain = [r.o for r in rows.filter("k = -1").orderBy("o").collect()]
+    got = carried.orderBy("o").select("o", "last").collect()
+    assert [(r.o, r.last) for r in got] == list(zip(plain, [None, *plain]))
+
+
+def test_a_hot_account_with_changes_far_apart(spark):
+    users = spark.createDataFrame([], "email string, password string, username string")
+    changes = spark.range(ROWS).selectExpr(
+        "id * 1000000000 AS seq", "CASE WHEN id = 0 THEN 'register' WHEN id % 2 = 0 THEN 'update' ELSE 'login' END AS op",
+        "'hot@example.com' AS email", "CAST(id DIV 2 AS STRING) AS password", "'n' AS username").repartition(8)
+    after, outcomes = keyed.apply_changes(users, changes)
+    assert [tuple(r) for r in after.collect()] == [("hot@example.com", str(ROWS // 2 - 1), "n")]
+    assert outcomes.filter("outcome <> 'ok'").count() == 0 and outcomes.count() == ROWS
 
 
 def jobs_while_building(spark, name, sf):
