@@ -9,6 +9,7 @@ from reviewloom.operators import extract, keyed
 from reviewloom.plans import chat_queries, derived, review_queries
 from reviewloom.plans.oracle_parts import HISTORY, USERS, trimmed
 from reviewloom.session import shared_folder
+from reviewloom.sources import keyed_store
 from reviewloom.sources.tables import stream_messages, table
 from reviewloom.streaming import clean_stream, turn_stream
 
@@ -66,6 +67,26 @@ def apply_changes_outcomes(spark, folder):
     return outcomes.withColumn("code", F.col("code").cast("long"))
 
 
+def _stored_users(spark: SparkSession, folder: str) -> tuple[str, list[DataFrame]]:
+    """Users in buckets, changed by every order in three batches, the second one sent twice."""
+    path, changes = shared_folder(spark, "users"), derived.changes(spark, folder)
+    keyed_store.create(derived.users(spark, folder), path, buckets=32)
+    last = changes.agg(F.max("seq")).first()[0] or 0
+    part = F.floor(F.col("seq") * 3 / F.lit(last + 1))
+    return path, [keyed_store.apply_batch(changes.where(part == n - 1), path, n) for n in (1, 2, 2, 3)]
+
+
+def stored_users(spark, folder):
+    path, _ = _stored_users(spark, folder)
+    return keyed_store.read(spark, path)
+
+
+def stored_users_outcomes(spark, folder):
+    _, (first, second, again, third) = _stored_users(spark, folder)
+    outcomes = first.unionByName(second).unionByName(third).unionByName(again.join(second, "seq", "left_anti"))
+    return outcomes.withColumn("code", F.col("code").cast("long"))
+
+
 # --- pages ------------------------------------------------------------------
 def page_items(spark, folder):
     items = extract.extract_items(table(spark, folder, "pages"), extract.PAGE_RULES)
@@ -130,7 +151,8 @@ def stream_live_turns(spark, folder):
 
 QUERIES = {f.__name__: f for f in (
     lookup_users, match_status, insert_absent, insert_absent_status, upsert_users, update_present,
-    update_present_status, delete_present, delete_present_status, apply_changes, apply_changes_outcomes, page_items,
+    update_present_status, delete_present, delete_present_status, apply_changes, apply_changes_outcomes, stored_users,
+    stored_users_outcomes, page_items,
     extract_first_site, extract_second_site, extract_third_site, stream_clean_incremental,
     stream_clean_batches, stream_turn_state, stream_live_turns)}
 
@@ -200,3 +222,4 @@ SQL = {
     "stream_turn_state": chat_queries.SQL["turn_pairs"],
     "stream_live_turns": chat_queries.SQL["turn_pairs"],
 }
+SQL["stored_users"], SQL["stored_users_outcomes"] = SQL["apply_changes"], SQL["apply_changes_outcomes"]

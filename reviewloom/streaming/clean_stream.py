@@ -20,6 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 from reviewloom.operators.cleaning import add_features, apply_rules, keep_first
 from reviewloom.schemas import CLEAN_REVIEW
 from reviewloom.session import stored
+from reviewloom.sources.folders import numbered_folders, remove_folder
 from reviewloom.sources.reviews import read_clean
 
 _SEEN = "site string, digest long, ingest_seq long, replaces long"
@@ -29,32 +30,11 @@ def digest(content: Column) -> Column:
     return F.xxhash64(content)
 
 
-def _folder(spark: SparkSession, path: str):
-    """Hadoop's file system and path object."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
-
-
-def _batches(spark: SparkSession, path: str) -> list[int]:
-    files, where = _folder(spark, path)
-    if not files.exists(where):
-        return []
-    names = [status.getPath().getName() for status in files.listStatus(where)]
-    return sorted(int(name.removeprefix("batch=")) for name in names if name.startswith("batch="))
-
-
-def _forget(spark: SparkSession, path: str, before: int) -> None:
-    for number in _batches(spark, path):
-        if number < before:
-            files, where = _folder(spark, f"{path}/batch={number}")
-            files.delete(where, True)
-
-
 def _earlier(spark: SparkSession, sink: str, batch_id: int, keep_batches: int | None) -> DataFrame | None:
     """The state rows that this micro-batch may look at."""
     seen = f"{sink}-seen"
     since = 0 if keep_batches is None else batch_id - keep_batches
-    numbers = [n for n in _batches(spark, seen) if since <= n < batch_id]
+    numbers = [n for n in numbered_folders(spark, seen, "batch") if since <= n < batch_id]
     if not numbers:
         return None
     return spark.read.schema(_SEEN).option("basePath", seen).parquet(*(f"{seen}/batch={n}" for n in numbers))
@@ -80,7 +60,9 @@ def add_batch(rows: DataFrame, batch_id: int, sink: str, keep_batches: int | Non
     added.select("site", digest(F.col("content")).alias("digest"), "ingest_seq", "replaces").write.mode("overwrite").parquet(
         f"{sink}-seen/batch={batch_id}")
     if keep_batches is not None:
-        _forget(spark, f"{sink}-seen", batch_id - keep_batches)
+        for number in numbered_folders(spark, f"{sink}-seen", "batch"):
+            if number < batch_id - keep_batches:
+                remove_folder(spark, f"{sink}-seen/batch={number}")
 
 
 def start_cleaning(raw: DataFrame, sink: str, checkpoint: str, as_of: str | None = None,

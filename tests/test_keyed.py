@@ -7,6 +7,7 @@ from reviewloom.fixed_values import (MSG_DELETED, MSG_EXISTS, MSG_LOGIN, MSG_MIS
                                      MSG_UPDATED)
 from reviewloom.operators import keyed, ordered
 from reviewloom.schemas import CHANGES, USERS
+from reviewloom.sources import keyed_store
 
 
 @pytest.fixture()
@@ -140,3 +141,60 @@ def test_carry_and_running_sum(spark, width):
         expected[k, o] = (last.get(k), total[k])
         last[k] = v if v is not None else last.get(k)
     assert {(r.k, r.o): (r["last"], r.total) for r in out.collect()} == expected
+
+
+# --- the stored table ---------------------------------------------------------
+def change_rows(seed, n=300):
+    rnd = random.Random(seed)
+    return [(i, rnd.choice(keyed.OPS), f"u{rnd.randint(0, 40)}@example.com", rnd.choice("pqr"), rnd.choice("xyz")) for i in range(n)]
+
+
+def test_batches_on_a_stored_table_equal_one_batch(spark, users, tmp_path):
+    path, rows = str(tmp_path / "users"), change_rows(1)
+    keyed_store.create(users, path, buckets=16)
+    assert sorted(map(tuple, keyed_store.read(spark, path).collect())) == sorted(map(tuple, users.collect()))
+    outcomes = []
+    for number, at in enumerate(range(0, 300, 100), 1):
+        batch = spark.createDataFrame(rows[at:at + 100], CHANGES)
+        outcomes += keyed_store.apply_batch(batch, path, number).collect()
+        assert keyed_store.apply_batch(batch, path, number).count() == 100  # sent again: read, not applied
+    after, judged = keyed.apply_changes(users, spark.createDataFrame(rows, CHANGES))
+    assert sorted(map(tuple, keyed_store.read(spark, path).collect())) == sorted(map(tuple, after.collect()))
+    assert sorted(map(tuple, outcomes)) == sorted(map(tuple, judged.collect()))
+
+
+def test_a_batch_rewrites_only_its_own_buckets(spark, users, tmp_path):
+    path = str(tmp_path / "users")
+    keyed_store.create(users, path, buckets=64)
+    keyed_store.apply_batch(spark.createDataFrame([(0, "upsert", "new@example.com", "p", "n")], CHANGES), path, 1)
+    held = {r.bucket: (r.version, r.rows) for r in keyed_store.versions(spark, path).collect()}
+    assert len(held) == 64 and [v for v, _ in held.values()].count(1) == 1
+    assert len(list((tmp_path / "users" / "data" / "version=1").glob("bucket=*"))) == 1
+    keyed_store.apply_batch(spark.createDataFrame([(1, "delete", "new@example.com", None, None)], CHANGES), path, 2)
+    assert sorted(map(tuple, keyed_store.read(spark, path).collect())) == sorted(map(tuple, users.collect()))
+
+
+def test_a_batch_that_broke_off_is_done_again(spark, users, tmp_path):
+    """Data without a log entry is not there; the batch starts from what earlier batches left."""
+    path, rows = str(tmp_path / "users"), change_rows(2, 80)
+    keyed_store.create(users, path, buckets=4)
+    first, second = (spark.createDataFrame(r, CHANGES) for r in (rows[:40], rows[40:]))
+    keyed_store.apply_batch(first, path, 1)
+    before = sorted(map(tuple, keyed_store.read(spark, path).collect()))
+    keyed_store.apply_batch(second, path, 2)
+    after = sorted(map(tuple, keyed_store.read(spark, path).collect()))
+    for file in (tmp_path / "users" / "log" / "batch=2").iterdir():
+        file.unlink()
+    assert sorted(map(tuple, keyed_store.read(spark, path).collect())) == before != after
+    keyed_store.apply_batch(second, path, 2)
+    assert sorted(map(tuple, keyed_store.read(spark, path).collect())) == after
+
+
+def test_an_empty_batch_and_a_missing_table(spark, users, tmp_path):
+    path = str(tmp_path / "users")
+    with pytest.raises(ValueError, match="no stored table"):
+        keyed_store.read(spark, path)
+    keyed_store.create(users.limit(0), path, buckets=4)
+    assert keyed_store.read(spark, path).count() == 0
+    assert keyed_store.apply_batch(spark.createDataFrame([], CHANGES), path, 1).count() == 0
+    assert keyed_store.read(spark, path).count() == 0
