@@ -32,26 +32,26 @@ def _short_runs(text: Column) -> Column:
     return F.flatten(F.array(*[_runs(text, size) for size in range(1, GRAM)]))
 
 
-def _keyed(texts: DataFrame, column: str) -> DataFrame:
-    """Distinct texts with a short key; equal keys of different texts are told apart later."""
-    known = texts.select(F.col(column).alias("text")).filter("text IS NOT NULL").distinct()
-    return known.withColumn("key", F.xxhash64("text"))
+def _keyed(df: DataFrame, column: str) -> DataFrame:
+    """Add a key of 128 bits that stands for a text where whole texts need not travel."""
+    return df.withColumns({"key": F.xxhash64(column), "again": F.xxhash64(column, F.lit(1))})
 
 
 def _held(texts: DataFrame, words: DataFrame) -> DataFrame:
-    """``text, word`` for the distinct keyed ``texts`` and those of the distinct ``words`` that they hold.
+    """Rows of the keyed ``texts`` joined with those of the distinct ``words`` that they hold.
 
-    The runs travel with the key, not with the text; the few candidates meet the
-    texts again and are verified.
+    Runs and candidates travel with the key. Each text is sent once, to the candidates of its key, and goes
+    no further than the comparison.
     """
-    grams = words.filter(F.length("word") >= GRAM).select("word", F.explode(_runs(F.col("word"), GRAM)).alias("run"))
+    grams = words.filter(F.length("word") >= GRAM).select("*", F.explode(_runs(F.col("word"), GRAM)).alias("run"))
     spread = grams.groupBy("run").agg(F.count("*").alias("n"))
-    rarest = grams.join(spread, "run").groupBy("word").agg(F.min(F.struct("n", "run"))["run"].alias("run"))
-    short = words.filter(F.length("word") < GRAM).select("word", F.col("word").alias("run"))
+    others = [F.any_value(c).alias(c) for c in words.columns if c != "word"]
+    rarest = grams.join(spread, "run").groupBy("word").agg(F.min(F.struct("n", "run"))["run"].alias("run"), *others)
+    short = words.filter(F.length("word") < GRAM).withColumn("run", F.col("word"))
     runs = F.concat(F.array(F.lit("")), _short_runs(F.col("text")), _runs(F.col("text"), GRAM))
-    candidates = (texts.select("key", F.explode(runs).alias("run")).join(rarest.unionByName(short), "run")
-                  .select("key", "word").distinct())
-    return texts.join(candidates, "key").filter(F.contains("text", "word")).select("text", "word")
+    candidates = (texts.select("key", "again", F.explode(runs).alias("run"))
+                  .join(rarest.unionByName(short), "run").drop("run").distinct())
+    return texts.join(candidates, ["key", "again"]).filter(F.contains("text", "word")).drop("text")
 
 
 def with_first_contained(texts: DataFrame, text_col: str, words: DataFrame, name: str) -> DataFrame:
@@ -60,9 +60,9 @@ def with_first_contained(texts: DataFrame, text_col: str, words: DataFrame, name
     ``words`` holds unique ``word`` with its ``pos``; the empty word is in every
     text but NULL.
     """
-    lowest = (_held(_keyed(texts, text_col), words.select("word")).join(words, "word")
-              .groupBy(F.col("text").alias("__held")).agg(F.min("pos").alias(name)))
-    return texts.join(lowest, F.col(text_col) == F.col("__held"), "left").drop("__held")
+    known = _keyed(texts.select(F.col(text_col).alias("text")).filter("text IS NOT NULL").distinct(), "text")
+    lowest = _held(known, words).groupBy("key", "again").agg(F.min("pos").alias(name))
+    return _keyed(texts, text_col).join(lowest, ["key", "again"], "left").drop("key", "again")
 
 
 def with_first_around(texts: DataFrame, text_col: str, words: DataFrame, name: str) -> DataFrame:
@@ -75,9 +75,8 @@ def with_first_around(texts: DataFrame, text_col: str, words: DataFrame, name: s
     runs = F.concat(F.array(F.lit("")), _short_runs(F.col("word")))
     short = (words.select("pos", F.explode(runs).alias("word")).groupBy("word").agg(F.min("pos").alias("pos"))
              .join(known, "word").select("word", "pos"))
-    names = words.select(F.col("word").alias("text"), "pos")
-    long = (_held(_keyed(names, "text"), known.filter(F.length("word") >= GRAM)).join(names, "text")
-            .select("word", "pos"))
+    names = _keyed(words.select(F.col("word").alias("text"), "pos"), "text")
+    long = _held(names, known.filter(F.length("word") >= GRAM)).select("word", "pos")
     lowest = short.unionByName(long).groupBy(F.col("word").alias("__held")).agg(F.min("pos").alias(name))
     return texts.join(lowest, F.col(text_col) == F.col("__held"), "left").drop("__held")
 

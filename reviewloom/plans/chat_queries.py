@@ -85,9 +85,8 @@ def resolve_messages(spark, folder):
 
 
 def resolve_questions(spark, folder):
-    """Messages without a known name still find the first subject of a category."""
-    requests = derived.user_messages(spark, folder).select("msg_id", F.split_part("text", F.lit(" "), F.lit(-2)).alias("text"))
-    return subjects.resolve_messages(requests, derived.subjects(spark, folder))
+    """Every message of either side after a request; without a known name it still finds the first subject of a category."""
+    return subjects.resolve_messages(derived.requests_first(spark, folder), derived.subjects(spark, folder))
 
 
 def subject_prompts(spark, folder):
@@ -227,9 +226,8 @@ SQL = {
           '에 대해 설명', '는 정보', ' 주세요', ''])[p_size % 12 + 1] AS text FROM part)
         SELECT msg_id, text, {extracted('text')} AS extracted_subject FROM q""",
     "resolve_messages": f"{_RESOLVED} SELECT msg_id, conv_id, turn, {_OUT} FROM resolved_messages",
-    "resolve_questions": f"""WITH all_messages AS (SELECT conv_id || ':' || turn AS msg_id,
-          (['후기', '가격', '호텔', '맛집', NULL])[(conv_id + turn) % 5 + 1] AS short, text FROM conversations WHERE role = 'user'),
-        user_messages AS (SELECT msg_id, coalesce(short, split_part(text, ' ', -1)) AS text FROM all_messages),
+    "resolve_questions": f"""WITH user_messages AS (SELECT conv_id || ':' || turn AS msg_id,
+          concat_ws(' ', (['호텔', '맛집 추천', '관광지', '가격', '안녕'])[(conv_id + turn) % 5 + 1], text) AS text FROM conversations),
         {MENTIONS}, {resolve_sql('user_messages')} SELECT msg_id, text, {_OUT} FROM resolved_messages""",
     "subject_prompts": f"""{_RESOLVED}, described AS (SELECT pos, {MARKDOWN} AS details FROM subjects_v)
         SELECT msg_id, {subject_prompt('text')} AS prompt

@@ -101,6 +101,14 @@ def user_messages(spark: SparkSession, folder: str) -> DataFrame:
         F.concat_ws(" ", "text", asked).alias("text"))
 
 
+def requests_first(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole text of every message, whoever wrote it, after a request."""
+    asked = F.element_at(F.array(*[F.lit(x) for x in ("호텔", "맛집 추천", "관광지", "가격", "안녕")]),
+                         ((F.col("conv_id") + F.col("turn")) % 5 + 1).cast("int"))
+    return table(spark, folder, "conversations").select(
+        F.concat_ws(":", "conv_id", "turn").alias("msg_id"), F.concat_ws(" ", asked, "text").alias("text"))
+
+
 def numbered_messages(spark: SparkSession, folder: str) -> DataFrame:
     return user_messages(spark, folder).select(pair_id("conv_id", "turn").alias("msg_id"), "text")
 
