@@ -1,9 +1,8 @@
-"""Repeated passages removed by a join of hashed windows, grouped by minimisers.
+"""Repeated passages removed by suffix trees, one for every group of suffixes with a common prefix.
 
 A suffix starts at every word, and a passage of ``width`` words that occurs twice
-would be a node at depth ``width`` of the suffix tree of all texts. No tree is built:
-only the nodes of that depth are found, as equal hashes of windows, in groups. A
-suffix belongs to a group by a prefix of variable length: the one that
+is the beginning of an internal node's path, at depth ``width`` or more, in the suffix tree of all texts.
+The tree is divided into subtrees by prefixes of variable length: a suffix belongs to the one that
 ends with the first ``width`` words' marker, the run of ``width // 2`` words with the
 smallest hash. Equal passages have equal prefixes, so a node never lies in two groups.
 
@@ -11,17 +10,17 @@ smallest hash. Equal passages have equal prefixes, so a node never lies in two g
    same words are one string of the tree; only the smallest id stays in it.
 2. Prefixes are counted. One that lies in a single text leads to no repeat, and all
    its suffixes are dropped; this leaves the texts that share something.
-3. The suffixes of shared prefixes are dealt to their groups as runs: the path labels
-   (hashes of ``width`` words) of neighbouring starts. A prefix with more than
-   ``GROUP`` texts is divided by id as well.
-4. In a group, sorting labels forms the subtree's nodes of depth ``width``; a start
-   below a node that also holds a smaller id begins a repeat. Of a divided prefix,
-   only one start for each node and part stays undecided, and a second, small
-   round compares these.
+3. The suffixes of shared prefixes are dealt to their groups as runs of neighbouring
+   starts, with their words up to the end of the last start's passage. A prefix with
+   more than ``GROUP`` texts is divided by id as well.
+4. In a group all suffixes are sorted, by ranks of their first 1, 2, 4, ... words, and the
+   lengths of the common prefixes of neighbours tell the internal nodes: those at depth
+   ``width`` or more are maximal repeats. A start below one that also holds a smaller id begins a repeat. Of a
+   divided prefix, only one start for each node and part stays undecided, and a
+   second, small round compares these passages.
 5. Words covered by repeats are removed from the texts that have any.
 
-Prefixes and labels are 64-bit hashes that must both agree. Both come from the same
-word hashes, so they are not independent, and words are not compared.
+Hashes only choose groups and candidates; what is equal is decided by the words.
 
 Defined cases: null and empty texts have no words; a text with fewer words than a
 passage keeps them all; a null id counts as larger than every other; rows with
@@ -48,10 +47,16 @@ _LAST = 2**63 - 1
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
-def _labels(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words per text; of every window of a batch: its text, place in it, prefix and label."""
-    data, offsets = text_bytes(batch.column(1))
-    starts, ends, first = spans(data, offsets)
+def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of texts, starts and ends of their words, and where each text's words begin."""
+    data, offsets = text_bytes(texts)
+    return data, *spans(data, offsets)
+
+
+def _labels(found: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray],
+            width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words per text; of every window: its text, place in it, prefix and label (a hash of all its words)."""
+    data, starts, ends, first = found
     own = hashes(data, starts, ends)
     counts = np.diff(first)
     if len(own) < width:
@@ -87,7 +92,7 @@ def _lists(values: np.ndarray, begin: np.ndarray) -> pa.ListArray:
 
 def _scan(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in blocks(batches):
-        counts, text, place, prefix, _ = _labels(batch, width)
+        counts, text, place, prefix, _ = _labels(_bytes(batch.column(1)), width)
         begin = _runs(text, place, prefix)
         digests = [hashlib.sha256(b" ".join((t.as_py() or "").encode().split())).hexdigest() for t in batch.column(1)]
         yield pa.RecordBatch.from_arrays(
@@ -97,10 +102,11 @@ def _scan(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Runs of suffixes with shared prefixes; ``shared`` lists each text's prefixes and their parts."""
+    """Runs of suffixes with shared prefixes and their words; ``shared`` lists each text's prefixes and their parts."""
     most = 31
     for batch in blocks(batches):
-        _, text, place, prefix, label = _labels(batch, width)
+        found = data, starts, ends, first_word = _bytes(batch.column(1))
+        _, text, place, prefix, label = _labels(found, width)
         shared, first = batch.column(3).flatten(), batch.column(3).offsets.to_numpy() - batch.column(3).offsets[0].as_py()
         names, parts = (field.to_numpy(zero_copy_only=False) for field in shared.flatten())
         bounds = np.searchsorted(text, np.arange(len(batch) + 1))
@@ -110,57 +116,89 @@ def _suffixes(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
             mine = slice(bounds[k], bounds[k + 1])
             order = np.argsort(names[first[k]:first[k + 1]])
             known, split = names[first[k]:first[k + 1]][order], parts[first[k]:first[k + 1]][order]
-            found = np.minimum(np.searchsorted(known, prefix[mine]), len(known) - 1)
-            take[mine] = known[found] == prefix[mine]
-            part[mine] = (int(ids[k]) * 2654435761 >> 7 & 0x7FFFFFFF) % split[found]
-            part[mine] |= np.where(split[found] > 1, 1 << 40, 0)
+            near = np.minimum(np.searchsorted(known, prefix[mine]), len(known) - 1)
+            take[mine] = known[near] == prefix[mine]
+            part[mine] = (int(ids[k]) * 2654435761 >> 7 & 0x7FFFFFFF) % split[near]
+            part[mine] |= np.where(split[near] > 1, 1 << 40, 0)
         text, place, prefix, label, part = (x[take] for x in (text, place, prefix, label, part))
+        begin_word = first_word[text] + place
+        held = data.tobytes()
+
+        def words(window: int) -> list[bytes]:
+            return held[starts[begin_word[window]]:ends[begin_word[window] + width - 1]].split()
+
         # a text that goes round in circles has the same windows again and again: the first of each is enough
         order = np.lexsort((place, label, text))
         again = np.zeros(len(text), bool)
-        again[order[1:]] = (text[order[1:]] == text[order[:-1]]) & (label[order[1:]] == label[order[:-1]])
-        text, place, prefix, label, part = (x[~again] for x in (text, place, prefix, label, part))
+        alike = (text[order[1:]] == text[order[:-1]]) & (label[order[1:]] == label[order[:-1]])
+        again[[n for n, m in zip(order[1:][alike].tolist(), order[:-1][alike].tolist()) if words(n) == words(m)]] = True
+        text, place, prefix, part, begin_word = (x[~again] for x in (text, place, prefix, part, begin_word))
         begin = _runs(text, place, prefix, most)
+        last = np.append(begin[1:], len(text)) - 1
+        cells = [held[s:e] for s, e in zip(starts[begin_word[begin]].tolist(), ends[begin_word[last] + width - 1].tolist())]
         yield pa.RecordBatch.from_arrays(
             [pa.array(prefix[begin]), pa.array(part[begin]), pa.array(ids[text[begin]]),
-             batch.column(1 + 1).take(pa.array(text[begin])), pa.array(place[begin]), _lists(label, begin)],
-            ["prefix", "part", "id", "key", "place", "labels"])
+             batch.column(2).take(pa.array(text[begin])), pa.array(place[begin]), pa.array(cells, pa.binary())],
+            ["prefix", "part", "id", "key", "place", "words"])
+
+
+def suffix_tree(words: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All suffixes in order, and the common prefix of each with the one before it.
+
+    ``words`` are numbers; ``left`` tells how many words each suffix has up to the end of its run.
+    """
+    ranks, size, at = [np.unique(words, return_inverse=True)[1]], 1, np.arange(len(words))
+    longest = left.max(initial=0)
+    while size < longest:
+        now = ranks[-1]
+        behind = np.where(left > size, now[np.minimum(at + size, len(at) - 1)] + 1, 0)
+        ranks.append(np.unique(now * (len(at) + 1) + behind, return_inverse=True)[1])
+        size *= 2
+    order = np.argsort(ranks[-1], kind="stable")
+    one, two = order[:-1], order[1:]
+    end = np.minimum(left[one], left[two])
+    depth = np.zeros(len(one), np.int64)
+    for level in range(len(ranks) - 1, -1, -1):
+        inside = depth < end
+        a, b = (np.minimum(x + depth, len(at) - 1) for x in (one, two))
+        depth += np.where(inside & (ranks[level][a] == ranks[level][b]), 1 << level, 0)
+    return order, np.append(0, np.minimum(depth, end)) if len(order) else depth
 
 
-def _nodes(batch: pa.Table) -> pa.RecordBatch:
-    """Subtrees of whole groups: which starts lie below a node with a smaller id, and which stay undecided."""
+def _nodes(batch: pa.Table, width: int) -> pa.RecordBatch:
+    """Trees of whole groups: which starts lie below a deep node with a smaller id, and which stay undecided."""
     prefix, part, ids, key, place = (batch.column(k).to_numpy() for k in range(5))
-    lists = batch.column(5).combine_chunks()
-    sizes = np.diff(lists.offsets.to_numpy())
-    label = lists.flatten().to_numpy()
+    known: dict[bytes, int] = {}
+    runs = [cell.as_py().split() for cell in batch.column(5)]
+    sizes = np.array([len(run) for run in runs], np.int64)
+    words = np.fromiter((known.setdefault(w, len(known)) for run in runs for w in run), np.int64, int(sizes.sum()))
     row = np.repeat(np.arange(len(prefix)), sizes)
-    bit = np.arange(len(label)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    bit = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    left = sizes[row] - bit
     new = np.ones(len(prefix), bool)
     new[1:] = (prefix[1:] != prefix[:-1]) | (part[1:] != part[:-1])
-    group = np.cumsum(new)[row]
-    order = np.lexsort((ids[row], label, group))
-    g, x, d = group[order], label[order], ids[row][order]
-    node = np.ones(len(g), bool)
-    node[1:] = (g[1:] != g[:-1]) | (x[1:] != x[:-1])
-    least = d[np.flatnonzero(node)][np.cumsum(node) - 1]
-    below = np.zeros(len(label), bool)
-    below[order] = d > least
-    marks = np.bincount(row, weights=below * 2.0**bit, minlength=len(prefix)).astype(np.int64)
+    order, depth = suffix_tree(words + np.cumsum(new)[row] * len(known), left)
+    begin = np.flatnonzero(depth < width)  # each deep node's first suffix, or a suffix below none
+    least = np.minimum.reduceat(ids[row][order], begin) if len(order) else ids[:0]
+    start = left >= width
+    below = np.zeros(len(words), bool)
+    below[order] = ids[row][order] > np.repeat(least, np.diff(np.append(begin, len(order))))
+    below &= start
+    marks = np.bincount(row[below], weights=2.0**bit[below], minlength=len(prefix)).astype(np.int64)
     repeats = np.flatnonzero(marks)
-    open_ = np.flatnonzero(~below & (part[row] >= 1 << 40))
+    open_ = np.flatnonzero(~below & start & (part[row] >= 1 << 40))
     both = np.concatenate([repeats, row[open_]])
-    none = np.zeros(len(repeats), bool)
-    mask = np.concatenate([none, np.ones(len(open_), bool)])
+    passages = [b" ".join(runs[r][k:k + width]).decode() for r, k in zip(row[open_].tolist(), bit[open_].tolist())]
+    none = [None] * len(repeats)
     return pa.RecordBatch.from_arrays(
         [pa.array(ids[both]), pa.array(key[both]),
          pa.array(np.concatenate([place[repeats], place[row[open_]] + bit[open_]])),
          pa.array(np.concatenate([marks[repeats], np.ones(len(open_), np.int64)])),
-         pa.array(prefix[both], mask=~mask),
-         pa.array(np.concatenate([np.zeros(len(repeats), np.int64), label[open_]]), mask=~mask)],
-        ["id", "key", "place", "marks", "prefix", "label"])
+         pa.array(none + passages, pa.string())],
+        ["id", "key", "place", "marks", "passage"])
 
 
-def _subtrees(batches: Iterator[pa.RecordBatch], rows: int = 50_000) -> Iterator[pa.RecordBatch]:
+def _subtrees(batches: Iterator[pa.RecordBatch], width: int, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
     """Rows sorted by group in; whole groups are worked on together, one open group is held."""
     held: list[pa.RecordBatch] = []
     count = 0
@@ -175,25 +213,32 @@ def _subtrees(batches: Iterator[pa.RecordBatch], rows: int = 50_000) -> Iterator
         prefix, part = table.column(0).to_numpy(), table.column(1).to_numpy()
         cut = int(np.argmax((prefix == prefix[-1]) & (part == part[-1])))
         if cut:
-            yield _nodes(table.slice(0, cut).combine_chunks())
+            yield _nodes(table.slice(0, cut).combine_chunks(), width)
             table = table.slice(cut)
         held, count = table.to_batches(), len(table)
     if held:
-        yield _nodes(pa.Table.from_batches(held).combine_chunks())
+        yield _nodes(pa.Table.from_batches(held).combine_chunks(), width)
 
 
 def _kept(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Texts without the words of marked windows, and of windows of the same words elsewhere in the text."""
     for batch in blocks(batches):
-        _, text, _, _, label = _labels(batch, width)
+        _, text, _, _, label = _labels(_bytes(batch.column(1)), width)
         bounds = np.searchsorted(text, np.arange(len(batch) + 1))
         removed, texts = [], []
         for k, (text, found) in enumerate(zip(batch.column(1), batch.column(3))):
             words = (text.as_py() or "").encode().split()
             own = label[bounds[k]:bounds[k + 1]]
             marks = np.array([(m["place"], m["marks"]) for m in found.as_py()], np.int64)
-            marked = [marks[marks[:, 1] >> bit & 1 == 1, 0] + bit for bit in range(int(marks[:, 1].max()).bit_length())]
-            begin = np.flatnonzero(np.isin(own, own[np.concatenate(marked)]))
+            marked = np.concatenate([marks[marks[:, 1] >> bit & 1 == 1, 0] + bit for bit in range(int(marks[:, 1].max()).bit_length())])
+            begin = np.zeros(len(own), bool)
+            begin[marked] = True
+            same: dict[int, list[int]] = {}
+            for place in np.flatnonzero(begin).tolist():
+                same.setdefault(own[place], []).append(place)
+            for place in np.flatnonzero(np.isin(own, own[marked]) & ~begin).tolist():
+                begin[place] = any(words[place:place + width] == words[m:m + width] for m in same[own[place]])
+            begin = np.flatnonzero(begin)
             cover = np.zeros(len(words) + 1, np.int64)
             cover[begin] += 1
             cover[begin + width] -= 1
@@ -234,12 +279,12 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, id_column: str = "doc_i
 
     found = stored(
         texts.mapInArrow(lambda b: _suffixes(b, width),
-                    "prefix long, part long, id long, key long, place long, labels array<long>")
+                    "prefix long, part long, id long, key long, place long, words binary")
         .repartition("prefix", "part").sortWithinPartitions("prefix", "part")
-        .mapInArrow(_subtrees, "id long, key long, place long, marks long, prefix long, label long"), "nodes")
-    below = found.where("label IS NOT NULL").withColumn(
-        "least", F.min("id").over(Window.partitionBy("prefix", "label"))).where("id > least")
-    marks = found.where("label IS NULL").unionByName(below.drop("least")).groupBy("id", "key").agg(
+        .mapInArrow(lambda b: _subtrees(b, width), "id long, key long, place long, marks long, passage string"), "nodes")
+    below = found.where("passage IS NOT NULL").withColumn(
+        "least", F.min("id").over(Window.partitionBy("passage"))).where("id > least")
+    marks = found.where("passage IS NULL").unionByName(below.drop("least")).groupBy("id", "key").agg(
         F.collect_list(F.struct("place", "marks")).alias("found"))
     cut = texts.select("id", "text", "key", "digest").join(marks, ["id", "key"]).select(
         "id", "text", "digest", "found").mapInArrow(

@@ -3,6 +3,7 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_cases import classes, copies, fingerprint, no_docs, odd_docs, odd_rows, repeats
 from pyspark.sql import functions as F
@@ -145,3 +146,40 @@ def test_one_of_two_linked_texts_with_one_id_stays(spark):
         "component_id").distinct().count() == 1
     frame = spark.createDataFrame([(1, t) for t in texts] * 3, "doc_id long, text string")
     assert simhash.without_near_duplicates(frame).count() == 1
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_suffix_trees_are_those_of_sorted_suffixes(seed):
+    rng = np.random.default_rng(seed)
+    runs = [rng.integers(0, 1 + seed % 3, rng.integers(1, 40)).tolist() for _ in range(rng.integers(1, 12))]
+    words = np.array([w for run in runs for w in run])
+    left = np.array([len(run) - k for run in runs for k in range(len(run))])
+    order, depth = passages.suffix_tree(words, left)
+    suffixes = [run[k:] for run in runs for k in range(len(run))]
+    assert sorted(order.tolist()) == list(range(len(words)))
+    in_order = [suffixes[k] for k in order]
+    assert in_order == sorted(suffixes)
+
+    def common(a, b):
+        return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    assert depth.tolist() == [0] + [common(a, b) for a, b in zip(in_order, in_order[1:])]
+
+
+def test_equal_hashes_of_other_words_remove_nothing(spark, monkeypatch):
+    """Every window has one prefix and one label: only the words tell them apart."""
+    monkeypatch.setattr(passages, "windows", lambda words, width: np.zeros(max(0, len(words) - width + 1), np.uint64))
+    rng = np.random.default_rng(6)
+    passage = [f"p{k}" for k in range(60)]
+    rows = [(d, " ".join([f"d{d}x{k}" for k in range(rng.integers(0, 40))] + (passage if d % 3 else passage[:40]) + [f"e{d}"] * 70)) for d in range(12)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows]), pa.array([t for _, t in rows]), pa.array([d for d, _ in rows]),
+                                           pa.array([[{"prefix": 0, "parts": 1}]] * len(rows))], ["id", "text", "key", "shared"])]
+    found = [b for b in passages._subtrees(passages._suffixes(iter(batches), 50), 50)]
+    marked = {}
+    for b in found:
+        for i, place, marks in zip(*(b.column(c).to_pylist() for c in ("id", "place", "marks"))):
+            marked.setdefault(i, set()).update(place + k for k in range(31) if marks >> k & 1)
+    first = {}
+    for d, text in rows:
+        own = text.split()
+        want = {k for k in range(len(own) - 49) if first.setdefault(tuple(own[k:k + 50]), d) < d}
+        assert marked.get(d, set()) == want
