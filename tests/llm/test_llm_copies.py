@@ -172,7 +172,8 @@ def test_equal_hashes_of_other_words_remove_nothing(spark, monkeypatch):
     passage = [f"p{k}" for k in range(60)]
     rows = [(d, " ".join([f"d{d}x{k}" for k in range(rng.integers(0, 40))] + (passage if d % 3 else passage[:40]) + [f"e{d}"] * 70)) for d in range(12)]
     batches = [pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows]), pa.array([t for _, t in rows]), pa.array([d for d, _ in rows]),
-                                           pa.array([[{"prefix": 0, "parts": 1}]] * len(rows))], ["id", "text", "key", "shared"])]
+                                           pa.array([[{"prefix": 0, "parts": 1}]] * len(rows),
+                                                    pa.list_(pa.struct([("prefix", pa.int64()), ("parts", pa.int64())])))], ["id", "text", "key", "shared"])]
     found = [b for b in passages._subtrees(passages._suffixes(iter(batches), 50), 50)]
     marked = {}
     for b in found:
