@@ -12,10 +12,10 @@ from reviewloom.llm import content_sort, repeats as passages, simhash
 from reviewloom.llm.components import components
 
 
-@pytest.mark.parametrize("heavy", [1000, 4])
+@pytest.mark.parametrize("heavy", [1000, 5, 1])
 def test_exact_copies(spark, monkeypatch, heavy):
-    """Sorted and pre-aggregated groups give the same answer: with 4, groups of more than 5 rows are heavy."""
-    monkeypatch.setattr(content_sort, "HEAVY_TEXTS", heavy)
+    """Sorted and pre-aggregated groups give the same answer: with 5, groups of more than 5 rows are heavy."""
+    monkeypatch.setattr(content_sort, "HEAVY_ROWS", heavy)
     rows = odd_rows() + [(100 + k, "many copies" + " " * (k % 3), "en", "src0", 0) for k in range(40)]
     docs = odd_docs(spark, rows)
     found = content_sort.mark_copies(docs)
@@ -29,6 +29,16 @@ def test_exact_copies(spark, monkeypatch, heavy):
     assert found.where("row.doc_id = 17 AND kept").count() == 1
 
 
+def test_many_rows_without_id_and_text(spark, monkeypatch):
+    """A third of the rows are alike in every column: no task counts them one by one, and one is kept."""
+    monkeypatch.setattr(content_sort, "HEAVY_ROWS", 50)
+    rows = spark.range(6000).selectExpr("IF(id % 3 = 0, null, id) AS doc_id", "IF(id % 3 = 0, null, concat('text ', id)) AS text").repartition(8)
+    marked = content_sort.mark_copies(rows)
+    assert marked.count() == 6000 and marked.where("kept").count() == 4001
+    assert {(r.kept, r.group_size, r["count"]) for r in marked.where("row.doc_id IS NULL").groupBy("kept", "group_size").count().collect()} == {
+        (True, 2000, 1), (False, 2000, 1999)}
+
+
 def test_exact_copies_of_nothing(spark):
     assert content_sort.mark_copies(no_docs(spark)).count() == 0
 
