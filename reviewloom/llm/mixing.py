@@ -12,7 +12,8 @@ on), and a child gets the smaller of its capacity and weight times level.
 Each epoch orders a leaf's documents by a seeded digest. A leaf's selection is the
 first part of its epochs laid end to end. Running totals are made in two steps, per
 slice of digests and inside slices, and a leaf gets slices in proportion to its
-rows, so a leaf with a third of all rows is spread like any other part.
+rows, so a leaf with a third of all rows is spread like any other part. Rows that repeat an
+id and its length are one row with their number until the end.
 
 Defined cases: nulls in tree columns count as empty names; a name without a weight
 gets ``DEFAULT_WEIGHT`` and a weight of 0 takes nothing; null and empty texts have no
@@ -61,29 +62,43 @@ def budgets(leaves: DataFrame, total: Column, weights: dict[str, dict[str, int]]
 
     ``total`` may use ``all_tokens``, the tokens of all leaves.
     """
-    able = leaves.withColumn("capacity", F.col("tokens") * epochs)
-    parent = None
+    able = leaves.withColumns({"capacity": F.col("tokens") * epochs, "root": F.lit(0)})
+    sums = [F.sum("capacity").cast("double").alias("capacity"), F.sum("tokens").alias("all_tokens")]
+    parent = able.groupBy("root").agg(*sums).select("root", F.least(total.cast("double"), F.col("capacity")).alias("budget"))
     for depth, name in enumerate(tree):
-        above, here = list(tree[:depth]), list(tree[:depth + 1])
-        nodes = able.groupBy(*here).agg(F.sum("capacity").cast("double").alias("capacity"),
-                                        F.sum("tokens").alias("all_tokens")).withColumn(
-            "weight", _weight(name, weights.get(name, {})))
-        if parent is None:  # the root divides its budget among a few names
-            every = Window.partitionBy()
-            nodes = nodes.withColumn("all_tokens", F.sum("all_tokens").over(every)).withColumn(
-                "budget", F.least(total.cast("double"), F.sum("capacity").over(every)))
-        else:
-            nodes = nodes.join(parent, above)
-        order = Window.partitionBy(*above).orderBy((F.col("capacity") / F.nullif("weight", F.lit(0.0))).asc_nulls_last(),
-                                                   name)
-        before = F.coalesce(F.sum("capacity").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-        onward = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
-        parent = (
-            nodes.withColumn("level", (F.col("budget") - before) / F.nullif(onward, F.lit(0.0)))
-            .withColumn("level", F.coalesce(F.max("level").over(Window.partitionBy(*above)), F.lit(0.0)))
-            .select(*here, F.least("capacity", F.col("level") * F.col("weight")).alias("budget"))
-        )
-    return parent
+        above, here = ["root", *tree[:depth]], ["root", *tree[:depth + 1]]
+        nodes = able.groupBy(*here).agg(*sums).withColumn("weight", _weight(name, weights.get(name, {})))
+        levels = _levels(nodes.join(parent, above), above)
+        parent = nodes.join(levels, above).select(
+            *here, F.least("capacity", F.col("level") * F.col("weight")).alias("budget"))
+    return parent.drop("root")
+
+
+def _levels(nodes: DataFrame, above: list[str]) -> DataFrame:
+    """The water level of each group of siblings: each gets its weight times it, or its capacity if that is less.
+
+    Siblings count in order of capacity by weight, equal ones together. A group may have any number of them, so
+    it is cut into ranges of that order, and one row per range carries the sums over.
+    """
+    ratio = F.col("capacity") / F.nullif("weight", F.lit(0.0))
+    steps = nodes.withColumn("ratio", ratio).groupBy(*above, "budget", "ratio").agg(
+        F.sum("capacity").alias("capacity"), F.sum("weight").alias("weight"))
+    # at most 64 ranges for each doubling; what weighs nothing comes last
+    steps = steps.withColumn("range", F.when(F.col("ratio").isNull(), F.lit(1 << 20)).when(F.col("ratio") <= 0, F.lit(-(1 << 20)))
+                             .otherwise(F.floor(F.log2("ratio") * 64)).cast("int"))
+    inside = Window.partitionBy(*above, "range").orderBy("ratio").rowsBetween(Window.unboundedPreceding, -1)
+    ranges, earlier = Window.partitionBy(*above), Window.partitionBy(*above).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    nothing = F.lit(0.0)
+    offsets = steps.groupBy(*above, "range").agg(F.sum("capacity").alias("c"), F.sum("weight").alias("w")).select(
+        *above, "range", F.coalesce(F.sum("c").over(earlier), nothing).alias("c_before"),
+        F.coalesce(F.sum("w").over(earlier), nothing).alias("w_before"), F.sum("w").over(ranges).alias("w_all"))
+    before = F.col("c_before") + F.coalesce("c_inside", nothing)
+    onward = F.col("w_all") - F.col("w_before") - F.coalesce("w_inside", nothing)
+    return (
+        steps.withColumns({"c_inside": F.sum("capacity").over(inside), "w_inside": F.sum("weight").over(inside)})
+        .join(offsets, [*above, "range"])
+        .groupBy(*above).agg(F.coalesce(F.max((F.col("budget") - before) / F.nullif(onward, nothing)), nothing).alias("level"))
+    )
 
 
 def _rows(docs: DataFrame, tree: tuple[str, ...], places: dict[str, Column], id_column: str,
@@ -101,13 +116,14 @@ def select_prefixes(docs: DataFrame, weights: dict[str, dict[str, int]], share:
     in its leaf's line of epochs, and ``taken`` the tokens of it inside the budget.
     """
     places = {"domain": domain_of(F.col("source"))} if places is None else places
-    rows = _rows(docs, tree, places, id_column, text_column)
-    leaves = rows.groupBy(*tree).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"))
+    # rows of one id and length are one row with their number, so an id that repeats fills no slice
+    rows = _rows(docs, tree, places, id_column, text_column).groupBy("doc_id", *tree, "tokens").agg(F.count(F.lit(1)).alias("copies"))
+    leaves = rows.groupBy(*tree).agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.count(F.lit(1)).alias("rows"))
     given = budgets(leaves, F.floor(F.col("all_tokens") * share), weights, epochs, tree)
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    every = Window.partitionBy()
+    count = max(1, docs.count())
     plan = (
-        leaves.withColumn("slices", F.ceil(F.col("rows") * F.lit(SLICES * partitions) / F.sum("rows").over(every)))
+        leaves.withColumn("slices", F.ceil(F.col("rows") * F.lit(SLICES * partitions) / F.lit(count)))
         .join(given, list(tree)).where("tokens > 0 AND budget > 0")
         .withColumn("rounds", F.least(F.lit(epochs), F.ceil(F.col("budget") / F.col("tokens"))).cast("int"))
         .select(*tree, F.col("tokens").alias("leaf_tokens"), "slices", "budget", "rounds")
@@ -120,7 +136,8 @@ def select_prefixes(docs: DataFrame, weights: dict[str, dict[str, int]], share:
     )
     slices = [*tree, "epoch", "slice"]
     earlier = Window.partitionBy(*tree, "epoch").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = drawn.groupBy(*slices).agg(F.sum("tokens").alias("sum")).select(
+    sizes = F.col("tokens") * F.col("copies")
+    offsets = drawn.groupBy(*slices).agg(F.sum(sizes).alias("sum")).select(
         *slices, F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("before"))
     inside = Window.partitionBy(*slices).orderBy("digest", "doc_id", "tokens").rowsBetween(
         Window.unboundedPreceding, -1)
@@ -128,7 +145,10 @@ def select_prefixes(docs: DataFrame, weights: dict[str, dict[str, int]], share:
         drawn.join(offsets, slices)
         .where(F.col("epoch") * F.col("leaf_tokens") + F.col("before") < F.col("budget"))
         .withColumn("start", F.col("epoch") * F.col("leaf_tokens") + F.col("before")
-                    + F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
+                    + F.coalesce(F.sum(sizes).over(inside), F.lit(0)))
+        .where("start < budget")
+        .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+        .withColumn("start", F.col("start") + F.col("tokens") * F.col("copy"))
         .where("start < budget")
         .select("doc_id", *tree, "epoch", "start", "tokens",
                 F.least("tokens", F.ceil(F.col("budget") - F.col("start"))).alias("taken"), "digest")

@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import pytest
 from llm_cases import crc, no_docs, odd_docs, odd_rows, words
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from reviewloom.llm import mixing, packing, queries, sharding, token_ids
@@ -162,3 +163,36 @@ def test_mixture_of_odd_documents(spark):
     assert sorted((r.doc_id for r in mixed.collect()), key=repr) == sorted((r.doc_id for r in chosen), key=repr)
     assert mixing.select_prefixes(no_docs(spark), queries.WEIGHTS).count() == 0
     assert mixing.mixed(no_docs(spark), queries.WEIGHTS).count() == 0
+
+
+def test_rows_that_repeat_an_id_are_counted_and_come_back(spark):
+    """A third of the rows without an id, empty texts among them: every row has its own place in its leaf's line."""
+    rows = [(None if k % 3 == 0 else k, "" if k % 9 == 0 else "two words" if k % 3 == 0 else "one " * (k % 5), "en", "src1", 0) for k in range(900)]
+    docs = odd_docs(spark, rows)
+    chosen = mixing.select_prefixes(docs, {}, share=2.0, epochs=2).collect()
+    assert len(chosen) == 1800 and sum(r.doc_id is None for r in chosen) == 600
+    for epoch in (0, 1):
+        line = sorted((r.start, r.tokens) for r in chosen if r.epoch == epoch)
+        at = line[0][0]
+        for start, tokens in line:
+            assert start == at
+            at += tokens
+    # before the end, what an id and length have in common is one row
+    kept = mixing.mixed(docs, {}, share=0.5)
+    assert kept.columns == docs.columns
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_water_levels_of_many_siblings(spark, seed):
+    rng = np.random.default_rng(seed)
+    tokens = np.floor(rng.pareto(0.6, 3000)).astype(int) % 100_000
+    leaves = spark.createDataFrame([("d", "en", f"s{k}", int(t)) for k, t in enumerate(tokens)], "domain string, lang string, source string, tokens long")
+    weights = {"source": {f"s{k}": int(w) for k, w in enumerate(rng.integers(0, 6, 300))}}
+    got = {r.source: r.budget for r in mixing.budgets(leaves, F.floor(F.col("all_tokens") * 0.3), weights, 1).collect()}
+    total = float(np.floor(tokens.sum() * 0.3))
+    weight = np.array([weights["source"].get(f"s{k}", 1) for k in range(len(tokens))], float)
+    low, high = 0.0, 1e9
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if np.minimum(tokens, middle * weight).sum() < total else (low, middle)
+    assert np.allclose([got[f"s{k}"] for k in range(len(tokens))], np.minimum(tokens, high * weight), rtol=1e-6)
