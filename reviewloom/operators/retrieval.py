@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reviewloom.fixed_values import (DEFAULT_PLACE, INDEX_LENGTH_ABOVE, KEEP_AT_LEAST, KEEP_AT_MOST, MMR_FETCH,
                                      MMR_KEEP, NO_REFERENCES, PROMPT_REVIEW, REPLY_BLANK_QUESTION, REPLY_NO_REVIEWS,
@@ -15,6 +14,7 @@ from reviewloom.fixed_values import (DEFAULT_PLACE, INDEX_LENGTH_ABOVE, KEEP_AT_
 from reviewloom.functions.labels import (chunk_entry, confidence, confidence_note, hit_entry, or_default,
                                          reference_line)
 from reviewloom.functions.text import fill_template, is_blank, trim_space
+from reviewloom.operators.answers import ask_once, one_by_one, with_answers
 from reviewloom.operators.cleaning import keep_first
 from reviewloom.operators.embed import embed, hashed_features
 from reviewloom.operators.knn import nearest
@@ -190,37 +190,19 @@ def search_reviews(index: DataFrame, questions: DataFrame,
 
 # --- answers ----------------------------------------------------------------
 def answer(prompts: DataFrame, make_model: Callable[[], Callable[[str], str]], fallback: str,
-           prompt_col: str = "prompt", fallback_fields: tuple[str, ...] = (), trim: bool = False) -> DataFrame:
-    """Add ``result`` and ``error`` by calling a user-supplied model per prompt.
+           prompt_col: str = "prompt", fallback_fields: tuple[str, ...] = (), trim: bool = False,
+           answers: DataFrame | None = None) -> DataFrame:
+    """Add ``result`` and ``error`` by asking a user-supplied model once per distinct prompt.
 
-    A failing call leaves the job running: its row gets the fallback text, in
+    A failing call leaves the job running: its rows get the fallback text, in
     which ``{error}`` stands for the reason and ``{name}`` for a listed column,
     and the reason. ``trim`` takes white space off both ends of an answer, which
-    free chat asks for and the other handlers do not.
+    free chat asks for and the other handlers do not. ``answers`` are those that
+    ``ask_once`` gave already.
     """
-    schema = T.StructType(prompts.schema.fields + [
-        T.StructField("result", T.StringType()), T.StructField("error", T.StringType())])
-
-    def one(model, row):
-        if row[prompt_col] is None:
-            return None, None
-        try:
-            text = model(row[prompt_col])
-            return text.strip() if trim else text, None
-        except Exception as failure:  # noqa: BLE001 - any model error becomes a row
-            text = fallback
-            for name in fallback_fields:
-                text = text.replace("{" + name + "}", str(row[name]))
-            return text.replace("{error}", str(failure)), str(failure)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = make_model()
-        for batch in batches:
-            used = batch[[prompt_col, *fallback_fields]].to_dict("records")
-            pairs = [one(model, row) for row in used]
-            yield batch.assign(result=[r for r, _ in pairs], error=[e for _, e in pairs])
-
-    return prompts.mapInPandas(run, schema)
+    if answers is None:
+        answers = ask_once(prompts, lambda: one_by_one(make_model()), prompt_col)
+    return with_answers(prompts, answers, fallback, prompt_col, fallback_fields, trim_space if trim else None)
 
 
 def noted_result(result: Column, note: Column, error: Column) -> Column:

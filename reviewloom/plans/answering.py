@@ -10,8 +10,10 @@ from reviewloom.fixed_values import (CATEGORY_WORDS, PROMPT_CHAT, REPLY_CHAT_FAI
                                      REPLY_SUBJECT_FAILED)
 from reviewloom.functions.text import trim_space
 from reviewloom.operators import retrieval, routing, subjects
+from reviewloom.operators.answers import ask_once, one_by_one
 from reviewloom.operators.embed import hashed_features
 from reviewloom.operators.ordered import drop_range, running_sum
+from reviewloom.session import stored
 
 FIGURES = ("retrieved_reviews", "total_found", "filtered_count", "used_count", "avg_similarity", "max_similarity",
            "min_similarity", "confidence", "note")
@@ -43,16 +45,20 @@ def session_states(messages: DataFrame, index: DataFrame, catalogue: DataFrame,
     return reviews.unionByName(described, allowMissingColumns=True).unionByName(chat, allowMissingColumns=True)
 
 
-def answer_states(states: DataFrame, make_model: Callable[[], Callable[[str], str]]) -> DataFrame:
+def answer_states(states: DataFrame, make_model: Callable[[], Callable[[str], str]], path: str | None = None) -> DataFrame:
     """The answer to each state: ``msg_id, text, routing_decision, result, said, error``.
 
     ``result`` is what is shown, ``said`` what goes into the history. A review
     answer is shown with its confidence note, and a failure with its reason. A
     chat answer is trimmed, and its failure is a fixed text and no error. Only
-    these two kinds are said; a fixed reply and a subject answer are not.
+    these two kinds are said; a fixed reply and a subject answer are not. The model is
+    asked once per distinct prompt; ``path`` is where its answers are kept for later calls.
     """
+    states = stored(states, "states")
+    answers = ask_once(states, lambda: one_by_one(make_model()), path=path)
+
     def of(route: str, fallback: str, **options) -> DataFrame:
-        return retrieval.answer(states.filter(F.col("routing_decision") == route), make_model, fallback, **options)
+        return retrieval.answer(states.filter(F.col("routing_decision") == route), make_model, fallback, answers=answers, **options)
 
     nothing = F.lit(None).cast("string")
     reviews = of("rag_review", REPLY_REVIEW_FAILED).select(

@@ -9,6 +9,7 @@ from reviewloom.fixed_values import (INFO_WORDS, NO_REFERENCES, NOTE_HIGH, NOTE_
 from reviewloom.functions.labels import chunk_source, hit_source
 from reviewloom.functions.vectors import l2_normalise
 from reviewloom.functions.text import split_words
+from reviewloom.operators.answers import ask_once, one_by_one
 from reviewloom.operators import cells, conversations, embed, knn, retrieval, wordpiece
 from reviewloom.plans import answering, derived
 from reviewloom.plans.chat_queries import MARKDOWN, keyword_case, quoted, resolve_sql, subject_prompt
@@ -219,8 +220,9 @@ def _stub():
 def answered_messages(spark, folder):
     """The answer job with a deterministic stand-in for a model."""
     asked = derived.messages(spark, folder).filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("prompt"))
-    plain = retrieval.answer(asked, lambda: _stub(), "failed: {error}").withColumnRenamed("result", "plain_result")
-    return retrieval.answer(plain.drop("error"), lambda: _stub(), "failed: {error}", trim=True).select(
+    answers = ask_once(asked, lambda: one_by_one(_stub()))
+    plain = retrieval.answer(asked, _stub, "failed: {error}", answers=answers).withColumnRenamed("result", "plain_result")
+    return retrieval.answer(plain.drop("error"), _stub, "failed: {error}", trim=True, answers=answers).select(
         "conv_id", "turn", F.col("plain_result").alias("result"), F.col("result").alias("trimmed_result"), "error")
 
 

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from reviewloom import session
 from reviewloom.fixed_values import PROMPT_CHAT, REPLY_SUBJECT_FAILED
-from reviewloom.operators import retrieval
+from reviewloom.operators import answers, retrieval
 from reviewloom.plans.answering import session_states
 from reviewloom.plans.derived import subjects as part_subjects
 from reviewloom.sources import tables
@@ -79,3 +79,61 @@ class StandIn:
 def test_a_cluster_without_a_shared_folder_is_refused():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.shared_folder(StandIn({}), "x")
+
+
+def counting(folder, bad=(), list_bad=()):
+    """A model of lists that notes every prompt it is asked."""
+    def make():
+        def model(prompts):
+            import os
+            import uuid
+            with open(os.path.join(folder, uuid.uuid4().hex), "w") as note:
+                note.write("\n".join(prompts))
+            if any(p in list_bad for p in prompts):
+                raise RuntimeError("whole list")
+            return [ValueError("down") if p in bad else f" {p}! " for p in prompts]
+        return model
+    return make
+
+
+def asked_of(folder):
+    return sorted(line for note in folder.iterdir() for line in note.read_text().split("\n"))
+
+
+def test_each_prompt_is_asked_once(spark, tmp_path):
+    notes, kept = tmp_path / "notes", str(tmp_path / "kept")
+    notes.mkdir()
+    rows = spark.createDataFrame([(k, f"p{k % 7}" if k % 5 else None) for k in range(300)], "id long, prompt string").repartition(8)
+    found = answers.ask_once(rows, counting(str(notes), bad=("p3",)), path=kept, slices=3)
+    assert {(r.answer, r.error) for r in found.collect()} == {(None, "down")} | {(f" p{k}! ", None) for k in range(7) if k != 3}
+    assert asked_of(notes) == [f"p{k}" for k in range(7)]
+    more = rows.unionByName(spark.createDataFrame([(900, "new")], rows.schema))
+    again = answers.ask_once(more, counting(str(notes)), path=kept)
+    assert asked_of(notes) == ["new"] + [f"p{k}" for k in range(7)] and again.count() == 8
+    shown = answers.with_answers(more, again, "sorry: {error}").collect()
+    assert len(shown) == 301 and {r.result for r in shown if r.prompt == "p3"} == {"sorry: down"}
+    assert {r.result for r in shown if r.prompt is None} == {None}
+
+
+def test_one_bad_prompt_does_not_fail_its_list(spark, tmp_path):
+    notes = tmp_path / "notes"
+    notes.mkdir()
+    rows = spark.createDataFrame([(f"p{k}",) for k in range(20)], "prompt string").coalesce(1)
+    found = answers.ask_once(rows, counting(str(notes), list_bad=("p4",)), list_size=50).collect()
+    assert sum(r.error == "whole list" for r in found) == 1 and sum(r.error is None for r in found) == 19
+    with pytest.raises(Exception, match="0 answers to"):
+        answers.ask_once(rows, lambda: lambda prompts: [])
+
+
+def test_states_ask_each_distinct_prompt_once(spark, sf, tmp_path):
+    from reviewloom.plans.answering import answer_states
+    index = retrieval.build_index(reviews(spark, TEXTS))
+    messages = spark.createDataFrame([(k, "hello") for k in range(5)] + [(10 + k, "리뷰 어때?") for k in range(3)], "msg_id long, text string")
+    notes = tmp_path / "notes"
+    notes.mkdir()
+    make = counting(str(notes))
+    states = session_states(messages, index, part_subjects(spark, sf))
+    got = answer_states(states, lambda: lambda prompt: make()([prompt])[0]).collect()
+    assert len(got) == 8 and all(r.result for r in got)
+    prompts = {r.prompt for r in states.select("prompt").collect()}
+    assert len(list(notes.iterdir())) == len(prompts) == 2
