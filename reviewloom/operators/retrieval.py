@@ -43,14 +43,15 @@ def build_index(clean: DataFrame, sites=SITES,
 
 
 def add_documents(index_path: str, existing: DataFrame, records: DataFrame, sites=SITES,
-                  make_embedder: Callable = lambda: hashed_features) -> None:
+                  make_embedder: Callable = lambda: hashed_features, key: str | None = None) -> None:
     """Append records ``site, ingest_seq, content, meta`` to a stored index.
 
     Their ids follow the highest one there is. Vectors are normalised like those
-    of a new index, so all scores stay cosines.
+    of a new index, so all scores stay cosines. Records sent again under the same
+    ``key`` are added once.
     """
     numbered = number_rows(records, "site", "ingest_seq", "vec_id", tuple(sites))
-    append_index(index_path, existing, embed(numbered.select("vec_id", "content", "meta"), "content", make_embedder))
+    append_index(index_path, existing, embed(numbered.select("vec_id", "content", "meta"), "content", make_embedder), key)
 
 
 # --- selection --------------------------------------------------------------

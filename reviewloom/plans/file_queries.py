@@ -97,12 +97,13 @@ def preprocessed_index(spark, folder):
 
 
 def extended_index(spark, folder):
-    """An index of one site's reviews to which those of the others are added."""
+    """An index of one site's reviews to which those of the others are added, the second ones twice."""
     path, clean = shared_folder(spark, "extended"), derived.stored_clean(spark, folder)
     first = F.col("site") == SITES[0]
     index = load_index(spark, path, lambda: retrieval.build_index(clean.filter(first)))
-    retrieval.add_documents(path, index, retrieval.indexable(clean.filter(~first)))
-    return _shown(spark.read.parquet(path))
+    for site in (SITES[1], SITES[1], SITES[2]):
+        retrieval.add_documents(path, index, retrieval.indexable(clean.filter(F.col("site") == site)), key=site)
+    return _shown(load_index(spark, path, lambda: index))
 
 
 QUERIES = {f.__name__: f for f in (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import warnings
 from collections.abc import Callable
 
@@ -10,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reviewloom.fixed_values import INDEX_REQUIRED
 from reviewloom.schemas import INDEX, MESSAGES, SUBJECT, USERS
+from reviewloom.sources.folders import remove_folder
 from reviewloom.sources.records import read_json_lists
+from reviewloom.sources.segments import add_segment, read_segments, segments
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -46,10 +49,11 @@ def stream_messages(spark: SparkSession, path: str, bytes_per_batch: int = 512 *
 
 # --- vector index -----------------------------------------------------------
 def write_index(index: DataFrame, path: str) -> bool:
-    """Write vectors with their metadata; an empty index writes nothing. Tells whether it wrote."""
+    """Write vectors with their metadata as the first segment; an empty index writes nothing. Tells whether it wrote."""
     if index.isEmpty():
         return False
-    index.write.mode("overwrite").parquet(path)
+    remove_folder(index.sparkSession, path)
+    add_segment(index, path, "build")
     return True
 
 
@@ -68,20 +72,28 @@ def load_index(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -
     not written, and gives an empty index.
     """
     try:
-        index = spark.read.parquet(path)
+        index = read_segments(spark, path)
+        index = spark.read.parquet(path) if index is None else index
     except AnalysisException as error:
         if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         if not write_index(build(), path):
             return spark.createDataFrame([], INDEX)
-        index = spark.read.schema(INDEX).parquet(path)
+        index = read_segments(spark, path)
     if lacking := missing_index_fields(index):
         warnings.warn(f"the index at {path} lacks {', '.join(lacking)}", stacklevel=2)
     return spread(index, "vec_id")
 
 
-def append_index(index_path: str, existing: DataFrame, added: DataFrame) -> None:
-    """Append numbered, normalised vectors after the highest ``vec_id`` there is."""
+def append_index(index_path: str, existing: DataFrame, added: DataFrame, key: str | None = None) -> None:
+    """Append numbered, normalised vectors under the ids that follow.
+
+    With a ``key`` the same rows can be sent again: they are added once. An index
+    that was not written by ``write_index`` is searched for its highest id.
+    """
+    if segments(existing.sparkSession, index_path):
+        add_segment(added, index_path, key or uuid.uuid4().hex)
+        return
     start = existing.agg(F.coalesce(F.max("vec_id") + 1, F.lit(0)).alias("start")).first()["start"]
     added.withColumn("vec_id", F.col("vec_id") + F.lit(start)).write.mode("append").parquet(index_path)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from reviewloom.operators import cleaning
 from reviewloom.operators.conversations import transcript
 from reviewloom.schemas import INDEX, USERS
-from reviewloom.sources import reviews as source, tables
+from reviewloom.sources import reviews as source, segments, tables
 from reviewloom.sources.transcripts import write_transcript
 
 AS_OF = "2025-01-01 00:00:00"
@@ -300,3 +300,43 @@ def test_a_list_that_breaks_off_keeps_what_it_has(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"name": "A"}, {"name": "B", "category":')
     got = tables.read_subjects(spark, str(tmp_path)).orderBy("pos").collect()
     assert len(got) == 2 and got[0].name == "A"
+
+
+def index_rows(spark, names):
+    meta = ("kakaomap", "s", "p", "2024-05-03", 5.0, "")
+    return spark.createDataFrame([(n, name, meta, [1.0, 0.0]) for n, name in enumerate(names)], INDEX)
+
+
+def test_segments_are_added_once_and_in_turn(spark, tmp_path):
+    path = str(tmp_path / "index")
+    tables.write_index(index_rows(spark, ["a", "b"]), path)
+    for key, names in (("x", ["c"]), ("x", ["c"]), ("y", ["d", "e"]), ("x", ["c"]), ("empty", [])):
+        segments.add_segment(index_rows(spark, names), path, key)
+    got = tables.load_index(spark, path, lambda: None).orderBy("vec_id").collect()
+    assert [(r.vec_id, r.content) for r in got] == list(enumerate("abcde"))
+    tables.append_index(path, index_rows(spark, []), index_rows(spark, ["f"]), key="x")  # a key that is done
+    assert tables.load_index(spark, path, lambda: None).count() == 5
+
+
+def test_a_segment_that_broke_off_is_written_in_its_place(spark, tmp_path):
+    path = str(tmp_path / "index")
+    tables.write_index(index_rows(spark, ["a", "b"]), path)
+    segments.add_segment(index_rows(spark, ["c"]), path, "x")
+    (tmp_path / "index" / "_log" / "1.done").unlink()  # as if the writer had died before the end
+    assert tables.load_index(spark, path, lambda: None).count() == 2
+    assert segments.add_segment(index_rows(spark, ["d"]), path, "y").start == 3
+    with pytest.raises(ValueError, match="was claimed for 1 rows"):
+        segments.add_segment(index_rows(spark, ["c", "c"]), path, "x")
+    segments.add_segment(index_rows(spark, ["c"]), path, "x")
+    got = tables.load_index(spark, path, lambda: None).orderBy("vec_id").collect()
+    assert [(r.vec_id, r.content) for r in got] == list(enumerate("abcd"))
+
+
+def test_writers_at_the_same_time_get_ids_of_their_own(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+    path = str(tmp_path / "index")
+    tables.write_index(index_rows(spark, ["a"]), path)
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(lambda k: segments.add_segment(index_rows(spark, [f"{k}"] * (k + 1)), path, f"k{k}"), range(6)))
+    got = tables.load_index(spark, path, lambda: None).collect()
+    assert sorted(r.vec_id for r in got) == list(range(1 + 21))
