@@ -65,17 +65,17 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return first.select(*keys, "__first.*").select(*df.columns)
 
 
-def add_features(df: DataFrame) -> DataFrame:
+def add_features(df: DataFrame, token_limit: int = TOKEN_LIMIT) -> DataFrame:
     return (
-        df.withColumn("tokenized_content", tokens(F.col("content"), TOKEN_LIMIT))
+        df.withColumn("tokenized_content", tokens(F.col("content"), token_limit))
         .withColumn("weekday", weekday_name(F.col("date")))
         .withColumn("text_length", F.length("content"))
     )
 
 
-def clean_reviews(df: DataFrame, as_of: str | None = None) -> DataFrame:
-    """Raw to cleaned reviews with derived features."""
-    return add_features(keep_first(apply_rules(df, as_of), ["site", "content"], ["ingest_seq"]))
+def clean_reviews(df: DataFrame, as_of: str | None = None, token_limit: int = TOKEN_LIMIT) -> DataFrame:
+    """Raw to cleaned reviews with derived features, of them the first ``token_limit`` tokens."""
+    return add_features(keep_first(apply_rules(df, as_of), ["site", "content"], ["ingest_seq"]), token_limit)
 
 
 def audit(df: DataFrame, as_of: str | None = None) -> DataFrame:

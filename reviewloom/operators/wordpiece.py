@@ -6,37 +6,23 @@ Where a vocabulary is at hand, words are cut further into its longest pieces.
 
 from __future__ import annotations
 
-import unicodedata
-from functools import lru_cache
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from reviewloom.fixed_values import TOKEN_LIMIT
+from reviewloom.functions.text import split_words
 
 UNKNOWN = "[UNK]"
 #: Default of the longest word that is cut; longer ones become one ``[UNK]``.
 WORD_LIMIT = 100
 
 
-@lru_cache(maxsize=100_000)
-def _is_wide(ch: str) -> bool:
-    """Han characters stand alone as words."""
-    return unicodedata.name(ch, "").startswith(("CJK UNIFIED IDEOGRAPH", "CJK COMPATIBILITY IDEOGRAPH"))
-
-
-@lru_cache(maxsize=100_000)
-def _is_mark(ch: str) -> bool:
-    return unicodedata.category(ch).startswith("P") or (ch.isascii() and not ch.isalnum() and ch.isprintable() and ch != " ")
-
-
-def _words(text: str) -> list[str]:
-    return "".join(f" {c} " if _is_wide(c) or _is_mark(c) else c for c in text).split()
+#: Ideographs stand alone as words, and so do punctuation and the other printable marks of ASCII.
+_ALONE = (r"([\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2EE5D}\x{30000}-\x{323AF}"
+          r"\x{F900}-\x{FAFF}\x{2F800}-\x{2FA1F}\p{P}$+<=>^`|~])")
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _split(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda text: _words(text) if isinstance(text, str) else [])
+def _split(text: Column) -> Column:
+    return split_words(F.regexp_replace(text, _ALONE, " $1 "))
 
 
 def _longest_first(word: Column, steps: Column) -> Column:
@@ -82,7 +68,7 @@ def with_pieces(clean: DataFrame, vocabulary: DataFrame, limit: int = TOKEN_LIMI
     """
     # every word gives a piece, so words beyond the limit do not count
     placed = clean.select("content").distinct().select(
-        "content", F.posexplode(F.slice(_split("content"), 1, limit)).alias("place", "word"))
+        "content", F.posexplode(F.slice(_split(F.col("content")), 1, limit)).alias("place", "word"))
     cut = cut_words(placed.select("word").distinct(), vocabulary, word_limit)
     ordered = F.array_sort(F.collect_list(F.struct("place", "pieces")))
     tokens = placed.join(cut, "word").groupBy("content").agg(

@@ -145,3 +145,9 @@ def test_email_pattern(spark, address, valid):
     rows = spark.createDataFrame([(address,)], "email string")
     ok, bad = cleaning.split_valid_emails(rows)
     assert (ok.count(), bad.count()) == ((1, 0) if valid else (0, 1))
+
+
+def test_the_number_of_tokens_is_a_parameter(spark):
+    rows = spark.createDataFrame([("kakaomap", 1, 5.0, "2024-01-01", "one two three four")],
+                                 "site string, ingest_seq long, rating double, date string, content string")
+    assert cleaning.clean_reviews(rows, "2025-01-01", token_limit=2).first().tokenized_content == ["one", "two"]

@@ -17,7 +17,7 @@ def vocabulary(spark):
 def test_pieces_equal_a_public_tokenizer(spark, vocabulary):
     known = BertWordPieceTokenizer({p: i for i, p in enumerate(PIECES)}, lowercase=False, strip_accents=False)
     rnd = random.Random(5)
-    parts = ["롯데", "월드", "좋아요", "un", "aff", "able", "a", "b", " ", "日本", "_", "!", "x", "²", "\t"]
+    parts = ["롯데", "월드", "좋아요", "un", "aff", "able", "a", "b", " ", "日本", "_", "!", "x", "²", "\t", "$", "^", "`", "~", "「", "…", "\u3000", "豈", "𠀀", "々", "—"]
     texts = ["롯데월드 좋아요", "unaffable", "日本a", "a" * 101, "a" * 100, ""] + [
         "".join(rnd.choices(parts, k=rnd.randint(1, 8))) for _ in range(300)]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, content string")
