@@ -1,17 +1,19 @@
 """Exact top-k inner products by ball trees, one per shard.
 
-Rows that repeat id and vector are counted first, as only k of them can matter, and
-dealt to shards by id and vector. In a shard a ball tree (centres and radii) gives
-every node an upper bound of a query's inner products: query times centre plus
-query's length times radius. Nodes whose bound is below the query's current k-th
+Rows that repeat id and vector are counted first, as only k of them can matter. The others are
+dealt to cells around centres from a bounded sample, so that a cell is a ball, and a cell
+with many rows is cut into slices by id and vector: a shard is a slice of a cell. In a shard a ball
+tree (centres and radii) gives every node an upper bound of a query's inner products: query times
+centre plus query's length times radius. Nodes whose bound is below the query's current k-th
 score are cut off; the leaves that remain are visited from the highest bound down,
 raising the k-th score, until no bound reaches it. Every query first searches the
-shard it lies in; the k-th score found there is shared with all other shards.
+shard it lies in; the k-th score found there is shared with all others, and the query
+goes only to the cells whose own ball reaches it.
 
-Queries meet shards in blocks: a group holds one shard and at most about
-``QUERY_BLOCK`` queries. Of equal vectors in a shard at most k rows of an id and 2 k
-rows in all can matter (k of them may be the query's own), so a vector with many
-copies costs little.
+Queries meet a shard in blocks of about ``QUERY_BLOCK``, as many as it is asked. Of equal
+vectors in a shard at most k rows of an id and 2 k rows in all can matter (k of them may be
+the query's own), so a vector with many copies costs little. Centres decide what is left out, never the
+result.
 
 Components are floor(scale * x) as whole numbers, and products are exact.
 
@@ -26,6 +28,7 @@ table gives an empty table. Other columns are not read.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from reviewloom.session import stored
 
 SHARD, QUERY_BLOCK, LEAF = 32_768, 8_192, 64
+#: Cells at most, sampled vectors per cell, and components of the sample at most.
+CELLS, SAMPLE, SAMPLE_SIZE = 16_384, 16, 8 << 20
 #: Below this a product of whole numbers is exact in doubles.
 _EXACT = 1 << 20
 _HIT = "query_id long, query_key long, vec_id long, score long"
@@ -184,40 +189,124 @@ def _usable(vector: Column) -> Column:
     return vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
+def _nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    half = (centres**2).sum(axis=1) / 2
+    return np.concatenate([np.zeros(0, np.int64), *(np.argmin(half - points[at:at + 2048] @ centres.T, axis=1)
+                                                    for at in range(0, len(points), 2048))])
+
+
+def _centres(points: DataFrame, cells: int, scale: float) -> np.ndarray:
+    """Means of the parts of a sample; all have the length of its first vector."""
+    size = points.select(F.size("vector")).first()[0]
+    drawn = (points.where(F.size("vector") == size).select("vector", F.xxhash64("vec_id", "vector", F.lit(1)).alias("draw"))
+             .orderBy("draw").limit(min(cells * SAMPLE, max(cells, SAMPLE_SIZE // max(1, size)))))
+    sample = np.array(_matrix(drawn.select("vector").toArrow()["vector"], scale)).reshape(-1, size)
+    centres = sample[:cells].copy()
+    for _ in range(3):
+        home = _nearest(sample, centres)
+        counts, sums = np.bincount(home, minlength=len(centres)), np.zeros_like(centres)
+        np.add.at(sums, home, sample)
+        centres[counts > 0] = sums[counts > 0] / counts[counts > 0, None]
+    return centres
+
+
+def _placed(centres: np.ndarray, scale: float):
+    """Each vector with its cell and its distance from the centre; cell -1 is for vectors of another length."""
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = _matrix(batch.column(1), scale)
+            own = np.flatnonzero([len(r) == centres.shape[1] for r in rows])
+            points = np.array([rows[n] for n in own]).reshape(len(own), centres.shape[1])
+            cell, apart = np.full(len(rows), -1), np.full(len(rows), np.inf)
+            cell[own] = _nearest(points, centres)
+            apart[own] = np.sqrt(((points - centres[cell[own]])**2).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(apart)],
+                                             [*batch.schema.names, "cell", "apart"])
+    return place
+
+
+def _reached(centres: np.ndarray, radii: np.ndarray, slices: np.ndarray, others: int, scale: float):
+    """Each query once per shard, but its own, whose ball reaches the query's k-th score; ``others`` shards hold other lengths."""
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lengths = np.sqrt((centres**2).sum(axis=1))
+        first = np.cumsum(slices) - slices
+        shard_cell = np.repeat(np.arange(len(slices)), slices)
+        shard_slice = np.arange(len(shard_cell)) - first[shard_cell]
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                queries, cell, slice_, least = _matrix(part.column("vector"), scale), *(
+                    part.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "slice", "least"))
+                rows, cells, places = [], [], []
+                for n, query in enumerate(queries):
+                    if cell[n] < 0:
+                        found = np.arange(others)
+                        found = found[found != slice_[n]]
+                        cells.append(np.full(len(found), -1))
+                        places.append(found)
+                    else:
+                        own = np.sqrt((query**2).sum())
+                        bound = centres @ query + own * radii + 1e-9 * own * (radii + lengths) + 1e-3
+                        found = np.flatnonzero(~(bound < least[n])[shard_cell])  # no score so far reaches everything
+                        found = found[(shard_cell[found] != cell[n]) | (shard_slice[found] != slice_[n])]
+                        cells.append(shard_cell[found])
+                        places.append(shard_slice[found])
+                    rows.append(np.full(len(found), n))
+                chosen = pa.array(np.concatenate([np.zeros(0, np.int64), *rows]))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(c).take(chosen) for c in ("query_id", "query_key", "vector", "least")]
+                    + [pa.array(np.concatenate([np.zeros(0), *x]).astype(np.int32)) for x in (cells, places)],
+                    ["query_id", "query_key", "vector", "least", "cell", "slice"])
+    return reach
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024.0, id_column: str = "vec_id",
           vector_column: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the ``k`` highest inner products of each query's row with all others."""
     points = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).alias("vector"),
                             is_query.alias("is_query")).where(F.col("vec_id").isNotNull() & _usable(F.col("vector")))
-    counts = points.agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("is_query"), 1)).alias("queries")).first()
+    rows = points.count()
+    if not rows:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     partitions = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shards = max(1, math.ceil(counts["rows"] / SHARD), min(2 * partitions, math.ceil(counts["rows"] / 1024)))
-    groups = max(1, math.ceil(counts["queries"] / QUERY_BLOCK))
-    # rows of one id and vector meet as counts, and an id's vectors spread over the shards
-    points = stored(
+    cells = min(CELLS, max(1, math.ceil(rows / SHARD), min(2 * partitions, math.ceil(rows / 1024))))
+    centres = _centres(points, cells, scale)
+    kind = points.schema["vector"].dataType.simpleString()
+    # rows of one id and vector meet as counts
+    placed = stored(
         points.groupBy("vec_id", "vector").agg(F.max("is_query").alias("is_query"), F.count(F.lit(1)).alias("n"))
         .withColumn("n", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int")))).drop("n")
-        .withColumn("shard", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(shards))), "points")
-    asked = stored(
-        points.where("is_query").withColumn("query_key", F.xxhash64("vector"))
-        .dropDuplicates(["vec_id", "query_key"])
-        .select(F.col("vec_id").alias("query_id"), "query_key", "vector", F.col("shard").alias("home"),
-                F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(groups)).alias("block")),
-        "queries")
-    dealt = points.select("vec_id", "vector", "shard",
-                          F.expr(f"explode(sequence(0L, {groups - 1}L))").alias("block")).groupBy("shard", "block")
-
-    def hits(queries: DataFrame) -> DataFrame:
-        return dealt.cogroup(queries.groupBy("shard", "block")).applyInArrow(
+        .mapInArrow(_placed(centres, scale), f"vec_id long, vector {kind}, is_query boolean, cell int, apart double"), "points")
+    radii, slices, others = np.full(len(centres), -np.inf), np.zeros(len(centres), np.int64), 0
+    for row in placed.groupBy("cell").agg(F.max("apart").alias("radius"), F.count(F.lit(1)).alias("n")).collect():  # one row per cell
+        if row["cell"] < 0:
+            others = math.ceil(row["n"] / SHARD)
+        else:
+            radii[row["cell"]], slices[row["cell"]] = row["radius"], math.ceil(row["n"] / SHARD)
+    radii[slices == 0] = 0.0
+    cuts = F.broadcast(vectors.sparkSession.createDataFrame(
+        [(-1, max(1, others)), *((n, max(1, int(x))) for n, x in enumerate(slices))], "cell int, slices int"))
+    dealt = placed.join(cuts, "cell").withColumn("slice", F.pmod(F.xxhash64("vec_id", "vector"), F.col("slices")).cast("int"))
+    asked = stored(dealt.where("is_query").withColumn("query_key", F.xxhash64("vector")).dropDuplicates(["vec_id", "query_key"])
+                   .select(F.col("vec_id").alias("query_id"), "query_key", "vector", "cell", "slice"), "queries")
+    shard = ["cell", "slice"]
+
+    def hits(pairs: DataFrame) -> DataFrame:
+        blocks = pairs.groupBy(*shard).agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("blocks"))
+        held = (dealt.select("vec_id", "vector", *shard).join(blocks, shard)
+                .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+                .select(*(F.col(c).alias(c) for c in ("vec_id", "vector", *shard, "block"))))
+        asks = pairs.join(blocks, shard).withColumn(
+            "block", F.pmod(F.xxhash64("query_id", "query_key"), F.col("blocks")).cast("int"))
+        return held.groupBy(*shard, "block").cogroup(asks.groupBy(*shard, "block")).applyInArrow(
             lambda p, q: _group(p, q, k, scale), _HIT)
 
-    home = stored(hits(asked.select("*", F.col("home").alias("shard"), F.lit(None).cast("long").alias("least"))),
-                  "home-hits")
+    home = stored(hits(asked.withColumn("least", F.lit(None).cast("double"))), "home-hits")
     least = home.groupBy("query_id", "query_key").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
     told = asked.join(least, ["query_id", "query_key"], "left").withColumn(
-        "least", F.when(F.col("n") >= k, F.col("least")))
-    away = hits(told.withColumn("shard", F.expr(f"explode(sequence(0L, {shards - 1}L))"))
-                .where("shard <> home"))
+        "least", F.when(F.col("n") >= k, F.col("least").cast("double"))).drop("n")
+    reached = stored(told.mapInArrow(_reached(centres, radii, slices, others, scale),
+                                     f"query_id long, query_key long, vector {kind}, least double, cell int, slice int"), "asks")
     best = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
-    return (home.unionByName(away).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return (home.unionByName(hits(reached)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

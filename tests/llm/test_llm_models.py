@@ -195,6 +195,28 @@ def test_search(spark, monkeypatch):
     assert ball_tree.top_k(frame.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+@pytest.mark.parametrize("shard", [16, 100])
+def test_search_leaves_out_cells_and_cuts_large_ones(spark, monkeypatch, shard):
+    """Clustered vectors: many cells, one of them with most rows, and queries that reach few of them."""
+    monkeypatch.setattr(ball_tree, "SHARD", shard)
+    asked, reached = [], ball_tree._reached
+
+    def counted(centres, radii, slices, others, scale):
+        asked.append(int(slices.sum()))
+        return reached(centres, radii, slices, others, scale)
+    monkeypatch.setattr(ball_tree, "_reached", counted)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(30, 8)) * 4
+    at = np.where(rng.random(1500) < 0.4, 0, rng.integers(0, 30, 1500))
+    rows = [(k, [float(x) for x in centres[c] + rng.normal(0, 0.05, 8)]) for k, c in enumerate(at)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    from pyspark.sql import functions as F
+    got = ball_tree.top_k(frame, F.col("vec_id") % 50 == 0, k=5).collect()
+    stored = [(n, [float(np.float32(x)) for x in v]) for n, v in rows]
+    assert sorted(tuple(r) for r in got) == brute_top(stored, lambda n: n % 50 == 0, 5)
+    assert asked[0] > 1500 // shard
+
+
 def test_search_for_a_row_repeated_more_than_k_times(spark):
     rng = np.random.default_rng(6)
     rows = [(k, [float(x) for x in rng.normal(size=4)]) for k in range(300)]
