@@ -27,6 +27,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from reviewloom.session import stored
+
 TREE = ("domain", "lang", "source")
 DEFAULT_WEIGHT = 1
 #: Slices of digests per shuffle partition.
@@ -62,15 +64,17 @@ def budgets(leaves: DataFrame, total: Column, weights: dict[str, dict[str, int]]
 
     ``total`` may use ``all_tokens``, the tokens of all leaves.
     """
-    able = leaves.withColumns({"capacity": F.col("tokens") * epochs, "root": F.lit(0)})
+    # tables of names are written, so that each level reads the one above and does not compute it again
+    able = stored(leaves.withColumns({"capacity": F.col("tokens") * epochs, "root": F.lit(0)}), "leaves")
     sums = [F.sum("capacity").cast("double").alias("capacity"), F.sum("tokens").alias("all_tokens")]
-    parent = able.groupBy("root").agg(*sums).select("root", F.least(total.cast("double"), F.col("capacity")).alias("budget"))
+    parent = stored(able.groupBy("root").agg(*sums).select(
+        "root", F.least(total.cast("double"), F.col("capacity")).alias("budget")), "root")
     for depth, name in enumerate(tree):
         above, here = ["root", *tree[:depth]], ["root", *tree[:depth + 1]]
         nodes = able.groupBy(*here).agg(*sums).withColumn("weight", _weight(name, weights.get(name, {})))
         levels = _levels(nodes.join(parent, above), above)
-        parent = nodes.join(levels, above).select(
-            *here, F.least("capacity", F.col("level") * F.col("weight")).alias("budget"))
+        parent = stored(nodes.join(levels, above).select(
+            *here, F.least("capacity", F.col("level") * F.col("weight")).alias("budget")), "budgets")
     return parent.drop("root")
 
 
@@ -118,7 +122,8 @@ def select_prefixes(docs: DataFrame, weights: dict[str, dict[str, int]], share:
     places = {"domain": domain_of(F.col("source"))} if places is None else places
     # rows of one id and length are one row with their number, so an id that repeats fills no slice
     rows = _rows(docs, tree, places, id_column, text_column).groupBy("doc_id", *tree, "tokens").agg(F.count(F.lit(1)).alias("copies"))
-    leaves = rows.groupBy(*tree).agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.count(F.lit(1)).alias("rows"))
+    leaves = stored(rows.groupBy(*tree).agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.count(F.lit(1)).alias("rows")),
+                    "leaf-sizes")
     given = budgets(leaves, F.floor(F.col("all_tokens") * share), weights, epochs, tree)
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     count = max(1, docs.count())
