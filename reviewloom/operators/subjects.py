@@ -175,6 +175,18 @@ def _holds(word: Column, parts) -> Column:
 
 
 # --- outcome per message ----------------------------------------------------
+def _with_subject(rows: DataFrame, facts: DataFrame, text: Column) -> DataFrame:
+    """Add the facts of each row's ``subject_pos``, NULL where there are none.
+
+    A list of subjects takes far more room in memory than its files tell, so it is never broadcast. Rows without a
+    subject must not meet in one task.
+    """
+    none = F.concat(F.lit("\0"), F.pmod(F.xxhash64(text), F.lit(1 << 16)))
+    keyed = rows.withColumn("__subject", F.coalesce(F.col("subject_pos").cast("string"), none))
+    known = facts.withColumn("__subject", F.col("subject_pos").cast("string")).drop("subject_pos")
+    return keyed.join(known.hint("merge"), "__subject", "left").drop("__subject")
+
+
 def resolve_messages(messages: DataFrame, subjects: DataFrame, id_col: str = "msg_id", text_col: str = "text",
                      categories=CATEGORY_WORDS) -> DataFrame:
     """Detected category, extracted name, found subject and its labels per message."""
@@ -186,7 +198,7 @@ def resolve_messages(messages: DataFrame, subjects: DataFrame, id_col: str = "ms
     chosen = keyed.withColumn("subject_pos", F.coalesce("named_pos", "category_pos"))
     facts = subjects.select(F.col("pos").alias("subject_pos"), F.col("name").alias("found_subject_name"),
                             F.col("category").alias("subject_category"))
-    joined = chosen.join(facts, "subject_pos", "left")
+    joined = _with_subject(chosen, facts, F.col(text_col))
     found = F.col("found_subject_name").isNotNull()
     return joined.select(
         *[F.col(c) for c in messages.columns],
@@ -199,9 +211,11 @@ def resolve_messages(messages: DataFrame, subjects: DataFrame, id_col: str = "ms
 
 
 def subject_prompts(resolved: DataFrame, subjects: DataFrame, text_col: str = "text") -> DataFrame:
-    """Prompt per message, with the subject's details where one was found."""
-    details = subjects.select(F.col("pos").alias("subject_pos"), markdown().alias("details"))
-    joined = resolved.join(details, "subject_pos", "left")
+    """Prompt per message, with the subject's details where one was found; only these are written out."""
+    rows = resolved.select("subject_pos", F.struct("*").alias("__message"))
+    met = _with_subject(rows, subjects.withColumnRenamed("pos", "subject_pos"), F.col("__message")[text_col])
+    details = F.when(F.col("__message.found_subject_name").isNotNull(), markdown())
+    joined = met.select("__message.*", details.alias("details"))
     system, question = F.lit(PROMPT_SUBJECT_SYSTEM), F.col(text_col)
     with_details = fill_template(PROMPT_SUBJECT_FOUND, system=system, name=F.col("found_subject_name"),
                                  details=F.col("details"), question=question)

@@ -138,6 +138,18 @@ def test_categories_and_outcomes(spark):
     assert [c for c, _ in CATEGORY_WORDS][0] == "테마파크"
 
 
+def test_a_list_of_subjects_is_never_broadcast(spark, tmp_path):
+    """Its files say little of its size in memory: rows of long lists would all lie in the driver."""
+    subject_table(spark, ["Ritz", "남산"], ["호텔", "관광지"]).write.parquet(f"{tmp_path}/subjects")
+    table = spark.read.parquet(f"{tmp_path}/subjects")
+    df = spark.createDataFrame([(0, "남산 어때"), (1, "안녕"), (2, None)], "msg_id int, text string")
+    prompts = subjects.subject_prompts(subjects.resolve_messages(df, table), table)
+    plan = prompts._jdf.queryExecution().sparkPlan().toString()
+    assert "Join [__subject" in plan and "BroadcastHashJoin [__subject" not in plan
+    got = {r.msg_id: (r.found_subject_name, "## 📍" in r.prompt) for r in prompts.collect()}
+    assert got == {0: ("남산", True), 1: (None, False), 2: (None, False)}
+
+
 # --- nested records ---------------------------------------------------------
 RECORD = {
     "name": "Harbour Park", "category": "park", "location": "Pier 1",
