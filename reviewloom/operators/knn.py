@@ -29,8 +29,11 @@ QUERY_BYTES = 64 * 1024 * 1024
 QUERY_TILE = 256
 VECTOR_TILE = 8192
 ROUNDING_MARGIN = 2 * 10.0 ** -SCORE_DECIMALS
-#: Queries that one task holds against a slice of a cell, and how many times more cells each round may visit.
-ASK_ROWS, STEP = 8192, 4
+#: Bytes of queries, as doubles, that one task holds against a slice of neighbouring cells, and bytes of the vectors
+#: in the slice; a ``SHARE``-th of all, but ``LEAST_ROWS``, if that is less.
+ASK_BYTES, PART_BYTES, SHARE, LEAST_ROWS = 64 * 1024 * 1024, 32 * 1024 * 1024, 16, 4096
+#: How many times more cells each round may visit, and the rows of a batch that leaves a task.
+STEP, OUT_ROWS = 16, 4096
 _HITS = "query_id long, vec_id long, score double"
 
 
@@ -55,13 +58,18 @@ class _TopK:
             for number, tile in enumerate(self.tiles):
                 self._add_tile(number, tile, vec_ids[piece], vectors[piece])
 
-    def _add_tile(self, number: int, tile: slice, vec_ids: np.ndarray, vectors: np.ndarray) -> None:
+    def _add_tile(self, number: int, tile: slice, vec_ids: np.ndarray, vectors: np.ndarray,
+                  allowed: np.ndarray | None = None) -> None:
+        """``allowed`` tells which pairs of query and vector count, all of them if it is None."""
         scores = self.queries[tile] @ vectors.T
+        if allowed is not None:
+            scores[~allowed] = -np.inf
         cut = self.floor[tile]
         if np.isneginf(cut).any() and scores.shape[1] > self.k:
             cut = np.maximum(cut, np.partition(scores, -self.k, axis=1)[:, -self.k])
         # the margin keeps every score that rounds up to the cut; only those kept are rounded
-        row, col = np.nonzero(scores >= cut[:, None] - ROUNDING_MARGIN)
+        meets = scores >= cut[:, None] - ROUNDING_MARGIN
+        row, col = np.nonzero(meets if allowed is None else meets & allowed)
         old_row, old_ids, old_score = self.kept[number]
         score = np.concatenate([old_score, np.round(scores[row, col], SCORE_DECIMALS) + 0.0])
         row = np.concatenate([old_row, row])
@@ -129,62 +137,130 @@ def _ranked(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def search_cells(divided: Divided, queries: DataFrame, k: int, ask_rows: int = ASK_ROWS) -> Found:
+class _Parts(NamedTuple):
+    """Cells side by side in parts of neighbours: ``order`` lists the cells by part, ``first`` tells where each
+    part begins in it."""
+    order: np.ndarray
+    first: np.ndarray
+
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each cell its part and its place in the part."""
+        ends = np.append(self.first[1:], len(self.order))
+        part, place = np.empty(len(self.order), np.int64), np.empty(len(self.order), np.int64)
+        part[self.order] = np.repeat(np.arange(len(self.first)), ends - self.first)
+        place[self.order] = np.arange(len(self.order)) - np.repeat(self.first, ends - self.first)
+        return part, place
+
+
+def _parts(divided: Divided, part_rows: int) -> _Parts:
+    """Parts of at most ``part_rows`` rows, or of a single cell; neighbours along the widest spread of the centres."""
+    apart = divided.centres - divided.centres.mean(axis=0)
+    widest = np.linalg.eigh(apart.T @ apart)[1][:, -1]
+    order = np.argsort(apart @ widest, kind="stable")
+    first, held = [0], 0
+    for at, cell in enumerate(order):
+        if at > first[-1] and held + divided.rows[cell] > part_rows:
+            first.append(at)
+            held = 0
+        held += divided.rows[cell]
+    return _Parts(order, np.array(first))
+
+
+def _bounded(bytes_: int, length: int, rows: int) -> int:
+    """Rows of vectors in so many bytes, but only a share of all."""
+    return max(1, min(bytes_ // (8 * max(length, 1)), max(LEAST_ROWS, -(-rows // SHARE))))
+
+
+def search_cells(divided: Divided, queries: DataFrame, k: int, ask_rows: int | None = None) -> Found:
     """The ``k`` best vectors of each query, cell by cell; all queries have the length of the vectors.
 
     In each round a query meets the next cells in order of its bounds, as long as they reach its k-th
-    score so far; no query is left when a round asks for no cell. A cell's rows are cut into slices and its
+    score so far; no query is left when a round asks for no cell. A query travels once a round to each part of
+    neighbouring cells, with a bit for every cell in it that it meets. A part's rows are cut into slices and its
     queries into blocks of bounded size.
     """
     spark = queries.sparkSession
     asked = stored(queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding"), "asked")
     kind = asked.schema["embedding"].dataType.simpleString()
-    shared = spark.sparkContext.broadcast((divided.centres, divided.radii, divided.rows))
     total, filled = asked.count(), int((divided.rows > 0).sum())
+    best, scored, first, last = spark.createDataFrame([], _HITS + ", rank int"), 0, 0, 1
+    if not filled:
+        return Found(best, 0, 0)
+    length = divided.centres.shape[1]
+    part_rows = _bounded(PART_BYTES, length, int(divided.rows.sum()))
+    ask_rows = ask_rows or _bounded(ASK_BYTES, length, total)
+    parts = _parts(divided, part_rows)
+    part_of, place_of = parts.places()
+    held = np.bincount(part_of, divided.rows, len(parts.first))
+    shared = spark.sparkContext.broadcast((divided.centres, divided.radii, divided.rows, parts))
 
     def next_cells(first: int, last: int):
         def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            cells = Divided(None, *shared.value)
+            *cells, parts = shared.value
+            cells = Divided(None, *cells)
+            ends = np.append(parts.first[1:], len(parts.order))
             for batch in batches:
                 for at in range(0, len(batch), QUERY_TILE):
-                    part = batch.slice(at, QUERY_TILE)
-                    bound = cells.bounds(matrix(part.column(1)))
+                    tile = batch.slice(at, QUERY_TILE)
+                    bound = cells.bounds(matrix(tile.column(1)))
                     order = np.argsort(-bound, axis=1, kind="stable")[:, first:last]
-                    floor = part.column(2).to_numpy(zero_copy_only=False)
+                    floor = tile.column(2).to_numpy(zero_copy_only=False)
                     reach = np.take_along_axis(bound, order, axis=1) >= np.nan_to_num(floor, nan=-np.inf)[:, None] - ROUNDING_MARGIN
-                    row, col = np.nonzero(reach & (cells.rows[order] > 0))
-                    chosen = pa.array(row)
-                    yield pa.record_batch([part.column(0).take(chosen), part.column(1).take(chosen), pa.array(order[row, col].astype(np.int32))],
-                                          names=["query_id", "embedding", "cell"])
+                    meets = np.zeros(bound.shape, bool)
+                    np.put_along_axis(meets, order, reach & (cells.rows[order] > 0), axis=1)
+                    meets = meets[:, parts.order]
+                    row, part = np.nonzero(np.logical_or.reduceat(meets, parts.first, axis=1))
+                    rows = np.add.reduceat(meets * cells.rows[parts.order], parts.first, axis=1)[row, part]
+                    bits = [np.packbits(meets[:, a:b], axis=1) for a, b in zip(parts.first, ends)]
+                    for begin in range(0, len(row), OUT_ROWS):  # whole vectors go out, so a few at a time
+                        here = slice(begin, begin + OUT_ROWS)
+                        chosen = pa.array(row[here])
+                        yield pa.record_batch(
+                            [tile.column(0).take(chosen), tile.column(1).take(chosen), pa.array(part[here].astype(np.int32)),
+                             pa.array([bits[p][r].tobytes() for r, p in zip(row[here], part[here])], pa.binary()), pa.array(rows[here])],
+                            names=["query_id", "embedding", "part", "cells", "rows"])
         return choose
 
     def score(points: pa.Table, asks: pa.Table) -> pa.Table:
         if not len(points) or not len(asks):
             return _TopK(np.empty(0, "int64"), np.empty((0, 1)), k).hits()
-        best = _TopK(_ids(asks["query_id"]), matrix(asks["embedding"]), k)
-        best.add(_ids(points["vec_id"]), matrix(points["embedding"]))
+        bits = np.frombuffer(b"".join(asks["cells"].to_pylist()), np.uint8).reshape(len(asks), -1)
+        alike = np.lexsort(bits.T[::-1])  # queries that meet the same cells side by side
+        bits = bits[alike]
+        best = _TopK(_ids(asks["query_id"])[alike], matrix(asks["embedding"])[alike], k)
+        place, vec_ids, vectors = _ids(points["place"]), _ids(points["vec_id"]), matrix(points["embedding"])
+        for number, tile in enumerate(best.tiles):
+            meets = np.unpackbits(bits[tile], axis=1).astype(bool)
+            some = meets.any(axis=0)
+            every = meets[:, some].all()
+            chosen = np.flatnonzero(some[place])
+            for start in range(0, len(chosen), VECTOR_TILE):
+                piece = chosen[start:start + VECTOR_TILE]
+                best._add_tile(number, tile, vec_ids[piece], vectors[piece], None if every else meets[:, place[piece]])
         return best.hits()
 
-    best, scored, first, last = spark.createDataFrame([], _HITS + ", rank int"), 0, 0, 1
     while first < filled:
         floors = best.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
         pairs = stored(asked.join(floors, "query_id", "left").select("query_id", "embedding", "floor").mapInArrow(
-            next_cells(first, last), f"query_id long, embedding {kind}, cell int"), "asks")
-        asks = {r["cell"]: r["count"] for r in pairs.groupBy("cell").count().collect()}  # one row per cell at most
+            next_cells(first, last), f"query_id long, embedding {kind}, part int, cells binary, rows long"), "asks")
+        asks = pairs.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows")).collect()  # one row per part at most
         if not asks:
             break
+        cut = {r["part"]: (int(-(-held[r["part"]] // part_rows)), -(-r["n"] // ask_rows)) for r in asks}
         cuts = F.broadcast(spark.createDataFrame(
-            [(c, int(-(-divided.rows[c] // VECTOR_TILE)), -(-n // ask_rows)) for c, n in asks.items()], "cell int, slices int, blocks int"))
+            [(int(c), int(p), int(at), *cut[p]) for c, (p, at) in enumerate(zip(part_of, place_of)) if p in cut],
+            "cell int, part int, place int, slices int, blocks int"))
+        part_cuts = F.broadcast(spark.createDataFrame([(p, *c) for p, c in cut.items()], "part int, slices int, blocks int"))
         points = divided.points.join(cuts, "cell").select(
-            "vec_id", "embedding", "cell", F.pmod(F.xxhash64("vec_id"), "slices").cast("int").alias("slice"),
+            "vec_id", "embedding", "part", "place", F.pmod(F.xxhash64("vec_id"), "slices").cast("int").alias("slice"),
             F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-        blocks = pairs.join(cuts, "cell").select(
-            "query_id", "embedding", "cell", F.pmod(F.xxhash64("query_id"), "blocks").cast("int").alias("block"),
+        blocks = pairs.join(part_cuts, "part").select(
+            "query_id", "embedding", "cells", "part", F.pmod(F.xxhash64("query_id"), "blocks").cast("int").alias("block"),
             F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
-        key = ["cell", "slice", "block"]
+        key = ["part", "slice", "block"]
         hits = points.groupBy(*key).cogroup(blocks.groupBy(*key)).applyInArrow(score, _HITS)
         best = stored(_ranked(best.drop("rank").unionByName(hits), k), "best")
-        scored += sum(int(divided.rows[c]) * n for c, n in asks.items())
+        scored += sum(r["rows"] for r in asks)
         first, last = last, last * STEP
     return Found(best, scored, total * int(divided.rows.sum()))
 

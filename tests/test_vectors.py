@@ -89,6 +89,30 @@ def test_large_cells_are_searched_in_slices(spark, monkeypatch):
     assert found(knn.search_cells(cells.divide(vectors, 8, 300), queries, 5, 10).hits) == brute(v, w, 5)
 
 
+@pytest.mark.parametrize("part_rows, rounds", [(4096, 4), (50, 16), (7, 2)])
+def test_queries_travel_once_a_round_to_a_part_of_cells(spark, monkeypatch, part_rows, rounds):
+    """What is sent are queries by parts of neighbouring cells, not by cells."""
+    sent, write = [], knn.stored
+
+    def kept(df, purpose):
+        out = write(df, purpose)
+        if purpose == "asks":
+            sent.append(out.groupBy("query_id", "part").count())
+        return out
+
+    monkeypatch.setattr(knn, "stored", kept)
+    monkeypatch.setattr(knn, "STEP", rounds)
+    monkeypatch.setattr(knn, "PART_BYTES", 8 * 8 * part_rows)
+    monkeypatch.setattr(knn, "ASK_BYTES", 8 * 8 * 10)
+    monkeypatch.setattr(knn, "OUT_ROWS", 9)
+    v, w, vectors, queries = clustered(spark)
+    divided = cells.divide(vectors, 8, 10)
+    got = knn.search_cells(divided, queries, 5)
+    assert found(got.hits) == brute(v, w, 5) and got.scored <= got.possible
+    assert all(r["count"] == 1 for part in sent for r in part.collect())
+    assert len(knn._parts(divided, 4096).first) == 1 and len(knn._parts(divided, 50).first) > 3
+
+
 @pytest.mark.parametrize("broadcast_bytes", [knn.QUERY_BYTES, 0])
 def test_bad_vectors_and_other_lengths_change_no_hit(spark, broadcast_bytes):
     """NaN, infinity and vectors of a second length, among vectors and queries."""
