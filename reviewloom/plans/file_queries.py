@@ -49,7 +49,7 @@ def collection_first_copies(spark, folder):
     rows = raw.withColumn("_id", F.concat(F.lit("x"), "doc_id")).withColumn(
         "part", F.when(F.col("doc_id") < 10, "a").when(F.col("doc_id") < 100, "b").otherwise("c"))
     for part in ("a", "b", "c"):
-        (rows.filter(F.col("part") == part).repartitionByRange(2, "doc_id").sortWithinPartitions("doc_id")
+        (rows.filter(F.col("part") == part).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
          .select("_id", "rating", "date", "content").write.json(f"{path}/{part}"))
     read = source.read_collection(spark, f"{path}/*", "kakaomap")
     return cleaning.keep_first(read, ["site", "content"], ["ingest_seq"])
