@@ -125,10 +125,10 @@ def stream_clean_batches(spark, folder):
     """The same from files that arrive last ones first, with copies across them: earlier copies replace later ones."""
     sink, checkpoint = shared_folder(spark, "clean-sink"), shared_folder(spark, "clean-progress")
     arrived, documents = shared_folder(spark, "arrived"), table(spark, folder, "documents")
-    for part in (2, 0, 1):
-        (documents.where(F.pmod("doc_id", F.lit(3)) == part).coalesce(1).write.mode("append").parquet(arrived))
-    stream = spark.readStream.schema(documents.schema).option("maxFilesPerTrigger", 1).parquet(arrived)
-    clean_stream.start_cleaning(derived.lines(stream), sink, checkpoint, derived.AS_OF).awaitTermination()
+    for part in (2, 0, 1):  # what arrives between two starts is one micro-batch, in any number of files
+        documents.where(F.pmod("doc_id", F.lit(3)) == part).write.mode("append").parquet(arrived)
+        stream = spark.readStream.schema(documents.schema).parquet(arrived)
+        clean_stream.start_cleaning(derived.lines(stream), sink, checkpoint, derived.AS_OF).awaitTermination()
     return review_queries.shown(clean_stream.read_cleaned(spark, sink))
 
 
