@@ -78,7 +78,7 @@ def delete_present(table: DataFrame, requests: DataFrame,
 
 
 # --- ordered batches of mixed changes ---------------------------------------
-def _history(table: DataFrame, changes: DataFrame) -> DataFrame:
+def history(table: DataFrame, changes: DataFrame) -> DataFrame:
     """Every change with the state of its key before it.
 
     Stored rows take part as changes that come first. What a key holds depends
@@ -136,10 +136,13 @@ def apply_changes(table: DataFrame, changes: DataFrame) -> tuple[DataFrame, Data
     """Apply changes in ``seq`` order: the table after them and one outcome per change.
 
     Both results come from one plan and nothing is written; a caller who needs
-    both can store the history first.
+    both can store the history first and read them from it.
     """
-    events = _history(table, changes)
+    return from_history(history(table, changes))
 
+
+def from_history(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The table after all changes of a history, and one outcome per change."""
     def last_set(column: str) -> Column:
         return F.max_by(F.col(column), F.when(F.col(column).isNotNull(), F.col("seq")))
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from reviewloom.operators.keyed import apply_changes
+from reviewloom.operators.keyed import from_history, history
 from reviewloom.schemas import USERS
 from reviewloom.session import stored
 from reviewloom.sources.folders import numbered_folders
@@ -81,7 +81,7 @@ def apply_batch(changes: DataFrame, path: str, number: int) -> DataFrame:
     changes = stored(changes.withColumn("bucket", _bucket(F.col("email"), buckets)), "changes")
     touched = sorted(r["bucket"] for r in changes.select("bucket").distinct().collect())  # at most one row per bucket
     old = _read(spark, path, {b: current[b]["version"] for b in touched if current[b]["rows"]})
-    after, judged = apply_changes(old, changes.drop("bucket"))
+    after, judged = from_history(stored(history(old, changes.drop("bucket")), "history"))
     judged.write.mode("overwrite").parquet(outcomes)
     _write(after, path, number, touched, buckets)
     return spark.read.schema(_OUTCOME).parquet(outcomes)
