@@ -10,6 +10,9 @@ every size of dictionary, and the answer depends on a row's text alone.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reviewloom.fixed_values import (AGE_LABELS, CATEGORY_WORDS, NAME_ENDINGS, NAME_STOPWORDS, NO_CATEGORY,
@@ -17,15 +20,20 @@ from reviewloom.fixed_values import (AGE_LABELS, CATEGORY_WORDS, NAME_ENDINGS, N
 from reviewloom.functions.text import contains_any, fill_template, quoted, split_words, trim_space
 
 GRAM = 3
+#: Bits, as a power of two, of the table that tells which runs no word of a dictionary is looked up by.
+RUN_BITS = 16
 TEXT_MAP = "map<string,string>"
 
 
 # --- containment by equi-join -----------------------------------------------
 def _runs(text: Column, size: int) -> Column:
-    """Distinct runs of ``size`` letters of a text."""
-    starts = F.sequence(F.lit(1), F.length(text) - size + 1)
-    return F.when(F.length(text) >= size, F.array_distinct(F.transform(
-        starts, lambda at: F.substr(text, at, F.lit(size))))).otherwise(F.array().cast("array<string>"))
+    """Distinct runs of ``size`` letters of a text, put together letter by letter: to cut one out by its place reads
+    all that stands before it, which takes the square of a long text's length."""
+    letters = runs = F.split(text, "")
+    for later in range(1, size):
+        runs = F.zip_with(runs, F.slice(letters, later + 1, F.length(text)), lambda run, letter: F.concat(run, letter))
+    return F.when(F.length(text) >= size, F.array_distinct(F.slice(runs, 1, F.length(text) - size + 1))).otherwise(
+        F.array().cast("array<string>"))
 
 
 def _short_runs(text: Column) -> Column:
@@ -37,20 +45,38 @@ def _keyed(df: DataFrame, column: str) -> DataFrame:
     return df.withColumns({"key": F.xxhash64(column), "again": F.xxhash64(column, F.lit(1))})
 
 
+def _place(run: Column) -> Column:
+    return F.pmod(F.xxhash64(run), F.lit(1 << RUN_BITS))
+
+
+def _looked_up(keys: DataFrame) -> Callable[[Column], Column]:
+    """A test that every run among the ``keys`` passes, and of other runs as few as a table of fixed size can tell."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(_place(F.col("run")), F.lit(64)).cast("int"))
+    rows = keys.groupBy(F.floor(_place(F.col("run")) / 64).cast("int").alias("at")).agg(F.bit_or(bit).alias("bits")).collect()
+    bits = [0] * (1 << RUN_BITS - 6)
+    for r in rows:
+        bits[r["at"]] = r["bits"]
+    table = F.lit(np.array(bits, np.int64))
+    return lambda run: F.getbit(F.get(table, F.floor(_place(run) / 64).cast("int")), F.pmod(_place(run), F.lit(64)).cast("int")) == 1
+
+
 def _held(texts: DataFrame, words: DataFrame) -> DataFrame:
     """Rows of the keyed ``texts`` joined with those of the distinct ``words`` that they hold.
 
-    Runs and candidates travel with the key. Each text is sent once, to the candidates of its key, and goes
-    no further than the comparison.
+    Runs and candidates travel with the key, and only the runs that words may be looked up by. Each text is sent once,
+    to the candidates of its key, and goes no further than the comparison. Runs take far more room than what they are
+    cut from, so they are dealt out before they are joined: what decides on a broadcast is their own size.
     """
-    grams = words.filter(F.length("word") >= GRAM).select("*", F.explode(_runs(F.col("word"), GRAM)).alias("run"))
+    grams = words.filter(F.length("word") >= GRAM).select(
+        "*", F.explode(_runs(F.col("word"), GRAM)).alias("run")).repartition("run")
     spread = grams.groupBy("run").agg(F.count("*").alias("n"))
     others = [F.any_value(c).alias(c) for c in words.columns if c != "word"]
     rarest = grams.join(spread, "run").groupBy("word").agg(F.min(F.struct("n", "run"))["run"].alias("run"), *others)
     short = words.filter(F.length("word") < GRAM).withColumn("run", F.col("word"))
+    keys = rarest.unionByName(short)
     runs = F.concat(F.array(F.lit("")), _short_runs(F.col("text")), _runs(F.col("text"), GRAM))
-    candidates = (texts.select("key", "again", F.explode(runs).alias("run"))
-                  .join(rarest.unionByName(short), "run").drop("run").distinct())
+    met = texts.select("key", "again", F.explode(runs).alias("run")).filter(_looked_up(keys)(F.col("run")))
+    candidates = met.repartition("run").join(keys, "run").drop("run").distinct()
     return texts.join(candidates, ["key", "again"]).filter(F.contains("text", "word")).drop("text")
 
 

@@ -1,6 +1,7 @@
 import json
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -150,6 +151,31 @@ def test_a_list_of_subjects_is_never_broadcast(spark, tmp_path):
     assert got == {0: ("남산", True), 1: (None, False), 2: (None, False)}
 
 
+def test_runs_are_dealt_out_before_a_broadcast_is_chosen(spark, tmp_path):
+    """Texts take little room, their runs of three letters a hundred times as much."""
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choices("abcdefghij", k=300)) + f" word{n}x" for n in range(50)]
+    words = [(f"word{n}x" + "z" * (n % 40), n) for n in range(3000)]
+    spark.createDataFrame([(t,) for t in texts], "t string").write.parquet(f"{tmp_path}/texts")
+    spark.createDataFrame(words, "word string, pos long").write.parquet(f"{tmp_path}/words")
+    found = subjects.with_first_contained(spark.read.parquet(f"{tmp_path}/texts"), "t",
+                                          spark.read.parquet(f"{tmp_path}/words"), "found")
+    assert {r.t: r.found for r in found.collect()} == {
+        t: min((n for w, n in words if w in t), default=None) for t in texts}
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    sent = re.findall(r"BroadcastExchange(.*?)(?:Exchange|QueryStage|\Z)", plan, re.S)
+    assert not any("Generate explode" in below for below in sent)
+
+
+def test_runs_of_a_long_text(spark):
+    """In time by its length, not by the square of it; letters beyond 16 bits are one letter."""
+    long = spark.range(40_000, 40_001).select(F.concat(F.expr("repeat('한글 문장 ', int(id))"), F.lit("a😀b")).alias("t"))
+    began = time.monotonic()
+    runs = long.select(subjects._runs(F.col("t"), 3).alias("r")).first().r
+    assert time.monotonic() - began < 20
+    assert runs == ["한글 ", "글 문", " 문장", "문장 ", "장 한", " 한글", "장 a", " a😀", "a😀b"]
+
+
 # --- nested records ---------------------------------------------------------
 RECORD = {
     "name": "Harbour Park", "category": "park", "location": "Pier 1",
