@@ -1,3 +1,5 @@
+from html.parser import HTMLParser
+
 from reviewloom.operators.cleaning import distinct_contents, distinct_reviews
 from reviewloom.operators.extract import PAGE_RULES, SITE_RULES, extract_items, extract_reviews, read_page
 from pyspark.sql import functions as F
@@ -68,3 +70,14 @@ def test_broken_markup_and_depth():
     assert read_page("</div><ul class=list_review><li", rules) == []
     deep = "<div>" * 5000 + '<ul class="list_review"><li><span class="txt_date">d</span><p class="desc_review">t'
     assert read_page(deep, rules) == [{"rating": "0", "date": "d", "content": "t"}]
+
+
+def test_a_start_tag_is_taken_apart_once(monkeypatch):
+    """Tags that repeat are known by their text; odd ones are still read by the parser's own rules."""
+    calls, own = [], HTMLParser.parse_starttag
+    monkeypatch.setattr(HTMLParser, "parse_starttag", lambda self, i: calls.append(i) or own(self, i))
+    item = f'<li>{STAR * 3}{OFF}<span class="txt_date">d</span><p class="desc_review">a > b</p></li>'
+    odd = "<LI><span class='figure_star on' x>*</span><span\nclass=txt_date>e</span><P class=\"a>b desc_review\" >c</P></LI>"
+    found = read_page(f'<ul class="list_review">{item * 200}{odd}</ul>', SITE_RULES["kakaomap"])
+    assert found == [{"rating": "3", "date": "d", "content": "a > b"}] * 200 + [{"rating": "1", "date": "e", "content": "c"}]
+    assert len(calls) < 20
