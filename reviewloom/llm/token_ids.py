@@ -22,7 +22,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Entries that a worker keeps of words, and of parts of words.
 WORDS, PARTS = 500_000, 400_000
 #: Words that are looked up together.
-BLOCK_WORDS = 500_000
+BLOCK_WORDS = 100_000
 #: Where lower case, composition and classes of characters leave no doubt.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
