@@ -27,8 +27,10 @@ from reviewloom.session import stored
 
 QUERY_BYTES = 64 * 1024 * 1024
 QUERY_TILE = 256
-VECTOR_TILE = 8192
+VECTOR_TILE = 2048
 ROUNDING_MARGIN = 2 * 10.0 ** -SCORE_DECIMALS
+#: Components up to here are multiplied in single precision first; what products of the smallest ones lose at most.
+MOST_NARROW, TINY_MARGIN = 1e12, 1e-12
 #: Bytes of queries, as doubles, that one task holds against a slice of neighbouring cells, and bytes of the vectors
 #: in the slice; a ``SHARE``-th of all, but ``LEAST_ROWS``, if that is less.
 ASK_BYTES, PART_BYTES, SHARE, LEAST_ROWS = 64 * 1024 * 1024, 32 * 1024 * 1024, 16, 4096
@@ -43,45 +45,92 @@ def _ids(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).astype("int64")
 
 
+def _places(meets: np.ndarray) -> np.ndarray:
+    """Where the few true values of a table lie, counted row by row; eight are looked at together."""
+    flat = np.ascontiguousarray(meets).ravel()
+    whole = len(flat) // 8 * 8
+    eights = np.flatnonzero(flat[:whole].view(np.uint64))
+    near = (eights[:, None] * 8 + np.arange(8)).ravel()
+    return np.concatenate([near[flat[near]], whole + np.flatnonzero(flat[whole:])])
+
+
 class _TopK:
-    """Running top k of each query over the vectors one task has seen."""
+    """Running top k of each query over the vectors one task has seen.
+
+    Products are first made in single precision. What may reach the k-th score by the bound of their error is
+    made again in double precision, so only speed depends on it. ``floor`` is what a query's hits must reach.
+    """
 
-    def __init__(self, query_ids: np.ndarray, queries: np.ndarray, k: int):
+    def __init__(self, query_ids: np.ndarray, queries: np.ndarray, k: int, floor: np.ndarray | None = None):
         self.query_ids, self.queries, self.k = query_ids, queries, k
-        self.floor = np.full(len(query_ids), -np.inf)
+        self.floor = np.full(len(query_ids), -np.inf) if floor is None else floor
+        self.narrow = queries.astype(np.float32) if self._fits(queries) else None
+        self.lengths = np.sqrt((queries**2).sum(axis=1))
         self.tiles = [slice(s, s + QUERY_TILE) for s in range(0, len(query_ids), QUERY_TILE)]
         self.kept = [(np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0)) for _ in self.tiles]
 
+    @staticmethod
+    def _fits(rows: np.ndarray) -> bool:
+        """Whether products in single precision neither overflow nor lose what is small."""
+        return not rows.size or np.abs(rows).max() < MOST_NARROW
+
     def add(self, vec_ids: np.ndarray, vectors: np.ndarray) -> None:
         for start in range(0, len(vec_ids), VECTOR_TILE):
             piece = slice(start, start + VECTOR_TILE)
+            narrow = self._narrow(vectors[piece])
             for number, tile in enumerate(self.tiles):
-                self._add_tile(number, tile, vec_ids[piece], vectors[piece])
+                self._add_tile(number, tile, vec_ids[piece], vectors[piece], narrow)
+
+    def _narrow(self, vectors: np.ndarray) -> tuple[np.ndarray, float] | None:
+        """The vectors in single precision, and the error of a product with a query of length 1 at most."""
+        if self.narrow is None or not self._fits(vectors):
+            return None
+        error = (vectors.shape[1] + 4) * 2.0**-23 * np.sqrt((vectors**2).sum(axis=1).max(initial=0))
+        return vectors.astype(np.float32), float(error)
 
     def _add_tile(self, number: int, tile: slice, vec_ids: np.ndarray, vectors: np.ndarray,
-                  allowed: np.ndarray | None = None) -> None:
-        """``allowed`` tells which pairs of query and vector count, all of them if it is None."""
-        scores = self.queries[tile] @ vectors.T
-        if allowed is not None:
-            scores[~allowed] = -np.inf
+                  narrow: tuple[np.ndarray, float] | None, meets: np.ndarray | None = None,
+                  place: np.ndarray | None = None) -> None:
+        """``meets`` tells which places of vectors each query meets, all of them if it is None."""
+        if narrow is None:
+            scores, margin = self.queries[tile] @ vectors.T, np.full(len(self.queries[tile]), ROUNDING_MARGIN)
+        else:
+            scores = self.narrow[tile] @ narrow[0].T
+            # a k-th score and a score that is compared with it may both be wrong
+            margin = ROUNDING_MARGIN + 2 * narrow[1] * self.lengths[tile] + TINY_MARGIN
         cut = self.floor[tile]
-        if np.isneginf(cut).any() and scores.shape[1] > self.k:
-            cut = np.maximum(cut, np.partition(scores, -self.k, axis=1)[:, -self.k])
+        open_ = np.isneginf(cut)
+        if open_.any() and scores.shape[1] > self.k:
+            first = scores[open_]
+            if meets is not None:
+                first[~meets[open_][:, place]] = -np.inf
+            cut = cut.copy()
+            cut[open_] = np.partition(first, -self.k, axis=1)[:, -self.k]
         # the margin keeps every score that rounds up to the cut; only those kept are rounded
-        meets = scores >= cut[:, None] - ROUNDING_MARGIN
-        row, col = np.nonzero(meets if allowed is None else meets & allowed)
+        low = cut - margin
+        if narrow is not None:
+            low = np.nextafter(low.astype(np.float32), np.float32(-np.inf))
+        row, col = np.divmod(_places(scores >= low[:, None]), scores.shape[1])
+        if meets is not None:
+            allowed = meets[row, place[col]]
+            row, col = row[allowed], col[allowed]
+        if not len(row):
+            return
+        score = scores[row, col] if narrow is None else np.concatenate([
+            np.einsum("nd,nd->n", self.queries[tile][row[at:at + VECTOR_TILE]], vectors[col[at:at + VECTOR_TILE]])
+            for at in range(0, len(row), VECTOR_TILE)])
         old_row, old_ids, old_score = self.kept[number]
-        score = np.concatenate([old_score, np.round(scores[row, col], SCORE_DECIMALS) + 0.0])
+        score = np.concatenate([old_score, np.round(score, SCORE_DECIMALS) + 0.0])
         row = np.concatenate([old_row, row])
         ids = np.concatenate([old_ids, vec_ids[col]])
         order = np.lexsort((ids, -score, row))
         row, ids, score = row[order], ids[order], score[order]
         at = np.arange(len(row))
-        place = at - np.searchsorted(row, row)
-        keep = place < self.k
+        rank = at - np.searchsorted(row, row)
+        keep = rank < self.k
         self.kept[number] = (row[keep], ids[keep], score[keep])
-        full = place == self.k - 1
-        self.floor[tile.start + row[full]] = score[full]
+        full = rank == self.k - 1
+        self.floor[tile.start + row[full]] = np.maximum(self.floor[tile.start + row[full]], score[full])
 
     def hits(self) -> pa.Table:
         parts = [(self.query_ids[tile][row], ids, score)
@@ -216,9 +265,9 @@ def search_cells(divided: Divided, queries: DataFrame, k: int, ask_rows: int | N
                         here = slice(begin, begin + OUT_ROWS)
                         chosen = pa.array(row[here])
                         yield pa.record_batch(
-                            [tile.column(0).take(chosen), tile.column(1).take(chosen), pa.array(part[here].astype(np.int32)),
+                            [tile.column(0).take(chosen), tile.column(1).take(chosen), tile.column(2).take(chosen), pa.array(part[here].astype(np.int32)),
                              pa.array([bits[p][r].tobytes() for r, p in zip(row[here], part[here])], pa.binary()), pa.array(rows[here])],
-                            names=["query_id", "embedding", "part", "cells", "rows"])
+                            names=["query_id", "embedding", "floor", "part", "cells", "rows"])
         return choose
 
     def score(points: pa.Table, asks: pa.Table) -> pa.Table:
@@ -227,22 +276,24 @@ def search_cells(divided: Divided, queries: DataFrame, k: int, ask_rows: int | N
         bits = np.frombuffer(b"".join(asks["cells"].to_pylist()), np.uint8).reshape(len(asks), -1)
         alike = np.lexsort(bits.T[::-1])  # queries that meet the same cells side by side
         bits = bits[alike]
-        best = _TopK(_ids(asks["query_id"])[alike], matrix(asks["embedding"])[alike], k)
+        floor = np.nan_to_num(asks["floor"].to_numpy().astype(float), nan=-np.inf, neginf=-np.inf)[alike]
+        best = _TopK(_ids(asks["query_id"])[alike], matrix(asks["embedding"])[alike], k, floor)
         place, vec_ids, vectors = _ids(points["place"]), _ids(points["vec_id"]), matrix(points["embedding"])
         for number, tile in enumerate(best.tiles):
-            meets = np.unpackbits(bits[tile], axis=1).astype(bool)
+            meets = np.unpackbits(bits[tile], axis=1).view(bool)
             some = meets.any(axis=0)
             every = meets[:, some].all()
             chosen = np.flatnonzero(some[place])
             for start in range(0, len(chosen), VECTOR_TILE):
                 piece = chosen[start:start + VECTOR_TILE]
-                best._add_tile(number, tile, vec_ids[piece], vectors[piece], None if every else meets[:, place[piece]])
+                rows = vectors[piece]
+                best._add_tile(number, tile, vec_ids[piece], rows, best._narrow(rows), None if every else meets, place[piece])
         return best.hits()
 
     while first < filled:
         floors = best.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
         pairs = stored(asked.join(floors, "query_id", "left").select("query_id", "embedding", "floor").mapInArrow(
-            next_cells(first, last), f"query_id long, embedding {kind}, part int, cells binary, rows long"), "asks")
+            next_cells(first, last), f"query_id long, embedding {kind}, floor double, part int, cells binary, rows long"), "asks")
         asks = pairs.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows")).collect()  # one row per part at most
         if not asks:
             break
@@ -255,7 +306,7 @@ def search_cells(divided: Divided, queries: DataFrame, k: int, ask_rows: int | N
             "vec_id", "embedding", "part", "place", F.pmod(F.xxhash64("vec_id"), "slices").cast("int").alias("slice"),
             F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
         blocks = pairs.join(part_cuts, "part").select(
-            "query_id", "embedding", "cells", "part", F.pmod(F.xxhash64("query_id"), "blocks").cast("int").alias("block"),
+            "query_id", "embedding", "floor", "cells", "part", F.pmod(F.xxhash64("query_id"), "blocks").cast("int").alias("block"),
             F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
         key = ["part", "slice", "block"]
         hits = points.groupBy(*key).cogroup(blocks.groupBy(*key)).applyInArrow(score, _HITS)

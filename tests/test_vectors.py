@@ -334,3 +334,28 @@ def test_a_model_sees_each_question_once(spark, tmp_path):
     questions = spark.createDataFrame([(n, f"question {n}") for n in range(20)], "query_id long, question string")
     assert retrieval.search_reviews(index, questions, make).count() == 20
     assert sorted(seen.read_text().split("\n"))[1:] == sorted(f"question {n}" for n in range(20))
+
+
+def test_a_task_hands_on_only_what_reaches_the_score_so_far():
+    v, w = np.eye(4)[[0, 1, 2, 3, 0]], np.array([[1.0, .5, 0, 0], [0, 0, 1.0, .9]])
+    best = knn._TopK(np.arange(2), w, 3, np.array([.5, -np.inf]))
+    best.add(np.arange(5), v)
+    hits = best.hits().to_pydict()
+    assert list(zip(hits["query_id"], hits["vec_id"], hits["score"])) == [
+        (0, 0, 1.0), (0, 4, 1.0), (0, 1, .5), (1, 2, 1.0), (1, 3, .9), (1, 0, 0.0)]
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-3, 300.0, 1e13, 1e200])
+def test_single_precision_decides_no_hit(scale):
+    """Scores that differ less than single precision tells, and components that it does not hold."""
+    rng = np.random.default_rng(5)
+    v = (rng.normal(0, 1, 16) + rng.normal(0, 1e-7, (300, 16))) * scale
+    w = rng.normal(0, 1, (6, 16))
+    best = knn._TopK(np.arange(6), w, 7)
+    for at in range(0, 300, 100):
+        best.add(np.arange(at, at + 100), v[at:at + 100])
+    hits, want = best.hits().to_pydict(), brute(v, w, 7)
+    assert len(hits["score"]) == 42
+    for q in range(6):
+        mine = [s for i, s in zip(hits["query_id"], hits["score"]) if i == q]
+        assert mine == pytest.approx([s for _, s in want[q]], rel=1e-15, abs=0)
