@@ -37,57 +37,86 @@ class WordEncoder:
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.mark = self._whole("0")
+        self.last = self._last_ids()
+
+    def _last_ids(self) -> np.ndarray | None:
+        """Which ids only a part's last piece has, if the vocabulary tells them by a suffix."""
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if not suffix:
+            return None
+        vocabulary = self.tokenizer.get_vocab()
+        last = np.zeros(max(vocabulary.values()) + 1, bool)
+        last[[n for piece, n in vocabulary.items() if piece.endswith(suffix)]] = True
+        return last
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _encode_parts(self, parts: list[str]) -> dict[str, bytes]:
-        """Parts hold no digit unless they are one, so the id of a digit marks their ends."""
+        """Parts are encoded together; where each ends tell its last piece's suffix or else, as parts hold no digit
+        unless they are one, the id of a digit between them."""
         digits = [p for p in parts if len(p) == 1 and p.isnumeric()]
         rest = [p for p in parts if not (len(p) == 1 and p.isnumeric())]
         found = {p: self._whole(p) for p in digits}
-        if rest:
-            ids = np.array(self.tokenizer.encode_batch_fast([" 0 ".join(rest) + " 0"], add_special_tokens=False)[0].ids,
-                           "<u4")
-            ends = np.flatnonzero(ids == int.from_bytes(self.mark, "little"))
-            data, at = ids.tobytes(), 0
-            for part, end in zip(rest, ends.tolist(), strict=True):
-                found[part] = data[4 * at:4 * end]
-                at = end + 1
+        if not rest:
+            return found
+        if self.last is not None:
+            ids = self._ids(" ".join(rest))
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(rest) and ends[-1] == len(ids):
+                data, at = ids.tobytes(), 0
+                for part, end in zip(rest, (4 * ends).tolist()):
+                    found[part] = data[at:end]
+                    at = end
+                return found
+        ids = self._ids(" 0 ".join(rest) + " 0")
+        ends = np.flatnonzero(ids == int.from_bytes(self.mark, "little"))
+        data, at = ids.tobytes(), 0
+        for part, end in zip(rest, ends.tolist(), strict=True):
+            found[part] = data[4 * at:4 * end]
+            at = end + 1
         return found
 
     def _encode_words(self, words: set[bytes]) -> dict[bytes, bytes]:
-        split, found, lacking = {}, {}, set()
+        found, lower, split, wanted = {}, {}, {}, set()
         for word in words:
+            if word.isalpha():  # only of A-Z and a-z: one part
+                lower[word] = word.lower().decode()
+                continue
             text = word.decode("utf-8", "replace")
             if _PLAIN.fullmatch(text) and "<|" not in text:
                 split[word] = own = _SPLIT.findall(text.lower())
-                lacking.update(p for p in own if p not in self.parts)
             else:
                 found[word] = self._whole(text)
-        new = self._encode_parts(list(lacking))
+                continue
+            wanted.update(own)
+        wanted.update(lower.values())
         known = self.parts
+        new = self._encode_parts(list(wanted.difference(known)))
+        full = len(known) >= PARTS
+        known.update(new)
+        found.update(zip(lower, map(known.__getitem__, lower.values())))
         for word, own in split.items():
-            found[word] = b"".join([known[p] if p in known else new[p] for p in own])
-        if len(known) < PARTS:
-            known.update(new)
+            found[word] = b"".join([known[p] for p in own])
+        if full:
+            for part in new:
+                del known[part]
         return found
 
     def encode(self, texts: Iterable[list[bytes]]) -> list[bytes]:
         """The ids of several lists of words."""
-        known, rows, lacking = self.words, [], set()
-        for words in texts:
-            ids = list(map(known.get, words))
-            holes = [k for k, x in enumerate(ids) if x is None] if None in ids else []
-            lacking.update(words[k] for k in holes)
-            rows.append((words, ids, holes))
-        new = self._encode_words(lacking) if lacking else {}
-        for words, ids, holes in rows:
-            for k in holes:
-                ids[k] = new[words[k]]
-        if len(known) < WORDS:
-            known.update(new)
-        return [b"".join(ids) for _, ids, _ in rows]
+        known, texts = self.words, list(texts)
+        new = self._encode_words(set().union(*texts).difference(known))
+        full = len(known) >= WORDS
+        known.update(new)
+        out = [b"".join(map(known.__getitem__, words)) for words in texts]
+        if full:
+            for word in new:
+                del known[word]
+        return out
 
 
 @functools.lru_cache(2)

@@ -196,3 +196,26 @@ def test_water_levels_of_many_siblings(spark, seed):
         middle = (low + high) / 2
         low, high = (middle, high) if np.minimum(tokens, middle * weight).sum() < total else (low, middle)
     assert np.allclose([got[f"s{k}"] for k in range(len(tokens))], np.minimum(tokens, high * weight), rtol=1e-6)
+
+
+def test_words_are_encoded_without_separators_and_alike_when_memory_is_full(monkeypatch):
+    """The ids are the tokenizer's, and nothing is encoded only to tell where a part ends."""
+    from reviewloom.llm import token_ids
+    texts = ["Don't the-cat 's 12x, École! ſ ½² <|endoftext|> 漢字 a", "the dog, the-cat; don't!! Zz9 \x00 é", "", None, "new Words only here"]
+    path, asked = token_ids_path(), []
+    for words, parts in ((token_ids.WORDS, token_ids.PARTS), (0, 0)):
+        monkeypatch.setattr(token_ids, "WORDS", words)
+        monkeypatch.setattr(token_ids, "PARTS", parts)
+        model = token_ids.WordEncoder(path)
+        joined = model._ids
+        monkeypatch.setattr(model, "_ids", lambda text: (asked.append(text), joined(text))[1])
+        for _ in range(2):
+            got = model.encode([(t or "").encode().split() for t in texts])
+            assert got == [b"".join(model._whole(w) for w in (t or "").split()) for t in texts]
+        assert bool(model.words) == bool(model.parts) == bool(words)
+    assert asked and not any(c.isdigit() for text in asked for c in text)
+
+
+def token_ids_path():
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
