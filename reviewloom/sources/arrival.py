@@ -41,7 +41,7 @@ def numbered(placed: DataFrame, name: str, skip: int = 0, keep: tuple[str, ...]
     earlier = Window.partitionBy("__file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     starts = files.select("__file", F.coalesce(F.sum("__n").over(earlier_files), F.lit(0)).alias("__start"))
     offsets = blocks.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).join(starts, "__file")
-    joined = placed.join(offsets.drop("__n"), ["__file", "__block"])
+    joined = placed.hint("merge").join(offsets.drop("__n"), ["__file", "__block"])
     place = F.col("__before") + F.col("__row") - F.col("__low")
     return joined.withColumns({name: F.col("__start") + place - skip, "__skipped": place < skip}).drop(
         *(c for c in (*_PLACE, "__low", "__before", "__start", "__skipped") if c not in keep))

@@ -72,7 +72,8 @@ def _known(segments: DataFrame, first: Column, depth: bool = False) -> DataFrame
     if depth:
         begun = begun.withColumn("__level", F.coalesce(F.sum(
             F.when(F.col("__begins"), F.col("__sum_in")).otherwise(F.col("__sum_out"))).over(_ranges_before()), F.lit(0)))
-    known = both.join(begun.select(*_RANGE, "__begins", "__kind", *(["__level"] if depth else [])), _RANGE).withColumn(
+    # merged: rows of a few numbers look small enough to broadcast, and would then all meet in the one task of the ranges
+    known = both.hint("merge").join(begun.select(*_RANGE, "__begins", "__kind", *(["__level"] if depth else [])), _RANGE).withColumn(
         "__inside", F.when(F.col("__begins"), F.col("__if_in")).otherwise(F.col("__if_out")))
     if depth:
         known = known.withColumn("__depth", F.col("__level") + F.sum(deeper("__inside")).over(_earlier(0)))
@@ -86,14 +87,14 @@ def _joined(segments: DataFrame, separator: str) -> DataFrame:
     """
     placed = segments.withColumn("__part", F.coalesce(F.sum(F.col("__ends").cast("int")).over(_earlier()), F.lit(0)))
     in_order = F.array_sort(F.collect_list(F.struct("__row", "value")))
-    parts = placed.groupBy(*_RANGE, "__part").agg(
-        F.array_join(F.transform(in_order, lambda s: s["value"]), separator).alias("record"), F.max("__ends").alias("__ends"))
+    parts = stored(placed.groupBy(*_RANGE, "__part").agg(
+        F.array_join(F.transform(in_order, lambda s: s["value"]), separator).alias("record"), F.max("__ends").alias("__ends")), "parts")
     # a range's last part may go on in the ranges after it, up to the first part that ends there
     ranges = parts.groupBy(*_RANGE).agg(F.sum(F.col("__ends").cast("int")).alias("__n"))
     began = ranges.withColumns({
         "__from": F.coalesce(F.last(F.when(F.col("__n") > 0, F.struct("__block", "__n")), ignorenulls=True).over(_ranges_before()),
                              F.first(F.struct("__block", F.lit(0).cast("long").alias("__n"))).over(_ranges_before()))})
-    met = parts.join(began, _RANGE)
+    met = parts.hint("merge").join(began, _RANGE)
     reaching = (F.col("__part") == 0) & F.col("__from").isNotNull() | ~F.col("__ends")
     own = met.where(~reaching).select(*_RANGE, F.col("__part").alias("__row"), "record", "__ends")
     begin = F.when((F.col("__part") == 0) & F.col("__from").isNotNull(), F.col("__from")).otherwise(

@@ -265,6 +265,24 @@ def test_one_file_is_read_in_many_tasks(spark, tmp_path, cut_files):
     assert [r.ingest_seq for r in got] == list(range(1000)) and {r.site for r in got} == {"kakaomap"}
 
 
+def test_segments_are_never_broadcast_to_the_task_of_their_ranges(spark, tmp_path, monkeypatch):
+    """Rows of a few numbers look small; broadcast on that, all of them would be sorted by the one task of the ranges."""
+    from reviewloom.schemas import SUBJECT
+    from reviewloom.sources import records
+
+    def planned(df):
+        return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
+
+    plans, write = [], records.stored
+    monkeypatch.setattr(records, "stored", lambda df, purpose: (plans.append(planned(df)), write(df, purpose))[1])
+    for k in range(3):
+        (tmp_path / f"list{k}.json").write_text("[" + ",\n".join(f'{{"name": "n{k * 5 + i} }} x"}}' for i in range(5)) + "]")
+    read = records.read_json_lists(spark, str(tmp_path), SUBJECT, "pos")
+    plans.append(planned(read))
+    assert [r.name for r in read.orderBy("pos").collect()] == [f"n{i} }} x" for i in range(15)]
+    assert sum(plan.count("SortMergeJoin") for plan in plans) >= 3 and not any("BuildLeft" in plan for plan in plans)
+
+
 def test_a_wrong_header_is_an_error(spark, tmp_path):
     (tmp_path / "reviews_kakaomap.csv").write_text("date,rating,content\n2024,5,x\n")
     with pytest.raises(PySparkException, match="header of a CSV file"):
