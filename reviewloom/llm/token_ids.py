@@ -11,6 +11,8 @@ import functools
 import os
 import re
 from collections.abc import Iterable, Iterator
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import regex
@@ -25,6 +27,8 @@ WORDS, PARTS = 500_000, 400_000
 BLOCK_WORDS = 100_000
 #: Where lower case, composition and classes of characters leave no doubt.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+#: Letters and the signs after them, a line each; nothing for a line of another form.
+_SIMPLE = re.compile(r"(?m)^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)|[^\n]*)$")
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 
@@ -80,25 +84,28 @@ class WordEncoder:
             at = end + 1
         return found
 
-    def _encode_words(self, words: set[bytes]) -> dict[bytes, bytes]:
-        found, lower, split, wanted = {}, {}, {}, set()
-        for word in words:
-            if word.isalpha():  # only of A-Z and a-z: one part
-                lower[word] = word.lower().decode()
-                continue
+    def _encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Letters and the signs after them, the form of nearly all words, are taken apart by one search of them all."""
+        found, split = {}, {}
+        cores, signs = zip(*_SIMPLE.findall(b"\n".join(words).decode("utf-8", "replace")))
+        cores = "\n".join(cores).lower().split("\n")
+        if "<|" in "\n".join(signs):
+            cores = ["" if "<|" in sign else core for core, sign in zip(cores, signs)]
+        wanted = {*cores, *signs, ""}
+        wanted.remove("")
+        for word in compress(words, map(not_, cores)):
             text = word.decode("utf-8", "replace")
             if _PLAIN.fullmatch(text) and "<|" not in text:
                 split[word] = own = _SPLIT.findall(text.lower())
+                wanted.update(own)
             else:
                 found[word] = self._whole(text)
-                continue
-            wanted.update(own)
-        wanted.update(lower.values())
         known = self.parts
         new = self._encode_parts(list(wanted.difference(known)))
         full = len(known) >= PARTS
         known.update(new)
-        found.update(zip(lower, map(known.__getitem__, lower.values())))
+        found.update((word, known[core] + known[sign] if sign else known[core])
+                     for word, core, sign in zip(words, cores, signs, strict=True) if core)
         for word, own in split.items():
             found[word] = b"".join([known[p] for p in own])
         if full:
@@ -106,17 +113,26 @@ class WordEncoder:
                 del known[part]
         return found
 
+    def look_up(self, words: list[bytes]) -> tuple[list[bytes | None], dict[int, bytes]]:
+        """The ids of the words that are remembered, and the other words by their places."""
+        found = list(map(self.words.get, words))
+        return found, {at: words[at] for at, ids in enumerate(found) if ids is None} if None in found else {}
+
+    def fill(self, texts: Iterable[tuple[list[bytes | None], dict[int, bytes]]]) -> Iterator[bytes]:
+        """The ids of several lists of words that have been looked up."""
+        texts = list(texts)
+        wanted = {word for _, lacking in texts for word in lacking.values()}
+        new = self._encode_words(list(wanted)) if wanted else {}
+        if len(self.words) < WORDS:
+            self.words.update(new)
+        for found, lacking in texts:
+            for at, word in lacking.items():
+                found[at] = new[word]
+            yield b"".join(found)
+
     def encode(self, texts: Iterable[list[bytes]]) -> list[bytes]:
         """The ids of several lists of words."""
-        known, texts = self.words, list(texts)
-        new = self._encode_words(set().union(*texts).difference(known))
-        full = len(known) >= WORDS
-        known.update(new)
-        out = [b"".join(map(known.__getitem__, words)) for words in texts]
-        if full:
-            for word in new:
-                del known[word]
-        return out
+        return list(self.fill(map(self.look_up, texts)))
 
 
 @functools.lru_cache(2)
@@ -129,7 +145,7 @@ def encoded(rows: Iterable[tuple[object, str | None]], path: str) -> Iterator[tu
     model, waiting, held = encoder(path), [], 0
 
     def flush() -> Iterator[tuple[object, bytes, bool]]:
-        found = model.encode([words for _, words, _ in waiting])
+        found = model.fill([words for _, words, _ in waiting])
         yield from ((key, ids, last) for (key, _, last), ids in zip(waiting, found))
         waiting.clear()
 
@@ -140,10 +156,10 @@ def encoded(rows: Iterable[tuple[object, str | None]], path: str) -> Iterator[tu
             at += len(piece)
             words = piece.split()
             held += len(words)
-            waiting.append((key, words, at == len(data)))
+            waiting.append((key, model.look_up(words), at == len(data)))
             if held >= BLOCK_WORDS:
                 yield from flush()
                 held = 0
         if not data:
-            waiting.append((key, [], True))
+            waiting.append((key, ([], {}), True))
     yield from flush()

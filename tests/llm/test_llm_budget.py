@@ -216,6 +216,23 @@ def test_words_are_encoded_without_separators_and_alike_when_memory_is_full(monk
     assert asked and not any(c.isdigit() for text in asked for c in text)
 
 
+def test_words_of_letters_and_signs_are_taken_apart_together(monkeypatch):
+    """Only words of other forms are searched one by one; all ids are the tokenizer's."""
+    from reviewloom.llm import token_ids
+    text = "École, the THE heat*** été... a' b<| ß; don't x-y 7 'quoted' naïve!? c<||>d"
+    model, searched, split = token_ids.WordEncoder(token_ids_path()), [], token_ids._SPLIT
+
+    class Watched:
+        @staticmethod
+        def findall(word):
+            searched.append(word)
+            return split.findall(word)
+    monkeypatch.setattr(token_ids, "_SPLIT", Watched)
+    got = model.encode([text.encode().split(), "the été... new,".encode().split()])
+    assert got == [model._whole(text), model._whole("the été... new,")]
+    assert sorted(searched) == sorted(["don't", "x-y", "7", "'quoted'"])
+
+
 def token_ids_path():
     import public_tokenizers
     return public_tokenizers.path("word_bpe_49k.json")
