@@ -332,30 +332,42 @@ def _log_probabilities(targets: np.ndarray, place: np.ndarray, p: Parameters, v:
     """Natural logarithm of each target's probability after its context: its class, then itself in the class."""
     n, classes = len(targets), v.classes
     kinds = classes[targets]
-    predicted, logs = np.empty((n, DIMENSIONS), np.float32), np.empty(n)
-
-    def among(rows: np.ndarray, mine: np.ndarray, outputs: np.ndarray, bias: np.ndarray) -> np.ndarray:
-        scores = predicted[rows] @ outputs.T
-        scores += bias
-        scores -= scores.max(axis=1, keepdims=True)
+    predicted, logs = np.ones((n, DIMENSIONS + 1), np.float32), np.empty(n)
+
+    def wide(outputs: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, bool]:
+        """Outputs with their bias, and whether no score of them can leave the range of exp."""
+        most = float(np.sqrt(np.square(outputs).sum(axis=1).max(initial=0))) * longest + float(np.abs(bias).max(initial=0))
+        return np.concatenate([outputs, bias[:, None]], axis=1), most < 60
+
+    def among(rows: np.ndarray, mine: np.ndarray, outputs: np.ndarray, near: bool) -> np.ndarray:
+        scores = room[:len(rows) * len(outputs)].reshape(len(rows), len(outputs))
+        np.matmul(predicted[rows], outputs.T, out=scores)
+        if not near:
+            scores -= scores.max(axis=1, keepdims=True)
         own = scores[np.arange(len(rows)), mine].astype(np.float64)
-        return own - np.log((np.exp(scores, out=scores) @ np.ones(len(bias), np.float32)).astype(np.float64))
+        return own - np.log((np.exp(scores, out=scores) @ ones[:len(outputs)]).astype(np.float64))
 
     def parts(rows: np.ndarray, width: int) -> Iterator[np.ndarray]:
         step = max(1, AT_A_TIME // width)
         return (rows[at:at + step] for at in range(0, len(rows), step))
 
+    begin = np.searchsorted(classes, np.arange(len(p["class"]) + 1))
+    widest = max(len(p["class"]), int(np.diff(begin).max()))
+    room, ones = np.empty(max(AT_A_TIME, widest), np.float32), np.ones(widest, np.float32)
     for here in parts(np.arange(n), len(p["class"])):
         near = _contexts(targets, place, here, len(v.own))
-        predicted[here] = sum(p["context"].take(near[k], axis=0) * p["places"][k] for k in range(CONTEXT))
-        logs[here] = among(here, kinds[here], p["class"], p["class_bias"])
-    begin = np.searchsorted(classes, np.arange(len(p["class"]) + 1))
+        predicted[here, :-1] = sum(p["context"].take(near[k], axis=0) * p["places"][k] for k in range(CONTEXT))
+    longest = float(np.sqrt(np.square(predicted[:, :-1]).sum(axis=1).max(initial=0)))
+    outputs, bounded = wide(p["class"], p["class_bias"])
+    for here in parts(np.arange(n), len(p["class"])):
+        logs[here] = among(here, kinds[here], outputs, bounded)
     order = np.argsort(kinds, kind="stable")
     for rows in np.split(order, np.flatnonzero(np.diff(kinds[order])) + 1):
         first, last = (begin[kinds[rows[0]] + k] for k in (0, 1)) if len(rows) else (0, 0)
         if last - first > 1:
+            outputs, bounded = wide(p["target"][first:last], p["bias"][first:last])
             for here in parts(rows, last - first):
-                logs[here] += among(here, targets[here] - first, p["target"][first:last], p["bias"][first:last])
+                logs[here] += among(here, targets[here] - first, outputs, bounded)
     return logs
 
 

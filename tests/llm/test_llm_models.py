@@ -131,6 +131,27 @@ def test_probabilities_add_up_to_one(spark):
     assert sum(np.exp(x) for x in logs.values()) == pytest.approx(1, abs=1e-5)
 
 
+@pytest.mark.parametrize("scale", [1, 300])
+def test_scores_are_normalised_for_small_and_large_parameters(scale):
+    """Scores far outside the range of exp are shifted first, others are not; both are proper logarithms."""
+    rng, size = np.random.default_rng(2), 60
+    vocabulary = log_bilinear.Vocabulary(np.arange(size), np.ones(size), np.arange(size), 100, size, 3, np.ones(size + 2))
+    p = {k: scale * rng.normal(size=v.shape).astype(np.float32) for k, v in log_bilinear._fresh(vocabulary).items()}
+    targets = np.append(rng.integers(0, size, 50), vocabulary.end)
+    got = log_bilinear._log_probabilities(targets, np.arange(51), p, vocabulary)
+    kinds = vocabulary.classes
+
+    def log_share(scores, mine):
+        return scores[mine] - scores.max() - np.log(np.exp(scores - scores.max()).sum())
+    for at, target in enumerate(targets):
+        near = log_bilinear._contexts(targets, np.arange(51), np.array([at]), size + 2)[:, 0]
+        predicted = (p["context"][near].astype(float) * p["places"]).sum(axis=0)
+        want = log_share(p["class"] @ predicted + p["class_bias"], kinds[target])
+        of = np.flatnonzero(kinds == kinds[target])
+        want += log_share(p["target"][of] @ predicted + p["bias"][of], int((of < target).sum()))
+        assert got[at] == pytest.approx(want, rel=1e-4, abs=1e-3)
+
+
 def test_rare_words_have_models_of_their_own(spark):
     """Words far down the list are told apart by their contexts, and classes and words add up to one."""
     rng = np.random.default_rng(5)
