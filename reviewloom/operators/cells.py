@@ -22,6 +22,8 @@ from reviewloom.session import stored
 CELL_ROWS, MOST_CELLS = 4_096, 4_096
 #: Sampled vectors per centre, and bytes of the sample at most.
 SAMPLE_ROWS, SAMPLE_BYTES = 16, 64 * 1024 * 1024
+#: Vectors and queries that tell how much the bounds leave out.
+PROBE_ROWS, PROBE_QUERIES = 16_384, 256
 _ROOM = 1e-9
 
 
@@ -48,12 +50,14 @@ def _nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
                            for at in range(0, len(points), 4096)] or [np.zeros(0, np.int64)])
 
 
-def _centres(vectors: DataFrame, rows: int, length: int, cell_rows: int) -> np.ndarray:
-    """Means of the parts of a sample that is drawn by a hash."""
-    wanted = max(1, min(MOST_CELLS, -(-rows // cell_rows)))
-    size = max(wanted, min(wanted * SAMPLE_ROWS, SAMPLE_BYTES // (8 * length)))
-    drawn = vectors.select("embedding", F.xxhash64("vec_id", F.lit(1)).alias("draw")).orderBy("draw").limit(size)
-    sample = matrix(drawn.select("embedding").toArrow()["embedding"])
+def _drawn(rows: DataFrame, key: str, size: int) -> np.ndarray:
+    """A sample of vectors, drawn by a hash."""
+    drawn = rows.select("embedding", F.xxhash64(key, F.lit(1)).alias("draw")).orderBy("draw").limit(size)
+    return matrix(drawn.select("embedding").toArrow()["embedding"])
+
+
+def _means(sample: np.ndarray, wanted: int) -> np.ndarray:
+    """Means of the parts of a sample."""
     centres = sample[:wanted].copy()
     for _ in range(3):
         home = _nearest(sample, centres)
@@ -64,6 +68,29 @@ def _centres(vectors: DataFrame, rows: int, length: int, cell_rows: int) -> np.n
     return centres
 
 
+def _centres(vectors: DataFrame, rows: int, length: int, cell_rows: int) -> np.ndarray:
+    wanted = max(1, min(MOST_CELLS, -(-rows // cell_rows)))
+    size = max(wanted, min(wanted * SAMPLE_ROWS, SAMPLE_BYTES // (8 * length)))
+    return _means(_drawn(vectors, "vec_id", size), wanted)
+
+
+def share_reached(vectors: DataFrame, queries: DataFrame, length: int, k: int) -> float:
+    """About which share of all pairs the bounds of cells leave, by a sample of usable vectors and queries of one length."""
+    rows = vectors.count()
+    sample = _drawn(vectors, "vec_id", max(1, min(PROBE_ROWS, SAMPLE_BYTES // (8 * length))))
+    asked = _drawn(queries, "query_id", PROBE_QUERIES)
+    if not len(sample) or not len(asked):
+        return 1.0
+    centres = _means(sample, max(1, min(MOST_CELLS, -(-rows // CELL_ROWS), len(sample) // SAMPLE_ROWS)))
+    home = _nearest(sample, centres)
+    radii, held = np.zeros(len(centres)), np.bincount(home, minlength=len(centres))
+    np.maximum.at(radii, home, np.sqrt(((sample - centres[home])**2).sum(axis=1)))
+    rank = min(len(sample), max(1, k * len(sample) // rows))
+    best = np.partition(asked @ sample.T, -rank, axis=1)[:, -rank]
+    reached = Divided(vectors, centres, radii, held).bounds(asked) >= best[:, None]
+    return float((reached * held).sum() / (len(sample) * len(asked)))
+
+
 def divide(vectors: DataFrame, length: int, cell_rows: int = CELL_ROWS, path: str | None = None) -> Divided:
     """Divide usable vectors of one length; each cell's rows lie together in the stored table, or in ``path``."""
     spark = vectors.sparkSession

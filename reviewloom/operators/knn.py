@@ -1,7 +1,8 @@
 """Exact nearest vectors by inner product for a batch of queries.
 
 Queries that fit ``QUERY_BYTES`` are broadcast, and one scan scores them as matrix products;
-what leaves a task is its own top k per query. For more queries the vectors are divided into cells
+what leaves a task is its own top k per query. More queries are scanned in blocks of that size, unless a
+sample shows that bounds leave most pairs out: then the vectors are divided into cells
 (``cells``): each query visits cells from the highest bound down, a few more in each round, and
 stops at its k-th score. Scores are rounded before they are ranked and ties go to the lower
 ``vec_id``, so the result does not depend on how the vectors are spread over tasks.
@@ -18,14 +19,19 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reviewloom.fixed_values import SEARCH_K
 from reviewloom.functions.vectors import SCORE_DECIMALS, matrix
-from reviewloom.operators.cells import Divided, divide
+from reviewloom.operators.cells import Divided, divide, share_reached
 from reviewloom.session import stored
 
 QUERY_BYTES = 64 * 1024 * 1024
+#: From so many queries on, vectors are stored in even files before they are scanned.
+EVEN_QUERIES = 16_384
+#: The share of pairs that cells may leave to be scored; if more are left, a scan of all is faster.
+CELLS_SHARE = 1 / 8
 QUERY_TILE = 256
 VECTOR_TILE = 2048
 ROUNDING_MARGIN = 2 * 10.0 ** -SCORE_DECIMALS
@@ -54,25 +60,36 @@ def _places(meets: np.ndarray) -> np.ndarray:
     return np.concatenate([near[flat[near]], whole + np.flatnonzero(flat[whole:])])
 
 
+def _norms(rows: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.einsum("nd,nd->n", rows, rows, dtype=float))
+
+
+_NONE = (np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0))
+
+
 class _TopK:
     """Running top k of each query over the vectors one task has seen.
 
     Products are first made in single precision. What may reach the k-th score by the bound of their error is
     made again in double precision, so only speed depends on it. ``floor`` is what a query's hits must reach.
+    Products of a tile are written into the same room again and again, and hits wait until there are as many as
+    are kept before the two are ranked together.
     """
 
     def __init__(self, query_ids: np.ndarray, queries: np.ndarray, k: int, floor: np.ndarray | None = None):
         self.query_ids, self.queries, self.k = query_ids, queries, k
         self.floor = np.full(len(query_ids), -np.inf) if floor is None else floor
-        self.narrow = queries.astype(np.float32) if self._fits(queries) else None
-        self.lengths = np.sqrt((queries**2).sum(axis=1))
+        self.narrow = queries.astype(np.float32, copy=False) if self._fits(queries) else None
+        self.lengths = _norms(queries)
         self.tiles = [slice(s, s + QUERY_TILE) for s in range(0, len(query_ids), QUERY_TILE)]
-        self.kept = [(np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0)) for _ in self.tiles]
+        self.kept = [_NONE for _ in self.tiles]
+        self.waiting: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in self.tiles]
+        self.rooms: dict[type, np.ndarray] = {}
 
     @staticmethod
     def _fits(rows: np.ndarray) -> bool:
         """Whether products in single precision neither overflow nor lose what is small."""
-        return not rows.size or np.abs(rows).max() < MOST_NARROW
+        return not rows.size or max(rows.max(), -rows.min()) < MOST_NARROW
 
     def add(self, vec_ids: np.ndarray, vectors: np.ndarray) -> None:
         for start in range(0, len(vec_ids), VECTOR_TILE):
@@ -85,22 +102,31 @@ class _TopK:
         """The vectors in single precision, and the error of a product with a query of length 1 at most."""
         if self.narrow is None or not self._fits(vectors):
             return None
-        error = (vectors.shape[1] + 4) * 2.0**-23 * np.sqrt((vectors**2).sum(axis=1).max(initial=0))
-        return vectors.astype(np.float32), float(error)
+        error = (vectors.shape[1] + 4) * 2.0**-23 * _norms(vectors).max(initial=0)
+        return vectors.astype(np.float32, copy=False), float(error)
+
+    def _products(self, queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+        kind, shape = np.result_type(queries, vectors).type, (len(queries), len(vectors))
+        room = self.rooms.get(kind)
+        if room is None or room.size < shape[0] * shape[1]:
+            room = self.rooms[kind] = np.empty(shape[0] * shape[1], kind)
+        return np.matmul(queries, vectors.T, out=room[:shape[0] * shape[1]].reshape(shape))
 
     def _add_tile(self, number: int, tile: slice, vec_ids: np.ndarray, vectors: np.ndarray,
                   narrow: tuple[np.ndarray, float] | None, meets: np.ndarray | None = None,
                   place: np.ndarray | None = None) -> None:
         """``meets`` tells which places of vectors each query meets, all of them if it is None."""
         if narrow is None:
-            scores, margin = self.queries[tile] @ vectors.T, np.full(len(self.queries[tile]), ROUNDING_MARGIN)
+            scores, margin = self._products(self.queries[tile].astype(float, copy=False), vectors.astype(float, copy=False)), ROUNDING_MARGIN
         else:
-            scores = self.narrow[tile] @ narrow[0].T
+            scores = self._products(self.narrow[tile], narrow[0])
             # a k-th score and a score that is compared with it may both be wrong
             margin = ROUNDING_MARGIN + 2 * narrow[1] * self.lengths[tile] + TINY_MARGIN
+        if not scores.shape[1]:
+            return
         cut = self.floor[tile]
         open_ = np.isneginf(cut)
-        if open_.any() and scores.shape[1] > self.k:
+        if unknown := open_.any() and scores.shape[1] > self.k:
             first = scores[open_]
             if meets is not None:
                 first[~meets[open_][:, place]] = -np.inf
@@ -110,57 +136,73 @@ class _TopK:
         low = cut - margin
         if narrow is not None:
             low = np.nextafter(low.astype(np.float32), np.float32(-np.inf))
-        row, col = np.divmod(_places(scores >= low[:, None]), scores.shape[1])
+        # a query's best product tells whether any other has to be looked at
+        near = np.flatnonzero(scores.max(axis=1) >= low)
+        if not len(near):
+            return
+        row, col = np.divmod(_places(scores[near] >= low[near, None]), scores.shape[1])
+        row = near[row]
         if meets is not None:
             allowed = meets[row, place[col]]
             row, col = row[allowed], col[allowed]
-        if not len(row):
-            return
-        score = scores[row, col] if narrow is None else np.concatenate([
-            np.einsum("nd,nd->n", self.queries[tile][row[at:at + VECTOR_TILE]], vectors[col[at:at + VECTOR_TILE]])
-            for at in range(0, len(row), VECTOR_TILE)])
-        old_row, old_ids, old_score = self.kept[number]
-        score = np.concatenate([old_score, np.round(score, SCORE_DECIMALS) + 0.0])
-        row = np.concatenate([old_row, row])
-        ids = np.concatenate([old_ids, vec_ids[col]])
+        score = scores[row, col] if narrow is None else np.concatenate([np.empty(0), *(
+            np.einsum("nd,nd->n", self.queries[tile][row[at:at + VECTOR_TILE]].astype(float, copy=False),
+                      vectors[col[at:at + VECTOR_TILE]].astype(float, copy=False))
+            for at in range(0, len(row), VECTOR_TILE))])
+        score = np.round(score, SCORE_DECIMALS) + 0.0
+        reach = score >= self.floor[tile][row]
+        if reach.any():
+            self.waiting[number].append((row[reach], vec_ids[col[reach]], score[reach]))
+            if unknown or sum(len(w[0]) for w in self.waiting[number]) >= self.k * len(cut):
+                self._rank(number)
+
+    def _rank(self, number: int) -> None:
+        row, ids, score = (np.concatenate(c) for c in zip(self.kept[number], *self.waiting[number]))
+        self.waiting[number] = []
         order = np.lexsort((ids, -score, row))
         row, ids, score = row[order], ids[order], score[order]
-        at = np.arange(len(row))
-        rank = at - np.searchsorted(row, row)
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
         keep = rank < self.k
         self.kept[number] = (row[keep], ids[keep], score[keep])
-        full = rank == self.k - 1
-        self.floor[tile.start + row[full]] = np.maximum(self.floor[tile.start + row[full]], score[full])
+        full, start = rank == self.k - 1, self.tiles[number].start
+        self.floor[start + row[full]] = np.maximum(self.floor[start + row[full]], score[full])
 
     def hits(self) -> pa.Table:
-        parts = [(self.query_ids[tile][row], ids, score)
-                 for tile, (row, ids, score) in zip(self.tiles, self.kept)]
-        if not parts:
-            parts = [(np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0))]
-        query, ids, score = (np.concatenate(p) for p in zip(*parts))
+        for number in range(len(self.tiles)):
+            self._rank(number)
+        parts = [(self.query_ids[tile][row], ids, score) for tile, (row, ids, score) in zip(self.tiles, self.kept)]
+        query, ids, score = (np.concatenate(p) for p in zip(*(parts or [_NONE])))
         return pa.table({"query_id": query, "vec_id": ids, "score": score})
 
 
+def _components(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Equally long vectors as a matrix; those of single precision keep it and are not copied."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if len(column) and column.type.value_type == pa.float32():
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return matrix(column)
+
+
 def _by_length(ids: pa.Array | pa.ChunkedArray, vectors: pa.Array | pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Ids and matrix of the vectors of each length."""
     lengths = pc.list_value_length(vectors)
-    return {n: (_ids(ids.filter(pc.equal(lengths, n))), matrix(vectors.filter(pc.equal(lengths, n))))
-            for n in pc.unique(lengths).to_pylist()}
+    kinds = pc.unique(lengths).to_pylist()
+    if len(kinds) == 1:
+        return {kinds[0]: (_ids(ids), _components(vectors))}
+    return {n: (_ids(ids.filter(pc.equal(lengths, n))), _components(vectors.filter(pc.equal(lengths, n)))) for n in kinds}
 
 
-def _few_queries(queries: DataFrame, broadcast_bytes: int) -> dict[int, tuple[np.ndarray, np.ndarray]] | None:
-    """The queries by length if they surely fit the byte limit, else None."""
-    longest = queries.agg(F.max(F.size("embedding"))).first()[0]
-    if longest is None:
-        return {}
-    limit = broadcast_bytes // (8 * longest)
-    rows = queries.select("query_id", "embedding").limit(limit + 1).toArrow()
-    return None if len(rows) > limit else _by_length(rows["query_id"], rows["embedding"])
+def _even(vectors: DataFrame) -> DataFrame:
+    """The vectors stored in as many files of one size as there are cores, so that tasks of a scan end together."""
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    return stored(vectors.select("vec_id", "embedding").repartition(cores), "vectors")
 
 
-def _scan_top_k(vectors: DataFrame, asked: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> DataFrame:
-    """Top k per query of each task, by one scan of all vectors."""
-    shared = vectors.sparkSession.sparkContext.broadcast(asked)
+def _scan_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> tuple[DataFrame, Broadcast]:
+    """Top k per query of each task, by one scan of all vectors, and the broadcast that it reads."""
+    rows = queries.select("query_id", "embedding").toArrow()
+    shared = vectors.sparkSession.sparkContext.broadcast(_by_length(rows["query_id"], rows["embedding"]))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = {n: _TopK(*queries, k) for n, queries in shared.value.items()}
@@ -171,7 +213,19 @@ def _scan_top_k(vectors: DataFrame, asked: dict[int, tuple[np.ndarray, np.ndarra
         for found in best.values():
             yield from found.hits().to_batches()
 
-    return vectors.select("vec_id", "embedding").mapInArrow(search, _HITS)
+    return vectors.select("vec_id", "embedding").mapInArrow(search, _HITS), shared
+
+
+def _scan_blocks(vectors: DataFrame, queries: DataFrame, k: int, blocks: int) -> DataFrame:
+    """Top k per query, by a scan of all vectors for each block of queries; what a block finds is ranked and stored."""
+    asked = stored(queries.select("query_id", "embedding").repartition(blocks).withColumn("block", F.spark_partition_id()), "asked")
+    found = None
+    for block in range(blocks):
+        hits, shared = _scan_top_k(vectors, asked.filter(F.col("block") == block), k)
+        hits = stored(_ranked(hits, k).drop("rank"), "hits")
+        shared.destroy()
+        found = hits if found is None else found.unionByName(hits)
+    return found
 
 
 class Found(NamedTuple):
@@ -277,8 +331,8 @@ def search_cells(divided: Divided, queries: DataFrame, k: int, ask_rows: int | N
         alike = np.lexsort(bits.T[::-1])  # queries that meet the same cells side by side
         bits = bits[alike]
         floor = np.nan_to_num(asks["floor"].to_numpy().astype(float), nan=-np.inf, neginf=-np.inf)[alike]
-        best = _TopK(_ids(asks["query_id"])[alike], matrix(asks["embedding"])[alike], k, floor)
-        place, vec_ids, vectors = _ids(points["place"]), _ids(points["vec_id"]), matrix(points["embedding"])
+        best = _TopK(_ids(asks["query_id"])[alike], _components(asks["embedding"])[alike], k, floor)
+        place, vec_ids, vectors = _ids(points["place"]), _ids(points["vec_id"]), _components(points["embedding"])
         for number, tile in enumerate(best.tiles):
             meets = np.unpackbits(bits[tile], axis=1).view(bool)
             some = meets.any(axis=0)
@@ -340,18 +394,27 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = SEARCH_K, skip_self
     """``query_id, vec_id, score, rank`` of the k best vectors of each query.
 
     ``skip_self`` leaves out the vector whose id equals the query's. Queries above
-    ``broadcast_bytes`` are searched cell by cell. Vectors that are not usable take no
+    ``broadcast_bytes`` are searched in blocks of that size, or cell by cell; with 0 always
+    cell by cell. Vectors that are not usable take no
     part, nor do those of a length that no query has; ``unusable`` counts them.
     """
     vectors, queries = usable(vectors), usable(queries)
     fetched = k + 1 if skip_self else k
-    asked = _few_queries(queries, broadcast_bytes)
-    if asked is None:
-        found = None
-        for row in queries.select(F.size("embedding").alias("n")).distinct().orderBy("n").collect():  # one, as a rule
-            own = F.size("embedding") == row["n"]
-            hits = search_cells(divide(vectors.filter(own), row["n"]), queries.filter(own), fetched).hits.drop("rank")
-            found = hits if found is None else found.unionByName(hits)
+    asked = {r["n"]: r["rows"] for r in queries.groupBy(F.size("embedding").alias("n")).agg(
+        F.count(F.lit(1)).alias("rows")).orderBy("n").collect()}  # one length, as a rule
+    if broadcast_bytes and sum(8 * n * rows for n, rows in asked.items()) <= broadcast_bytes:
+        found, _ = _scan_top_k(_even(vectors) if sum(asked.values()) >= EVEN_QUERIES else vectors, queries, fetched)
     else:
-        found = _scan_top_k(vectors, asked, fetched)
+        found = vectors.sparkSession.createDataFrame([], _HITS)
+        for n, rows in asked.items():
+            own = F.size("embedding") == n
+            found = found.unionByName(_search_many(vectors.filter(own), queries.filter(own), n, rows, fetched, broadcast_bytes))
     return _ranked(found.filter(F.col("query_id") != F.col("vec_id")) if skip_self else found, k)
+
+
+def _search_many(vectors: DataFrame, queries: DataFrame, length: int, rows: int, k: int, broadcast_bytes: int) -> DataFrame:
+    if broadcast_bytes:
+        even = _even(vectors)
+        if share_reached(even, queries, length, k) > CELLS_SHARE:
+            return _scan_blocks(even, queries, k, -(-8 * length * rows // broadcast_bytes))
+    return search_cells(divide(vectors, length), queries, k).hits.drop("rank")

@@ -359,3 +359,44 @@ def test_single_precision_decides_no_hit(scale):
     for q in range(6):
         mine = [s for i, s in zip(hits["query_id"], hits["score"]) if i == q]
         assert mine == pytest.approx([s for _, s in want[q]], rel=1e-15, abs=0)
+
+
+def purposes(monkeypatch):
+    """What the search stores, in order."""
+    seen, write = [], knn.stored
+    monkeypatch.setattr(knn, "stored", lambda df, purpose: seen.append(purpose) or write(df, purpose))
+    return seen
+
+
+@pytest.mark.parametrize("skip_self", [False, True])
+def test_many_queries_are_scanned_in_blocks_where_bounds_leave_nothing_out(spark, monkeypatch, skip_self):
+    """No query travels to parts of cells if it would meet them all."""
+    seen = purposes(monkeypatch)
+    v, w, vectors, queries = random_tables(spark, 300, 50, 6, seed=9)
+    got = knn.nearest(vectors, queries, 4, skip_self, broadcast_bytes=8 * 6 * 20)
+    assert found(got) == brute(v, w, 4, skip_self)
+    assert seen.count("hits") == 3 and "asks" not in seen
+
+
+def test_many_queries_visit_cells_where_bounds_leave_most_out(spark, monkeypatch):
+    monkeypatch.setattr(cells, "CELL_ROWS", 20)
+    seen = purposes(monkeypatch)
+    v, w, vectors, queries = clustered(spark)
+    assert cells.share_reached(vectors, queries, 8, 4) < knn.CELLS_SHARE
+    assert found(knn.nearest(vectors, queries, 4, broadcast_bytes=8 * 8 * 9)) == brute(v, w, 4)
+    assert "asks" in seen
+
+
+def test_hits_are_ranked_when_there_are_enough_of_them(monkeypatch):
+    """Not once for every tile of vectors."""
+    monkeypatch.setattr(knn, "VECTOR_TILE", 10)
+    rng = np.random.default_rng(4)
+    v, w, ranked = rng.normal(0, 1, (4000, 12)), rng.normal(0, 1, (30, 12)), []
+    best = knn._TopK(np.arange(30), w.astype("float32"), 10)
+    rank = best._rank
+    best._rank = lambda number: ranked.append(number) or rank(number)
+    best.add(np.arange(4000), v.astype("float32"))
+    hits = best.hits().to_pandas().sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+    want = brute(v.astype("float32").astype(float), w.astype("float32").astype(float), 10)
+    assert [(r.vec_id, r.score) for r in hits.itertuples()] == [hit for q in range(30) for hit in want[q]]
+    assert len(ranked) < 20
