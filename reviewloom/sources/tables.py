@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reviewloom.fixed_values import INDEX_REQUIRED
 from reviewloom.schemas import INDEX, MESSAGES, SUBJECT, USERS
+from reviewloom.session import stored
 from reviewloom.sources.folders import remove_folder
 from reviewloom.sources.records import read_json_lists
 from reviewloom.sources.segments import add_segment, read_segments, segments
@@ -49,7 +50,11 @@ def stream_messages(spark: SparkSession, path: str, bytes_per_batch: int = 512 *
 
 # --- vector index -----------------------------------------------------------
 def write_index(index: DataFrame, path: str) -> bool:
-    """Write vectors with their metadata as the first segment; an empty index writes nothing. Tells whether it wrote."""
+    """Write vectors with their metadata as the first segment; an empty index writes nothing. Tells whether it wrote.
+
+    The rows are stored before they are counted, so that a model sees each text once.
+    """
+    index = stored(index, "built")
     if index.isEmpty():
         return False
     remove_folder(index.sparkSession, path)
