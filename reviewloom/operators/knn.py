@@ -32,7 +32,7 @@ QUERY_BYTES = 64 * 1024 * 1024
 EVEN_QUERIES = 16_384
 #: The share of pairs that cells may leave to be scored; if more are left, a scan of all is faster.
 CELLS_SHARE = 1 / 8
-QUERY_TILE = 256
+QUERY_TILE = 512
 VECTOR_TILE = 2048
 ROUNDING_MARGIN = 2 * 10.0 ** -SCORE_DECIMALS
 #: Components up to here are multiplied in single precision first; what products of the smallest ones lose at most.
