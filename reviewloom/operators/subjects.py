@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reviewloom.fixed_values import (AGE_LABELS, CATEGORY_WORDS, NAME_ENDINGS, NAME_STOPWORDS, NO_CATEGORY,
@@ -50,13 +49,15 @@ def _place(run: Column) -> Column:
 
 
 def _looked_up(keys: DataFrame) -> Callable[[Column], Column]:
-    """A test that every run among the ``keys`` passes, and of other runs as few as a table of fixed size can tell."""
+    """A test that every run among the ``keys`` passes, and of other runs as few as a table of fixed size can tell.
+
+    The table is a subquery, so it is made when a query runs and not when its plan is built.
+    """
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(_place(F.col("run")), F.lit(64)).cast("int"))
-    rows = keys.groupBy(F.floor(_place(F.col("run")) / 64).cast("int").alias("at")).agg(F.bit_or(bit).alias("bits")).collect()
-    bits = [0] * (1 << RUN_BITS - 6)
-    for r in rows:
-        bits[r["at"]] = r["bits"]
-    table = F.lit(np.array(bits, np.int64))
+    rows = keys.groupBy(F.floor(_place(F.col("run")) / 64).cast("int").alias("__at")).agg(F.bit_or(bit).alias("__bits"))
+    held = rows.repartition(1).agg(F.map_from_entries(F.collect_list(F.struct("__at", "__bits"))).alias("held"))
+    every = F.sequence(F.lit(0), F.lit((1 << RUN_BITS - 6) - 1))
+    table = held.select(F.transform(every, lambda at: F.coalesce(F.try_element_at("held", at), F.lit(0).cast("long")))).scalar()
     return lambda run: F.getbit(F.get(table, F.floor(_place(run) / 64).cast("int")), F.pmod(_place(run), F.lit(64)).cast("int")) == 1
 
 
