@@ -9,6 +9,7 @@ from reviewloom.operators import cells, knn, retrieval
 from reviewloom.operators.embed import embed, hashed_features, unit_rows
 from reviewloom.operators.ordered import number_rows
 from reviewloom.schemas import INDEX, INDEX_META
+from reviewloom.sources import tables
 
 VECTORS = "vec_id long, embedding array<float>"
 QUERIES = "query_id long, embedding array<float>"
@@ -400,3 +401,21 @@ def test_hits_are_ranked_when_there_are_enough_of_them(monkeypatch):
     want = brute(v.astype("float32").astype(float), w.astype("float32").astype(float), 10)
     assert [(r.vec_id, r.score) for r in hits.itertuples()] == [hit for q in range(30) for hit in want[q]]
     assert len(ranked) < 20
+
+
+def test_a_model_sees_each_text_of_a_new_index_once(spark, tmp_path):
+    """Whether there are any rows, and how many, is told from what was stored."""
+    seen = tmp_path / "seen"
+
+    def make():
+        def model(texts):
+            with seen.open("a") as out:
+                out.write("".join(f"{t}\n" for t in texts))
+            return [[1.0, 0.0] for _ in texts]
+        return model
+
+    clean = spark.createDataFrame([("kakaomap", n, f"a long enough text {n}", "2024-05-03", 5.0) for n in range(20)],
+                                  "site string, ingest_seq long, content string, date string, rating double")
+    index = tables.load_index(spark, str(tmp_path / "index"), lambda: retrieval.build_index(clean, make_embedder=make))
+    assert index.count() == 20
+    assert sorted(seen.read_text().split("\n"))[1:] == sorted(f"a long enough text {n}" for n in range(20))
